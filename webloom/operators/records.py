@@ -170,6 +170,10 @@ def map_keys_of(df: DataFrame, column: str) -> list[str]:
     return sorted(row.k for row in keys.collect())
 
 
+def _texts(items: Column, kind: T.DataType) -> Column:
+    return F.transform(items, lambda x: python_text(x, kind))
+
+
 def flatten(df: DataFrame) -> DataFrame:
     """One level flat: nested fields become ``a_b`` text columns, lists become joined text."""
     out: list[Column] = []
@@ -183,8 +187,7 @@ def flatten(df: DataFrame) -> DataFrame:
                 shown = python_text(value[key], kind.valueType)
                 out.append(F.when(F.map_contains_key(value, key), shown).alias(f"{field.name}_{key}"))
         elif isinstance(kind, T.ArrayType):
-            items = F.transform(value, lambda x, k=kind.elementType: python_text(x, k))
-            out.append(F.array_join(items, ", ").alias(field.name))
+            out.append(F.array_join(_texts(value, kind.elementType), ", ").alias(field.name))
         else:
             out.append(value)
     return df.select(*out)

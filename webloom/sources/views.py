@@ -50,6 +50,14 @@ SELECT conv_id * 1000 + turn AS log_id, 1 + conv_id % 100 AS job_id,
   CASE role WHEN 'user' THEN 'INFO' WHEN 'assistant' THEN 'WARNING' ELSE 'ERROR' END AS level, text AS message FROM conversations""",
     "v_pages": """
 SELECT page_id, url, html AS raw_html, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages""",
+    "v_contacts": """
+SELECT c_custkey AS data_id,
+  CASE c_custkey % 4 WHEN 0 THEN concat(' ', replace(c_name, '#', '.'), '@Mail.Example.COM ') WHEN 1 THEN concat(c_name, '@x.org') WHEN 2 THEN c_mktsegment ELSE '' END AS email,
+  CASE c_custkey % 5 WHEN 0 THEN concat('+1 (555) ', CAST(c_custkey AS STRING), '-', CAST(c_custkey % 100 AS STRING)) WHEN 1 THEN concat('0', CAST(c_custkey * 7919 AS STRING), '-77') WHEN 2 THEN 'n/a' WHEN 3 THEN CAST(c_custkey AS STRING) END AS phone,
+  CASE c_custkey % 4 WHEN 0 THEN concat('//shop', CAST(c_custkey AS STRING), '.example.com/x#top') WHEN 1 THEN concat('shop', CAST(c_custkey AS STRING), '.example.com') WHEN 2 THEN concat(' https://u:p@s', CAST(c_custkey AS STRING), '.example.com:8080/a?b=1 ') ELSE 'nodots' END AS url,
+  CASE c_custkey % 4 WHEN 0 THEN concat('USD ', CAST(c_acctbal AS STRING)) WHEN 1 THEN concat('1,', CAST(100 + c_custkey % 900 AS STRING), '.5 EUR') WHEN 2 THEN 'free' ELSE ',' END AS price,
+  concat('  ', c_mktsegment, '   ', chr(10), c_name, ' ', CAST(c_nationkey AS STRING), ' ') AS text
+FROM customer""",
     "v_alerts": """
 SELECT event_id AS alert_id, CASE WHEN value > 40 THEN 'critical' WHEN value > 10 THEN 'high' ELSE 'low' END AS severity,
   CASE WHEN event_id % 3 = 0 THEN 'resolved' WHEN event_id % 3 = 1 THEN 'acknowledged' ELSE 'active' END AS status,
@@ -177,6 +185,30 @@ class Tables:
             F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"),
         )
 
+    def contacts(self) -> DataFrame:
+        key = F.col("c_custkey")
+        num = key.cast("string")
+
+        def cat(*parts: object) -> Column:
+            return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+        return self["customer"].select(
+            key.alias("data_id"),
+            F.when(key % 4 == 0, cat(" ", F.replace("c_name", F.lit("#"), F.lit(".")), "@Mail.Example.COM "))
+            .when(key % 4 == 1, cat(F.col("c_name"), "@x.org")).when(key % 4 == 2, F.col("c_mktsegment"))
+            .otherwise("").alias("email"),
+            F.when(key % 5 == 0, cat("+1 (555) ", num, "-", (key % 100).cast("string")))
+            .when(key % 5 == 1, cat("0", (key * 7919).cast("string"), "-77"))
+            .when(key % 5 == 2, "n/a").when(key % 5 == 3, num).alias("phone"),
+            F.when(key % 4 == 0, cat("//shop", num, ".example.com/x#top"))
+            .when(key % 4 == 1, cat("shop", num, ".example.com"))
+            .when(key % 4 == 2, cat(" https://u:p@s", num, ".example.com:8080/a?b=1 ")).otherwise("nodots").alias("url"),
+            F.when(key % 4 == 0, cat("USD ", F.col("c_acctbal").cast("string")))
+            .when(key % 4 == 1, cat("1,", (100 + key % 900).cast("string"), ".5 EUR"))
+            .when(key % 4 == 2, "free").otherwise(",").alias("price"),
+            cat("  ", F.col("c_mktsegment"), "   \n", F.col("c_name"), " ", F.col("c_nationkey").cast("string"), " ").alias("text"),
+        )
+
     def alerts(self) -> DataFrame:
         value, third = F.col("value"), F.col("event_id") % 3
         return self["events"].where("event_type = 'error'").select(
