@@ -8,6 +8,7 @@ from collections.abc import Callable, Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webloom.functions.common import col
 
@@ -22,7 +23,7 @@ EDGE_SPACE = r"(?U)^\s+|\s+$"
 Rule = Callable[[Column, Mapping], Column]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 

@@ -66,7 +66,7 @@ CONTENT_TYPES = ("html", "text", "json", "xml", "pdf", "csv")
 EXPORT_FORMATS = ("csv", "json", "xlsx")
 
 ALL_DANGEROUS = "(?imU)" + "|".join(f"(?:{p})" for p in DANGEROUS)
-ALL_SUSPICIOUS = "(?isU)" + "|".join(f"(?:{p})" for p in SUSPICIOUS)
+ALL_SUSPICIOUS = "(?iU)" + "|".join(f"(?:{p})" for p in SUSPICIOUS)
 
 
 def is_dangerous(text: Column | str) -> Column:
@@ -248,7 +248,7 @@ def _escaped(node: object) -> object:
 def json_checker(max_depth: int = 10, max_keys: int = 100):
     """Arrow function over JSON texts -> struct<error, value>. Recursion over open JSON has no built-in."""
 
-    @F.pandas_udf(T.StructType().add("error", "string").add("value", "string"))
+    @F.pandas_udf(T.StructType().add("error", T.StringType()).add("value", T.StringType()))
     def check(texts: pd.Series) -> pd.DataFrame:
         errors, values = [], []
         for text in texts:
@@ -279,16 +279,14 @@ def check_json(df: DataFrame, text: str, max_depth: int = 10, max_keys: int = 10
 
 def json_profile(df: DataFrame, key: str, text: str) -> DataFrame:
     """Top-level keys of a JSON column: (key, name, type, items) with the length of arrays."""
-    doc = F.try_parse_json(text)
-    names = df.select(key, F.col(text).alias("__t"), F.explode(F.json_object_keys(text)).alias("name"))
-    part = F.get_json_object("__t", F.concat(F.lit("$['"), F.col("name"), F.lit("']")))
-    whole = F.try_parse_json("__t")
-    kind = F.schema_of_variant(F.try_variant_get(whole, F.concat(F.lit("$['"), F.col("name"), F.lit("']")), "variant"))
-    del doc
+    docs = df.select(key, F.try_parse_json(text).alias("doc"))
+    parts = docs.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("doc").outer()))
+    kind = F.schema_of_variant("value")
     simple = (
         F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string")
         .when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number"))
-    return names.select(key, "name", simple.alias("type"), F.when(kind.startswith("ARRAY"), F.json_array_length(part)).alias("items"))
+    items = F.when(kind.startswith("ARRAY"), F.json_array_length(F.to_json("value")))
+    return parts.select(key, F.col("key").alias("name"), simple.alias("type"), items.alias("items"))
 
 
 # --- coercion and schema -------------------------------------------------------------------
