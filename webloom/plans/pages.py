@@ -29,7 +29,7 @@ def parts(t):
     return X.extract_pages(t.pages().withColumn("bytes", F.octet_length("raw_html")))
 
 
-@query("x1_page_extract", f"WITH {PARTS} SELECT page_id, {strip_sql('title_raw')} AS title, regexp_extract(raw_html, '<html lang="([^"]*)"', 1) AS lang, CAST(NULL AS STRING) AS error FROM a", ["v_pages"])
+@query("x1_page_extract", f"""WITH {PARTS} SELECT page_id, {strip_sql('title_raw')} AS title, regexp_extract(raw_html, '<html lang="([^"]*)"', 1) AS lang, CAST(NULL AS STRING) AS error FROM a""", ["v_pages"])
 def x1(t):
     return parts(t).select("page_id", "title", F.col("html_lang").alias("lang"), "error")
 
