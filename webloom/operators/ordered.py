@@ -63,18 +63,19 @@ def running(
 
 
 def trailing(
-    df: DataFrame, keys: Sequence[str], ts: str, span: float, aggregates: Mapping[str, Column], include_edge: bool,
-    seconds: int = 86400, of: Column | None = None,
+    df: DataFrame, keys: Sequence[str], ts: str, span: float, aggregates: Mapping[str, Column], include_edge: bool = True,
+    ahead: bool = False, seconds: int = 86400, of: Column | None = None,
 ) -> DataFrame:
     """Adds aggregates over the rows of the last ``span`` seconds, the row itself and its time-mates included.
 
-    Rows of the last ``span`` seconds of a bucket are also given to the next one as context, so
-    every bucket can be worked on alone. ``of`` restricts which rows count.
+    ``ahead`` looks at the next ``span`` seconds instead. Rows within ``span`` of the end of a
+    bucket are also given to the neighbour as context, so every bucket can be worked on alone.
+    ``of`` tells which rows can count at all, so that only those are copied.
     """
-    width = max(int(seconds), int(span) + 1)
-    at = micros(ts)
-    src = bucketed(df, ts, width).withColumns({"__at": at, "__context": F.lit(False)})
-    tail = (at - F.col(BUCKET) * width * 1_000_000) >= F.lit(int((width - span) * 1_000_000))
+    width = max(int(seconds), int(span) + 1) * 1_000_000
+    at = -micros(ts) if ahead else micros(ts)
+    src = df.withColumns({"__at": at, BUCKET: F.floor(at / F.lit(width)), "__context": F.lit(False)})
+    tail = (F.col("__at") - F.col(BUCKET) * width) >= F.lit(int(width - span * 1_000_000))
     context = src.where(tail if of is None else tail & of).withColumns({BUCKET: F.col(BUCKET) + 1, "__context": F.lit(True)})
     low = -int(span * 1_000_000) + (0 if include_edge else 1)
     frame = Window.partitionBy(*keys, BUCKET).orderBy("__at").rangeBetween(low, 0)
@@ -82,6 +83,31 @@ def trailing(
     return out.where(~F.col("__context")).select(*df.columns, *aggregates)
 
 
+def troubled_stretches(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], span: float, unsure: Column, seconds: int = 86400,
+) -> tuple[DataFrame, DataFrame]:
+    """Splits rows for a machine whose memory reaches ``span`` seconds back.
+
+    ``unsure`` marks rows whose outcome cannot be told from the rows of the last ``span`` seconds
+    alone. Result: (settled, troubled). ``troubled`` has an ``island`` column; its islands can be
+    worked on apart from each other, and of its rows only those with ``hot`` set are open, the
+    others are there as memory and also appear in ``settled``.
+    """
+    ts = order[0]
+    flagged = df.withColumn("__u", unsure.cast("int"))
+    some = F.col("__u") == 1
+    seen = trailing(flagged, keys, ts, span, {"__past": F.max("__u")}, seconds=seconds, of=some)
+    seen = trailing(seen, keys, ts, span, {"__next": F.max("__u")}, ahead=True, seconds=seconds, of=some)
+    hot = F.coalesce(F.col("__past"), F.lit(0)) == 1
+    marked = seen.withColumn("hot", hot)
+    settled = marked.where(~F.col("hot")).select(*df.columns)
+    involved = marked.where(F.col("hot") | (F.coalesce(F.col("__next"), F.lit(0)) == 1)).select(*df.columns, "hot")
+    timed = lagged(involved, keys, order, {"__before": ts}, seconds)
+    start = F.col("__before").isNull() | (micros(ts) - micros("__before") > int(span * 1_000_000))
+    islands = running(timed, keys, order, sums={"island": start.cast("int")}, seconds=seconds)
+    return settled, islands.drop("__before")
+
+
 def failure_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], failed: str, seconds: int = 86400) -> DataFrame:
     """Adds ``run_length``: failures in a row up to this one, 0 for a success."""
     counted = running(df, keys, order, sums={"__n": F.lit(1)}, seconds=seconds)
