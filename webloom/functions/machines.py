@@ -89,9 +89,10 @@ class Breaker:
 
     def step(self, state, at, success):
         name, failures, successes, retry_at = state
+        before = name
         if name == "open":
             if at < retry_at:
-                return state, ("open", True)
+                return state, ("open", "open", True)
             name, successes = "half_open", 0
         if success:
             if name == "half_open":
@@ -104,7 +105,7 @@ class Breaker:
             failures += 1
             if name == "half_open" or failures >= self.failure_threshold:
                 name, retry_at = "open", at + int(self._pause(failures) * SECOND)
-        return [name, failures, successes, retry_at], (name, False)
+        return [name, failures, successes, retry_at], (before, name, False)
 
 
 @dataclass(frozen=True)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.functions.common import micros, ratio
 from webloom.functions.machines import AdaptiveLimit, Breaker, Notifier, SlidingLimit, TokenBucket
-from webloom.operators.ordered import failure_runs, lagged, running, trailing, troubled_stretches
+from webloom.operators.ordered import BUCKET, DAY, failure_runs, latest_mark, near_before, trailing, troubled_stretches, with_context
 
 AT = "__at"
 
@@ -46,7 +46,7 @@ def scan_in_order(
 # --- limits --------------------------------------------------------------------------------
 
 def rate_limit(
-    events: DataFrame, client: str, ts: str, tie: str, limit: int, window: float, seconds: int = 86400,
+    events: DataFrame, client: str, ts: str, tie: str, limit: int, window: float, seconds: int = DAY,
 ) -> DataFrame:
     """Adds allowed and retry_after (sliding log of allowed events per client).
 
@@ -54,8 +54,7 @@ def rate_limit(
     is a count over a time range. Only stretches where a client exceeds its limit, and the window
     before them, go through the sequential rule.
     """
-    counted = trailing(events, [client], ts, window, {"__n": F.count(F.lit(1))}, seconds=seconds)
-    settled, open_ = troubled_stretches(counted, [client], [ts, tie], window, F.col("__n") > limit, seconds)
+    settled, open_ = troubled_stretches(events, [client], [ts, tie], window, limit, seconds=seconds)
     rows = open_.withColumns({AT: micros(ts), "__known": ~F.col("hot")})
     judged = scan_in_order(rows, [client, "island"], [AT, tie], SlidingLimit(limit, window), [AT, "__known"],
                            [("allowed", T.BooleanType()), ("retry_after", T.LongType())])
@@ -77,12 +76,12 @@ def limit_for(authenticated: Column, path: Column) -> Column:
         .when(path.startswith("/api/v1/data"), 200).otherwise(150)
 
 
-def token_bucket(events: DataFrame, client: str, ts: str, tie: str, capacity: float, rate: float, seconds: int = 86400) -> DataFrame:
+def token_bucket(events: DataFrame, client: str, ts: str, tie: str, capacity: float, rate: float, seconds: int = DAY) -> DataFrame:
     """Adds taken and tokens. A pause long enough to refill the bucket starts a new, independent stretch."""
-    timed = lagged(events, [client], [ts, tie], {"__before": ts}, seconds)
-    full = F.col("__before").isNull() | ((micros(ts) - micros("__before")) / 1e6 >= capacity / rate)
-    parts = running(timed, [client], [ts, tie], sums={"island": full.cast("int")}, seconds=seconds).withColumn(AT, micros(ts))
-    out = scan_in_order(parts.drop("__before"), [client, "island"], [AT, tie], TokenBucket(capacity, rate), [AT],
+    timed = near_before(events, [client], [ts, tie], capacity / rate, seconds)
+    full = F.col("since_before").isNull() | (F.col("since_before") / 1e6 >= capacity / rate)
+    parts = latest_mark(timed, [client], [ts, tie], F.when(full, micros(ts)), "island", seconds).withColumn(AT, micros(ts))
+    out = scan_in_order(parts.drop("since_before"), [client, "island"], [AT, tie], TokenBucket(capacity, rate), [AT],
                         [("taken", T.BooleanType()), ("tokens", T.DoubleType())])
     return out.drop("island", AT)
 
@@ -96,50 +95,53 @@ def adaptive_limit(samples: DataFrame, service: str, ts: str, tie: str, base: in
 
 # --- breaker -------------------------------------------------------------------------------
 
-def breaker(events: DataFrame, service: str, ts: str, tie: str, success: str, config: Breaker = Breaker(), seconds: int = 86400) -> DataFrame:
-    """Adds state (after the event) and blocked (call not made because the breaker was open).
+def breaker(events: DataFrame, service: str, ts: str, tie: str, success: str, config: Breaker = Breaker(), seconds: int = DAY) -> DataFrame:
+    """Adds state_before, state (after the event) and blocked (call not made because the breaker was open).
 
-    After the longest pause has passed since the last failure, ``success_threshold`` successes
-    leave the breaker closed whatever came before. Such points cut the events of a service into
-    independent islands; while nothing fails, the outcome needs no machine at all.
+    When the longest pause has passed since the last failure, ``success_threshold`` successes in a
+    row leave the breaker closed whatever came before. Such points cut the events of a service
+    into independent islands; a success right after one needs no machine at all.
     """
-    key, order = [service], [ts, tie]
-    failed = ~F.col(success)
-    out = running(events, key, order, maxes={"__fail": F.when(failed, micros(ts))}, seconds=seconds)
-    calm = F.col(success) & (F.col("__fail").isNull() | (micros(ts) - F.col("__fail") > int(config.max_delay * 1e6)))
-    out = running(out, key, order, sums={"__calm": calm.cast("int")}, seconds=seconds)
-    out = running(out, key, order, maxes={"__calm_before": F.when(failed, F.col("__calm"))}, seconds=seconds)
-    quiet = F.col(success) & (F.col("__fail").isNull() | (
-        F.col("__calm") - F.coalesce("__calm_before", F.lit(0)) >= config.success_threshold))
-    out = lagged(out.withColumn("__quiet", quiet), key, order, {"__quiet_before": "__quiet"}, seconds)
-    reset = F.coalesce("__quiet_before", F.lit(True))
-    easy = reset & F.col(success)
-    out = running(out.withColumn("__easy", easy), key, order, sums={"island": reset.cast("int")}, seconds=seconds)
+    order = [ts, tie]
+    src = with_context(events, ts, back=config.max_delay, seconds=seconds).withColumn("__bad", (~F.col(success)).cast("int"))
+    local = Window.partitionBy(service, BUCKET).orderBy("__at")
+    in_order = Window.partitionBy(service, BUCKET).orderBy("__at", tie)
+    no_failure = F.max("__bad").over(local.rangeBetween(-int(config.max_delay * 1e6), 0)) == 0
+    src = src.withColumn("__calm", (no_failure & ~F.col("__context")).cast("int"))
+    last_rows = in_order.rowsBetween(-(config.success_threshold - 1), 0)
+    quiet = (F.min("__calm").over(last_rows) == 1) & (F.count(F.lit(1)).over(last_rows) == config.success_threshold)
+    src = src.withColumn("__quiet", quiet)
+    reset = F.coalesce(F.lag("__quiet").over(in_order), F.lit(False))
+    src = src.withColumn("__reset", reset).where(~F.col("__context"))
     cols = events.columns
-    done = out.where("__easy").select(*cols, F.lit("closed").alias("state"), F.lit(False).alias("blocked"))
-    open_ = out.where(~F.col("__easy")).select(*cols, "island", micros(ts).alias(AT))
-    judged = scan_in_order(open_, [service, "island"], [AT, tie], config, [AT, success],
-                           [("state", T.StringType()), ("blocked", T.BooleanType())])
-    return done.unionByName(judged.select(*cols, "state", "blocked"))
-
-
-def breaker_stats(judged: DataFrame, service: str, ts: str, tie: str, success: str, seconds: int = 86400) -> DataFrame:
+    easy = F.col("__reset") & F.col(success)
+    closed = F.lit("closed")
+    done = src.where(easy).select(*cols, closed.alias("state_before"), closed.alias("state"), F.lit(False).alias("blocked"))
+    rest = src.select(*cols, "__reset", easy.alias("__easy"))
+    # the mark is the place of the last reset in order: its time and, among time-mates, its tie-breaker
+    place = F.struct(micros(ts).alias("at"), F.col(tie).alias("tie"))
+    split = latest_mark(rest, [service], order, F.when(F.col("__reset"), place), "__from", seconds).where(~F.col("__easy"))
+    work = split.withColumns({"__i": F.coalesce("__from.at", F.lit(-1)), "__j": F.coalesce("__from.tie", F.lit(-1)), AT: micros(ts)}) \
+        .drop("__from", "__reset", "__easy")
+    judged = scan_in_order(work, [service, "__i", "__j"], [AT, tie], config, [AT, success], [
+        ("state_before", T.StringType()), ("state", T.StringType()), ("blocked", T.BooleanType())])
+    return done.unionByName(judged.select(*cols, "state_before", "state", "blocked"))
+
+
+def breaker_stats(judged: DataFrame, service: str, success: str) -> DataFrame:
     """Per service: calls, successes, failures and blocked calls, success rate, how often each state was entered."""
-    moved = lagged(judged, [service], [ts, tie], {"__from": "state"}, seconds)
-    # a call made on an open breaker first moves it to half-open
-    before = F.coalesce("__from", F.lit("closed"))
-    probing = (before == "open") & ~F.col("blocked")
-    entered = {s: (F.col("state") == s) & ((before != s) | (probing & (F.col("state") == s))) for s in ("closed", "open")}
-    made = ~F.col("blocked")
+    made, before, after = ~F.col("blocked"), F.col("state_before"), F.col("state")
     ok = F.count_if(made & F.col(success))
-    return moved.groupBy(service).agg(
+    probing = (before == "open") & made  # a call let through an open breaker makes it half-open first
+    return judged.groupBy(service).agg(
         F.count(F.lit(1)).alias("total_requests"), ok.alias("total_successes"),
         F.count_if(made & ~F.col(success)).alias("total_failures"), F.count_if("blocked").alias("blocked"),
         ratio(ok, F.count(F.lit(1))).alias("success_rate"),
-        F.count_if(entered["open"]).alias("opened"), F.count_if(probing).alias("half_opened"), F.count_if(entered["closed"]).alias("closed_again"))
+        F.count_if((after == "open") & ((before != "open") | probing)).alias("opened"), F.count_if(probing).alias("half_opened"),
+        F.count_if((after == "closed") & (before != "closed")).alias("closed_again"))
 
 
-def backoff(events: DataFrame, service: str, ts: str, tie: str, failed: str, base: float, limit: float, multiplier: float = 2.0, seconds: int = 86400) -> DataFrame:
+def backoff(events: DataFrame, service: str, ts: str, tie: str, failed: str, base: float, limit: float, multiplier: float = 2.0, seconds: int = DAY) -> DataFrame:
     """Adds run_length (failures in a row) and delay = base * multiplier^(n-1), at most ``limit``; null after a success."""
     runs = failure_runs(events, [service], [ts, tie], failed, seconds)
     n = F.col("run_length")
@@ -148,14 +150,13 @@ def backoff(events: DataFrame, service: str, ts: str, tie: str, failed: str, bas
 
 # --- notices -------------------------------------------------------------------------------
 
-def suppress(errors: DataFrame, kind: Sequence[str], ts: str, tie: str, span: float = 60, seconds: int = 86400) -> DataFrame:
+def suppress(errors: DataFrame, kind: Sequence[str], ts: str, tie: str, span: float = 60, seconds: int = DAY) -> DataFrame:
     """Adds suppressed: another error of the same kind less than ``span`` seconds before."""
-    out = lagged(errors, kind, [ts, tie], {"__before": ts}, seconds)
-    near = F.coalesce(micros(ts) - micros("__before") < int(span * 1e6), F.lit(False))
-    return out.withColumn("suppressed", near).drop("__before")
+    out = near_before(errors, kind, [ts, tie], span, seconds)
+    return out.withColumn("suppressed", F.coalesce(F.col("since_before") < int(span * 1e6), F.lit(False))).drop("since_before")
 
 
-def escalate(errors: DataFrame, ts: str, urgent: Column, threshold: int = 5, span: float = 600, seconds: int = 86400) -> DataFrame:
+def escalate(errors: DataFrame, ts: str, urgent: Column, threshold: int = 5, span: float = 600, seconds: int = DAY) -> DataFrame:
     """Urgent errors at which at least ``threshold`` urgent ones lie in the trailing ``span`` seconds,
     with their number, types and components."""
     hot = errors.where(urgent)
@@ -166,7 +167,7 @@ def escalate(errors: DataFrame, ts: str, urgent: Column, threshold: int = 5, spa
         "error_types": F.array_sort("error_types"), "components": F.array_sort("components")})
 
 
-def notify(errors: DataFrame, ts: str, tie: str, kind: str, config: Notifier = Notifier(), scope: Sequence[str] = (), seconds: int = 86400) -> DataFrame:
+def notify(errors: DataFrame, ts: str, tie: str, kind: str, config: Notifier = Notifier(), scope: Sequence[str] = (), seconds: int = DAY) -> DataFrame:
     """Adds outcome: sent, aggregated or rate_limited.
 
     ``scope`` names the columns that have a limit of their own; without it one limit holds for all.
@@ -174,11 +175,10 @@ def notify(errors: DataFrame, ts: str, tie: str, kind: str, config: Notifier = N
     repeats are folded. Crowded stretches go through the sequential rule, each on its own.
     """
     span, scope = config.window, list(scope)
-    counted = trailing(errors, scope, ts, span, {"__n": F.count(F.lit(1))}, include_edge=False, seconds=seconds)
-    near = lagged(counted, [*scope, kind], [ts, tie], {"__before": ts}, seconds)
-    folded = F.coalesce(micros(ts) - micros("__before") < int(config.similar * 1e6), F.lit(False))
-    rows = near.withColumn("__plain", F.when(folded, "aggregated").otherwise("sent")).drop("__before")
-    settled, open_ = troubled_stretches(rows, scope, [ts, tie], span, F.col("__n") > config.limit, seconds)
+    near = near_before(errors, [*scope, kind], [ts, tie], config.similar, seconds)
+    folded = F.coalesce(F.col("since_before") < int(config.similar * 1e6), F.lit(False))
+    rows = near.withColumn("__plain", F.when(folded, "aggregated").otherwise("sent")).drop("since_before")
+    settled, open_ = troubled_stretches(rows, scope, [ts, tie], span, config.limit, include_edge=False, seconds=seconds)
     known = F.when(~F.col("hot"), F.col("__plain"))
     work = open_.withColumns({AT: micros(ts), "__known": known, "__one": F.lit(1)})
     judged = scan_in_order(work, [*scope, "__one", "island"], [AT, tie], config, [AT, kind, "__known"], [("outcome", T.StringType())])

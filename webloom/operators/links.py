@@ -10,7 +10,7 @@ from pyspark.sql.functions import udtf
 
 from webloom.functions.common import any_of, micros
 from webloom.functions.urls import host, path
-from webloom.operators.ordered import lagged, running
+from webloom.operators.ordered import lagged, spaced
 from webloom.session import cut_lineage
 
 # What marks the links of further pages and of articles.
@@ -138,14 +138,10 @@ def request_gaps(requests: DataFrame, ts: str, tie: str, seconds: int = 86400) -
 def schedule(requests: DataFrame, ts: str, tie: str, delay: str, seconds: int = 86400) -> DataFrame:
     """Planned time of each request: not before it is due, nor before the one ahead plus the host's delay.
 
-    With a constant delay per host the plan is max over earlier requests j of ts(j) + (k - j) * delay,
-    a running maximum of ts(j) - j * delay.
+    The delay is constant per host.
     """
-    counted = running(requests, ["host"], [ts, tie], sums={"__k": F.lit(1)}, seconds=seconds)
-    step = F.round(F.col(delay) * 1e6).cast("long")
-    planned = running(counted, ["host"], [ts, tie], maxes={"__m": micros(ts) - F.col("__k") * step}, seconds=seconds)
-    return planned.withColumn("planned_at", F.timestamp_micros(F.col("__m") + F.col("__k") * step)) \
-        .drop("__k", "__m").withColumn("planned_at", F.col("planned_at").cast(requests.schema[ts].dataType))
+    planned = spaced(requests, ["host"], [ts, tie], F.round(F.col(delay) * 1e6).cast("long"), "__planned", seconds)
+    return planned.withColumn("planned_at", F.timestamp_micros("__planned").cast(requests.schema[ts].dataType)).drop("__planned")
 
 
 # --- expansion -----------------------------------------------------------------------------

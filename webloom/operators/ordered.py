@@ -1,9 +1,10 @@
 """Ordered computations per key that stay parallel when one key holds much of the data.
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` sorts all rows of a key in one task. Here a key is
-cut into time buckets; each (key, bucket) is a window of its own, and what a bucket needs to know
-of the buckets before it (last value, running sum, running maximum) comes from a table with one
-row per bucket. The results are those of the plain window.
+cut into time buckets, and each (key, bucket) is a window of its own. What a row needs from other
+buckets is either near in time, then the neighbours' edge rows are copied in as context, or it is
+a summary of all earlier buckets (last value, running sum or maximum), then it comes from a table
+with one row per bucket. The results are those of the plain window.
 """
 
 from __future__ import annotations
@@ -16,13 +17,55 @@ from pyspark.sql import functions as F
 from webloom.functions.common import micros
 
 BUCKET = "__bucket"
+DAY = 86400
 
 
 def bucketed(df: DataFrame, ts: str, seconds: int) -> DataFrame:
     return df.withColumn(BUCKET, F.floor(micros(ts) / F.lit(seconds * 1_000_000)))
 
 
-def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], seconds: int = 86400) -> DataFrame:
+def with_context(df: DataFrame, ts: str, back: float = 0, ahead: float = 0, seconds: int = DAY, of: Column | None = None) -> DataFrame:
+    """Rows with their bucket, and copies for the neighbours that need them as context.
+
+    A bucket sees ``back`` seconds before its start and ``ahead`` seconds after its end; ``of``
+    tells which rows can matter there. Adds ``__at`` (microseconds) and ``__context``.
+    """
+    width = max(int(seconds), int(back) + 1, int(ahead) + 1) * 1_000_000
+    at, home = F.col("__at"), F.floor(F.col("__at") / F.lit(width))
+    useful = F.lit(True) if of is None else of
+    places = F.array_compact(F.array(
+        F.lit(0),
+        F.when(useful & (at - home * width >= width - int(back * 1_000_000)), 1) if back else F.lit(None).cast("int"),
+        F.when(useful & (at - home * width < int(ahead * 1_000_000)), -1) if ahead else F.lit(None).cast("int"),
+    ))
+    placed = df.withColumn("__at", micros(ts)).withColumns({"__home": home, "__place": F.explode(places)})
+    return placed.withColumns({BUCKET: F.col("__home") + F.col("__place"), "__context": F.col("__place") != 0}).drop("__home", "__place")
+
+
+def _range(span: float, open_end: bool = False) -> int:
+    return -int(span * 1_000_000) + (1 if open_end else 0)
+
+
+def trailing(
+    df: DataFrame, keys: Sequence[str], ts: str, span: float, aggregates: Mapping[str, Column], include_edge: bool = True,
+    seconds: int = DAY,
+) -> DataFrame:
+    """Adds aggregates over the rows of the last ``span`` seconds, the row itself and its time-mates included."""
+    frame = Window.partitionBy(*keys, BUCKET).orderBy("__at").rangeBetween(_range(span, not include_edge), 0)
+    out = with_context(df, ts, back=span, seconds=seconds).withColumns({n: a.over(frame) for n, a in aggregates.items()})
+    return out.where(~F.col("__context")).select(*df.columns, *aggregates)
+
+
+def near_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], span: float, seconds: int = DAY) -> DataFrame:
+    """Adds ``since_before``: microseconds since the row before, null if it is more than ``span`` seconds back."""
+    local = Window.partitionBy(*keys, BUCKET).orderBy("__at", *order[1:])
+    out = with_context(df, order[0], back=span, seconds=seconds)
+    gap = F.col("__at") - F.lag("__at").over(local)
+    out = out.withColumn("since_before", F.when(gap <= int(span * 1_000_000), gap))
+    return out.where(~F.col("__context")).select(*df.columns, "since_before")
+
+
+def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], seconds: int = DAY) -> DataFrame:
     """Adds ``values`` (new name -> column): the value in the row before, per key in ``order``.
 
     The first column of ``order`` is the time; the others break ties.
@@ -31,86 +74,82 @@ def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Map
     local = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     last = src.groupBy(*keys, BUCKET).agg(F.max_by(F.struct(*set(values.values())), F.struct(*order)).alias("__last"))
     carried = last.select(*keys, BUCKET, F.lag("__last").over(Window.partitionBy(*keys).orderBy(BUCKET)).alias("__prev"))
-    first = F.row_number().over(local) == 1
     out = src.withColumns({
-        "__first": first, **{f"__lag_{new}": F.lag(old).over(local) for new, old in values.items()},
+        "__first": F.row_number().over(local) == 1, **{f"__lag_{new}": F.lag(old).over(local) for new, old in values.items()},
     }).join(carried, [*keys, BUCKET])
     return out.select(*df.columns, *[
         F.when(F.col("__first"), F.col("__prev")[old]).otherwise(F.col(f"__lag_{new}")).alias(new) for new, old in values.items()])
 
 
-def running(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] | None = None,
-    maxes: Mapping[str, Column] | None = None, seconds: int = 86400,
-) -> DataFrame:
-    """Adds running sums and running maxima up to and including each row, per key in ``order``."""
-    sums, maxes = dict(sums or {}), dict(maxes or {})
-    src = bucketed(df, order[0], seconds).withColumns({f"__v_{n}": e for n, e in {**sums, **maxes}.items()})
+def latest_mark(df: DataFrame, keys: Sequence[str], order: Sequence[str], mark: Column, name: str, seconds: int = DAY) -> DataFrame:
+    """Adds the largest ``mark`` up to and including each row, null before the first one."""
+    src = bucketed(df, order[0], seconds).withColumn("__mark", mark)
     local = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    whole = src.groupBy(*keys, BUCKET).agg(
-        *[F.sum(f"__v_{n}").alias(f"__b_{n}") for n in sums], *[F.max(f"__v_{n}").alias(f"__b_{n}") for n in maxes])
-    carried = whole.select(
-        *keys, BUCKET, *[F.sum(f"__b_{n}").over(earlier).alias(f"__c_{n}") for n in sums],
-        *[F.max(f"__b_{n}").over(earlier).alias(f"__c_{n}") for n in maxes])
-    out = src.withColumns({
-        **{f"__l_{n}": F.sum(f"__v_{n}").over(local) for n in sums}, **{f"__l_{n}": F.max(f"__v_{n}").over(local) for n in maxes},
-    }).join(carried, [*keys, BUCKET])
-    return out.select(
-        *df.columns,
-        *[(F.coalesce(f"__l_{n}", F.lit(0)) + F.coalesce(f"__c_{n}", F.lit(0))).alias(n) for n in sums],
-        *[F.greatest(f"__l_{n}", f"__c_{n}").alias(n) for n in maxes])
+    whole = src.groupBy(*keys, BUCKET).agg(F.max("__mark").alias("__b"))
+    carried = whole.select(*keys, BUCKET, F.max("__b").over(earlier).alias("__c"))
+    out = src.withColumn("__l", F.max("__mark").over(local)).join(carried, [*keys, BUCKET])
+    return out.select(*df.columns, F.greatest("__l", "__c").alias(name))
 
 
-def trailing(
-    df: DataFrame, keys: Sequence[str], ts: str, span: float, aggregates: Mapping[str, Column], include_edge: bool = True,
-    ahead: bool = False, seconds: int = 86400, of: Column | None = None,
-) -> DataFrame:
-    """Adds aggregates over the rows of the last ``span`` seconds, the row itself and its time-mates included.
+def spaced(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Column, name: str, seconds: int = DAY) -> DataFrame:
+    """Adds the earliest time, in microseconds, at which each row can go when rows of a key keep ``step`` apart.
 
-    ``ahead`` looks at the next ``span`` seconds instead. Rows within ``span`` of the end of a
-    bucket are also given to the neighbour as context, so every bucket can be worked on alone.
-    ``of`` tells which rows can count at all, so that only those are copied.
+    ``step`` is constant per key. It is max over earlier rows j of at(j) + (k - j) * step: with k
+    counted over all buckets, a running maximum of at(j) - j * step.
     """
-    width = max(int(seconds), int(span) + 1) * 1_000_000
-    at = -micros(ts) if ahead else micros(ts)
-    src = df.withColumns({"__at": at, BUCKET: F.floor(at / F.lit(width)), "__context": F.lit(False)})
-    tail = (F.col("__at") - F.col(BUCKET) * width) >= F.lit(int(width - span * 1_000_000))
-    context = src.where(tail if of is None else tail & of).withColumns({BUCKET: F.col(BUCKET) + 1, "__context": F.lit(True)})
-    low = -int(span * 1_000_000) + (0 if include_edge else 1)
-    frame = Window.partitionBy(*keys, BUCKET).orderBy("__at").rangeBetween(low, 0)
-    out = src.unionByName(context).withColumns({n: a.over(frame) for n, a in aggregates.items()})
-    return out.where(~F.col("__context")).select(*df.columns, *aggregates)
+    local = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    src = bucketed(df, order[0], seconds).withColumns({"__step": step, "__k": F.row_number().over(local).cast("long")})
+    src = src.withColumn("__m", F.max(micros(order[0]) - F.col("__k") * F.col("__step")).over(upto))
+    whole = src.groupBy(*keys, BUCKET).agg(F.max("__k").alias("__n"), F.max("__m").alias("__bm"), F.max("__step").alias("__bs"))
+    offset = whole.withColumn("__off", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    carried = offset.select(
+        *keys, BUCKET, "__off", F.max(F.col("__bm") - F.col("__off") * F.col("__bs")).over(earlier).alias("__cm"))
+    out = src.join(carried, [*keys, BUCKET])
+    best = F.greatest(F.col("__m") - F.col("__off") * F.col("__step"), F.col("__cm"))
+    return out.select(*df.columns, (best + (F.col("__off") + F.col("__k")) * F.col("__step")).alias(name))
+
+
+def failure_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], failed: str, seconds: int = DAY) -> DataFrame:
+    """Adds ``run_length``: failures in a row up to this one, 0 for a success."""
+    local = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    src = bucketed(df, order[0], seconds).withColumn("__k", F.row_number().over(local).cast("long"))
+    src = src.withColumn("__ok", F.max(F.when(~F.col(failed), F.col("__k"))).over(upto))
+    whole = src.groupBy(*keys, BUCKET).agg(F.max("__k").alias("__n"), F.max("__ok").alias("__bok"))
+    offset = whole.withColumn("__off", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    carried = offset.select(*keys, BUCKET, "__off", F.max(F.col("__off") + F.col("__bok")).over(earlier).alias("__cok"))
+    out = src.join(carried, [*keys, BUCKET])
+    last_ok = F.coalesce(F.col("__off") + F.col("__ok"), F.col("__cok"), F.lit(0))
+    length = F.when(F.col(failed), F.col("__off") + F.col("__k") - last_ok).otherwise(0)
+    return out.select(*df.columns, length.cast("long").alias("run_length"))
 
 
 def troubled_stretches(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], span: float, unsure: Column, seconds: int = 86400,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], span: float, limit: int, include_edge: bool = True, seconds: int = DAY,
 ) -> tuple[DataFrame, DataFrame]:
-    """Splits rows for a machine whose memory reaches ``span`` seconds back.
+    """Splits rows for a rule that allows ``limit`` rows in ``span`` seconds and remembers only those.
 
-    ``unsure`` marks rows whose outcome cannot be told from the rows of the last ``span`` seconds
-    alone. Result: (settled, troubled). ``troubled`` has an ``island`` column; its islands can be
-    worked on apart from each other, and of its rows only those with ``hot`` set are open, the
-    others are there as memory and also appear in ``settled``.
+    Where the rows of a window, allowed or not, number at most ``limit``, the rule cannot bite.
+    Result: (settled, troubled). ``settled`` rows have no crowded window in the ``span`` before
+    them. ``troubled`` rows carry ``hot`` (false: here as memory only, also in ``settled``) and
+    ``island``: stretches more than ``span`` apart, which can be worked on one by one.
     """
-    ts = order[0]
-    flagged = df.withColumn("__u", unsure.cast("int"))
-    some = F.col("__u") == 1
-    seen = trailing(flagged, keys, ts, span, {"__past": F.max("__u")}, seconds=seconds, of=some)
-    seen = trailing(seen, keys, ts, span, {"__next": F.max("__u")}, ahead=True, seconds=seconds, of=some)
-    hot = F.coalesce(F.col("__past"), F.lit(0)) == 1
-    marked = seen.withColumn("hot", hot)
+    ts, tie = order[0], order[1]
+    src = with_context(df, ts, back=3 * span, ahead=span, seconds=seconds)
+    near = Window.partitionBy(*keys, BUCKET).orderBy("__at")
+    low = _range(span)
+    past, ahead = near.rangeBetween(low, 0), near.rangeBetween(0, -low)
+    crowded = F.count(F.lit(1)).over(near.rangeBetween(_range(span, not include_edge), 0)) > limit
+    marked = src.withColumn("__u", crowded.cast("int"))
+    marked = marked.withColumns({"hot": F.max("__u").over(past) == 1, "__next": F.max("__u").over(ahead) == 1})
+    marked = marked.withColumn("__in", (F.col("hot") | F.col("__next")).cast("int"))
+    alone = F.coalesce(F.max("__in").over(near.rangeBetween(low, -1)), F.lit(0)) == 0
+    first_mate = F.min(tie).over(near.rangeBetween(0, 0)) == F.col(tie)
+    marked = marked.withColumn("__start", F.when((F.col("__in") == 1) & alone & first_mate, F.col("__at"))).where(~F.col("__context"))
     settled = marked.where(~F.col("hot")).select(*df.columns)
-    involved = marked.where(F.col("hot") | (F.coalesce(F.col("__next"), F.lit(0)) == 1)).select(*df.columns, "hot")
-    timed = lagged(involved, keys, order, {"__before": ts}, seconds)
-    start = F.col("__before").isNull() | (micros(ts) - micros("__before") > int(span * 1_000_000))
-    islands = running(timed, keys, order, sums={"island": start.cast("int")}, seconds=seconds)
-    return settled, islands.drop("__before")
-
-
-def failure_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], failed: str, seconds: int = 86400) -> DataFrame:
-    """Adds ``run_length``: failures in a row up to this one, 0 for a success."""
-    counted = running(df, keys, order, sums={"__n": F.lit(1)}, seconds=seconds)
-    marked = running(counted, keys, order, maxes={"__ok": F.when(~F.col(failed), F.col("__n"))}, seconds=seconds)
-    length = F.when(F.col(failed), F.col("__n") - F.coalesce("__ok", F.lit(0))).otherwise(0)
-    return marked.withColumn("run_length", length.cast("long")).drop("__n", "__ok")
+    involved = marked.where("__in = 1").select(*df.columns, "hot", "__start")
+    return settled, latest_mark(involved, keys, order, F.col("__start"), "island", seconds).drop("__start")

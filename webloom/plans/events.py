@@ -87,7 +87,7 @@ SELECT src, count(*) AS total_requests, count(*) FILTER (WHERE NOT blocked AND o
  count(*) FILTER (WHERE state = 'open' AND (prev <> 'open' OR NOT blocked)) AS opened, count(*) FILTER (WHERE prev = 'open' AND NOT blocked) AS half_opened, count(*) FILTER (WHERE state = 'closed' AND prev <> 'closed') AS closed_again FROM j GROUP BY src""")
 def f27(t):
     judged = E.breaker(faulty(t), "src", "ts", "id", "ok", CONFIG)
-    return E.breaker_stats(judged, "src", "ts", "id", "ok").withColumn("success_rate", F.round("success_rate", 6))
+    return E.breaker_stats(judged, "src", "ok").withColumn("success_rate", F.round("success_rate", 6))
 
 
 @query("g11_backoff_schedule", f"""
