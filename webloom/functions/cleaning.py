@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.functions.common import col
+from webloom.functions.common import col, let
 
 # The accepted forms of e-mail addresses and phone numbers.
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
@@ -20,7 +20,7 @@ PRICE = r"[\d,]+\.?\d*"
 SPACE = r"(?U)\s+"
 EDGE_SPACE = r"(?U)^\s+|\s+$"
 
-Rule = Callable[[Column, Mapping], Column]
+Rule = Callable[..., Column]
 
 
 @F.pandas_udf(T.StringType())
@@ -39,7 +39,7 @@ def strip(text: Column | str) -> Column:
 
 def squeeze(text: Column | str) -> Column:
     """Runs of white space become one blank, none at the ends."""
-    return F.regexp_replace(strip(text), SPACE, " ")
+    return F.trim(F.regexp_replace(col(text), SPACE, " "))
 
 
 def letters(text: Column) -> Column:
@@ -50,64 +50,78 @@ def scored(value: Column, score: Column) -> Column:
     return F.struct(value.alias("value"), score.cast("double").alias("score"))
 
 
-def _filled(original: Column, value: Column, score: Column) -> Column:
-    """Empty text keeps its value and scores 0."""
-    return scored(F.when(original == "", original).otherwise(value), F.when(original == "", 0.0).otherwise(score))
+def _filled(original: Column, value: Column, score) -> Column:
+    """The rule's result; empty text keeps its value and scores 0."""
+    return let(value, lambda v: scored(
+        F.when(original == "", original).otherwise(v), F.when(original == "", 0.0).otherwise(score(v))))
 
 
-def clean_email(text: Column, options: Mapping = {}) -> Column:
+def clean_email(text: Column, options: Mapping = {}, prepared: Column | None = None) -> Column:
     value = strip(text)
     if options.get("normalize_case", True):
         value = F.lower(value)
-    near = value.contains("@") & F.substring_index(value, "@", -1).contains(".")
-    return _filled(text, value, F.when(value.rlike(EMAIL), 1.0).when(near, 0.7).otherwise(0.2))
 
+    def score(v: Column) -> Column:
+        near = v.contains("@") & F.substring_index(v, "@", -1).contains(".")
+        return F.when(v.rlike(EMAIL), 1.0).when(near, 0.7).otherwise(0.2)
 
-def clean_phone(text: Column, options: Mapping = {}) -> Column:
+    return _filled(text, value, score)
+
+
+def clean_phone(text: Column, options: Mapping = {}, prepared: Column | None = None) -> Column:
     value = strip(text)
     if options.get("remove_formatting", True):
         value = F.regexp_replace(value, r"(?U)[\s\-().]", "")
-    digits = F.regexp_replace(value, r"\D", "")
-    exact, near = value.rlike(PHONE), F.length(digits).between(7, 15)
-    return _filled(
-        text, F.when(~exact & near, digits).otherwise(value), F.when(exact, 1.0).when(near, 0.8).otherwise(0.2))
 
+    def judge(v: Column) -> Column:
+        digits = F.regexp_replace(v, r"\D", "")
+        return F.when(v.rlike(PHONE), scored(v, F.lit(1.0))).when(F.length(digits).between(7, 15), scored(digits, F.lit(0.8))) \
+            .otherwise(scored(v, F.lit(0.2)))
 
-def clean_url(text: Column, options: Mapping = {}) -> Column:
-    value = strip(text)
-    if options.get("normalize_scheme", True):
-        web = value.startswith("http://") | value.startswith("https://")
-        value = (
-            F.when(web, value).when(value.startswith("//"), F.concat(F.lit("https:"), value))
-            .when(value.contains("."), F.concat(F.lit("https://"), value)).otherwise(value)
+    return F.when(text == "", scored(text, F.lit(0.0))).otherwise(let(value, judge))
+
+
+def clean_url(text: Column, options: Mapping = {}, prepared: Column | None = None) -> Column:
+    def complete(v: Column) -> Column:
+        web = v.startswith("http://") | v.startswith("https://")
+        return (
+            F.when(web, v).when(v.startswith("//"), F.concat(F.lit("https:"), v))
+            .when(v.contains("."), F.concat(F.lit("https://"), v)).otherwise(v)
         )
+
+    value = let(strip(text), complete) if options.get("normalize_scheme", True) else strip(text)
     if options.get("remove_fragments", False):
         value = F.substring_index(value, "#", 1)
-    complete = value.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+")
-    return _filled(text, value, F.when(complete, 1.0).otherwise(0.4))
+    return _filled(text, value, lambda v: F.when(v.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+"), 1.0).otherwise(0.4))
 
 
-def clean_text(text: Column, options: Mapping = {}) -> Column:
-    value = squeeze(text) if options.get("remove_extra_whitespace", True) else text
+def clean_text(text: Column, options: Mapping = {}, prepared: Column | None = None) -> Column:
+    """``prepared`` may hand in the squeezed text as a column, so that it is computed only once."""
+    value = prepared if prepared is not None else prepare_text(text, options)
     if options.get("normalize_unicode", True):
         value = nfkc(value)
-    size = F.length(value)
-    score = (
-        F.when(size == 0, 0.0).when(size < 3, 0.5)
-        .when(letters(value) > size * 0.3, 0.9).otherwise(0.6)
-    )
+
+    def score(v: Column) -> Column:
+        size = F.length(v)
+        return F.when(size == 0, 0.0).when(size < 3, 0.5).when(letters(v) > size * 0.3, 0.9).otherwise(0.6)
+
     return _filled(text, value, score)
 
 
-def clean_price(text: Column, options: Mapping = {}) -> Column:
-    value = strip(text)
-    found = F.regexp_extract(value, PRICE, 0)
-    amount = F.regexp_replace(found, ",", "").try_cast("double")
+def prepare_text(text: Column, options: Mapping = {}) -> Column:
+    return squeeze(text) if options.get("remove_extra_whitespace", True) else text
+
+
+def clean_price(text: Column, options: Mapping = {}, prepared: Column | None = None) -> Column:
     places, symbol = int(options.get("decimal_places", 2)), options.get("currency_symbol", "$") or ""
-    shown = F.concat(F.lit(symbol), F.format_string(f"%.{places}f", amount))
-    return _filled(
-        text, F.when(amount.isNotNull(), shown).otherwise(value),
-        F.when(amount.isNotNull(), 0.9).when(found != "", 0.3).otherwise(0.1))
+
+    def judge(v: Column) -> Column:
+        found = F.regexp_extract(v, PRICE, 0)
+        amount = F.regexp_replace(found, ",", "").try_cast("double")
+        shown = F.concat(F.lit(symbol), F.format_string(f"%.{places}f", amount))
+        return F.when(amount.isNotNull(), scored(shown, F.lit(0.9))).when(found != "", scored(v, F.lit(0.3))).otherwise(scored(v, F.lit(0.1)))
+
+    return F.when(text == "", scored(text, F.lit(0.0))).otherwise(let(strip(text), judge))
 
 
 # Rule types by name; ``register_rule`` adds to them.
@@ -120,14 +134,14 @@ RULES: dict[str, Rule] = {
 }
 
 
-def register_rule(name: str, rule: Rule) -> None:
+def register_rule(name: str, rule: Callable[[Column, Mapping], Column]) -> None:
     """Add a rule type: ``rule(text column, options) -> struct<value, score>``."""
-    RULES[name] = rule
+    RULES[name] = lambda text, options, prepared=None: rule(text, options)
 
 
-def apply_rule(name: str, text: Column, options: Mapping) -> Column:
+def apply_rule(name: str, text: Column, options: Mapping, prepared: Column | None = None) -> Column:
     rule = RULES.get(name)
-    return scored(text, F.lit(0.5)) if rule is None else rule(text, options)
+    return scored(text, F.lit(0.5)) if rule is None else rule(text, options, prepared)
 
 
 def content_hash(**fields: Column) -> Column:

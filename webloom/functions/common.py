@@ -70,5 +70,6 @@ def python_text(value: Column, kind: T.DataType) -> Column:
     return F.coalesce(text, F.lit("None"))
 
 
-def numbers(values: Iterable[float]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def let(value: Column, build) -> Column:
+    """``build(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))

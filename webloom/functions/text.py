@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.cleaning import strip
-from webloom.functions.common import any_of, clip, col, total
+from webloom.functions.common import any_of, clip, col, let, total
 
 # Entity patterns with the confidence each kind carries.
 EMAIL_IN_TEXT = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
@@ -74,17 +74,28 @@ def word_frequency(df: DataFrame, text: str, k: int = 10) -> DataFrame:
     return counted.orderBy(F.desc("uses"), "word").limit(k)
 
 
+def _runs(ordered: Column, k: int) -> Column:
+    """The k longest runs of equal values in a sorted array: struct<neg (minus the length), word>."""
+    starts = F.filter(
+        F.when(F.size(ordered) > 0, F.sequence(F.lit(1), F.size(ordered))),
+        lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+
+    def lengths(at: Column) -> Column:
+        return F.transform(at, lambda p, j: F.struct(
+            (p - F.coalesce(F.get(at, j + 1), F.size(ordered) + 1)).alias("neg"), F.get(ordered, p - 1).alias("word")))
+
+    return F.slice(F.array_sort(let(starts, lengths)), 1, k)
+
+
 def topics(df: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
     """The k most frequent words of each record with their share of its words.
 
-    The words of one record lie in one task, so the count is nearly done before the shuffle, and
-    only k rows per record pass on to the final ranking.
+    All words of a record are in its row: they are sorted and counted there, and nothing is shuffled.
     """
-    parts = df.select(key, words(text).alias("w")).select(key, F.size("w").alias("n"), F.explode("w").alias("topic"))
-    counted = parts.groupBy(key, "n", "topic").agg(F.count(F.lit(1)).alias("uses"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("uses"), "topic"))
-    best = counted.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select(key, "rank", "topic", "uses", (F.col("uses") / F.col("n")).alias("relevance"))
+    found = let(words(text), lambda w: F.struct(F.size(w).alias("n"), let(F.array_sort(w), lambda s: _runs(s, k)).alias("top")))
+    rows = df.select(key, found.alias("f")).select(key, "f.n", F.posexplode("f.top").alias("place", "t"))
+    uses = -F.col("t.neg").cast("long")
+    return rows.select(key, (F.col("place") + 1).alias("rank"), F.col("t.word").alias("topic"), uses.alias("uses"), (uses / F.col("n")).alias("relevance"))
 
 
 def category_scores(text: Column | str) -> dict[str, Column]:

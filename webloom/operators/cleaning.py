@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.cleaning import apply_rule, content_hash
+from webloom.functions.cleaning import apply_rule, content_hash, prepare_text
 from webloom.functions.common import ratio, total
+from webloom.session import spread
 
 KEEP_FROM = 0.3
 SIMILAR_FROM = 0.85
@@ -50,13 +51,19 @@ def clean(
     """
     applied: dict[str, Column] = {}
     names: dict[str, list[str]] = {}
-    df = records
+    df = spread(records)
+    if not chained:
+        # white space first, as columns of their own: the text rule uses its result several times
+        df = df.withColumns({
+            f"__sq_{name}_{i}": prepare_text(F.col(name), rule.parameters)
+            for name in fields for i, rule in enumerate(rules_for(name, rules)) if rule.rule_type == "text_cleaning"})
     for name in fields:
         current = F.col(name)
         names[name] = []
         for i, rule in enumerate(rules_for(name, rules)):
             step = f"__{name}_{i}"
-            result = apply_rule(rule.rule_type, current, rule.parameters)
+            ready = f"__sq_{name}_{i}"
+            result = apply_rule(rule.rule_type, current, rule.parameters, F.col(ready) if ready in df.columns else None)
             if chained:
                 df = df.withColumn(step, result)
                 current = F.col(f"{step}.value")
@@ -113,11 +120,11 @@ def keep_first(records: DataFrame, fields: Sequence[str], order: Sequence[str])
     return hashed.withColumn("rn", rank).where("rn = 1").drop("rn")
 
 
-def cleaning_metrics(cleaned: DataFrame, duplicates: Column) -> DataFrame:
+def cleaning_metrics(cleaned: DataFrame, duplicates: Column, fields: Sequence[str]) -> DataFrame:
     """One row for a cleaned frame in which ``duplicates`` marks later copies of a content.
 
     Completeness is valid / all, accuracy is 1 - errors / (5 * valid), consistency is the mean
-    over fields of the mean field score of valid records.
+    over fields of the mean field score of valid records. One aggregation over one scan.
     """
     valid = ~duplicates & F.col("keep")
     counts = cleaned.agg(
@@ -127,18 +134,20 @@ def cleaning_metrics(cleaned: DataFrame, duplicates: Column) -> DataFrame:
         F.count_if(duplicates).alias("duplicate_records"),
         F.count_if(valid & F.col("corrected")).alias("corrected_records"),
         F.coalesce(F.sum(F.when(valid, F.size("validation_errors"))), F.lit(0)).alias("errors"),
+        *[F.avg(F.when(valid, F.col("field_scores")[f])).alias(f"__score_{f}") for f in fields],
     )
-    consistency = field_quality(cleaned.where(valid)).agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("consistency_score"))
-    one = F.lit(1)
-    completeness = ratio(F.col("valid_records"), F.col("total_records"))
+    scores = [F.col(f"__score_{f}") for f in fields]
+    known = total(F.when(s.isNotNull(), 1).otherwise(0) for s in scores)
+    consistency = F.coalesce(total(F.coalesce(s, F.lit(0.0)) for s in scores) / F.nullif(known, F.lit(0)), F.lit(0.0))
     accuracy = F.when(F.col("valid_records") == 0, 1.0).otherwise(
         F.greatest(F.lit(0.0), 1.0 - F.col("errors") / (5.0 * F.nullif("valid_records", F.lit(0)))))
-    return (
-        counts.withColumn("one", one).join(consistency.withColumn("one", one), "one").drop("one")
-        .withColumns({"completeness_score": completeness, "accuracy_score": accuracy}).drop("errors")
-        .withColumn("overall_quality_score",
-                    F.col("completeness_score") * 0.4 + F.col("accuracy_score") * 0.4 + F.col("consistency_score") * 0.2)
-    )
+    scored = counts.withColumns({
+        "completeness_score": ratio(F.col("valid_records"), F.col("total_records")),
+        "accuracy_score": accuracy, "consistency_score": consistency,
+    })
+    return scored.drop("errors", *[f"__score_{f}" for f in fields]).withColumn(
+        "overall_quality_score",
+        F.col("completeness_score") * 0.4 + F.col("accuracy_score") * 0.4 + F.col("consistency_score") * 0.2)
 
 
 def field_quality(cleaned: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from webloom.functions.cleaning import letters, strip
 from webloom.functions.common import all_of, any_of, total
 from webloom.functions.text import entities
 from webloom.functions.urls import host, is_external, is_page_link, resolve
+from webloom.session import spread
 
 # Page furniture that is never content, the wider list of the second strategy, and
 # where the main area is looked for.
@@ -96,14 +97,6 @@ def extract_pages(
     return spread(pages.select(*keep, html)).mapInArrow(read, schema)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core for a costly per-row step; larger inputs stay where they are."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # --- metadata ------------------------------------------------------------------------------
 
 def _last(items: Column, test) -> Column:

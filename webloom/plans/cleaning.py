@@ -106,7 +106,8 @@ def j3(t):
 
 @query("j4_clean_text", f"SELECT doc_id AS data_id, {text_value('text')} AS value, {text_score('text')} AS score FROM documents")
 def j4(t):
-    df = t["documents"].select(F.col("doc_id").alias("data_id"), C.clean_text(F.col("text")).alias("r"))
+    docs = t.texts().select(F.col("doc_id").alias("data_id"), "text", C.prepare_text(F.col("text")).alias("sq"))
+    df = docs.select("data_id", C.clean_text(F.col("text"), prepared=F.col("sq")).alias("r"))
     return df.select("data_id", "r.value", "r.score")
 
 
@@ -204,7 +205,7 @@ RUN_COLS = """total_records, valid_records, invalid_records, duplicate_records,
 
 def _run(t):
     marked = O.split_duplicates(t.records_with_errors(), ["title", "text"], ["extracted_at", "data_id"])
-    return O.cleaning_metrics(O.clean(marked, ["title", "text", "url"]), F.col("duplicate"))
+    return O.cleaning_metrics(O.clean(marked, ["title", "text", "url"]), F.col("duplicate"), ["title", "text", "url"])
 
 
 SCORES = ["completeness_score", "accuracy_score", "consistency_score", "overall_quality_score"]

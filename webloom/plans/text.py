@@ -20,7 +20,7 @@ UNION ALL SELECT data_id, 'URL', unnest(list_distinct(regexp_extract_all(body, '
 
 
 def bodies(t):
-    d = t["documents"]
+    d = t.texts()
     return d.select(F.col("doc_id").alias("data_id"), F.concat(
         "text", F.lit(" see https://"), "source", F.lit(".example.com/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("body"))
 
@@ -49,13 +49,13 @@ SELECT data_id, n AS primary_category, round(least(s, 0.8), 9) AS confidence, co
 
 @query("j15_keyword_category", CLASSIFY_SQL)
 def j15(t):
-    df = t["documents"].select(F.col("doc_id").alias("data_id"), X.classify("text").alias("c"))
+    df = t.texts().select(F.col("doc_id").alias("data_id"), X.classify("text").alias("c"))
     return df.select("data_id", "c.primary_category", F.round("c.confidence", 9).alias("confidence"), F.array_join("c.subcategories", ",").alias("subcategories"))
 
 
 @query("f30_word_frequency", f"SELECT word, count(*) AS uses FROM (SELECT unnest({WORDS.format(t='text')}) AS word FROM documents) GROUP BY word ORDER BY uses DESC, word LIMIT 10")
 def f30(t):
-    return X.word_frequency(t["documents"], "text", 10)
+    return X.word_frequency(t.texts(), "text", 10)
 
 
 @query("g4_top_topics", f"""
@@ -63,7 +63,7 @@ WITH w AS (SELECT doc_id, {WORDS.format(t='text')} AS ws FROM documents), c AS (
 g AS (SELECT doc_id, n, topic, count(*) AS uses FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY uses DESC, topic) AS rank FROM g)
 SELECT doc_id AS data_id, CAST(rank AS INT) AS rank, topic, uses, round(uses::DOUBLE / n, 9) AS relevance FROM r WHERE rank <= 5""")
 def g4(t):
-    df = t["documents"].select(F.col("doc_id").alias("data_id"), "text")
+    df = t.texts().select(F.col("doc_id").alias("data_id"), "text")
     return X.topics(df, "data_id", "text", 5).withColumn("relevance", F.round("relevance", 9))
 
 
@@ -73,7 +73,7 @@ SELECT doc_id AS data_id, CAST(len(list_distinct(regexp_extract_all(text, '{EMAI
  CASE WHEN length(text) > 200 THEN concat(substr(text, 1, 200), '...') ELSE text END AS summary, 'en' AS language,
  CAST(len({WORDS.format(t='text')}) AS INT) AS word_count FROM documents""")
 def j16(t):
-    df = X.analyse(t["documents"].select(F.col("doc_id").alias("data_id"), "text"), "data_id", "text")
+    df = X.analyse(t.texts().select(F.col("doc_id").alias("data_id"), "text"), "data_id", "text")
     return df.select("data_id", F.size("entities").alias("entities"), F.col("sentiment.overall").alias("sentiment"), "summary", "language", "word_count")
 
 
@@ -86,7 +86,7 @@ B = r"(?:^|[^\p{L}\p{N}_])"
 WITH l AS (SELECT doc_id AS data_id, regexp_replace(regexp_replace(x, '^{WS}+', ''), '{WS}+$', '') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents))
 SELECT data_id, line FROM l WHERE line <> '' AND ((regexp_matches(line, '\\p{{Lu}}') AND NOT regexp_matches(line, '\\p{{Ll}}')) OR line LIKE '%:' OR len(regexp_split_to_array(line, '{WS}+')) <= 5)""")
 def j17(t):
-    return t["documents"].select(F.col("doc_id").alias("data_id"), F.explode(X.header_lines("text")).alias("line"))
+    return t.texts().select(F.col("doc_id").alias("data_id"), F.explode(X.header_lines("text")).alias("line"))
 
 
 @query("j17_key_values", f"""
@@ -95,7 +95,7 @@ WITH k AS (SELECT doc_id AS data_id, unnest(regexp_extract_all(body, '{KV}', 1))
 SELECT data_id, regexp_replace(regexp_replace(k, '^{WS}+', ''), '{WS}+$', '') AS key, regexp_replace(regexp_replace(v, '^{WS}+', ''), '{WS}+$', '') AS value FROM k""")
 def j17b(t):
     body = F.concat(F.lit("Source: "), "source", F.lit("\n Lang :"), "lang", F.lit("!\n"), "text")
-    return t["documents"].select(F.col("doc_id").alias("data_id"), F.explode(X.key_values(body)).alias("p")).select("data_id", "p.key", "p.value")
+    return t.texts().select(F.col("doc_id").alias("data_id"), F.explode(X.key_values(body)).alias("p")).select("data_id", "p.key", "p.value")
 
 
 @query("j17_dates", r"""
@@ -133,7 +133,7 @@ def j18(t):
                                F.lit('.5,"topics":["a","b","c","d","e","f","g"],"language":"'), "lang", F.lit('"}')))
         .when(k == 4, F.concat(F.lit('{"summary":"'), "lang", F.lit('","confidence":-0.5,"readability_score":0.25,"content_category":"news"}')))
         .when(k == 5, '{"summary":'))
-    df = t["documents"].select(key.alias("data_id"), response.alias("response"), ((k != 5) | (key % 4 != 0)).alias("enabled"))
+    df = t.texts().select(key.alias("data_id"), response.alias("response"), ((k != 5) | (key % 4 != 0)).alias("enabled"))
     out = df.select("data_id", X.standard_answer("response", F.col("enabled")).alias("a"))
     return out.select("data_id", "a.confidence", "a.quality_score", F.array_join("a.topics", ",").alias("topics"), "a.content_category", "a.language", "a.processing_status")
 
@@ -142,4 +142,4 @@ def j18(t):
 SELECT doc_id AS data_id, (regexp_matches(text, '\d{4}-\d{2}-\d{2}') OR regexp_matches(text, '\d{2}/\d{2}/\d{4}') OR regexp_matches(text, '\d{2}-\d{2}-\d{4}') OR regexp_matches(text, '[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}')) AS date_like,
  regexp_matches(text, '\d') AS price_like FROM documents""")
 def j24(t):
-    return t["documents"].select(F.col("doc_id").alias("data_id"), X.looks_like_date("text").alias("date_like"), X.looks_like_price("text").alias("price_like"))
+    return t.texts().select(F.col("doc_id").alias("data_id"), X.looks_like_date("text").alias("date_like"), X.looks_like_price("text").alias("price_like"))

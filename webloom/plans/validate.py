@@ -32,7 +32,7 @@ def _danger_sql(c):
 
 @query("j23_dangerous_match", f"SELECT doc_id AS data_id, {_danger_sql('text')} AS found FROM documents")
 def j23(t):
-    return t["documents"].select(F.col("doc_id").alias("data_id"), V.dangerous_match("text").alias("found"))
+    return t.texts().select(F.col("doc_id").alias("data_id"), V.dangerous_match("text").alias("found"))
 
 
 SUSPICIOUS_SQL = " OR ".join(
@@ -97,7 +97,7 @@ SELECT doc_id AS data_id, length(text) <= 1000 AND {_danger_sql('substr(text, 1,
  {strip_sql("regexp_replace(replace(replace(replace(replace(replace(substr(text, 1, 1000), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'), '[\\s\\x0b\\x{85}\\p{Z}]+', ' ', 'g')")} AS value,
  CAST((length(text) > 1000)::INT + ({_danger_sql('substr(text, 1, 1000)')} IS NOT NULL)::INT AS INT) AS errors FROM documents""")
 def j22(t):
-    df = t["documents"].select(F.col("doc_id").alias("data_id"), V.check_string("text").alias("r"))
+    df = t.texts().select(F.col("doc_id").alias("data_id"), V.check_string("text").alias("r"))
     return df.select("data_id", "r.is_valid", "r.value", F.size("r.errors").alias("errors"))
 
 

@@ -52,3 +52,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: iterative operators survive lost executors and keep plans short."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core before a costly per-row step.
+
+    Files of few row groups give few tasks. An input that already has enough partitions, as any
+    large one does, stays where it is.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.session import spread
+
 VIEW_DEPS: dict[str, tuple[str, ...]] = {}
 
 VIEW_SQL: dict[str, str] = {
@@ -77,6 +79,10 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self) -> DataFrame:
+        """Documents for text work, on all cores even where the file has few row groups."""
+        return spread(self["documents"])
+
     def jobs(self) -> DataFrame:
         # Line items are summed per order first: the join then moves one row per order, and the
         # partitioning of the sum is the one the join needs.
