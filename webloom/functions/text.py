@@ -98,26 +98,25 @@ def topics(df: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
     return rows.select(key, (F.col("place") + 1).alias("rank"), F.col("t.word").alias("topic"), uses.alias("uses"), (uses / F.col("n")).alias("relevance"))
 
 
-def category_scores(text: Column | str) -> dict[str, Column]:
-    lowered = F.lower(col(text))
-    return {
-        name: total(F.contains(lowered, F.lit(w)).cast("int") for w in keywords) / F.lit(float(len(keywords)))
-        for name, keywords in CATEGORIES.items()
-    }
-
-
 def classify(text: Column | str) -> Column:
     """struct<primary_category, subcategories, confidence, content_type> from keyword shares."""
-    scored = F.array(*[
-        F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name"))
-        for i, (name, score) in enumerate(category_scores(text).items())
-    ])
-    best = F.array_max(scored)
-    strong = F.transform(F.filter(scored, lambda s: s["score"] > 0.2), lambda s: s["name"])
-    return F.struct(
-        best["name"].alias("primary_category"), strong.alias("subcategories"),
-        F.least(best["score"], F.lit(0.8)).alias("confidence"), F.lit("web_content").alias("content_type"),
-    )
+
+    def shares(lowered: Column) -> Column:
+        return F.array(*[
+            F.struct(
+                (total(F.contains(lowered, F.lit(w)).cast("int") for w in keywords) / F.lit(float(len(keywords)))).alias("score"),
+                F.lit(-i).alias("order"), F.lit(name).alias("name"))
+            for i, (name, keywords) in enumerate(CATEGORIES.items())
+        ])
+
+    def decide(scored: Column) -> Column:
+        best = F.array_max(scored)
+        return F.struct(
+            best["name"].alias("primary_category"),
+            F.transform(F.filter(scored, lambda s: s["score"] > 0.2), lambda s: s["name"]).alias("subcategories"),
+            F.least(best["score"], F.lit(0.8)).alias("confidence"), F.lit("web_content").alias("content_type"))
+
+    return let(let(F.lower(col(text)), shares), decide)
 
 
 def analyse(df: DataFrame, key: str, text: str, kind: str = "comprehensive") -> DataFrame:
