@@ -163,6 +163,16 @@ def type_validity(content):
         F.size(F.filter(values, lambda v: v.isNotNull())) / F.nullif(F.size(values), F.lit(0)))
 
 
+@query("j8_record_quality", f"SELECT data_id, quality, keep FROM ({CLEAN_SQL})".replace("FROM (\nWITH", "FROM (WITH"), ["v_contacts"])
+def j8(t):
+    return O.clean(t.contacts(), FIELDS).select("data_id", F.round("quality", 9).alias("quality"), "keep")
+
+
+@query("x9_clean_text", f"SELECT doc_id AS data_id, {text_value('text')} AS text FROM documents")
+def x9(t):
+    return t.texts().select(F.col("doc_id").alias("data_id"), C.squeeze("text").alias("text"))
+
+
 @query("d11_quality_gate", f"SELECT count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS rejected FROM ({CLEAN_SQL})".replace("FROM (\nWITH", "FROM (WITH"), ["v_contacts"])
 def d11(t):
     return O.clean(t.contacts(), FIELDS).agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("rejected"))

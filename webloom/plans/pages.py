@@ -240,3 +240,23 @@ def x17(t):
                     F.lit("<section id=more><span data-kind='old price'> "), "p_brand", F.lit(" </span></section><span class=cost-x>no</span>"))
     wanted = {"title": ".product-title, h1", "price": ".price, .cost, #more span[data-kind*=price]", "none": ".product-description"}
     return X.custom_values(X.extract_pages(_page(p, html), custom=wanted))
+
+
+@query("m2_exclude_selectors", f"""
+WITH {PARTS} SELECT page_id, trim(regexp_replace({un("regexp_replace(regexp_replace(art, '(?s)<h1>.*?</h1>', ''), '<[^>]*>', ' ', 'g')")}, '{WS}+', ' ', 'g')) AS text, 0 AS links FROM a""", ["v_pages"])
+def m2(t):
+    found = X.extract_pages(t.pages(), exclude=["nav ul", "article h1"])
+    return found.select("page_id", "text", F.size("anchors").alias("links"))
+
+
+@query("h7_element_caps", """
+SELECT o_custkey AS page_id, CAST(least(count(*), 20) AS INT) AS links, CAST(least(count(*), 10) AS INT) AS images FROM orders GROUP BY o_custkey""")
+def h7(t):
+    o = t["orders"].groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.col("o_orderkey").cast("string"))).alias("ks"))
+    html = F.concat(
+        F.array_join(F.transform("ks", lambda k: F.concat(F.lit("<a href='/o/"), k, F.lit("'>order "), k, F.lit("</a>"))), ""),
+        F.array_join(F.transform("ks", lambda k: F.concat(F.lit("<img src='/i/"), k, F.lit(".png'>"))), ""))
+    found = X.extract_pages(_page(o, html))
+    links = X.links(found, "main").groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("links"))
+    images = X.images(found, "main").groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("images"))
+    return links.join(images, "page_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from webloom.functions import protect as P
 from webloom.functions import urls as U
 from webloom.functions import validate as V
+from webloom.operators import audit as A
 from webloom.plans.cleaning import strip_sql
 from webloom.plans.registry import query
 
@@ -249,3 +250,26 @@ def j11(t):
 @query("j11_audit_checksum", """SELECT event_id AS id, sha256(concat('{"event_type":"', event_type, '","id":', CAST(event_id AS STRING), ',"username":"u', CAST(user_id AS STRING), '"}', 's')) AS checksum FROM events""")
 def j11b(t):
     return _audit(t).select("id", P.audit_checksum(AUDIT_COLS, "s").alias("checksum"))
+
+
+CHAIN = """
+WITH c AS (SELECT event_id, user_id % 4 AS stream, ts, sha256(concat('{"event_type":"', event_type, '","id":', CAST(event_id AS STRING), ',"username":"u', CAST(user_id AS STRING), '"}', 's')) AS checksum FROM events)
+"""
+
+
+@query("g3_audit_chain", CHAIN + "SELECT event_id AS id, lag(checksum) OVER (PARTITION BY stream ORDER BY ts, event_id) AS previous_checksum FROM c")
+def g3(t):
+    rows = _audit(t).withColumn("checksum", P.audit_checksum(AUDIT_COLS, "s"))
+    return A.audit_chain(rows, "stream", "timestamp", "id").select("id", "previous_checksum")
+
+
+@query("g3_audit_breaks", CHAIN + """, o AS (SELECT event_id, lag(event_id) OVER (PARTITION BY stream ORDER BY ts, event_id) AS before FROM c)
+SELECT event_id AS id FROM o WHERE event_id % 40 = 3 OR before % 50 = 7""")
+def g3b(t):
+    rows = _audit(t).withColumn("checksum", P.audit_checksum(AUDIT_COLS, "s"))
+    chained = A.audit_chain(rows, "stream", "timestamp", "id")
+    # two kinds of tampering: a changed link, and an entry whose own checksum was replaced
+    forged = chained.withColumns({
+        "previous_checksum": F.when(F.col("id") % 40 == 3, "0").otherwise(F.col("previous_checksum")),
+        "checksum": F.when(F.col("id") % 50 == 7, "1").otherwise(F.col("checksum"))})
+    return A.audit_breaks(forged, "stream", "timestamp", "id").select("id")
