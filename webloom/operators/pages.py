@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from webloom.functions import markup
-from webloom.functions.cleaning import letters, strip
+from webloom.functions.cleaning import content_hash, letters, strip
 from webloom.functions.common import all_of, any_of, total
 from webloom.functions.text import entities
 from webloom.functions.urls import host, is_external, is_page_link, resolve
@@ -284,13 +284,23 @@ def fallback(pages: DataFrame, extracts: DataFrame, content: str = "raw_html") -
         {"category": F.lit("web_content"), "confidence": F.lit(0.5)})
 
 
-def host_overview(extracts: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """Per host: pages, mean quality, share of pages that repeat another one, links to other hosts."""
+def host_overview(extracts: DataFrame) -> DataFrame:
+    """Per host: pages, mean quality, share of pages that repeat an earlier one, links to other hosts.
+
+    Pages are summed per (content, host) first. The first page of a content is then found among
+    these sums, so neither a content nor a host with very many pages meets in one task, and the
+    pages are read once.
+    """
     quality = page_quality(
         best_title(), body_text(), F.size("headings"), F.size("anchors"), F.size("images"), F.lit(200), F.col("bytes"))
     page_links = F.filter("anchors", lambda a: is_page_link(a["href"]))
     outbound = F.size(F.filter(page_links, lambda a: is_external(resolve(F.col("url"), a["href"]), F.col("url"))))
-    per_page = extracts.select("page_id", host("url").alias("host"), quality.alias("quality"), outbound.alias("outbound"))
-    return per_page.join(duplicates.select("page_id", "duplicate"), "page_id").groupBy("host").agg(
-        F.count(F.lit(1)).alias("pages"), F.avg("quality").alias("avg_quality"),
-        F.avg(F.col("duplicate").cast("double")).alias("duplicate_share"), F.sum("outbound").alias("outbound_links"))
+    per_page = extracts.select(
+        "page_id", host("url").alias("host"), quality.alias("quality"), outbound.alias("outbound"),
+        content_hash(title=F.col("title"), text=F.col("text")).alias("content"))
+    sums = per_page.groupBy("content", "host").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("quality").alias("quality"), F.sum("outbound").alias("outbound"), F.min("page_id").alias("first"))
+    original = F.col("first") == F.min("first").over(Window.partitionBy("content"))
+    return sums.withColumn("original", original.cast("int")).groupBy("host").agg(
+        F.sum("pages").alias("pages"), (F.sum("quality") / F.sum("pages")).alias("avg_quality"),
+        ((F.sum("pages") - F.sum("original")) / F.sum("pages")).alias("duplicate_share"), F.sum("outbound").alias("outbound_links"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.cleaning import content_hash, squeeze
-from webloom.functions.common import total
+from webloom.functions.common import let, total
 
 HOT_SHARE = 0.0005
 
@@ -24,18 +24,23 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def field_similarity(a: Column, b: Column, ta: Column, tb: Column) -> Column:
-    """1 for equal texts, else shared words over all words."""
-    common = overlap(ta, tb)
-    every = F.size(ta) + F.size(tb) - common
-    return F.when(a == b, 1.0).when(every == 0, 0.0).otherwise(common / F.nullif(every, F.lit(0)))
+    """1 for equal texts, else shared words over all words; ``ta`` and ``tb`` are the word sets."""
+
+    def share(common: Column) -> Column:
+        every = F.size(ta) + F.size(tb) - common
+        return F.when(every == 0, 0.0).otherwise(common / F.nullif(every, F.lit(0)))
+
+    return F.when(a == b, 1.0).otherwise(let(overlap(ta, tb), share))
 
 
 def content_similarity(fields: Sequence[str], left: str = "a", right: str = "b") -> Column:
     """Mean field similarity of two records whose fields are the columns ``left.f`` and ``right.f``."""
-    parts = [
-        field_similarity(F.col(f"{left}.{f}"), F.col(f"{right}.{f}"), tokens(F.col(f"{left}.{f}")), tokens(F.col(f"{right}.{f}")))
-        for f in fields]
-    return total(parts) / F.lit(float(len(parts)))
+
+    def one(f: str) -> Column:
+        a, b = F.col(f"{left}.{f}"), F.col(f"{right}.{f}")
+        return let(tokens(a), lambda ta: let(tokens(b), lambda tb: field_similarity(a, b, ta, tb)))
+
+    return total([one(f) for f in fields]) / F.lit(float(len(fields)))
 
 
 def representatives(records: DataFrame, fields: Sequence[str], key: str) -> DataFrame:

@@ -133,11 +133,7 @@ WITH {PARTS}, {BODY}, {QUALITY},
 dup AS (SELECT a.page_id, row_number() OVER (PARTITION BY {strip_sql('title_raw')}, tx.text ORDER BY a.page_id) > 1 AS d FROM a JOIN tx USING (page_id))
 SELECT host, count(*) AS pages, round(avg(quality), 6) AS avg_quality, round(avg(d::INT::DOUBLE), 6) AS duplicate_share, CAST(0 AS BIGINT) AS outbound_links FROM ql JOIN dup USING (page_id) GROUP BY host""", ["v_pages"])
 def overview(t):
-    from webloom.operators.cleaning import split_duplicates
-
-    found = parts(t)
-    marked = split_duplicates(found.select("page_id", "title", "text"), ["title", "text"], ["page_id"])
-    out = X.host_overview(found, marked)
+    out = X.host_overview(parts(t))
     return out.withColumns({"avg_quality": F.round("avg_quality", 6), "duplicate_share": F.round("duplicate_share", 6)})
 
 
