@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from webloom.functions import markup
 from webloom.functions.cleaning import content_hash, letters, strip
 from webloom.functions.common import all_of, any_of, total
+from webloom.functions.markup import PageReader, failed
 from webloom.functions.text import entities
 from webloom.functions.urls import host, is_external, is_page_link, resolve
 from webloom.session import spread
@@ -81,14 +81,14 @@ def extract_pages(
     names = [f.name for f in EXTRACT.fields]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = markup.PageReader(drop, containers, selectors, main)
+        reader = PageReader(drop, containers, selectors, main)
         for batch in batches:
             found = []
             for text in batch.column(html).to_pylist():
                 try:
-                    found.append(markup.failed("no content") if text is None else reader(text))
+                    found.append(failed("no content") if text is None else reader(text))
                 except Exception as fault:  # a page must never stop the job
-                    found.append(markup.failed(f"{type(fault).__name__}: {fault}"))
+                    found.append(failed(f"{type(fault).__name__}: {fault}"))
             columns = [batch.column(c) for c in keep]
             for name in names:
                 columns.append(pa.array([f[name] for f in found], type=arrow.field(name).type))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.cleaning import content_hash, squeeze
 from webloom.functions.common import let, total
+from webloom.session import spread, written
 
 HOT_SHARE = 0.0005
 
@@ -57,21 +58,33 @@ def similar_pairs(records: DataFrame, fields: Sequence[str], threshold: float =
     all in the near pairs; a content shared by very many records thus gives one row per record,
     and the pairs of its copies follow from a join with ``representatives``.
     """
-    filled = records.select(key, *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields])
+    filled = spread(records).select(key, *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields])
     first = representatives(filled, fields, key)
     copies = first.where(F.col(key) != F.col("first")).select(F.col("first").alias("id1"), F.col(key).alias("id2"), F.lit(1.0).alias("score"))
     distinct = filled.join(first.where(F.col(key) == F.col("first")).select(key), key, "left_semi")
-    return copies.unionByName(_near_pairs(distinct, list(fields), threshold, key))
+    # several passes follow, most over the word sets only: they are worked out once and stored
+    stored = written(distinct.select("*", *[tokens(F.col(f)).alias(f"__w_{f}") for f in fields]))
+    return copies.unionByName(_near_pairs(stored, list(fields), threshold, key))
 
 
 def _near_pairs(df: DataFrame, fields: list[str], threshold: float, key: str) -> DataFrame:
-    """Near pairs among records of distinct content.
+    """Near pairs among records of distinct content: candidates, then the true score."""
+    pairs = _candidates(df, fields, threshold, key)
+    body = df.select(key, F.struct(*[F.struct(F.col(f).alias("v"), F.col(f"__w_{f}").alias("t")).alias(f) for f in fields]).alias("c"))
+    both = pairs.join(body.select(F.col(key).alias("id1"), F.col("c").alias("a")), "id1") \
+        .join(body.select(F.col(key).alias("id2"), F.col("c").alias("b")), "id2")
+    score = total([
+        field_similarity(F.col(f"a.{f}.v"), F.col(f"b.{f}.v"), F.col(f"a.{f}.t"), F.col(f"b.{f}.t")) for f in fields]) / F.lit(float(len(fields)))
+    return both.select("id1", "id2", score.alias("score")).where(F.col("score") >= threshold)
+
+
+def _candidates(df: DataFrame, fields: list[str], threshold: float, key: str) -> DataFrame:
+    """All pairs that can reach the threshold, and few others.
 
     A mean of at least t over k fields leaves every field at least m = k*t - (k-1). The field with
     the most distinct values drives: two word sets with Jaccard similarity m or more share a word
     among the first |x| - ceil(m*|x|) + 1 words of each, in any fixed order of words; with rare words
-    first few records meet. What meets must also pass the size and position bounds before the
-    texts are fetched and compared.
+    first few records meet. What meets must also pass the size and position bounds.
     """
     k = len(fields)
     need = k * threshold - (k - 1)
@@ -79,9 +92,9 @@ def _near_pairs(df: DataFrame, fields: list[str], threshold: float, key: str) ->
         raise ValueError("too many fields for this threshold: some field could differ in every word")
     seen = df.agg(*[F.approx_count_distinct(f).alias(f) for f in fields]).first()
     driver = max(fields, key=lambda f: seen[f] or 0)
+    w = f"__w_{driver}"
 
-    words = df.select(key, tokens(F.col(driver)).alias("w"))
-    exploded = words.select(key, F.size("w").alias("n"), F.explode("w").alias("word"))
+    exploded = df.select(key, F.size(w).alias("n"), F.explode(w).alias("word"))
     usage = exploded.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     # at most (mean words per record) / HOT_SHARE words can be in so many records: safe to broadcast
     many = max(2, math.ceil(df.count() * HOT_SHARE))
@@ -97,20 +110,9 @@ def _near_pairs(df: DataFrame, fields: list[str], threshold: float, key: str) ->
     wanted = (F.col("n1") + F.col("n2")) * (need / (1 + need)) - 1e-9
     met = left.join(right, "word").where((F.col("id1") < F.col("id2")) & (small >= large * need - 1e-9) & (possible >= wanted))
     pairs = met.select("id1", "id2").distinct()
-
-    body = df.select(key, F.struct(*[F.struct(F.col(f).alias("v"), tokens(F.col(f)).alias("t")).alias(f) for f in fields]).alias("c"))
-    both = pairs.join(body.select(F.col(key).alias("id1"), F.col("c").alias("a")), "id1") \
-        .join(body.select(F.col(key).alias("id2"), F.col("c").alias("b")), "id2")
-    score = total([
-        field_similarity(F.col(f"a.{f}.v"), F.col(f"b.{f}.v"), F.col(f"a.{f}.t"), F.col(f"b.{f}.t")) for f in fields]) / F.lit(float(k))
-    near = both.select("id1", "id2", score.alias("score")).where(F.col("score") >= threshold)
-    if k == 1:
-        return near
-    # equal driver texts without any word share nothing to meet by: there the other fields decide
-    blank = df.where(F.size(tokens(F.col(driver))) == 0)
-    rest = [f for f in fields if f != driver]
-    lower = (k * threshold - 1) / (k - 1)
-    if lower <= 0 or blank.isEmpty():
-        return near
-    inner = _near_pairs(blank.groupBy(*rest).agg(F.min(key).alias(key)), rest, lower, key)
-    return near.unionByName(inner.select("id1", "id2", ((F.col("score") * (k - 1) + 1) / k).alias("score")))
+    # texts without any word share nothing to meet by; where they are equal the other fields decide
+    rest, lower = [f for f in fields if f != driver], (k * threshold - 1) / max(k - 1, 1)
+    if not rest or lower <= 0:
+        return pairs
+    blank = df.where(F.size(w) == 0)
+    return pairs if blank.isEmpty() else pairs.unionByName(_candidates(blank, rest, lower, key))
