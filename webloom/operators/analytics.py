@@ -297,7 +297,7 @@ def slow_operations(perf: DataFrame, limit: int) -> DataFrame:
 
 
 def metrics_summary(system: DataFrame, app: DataFrame, perf: DataFrame, alerts: DataFrame, as_of: object, hours: int = 24) -> DataFrame:
-    """One row over four tables. Each is aggregated where it lies; four one-row results are put side by side."""
+    """One row over four tables. Each is aggregated where it lies; the one-row results are stacked and merged."""
     parts = [
         recent(system, "recorded_at", as_of, hours=hours).agg(
             F.round(_mean(F.coalesce("cpu_percent", F.lit(0.0))), 2).alias("avg_cpu_percent"),
@@ -310,10 +310,16 @@ def metrics_summary(system: DataFrame, app: DataFrame, perf: DataFrame, alerts:
             F.round(_mean("duration_ms"), 2).alias("avg_response_time_ms")),
         alerts.agg(F.count_if(F.col("status") == "active").alias("active_alerts")),
     ]
-    out = parts[0].withColumn("one", F.lit(1))
+    return side_by_side(parts)
+
+
+def side_by_side(parts: Sequence[DataFrame]) -> DataFrame:
+    """One-row frames with different columns as one row."""
+    names = [c for part in parts for c in part.columns]
+    out = parts[0]
     for part in parts[1:]:
-        out = out.join(part.withColumn("one", F.lit(1)), "one")
-    return out.drop("one")
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in names])
 
 
 def application_snapshot(perf: DataFrame, keep: int = 100) -> DataFrame:
@@ -323,7 +329,7 @@ def application_snapshot(perf: DataFrame, keep: int = 100) -> DataFrame:
         F.count_if(~F.col("success") & F.col("error_type").isNotNull()).alias("total_errors"))
     latest = perf.where("success").orderBy(F.desc("recorded_at"), F.desc("metric_id")).limit(keep) \
         .agg(_mean("duration_ms").alias("avg_response_time_ms"))
-    return counters.withColumn("one", F.lit(1)).join(latest.withColumn("one", F.lit(1)), "one").select(
+    return side_by_side([counters, latest]).select(
         "total_requests", "total_errors", "avg_response_time_ms",
         ratio(F.col("total_errors"), F.col("total_requests"), 100).alias("error_rate_percent"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from webloom.functions.cleaning import content_hash, letters, strip
-from webloom.functions.common import all_of, any_of, total
+from webloom.functions.common import all_of, any_of, let, total
 from webloom.functions.markup import PageReader, failed
 from webloom.functions.text import entities
 from webloom.functions.urls import host, is_external, is_page_link, resolve
@@ -187,26 +187,43 @@ def links(extracts: DataFrame, variant: str = "all", url: str = "url") -> DataFr
     more than two characters of text, at most 20 per page."""
     kept = F.filter("anchors", lambda a: is_page_link(a["href"]))
     if variant == "main":
-        named = F.filter(kept, lambda a: a["in_main"] & (F.length(a["text"]) > 2))
-        kept = F.slice(first_of_each(named, "href"), 1, 20)
+        kept = main_links()
     rows = extracts.select("page_id", F.col(url).alias("page_url"), F.posexplode(kept).alias("pos", "a"))
     target = resolve(F.col("page_url"), F.col("a.href"))
     return rows.select("page_id", "page_url", "pos", target.alias("url"), "a.text", "a.title", "a.rel", "a.target", "a.pager", "a.article") \
         .withColumn("is_external", is_external("url", "page_url"))
 
 
+def main_links(limit: int = 20) -> Column:
+    """Anchors of the main area with a text, once per target."""
+    named = F.filter("anchors", lambda a: is_page_link(a["href"]) & a["in_main"] & (F.length(a["text"]) > 2))
+    return F.slice(first_of_each(named, "href"), 1, limit)
+
+
+def main_images(limit: int = 10) -> Column:
+    """Images of the main area, lazy sources included, once per source."""
+
+    def source(i: Column) -> Column:
+        return F.coalesce(F.nullif(strip(i["src"]), F.lit("")), F.nullif(strip(i["data_src"]), F.lit("")))
+
+    with_src = F.transform(F.filter("images", lambda i: i["in_main"]), lambda i: i.withField("src", source(i)))
+    return F.slice(first_of_each(F.filter(with_src, lambda i: i["src"].isNotNull()), "src"), 1, limit)
+
+
 def first_of_each(items: Column, field: str) -> Column:
     """Items whose ``field`` has not occurred before in the array."""
-    seen = F.transform(items, lambda x: strip(x[field]))
-    return F.filter(items, lambda x, i: F.array_position(seen, strip(x[field])) == i + 1)
+
+    def pick(all_items: Column) -> Column:
+        return let(F.transform(all_items, lambda x: strip(x[field])), lambda seen: F.filter(
+            all_items, lambda x, i: F.array_position(seen, F.get(seen, i)) == i + 1))
+
+    return let(items, pick)
 
 
 def images(extracts: DataFrame, variant: str = "all", url: str = "url") -> DataFrame:
     """Images with absolute URLs. ``variant="main"``: lazy sources count, once each, at most 10 per page."""
     if variant == "main":
-        source = lambda i: F.coalesce(F.nullif(strip(i["src"]), F.lit("")), F.nullif(strip(i["data_src"]), F.lit("")))
-        with_src = F.transform(F.filter("images", lambda i: i["in_main"]), lambda i: i.withField("src", source(i)))
-        kept = F.slice(first_of_each(F.filter(with_src, lambda i: i["src"].isNotNull()), "src"), 1, 10)
+        kept = main_images()
     else:
         kept = F.filter("images", lambda i: F.coalesce(i["src"], F.lit("")) != "")
     rows = extracts.select("page_id", F.col(url).alias("page_url"), F.posexplode(kept).alias("pos", "i"))

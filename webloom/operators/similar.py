@@ -75,7 +75,8 @@ def _near_pairs(df: DataFrame, fields: list[str], threshold: float, key: str) ->
         .join(body.select(F.col(key).alias("id2"), F.col("c").alias("b")), "id2")
     score = total([
         field_similarity(F.col(f"a.{f}.v"), F.col(f"b.{f}.v"), F.col(f"a.{f}.t"), F.col(f"b.{f}.t")) for f in fields]) / F.lit(float(len(fields)))
-    return both.select("id1", "id2", score.alias("score")).where(F.col("score") >= threshold)
+    # one evaluation per pair: a filter on a column would be pushed down and compute the score again
+    return both.select("id1", "id2", F.explode(F.filter(F.array(score), lambda s: s >= threshold)).alias("score"))
 
 
 def _candidates(df: DataFrame, fields: list[str], threshold: float, key: str) -> DataFrame:

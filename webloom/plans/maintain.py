@@ -16,13 +16,13 @@ from webloom.sources import sinks as W
 
 CHANGES = """
 c AS (SELECT l_orderkey AS job_id, l_shipdate AS changed_at, l_linenumber * 1000000 + l_partkey AS seq, CASE WHEN l_returnflag = 'A' THEN 'running' WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linestatus = 'O' THEN 'retry' ELSE 'completed' END AS status,
- CASE WHEN l_returnflag = 'R' THEN l_linestatus END AS error_message, CASE WHEN l_returnflag <> 'R' THEN CAST(l_quantity AS INT) END AS pages_completed FROM lineitem WHERE l_discount > 0.07)
+ CASE WHEN l_returnflag = 'R' THEN l_linestatus END AS error_message, CASE WHEN l_returnflag <> 'R' THEN CAST(l_quantity AS INT) END AS pages_completed FROM lineitem)
 """
 
 
 def changes(t):
     flag = F.col("l_returnflag")
-    return t["lineitem"].where("l_discount > 0.07").select(
+    return t["lineitem"].select(
         F.col("l_orderkey").alias("job_id"), F.col("l_shipdate").alias("changed_at"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("seq"),
         F.when(flag == "A", "running").when(flag == "R", "failed").when(F.col("l_linestatus") == "O", "retry").otherwise("completed").alias("status"),
         F.when(flag == "R", F.col("l_linestatus")).alias("error_message"),

@@ -150,16 +150,14 @@ def _page(df, body, head=None, url="https://site.example.com/dir/page.html"):
 
 
 @query("x11_table_cells", """
-WITH n AS (SELECT n_regionkey AS page_id, r_name, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row FROM nation JOIN region ON r_regionkey = n_regionkey)
-SELECT CAST(page_id AS BIGINT) AS page_id, r_name AS caption, CAST(row AS INT) AS row, 'key' AS header, CAST(n_nationkey AS STRING) AS value FROM n
-UNION ALL SELECT page_id, r_name, CAST(row AS INT), 'name', n_name FROM n""")
+SELECT p_partkey AS page_id, p_brand AS caption, CAST(x.i AS INT) AS row, CASE x.j WHEN 0 THEN 'field' ELSE 'value' END AS header,
+ CASE WHEN x.j = 0 THEN CASE x.i WHEN 0 THEN 'name' ELSE 'type' END WHEN x.i = 0 THEN p_name ELSE p_type END AS value FROM part, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) x(i, j)""")
 def x11(t):
-    n = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-    row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("<td> "), "n_name", F.lit(" </td>"))
-    by_region = n.groupBy(F.col("n_regionkey").cast("long").alias("page_id"), "r_name").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
-    html = F.concat(F.lit("<table><caption>"), "r_name", F.lit("</caption><tr><th>key<th>name</tr>"), "rows", F.lit("</table>"))
-    return X.table_cells(X.extract_pages(_page(by_region, html))).select("page_id", "caption", "row", "header", "value")
+    p = t["part"].withColumnRenamed("p_partkey", "page_id")
+    html = F.concat(
+        F.lit("<table><caption> "), "p_brand", F.lit("</caption><tr><th>field<th>value</tr><tr><td>name<td> "), "p_name",
+        F.lit(" </td><tr><td><b>type</b></td><td>"), "p_type", F.lit("</table><table><tr><td>no rows</table>"))
+    return X.table_cells(X.extract_pages(_page(p, html))).select("page_id", "caption", "row", "header", "value")
 
 
 @query("x10_list_items", "SELECT p_partkey AS page_id, 'ol' AS type, CAST(x.i AS INT) AS item, CASE x.i WHEN 0 THEN p_name WHEN 1 THEN p_brand ELSE p_type END AS text FROM part, (VALUES (0), (1), (2)) x(i)")
@@ -245,14 +243,12 @@ def m2(t):
     return found.select("page_id", "text", F.size("anchors").alias("links"))
 
 
-@query("h7_element_caps", """
-SELECT o_custkey AS page_id, CAST(least(count(*), 20) AS INT) AS links, CAST(least(count(*), 10) AS INT) AS images FROM orders GROUP BY o_custkey""")
+@query("h7_element_caps", "SELECT p_partkey AS page_id, CAST(least(p_size, 20) AS INT) AS links, CAST(least(p_size, 10) AS INT) AS images FROM part")
 def h7(t):
-    o = t["orders"].groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.col("o_orderkey").cast("string"))).alias("ks"))
+    p = t["part"].withColumnRenamed("p_partkey", "page_id")
+    numbers = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda n: n.cast("string"))
     html = F.concat(
-        F.array_join(F.transform("ks", lambda k: F.concat(F.lit("<a href='/o/"), k, F.lit("'>order "), k, F.lit("</a>"))), ""),
-        F.array_join(F.transform("ks", lambda k: F.concat(F.lit("<img src='/i/"), k, F.lit(".png'>"))), ""))
-    found = X.extract_pages(_page(o, html))
-    links = X.links(found, "main").groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("links"))
-    images = X.images(found, "main").groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("images"))
-    return links.join(images, "page_id")
+        F.array_join(F.transform(numbers, lambda n: F.concat(F.lit("<a href='/o/"), n, F.lit("'>order "), n, F.lit("</a>"))), ""),
+        F.array_join(F.transform(numbers, lambda n: F.concat(F.lit("<img src='/i/"), n, F.lit(".png'>"))), ""))
+    found = X.extract_pages(_page(p, html))
+    return found.select("page_id", X.main_links().alias("links"), X.main_images().alias("images")).select("page_id", F.size("links").alias("links"), F.size("images").alias("images"))
