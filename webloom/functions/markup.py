@@ -170,23 +170,52 @@ def matches(element, alternatives):
     return False
 
 
+class Matcher:
+    """Several selectors as one test; plain tags, classes and ids are set look-ups."""
+
+    def __init__(self, *selectors):
+        self.tags, self.classes, self.ids, self.rest = set(), set(), set(), []
+        for steps in (steps for s in selectors for steps in compile_selector(s)):
+            tag, tests = steps[0]
+            if len(steps) == 1 and tag != "*" and not tests:
+                self.tags.add(tag)
+            elif len(steps) == 1 and tag == "*" and len(tests) == 1 and tests[0][0] in ".#":
+                (self.classes if tests[0][0] == "." else self.ids).add(tests[0][1])
+            else:
+                self.rest.append(steps)
+
+    def __call__(self, element):
+        if element.tag in self.tags:
+            return True
+        attrs = element.attrs
+        if attrs:
+            if self.classes and "class" in attrs and not self.classes.isdisjoint(attrs["class"].split()):
+                return True
+            if self.ids and attrs.get("id") in self.ids:
+                return True
+        for steps in self.rest:
+            if (attrs or not steps[-1][1]) and matches(element, (steps,)):
+                return True
+        return False
+
+
 # --- the parts of one page -----------------------------------------------------------------
 
 class PageReader:
     """Reads pages with fixed options; one instance per task."""
 
     def __init__(self, drop, main, custom, strategy):
-        self.drop = [compile_selector(s) for s in drop]
-        self.main = [compile_selector(s) for s in main]
-        self.custom = {name: compile_selector(s) for name, s in custom.items()}
+        self.drop = Matcher(*drop)
+        self.main = [Matcher(s) for s in main]
+        self.custom = {name: Matcher(s) for name, s in custom.items()}
         self.largest = strategy == "largest"
         self.flags = {
-            "has_navigation": compile_selector("nav, .navigation, .nav, .menu, #navigation"),
-            "has_sidebar": compile_selector(".sidebar, .side-bar, #sidebar, aside"),
-            "has_footer": compile_selector("footer, .footer, #footer"),
+            "has_navigation": Matcher("nav, .navigation, .nav, .menu, #navigation"),
+            "has_sidebar": Matcher(".sidebar, .side-bar, #sidebar, aside"),
+            "has_footer": Matcher("footer, .footer, #footer"),
         }
-        self.pagers = compile_selector(".pagination a, .pager a, .page-numbers a, a[rel=next], a.next, .next-page a")
-        self.articles = compile_selector(".content-link a, .article-link a, .post-link a")
+        self.pagers = Matcher(".pagination a, .pager a, .page-numbers a, a[rel=next], a.next, .next-page a")
+        self.articles = Matcher(".content-link a, .article-link a, .post-link a")
 
     def remove(self, elements, texts):
         """Elements that stay; the text of the others is blanked in place. JSON-LD is handed back."""
@@ -197,7 +226,7 @@ class PageReader:
             data = e.tag == "script" and e.attrs.get("type") == "application/ld+json"
             if data:
                 jsonld.append("".join(texts[e.start:e.end]).strip())
-            elif e.tag not in ("script", "style", "noscript") and not any(matches(e, s) for s in self.drop):
+            elif e.tag not in ("script", "style", "noscript") and not self.drop(e):
                 kept.append(e)
                 continue
             for i in range(e.start, e.end):
@@ -208,7 +237,7 @@ class PageReader:
     def main_area(self, elements, text):
         for selector in self.main:
             for e in elements:
-                if matches(e, selector):
+                if selector(e):
                     if not self.largest or len(text(e)) > 100:
                         return e
                     break
@@ -265,7 +294,7 @@ class PageReader:
         def anchor(e):
             a = e.attrs
             return {"href": a["href"], "text": text(e), "title": a.get("title"), "rel": a.get("rel"), "target": a.get("target"),
-                    "in_main": first <= e.index <= last, "pager": matches(e, self.pagers), "article": matches(e, self.articles)}
+                    "in_main": first <= e.index <= last, "pager": self.pagers(e), "article": self.articles(e)}
 
         def image(e):
             a = e.attrs
@@ -290,14 +319,14 @@ class PageReader:
             "element_counts": [(k, v) for k, v in counts.items() if k in COUNTED],
             "media_count": sum(counts[k] for k in ("img", "video", "audio", "iframe")),
             "form_count": counts["form"],
-            **{name: any(matches(e, s) for e in elements) for name, s in self.flags.items()},
+            **{name: any(map(s, elements)) for name, s in self.flags.items()},
             "anchors": [anchor(e) for e in elements if e.tag == "a" and "href" in e.attrs],
             "images": [image(e) for e in elements if e.tag == "img"],
             "forms": [{"action": e.attrs.get("action", ""), "method": (e.attrs.get("method") or "GET").upper(),
                        "fields": [{"name": f.attrs.get("name", ""), "type": f.attrs.get("type", "text"), "required": "required" in f.attrs}
                                   for f in inside(e, "input", "textarea", "select")]}
                       for e in elements if e.tag == "form"],
-            "custom": [(name, [text(e) for e in elements if matches(e, s)]) for name, s in self.custom.items()],
+            "custom": [(name, [text(e) for e in elements if s(e)]) for name, s in self.custom.items()],
             "error": None,
         }
 
