@@ -275,10 +275,10 @@ def page_quality(title: Column, text: Column, n_headings: Column, n_links: Colum
         return F.when(F.coalesce(test, F.lit(False)), points).otherwise(0.0)
 
     named = F.length(strip(title)) > 5
-    chars = F.length(strip(text))
+    prose = let(F.length(strip(text)), lambda n: worth(n > 100, 0.2) + worth(n > 500, 0.1) + worth(n > 1000, 0.1))
     return F.least(F.lit(1.0), total([
         worth(named, 0.15), worth(named & (F.length(title) > 20) & (F.length(title) < 100), 0.05),
-        worth(chars > 100, 0.2), worth(chars > 500, 0.1), worth(chars > 1000, 0.1),
+        prose,
         worth(n_headings > 0, 0.1), worth(n_headings > 2, 0.1), worth(n_links > 0, 0.05), worth(n_images > 0, 0.05),
         worth(status == 200, 0.05), worth(size > 5000, 0.05),
     ]))
