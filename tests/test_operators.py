@@ -180,3 +180,9 @@ def test_filters_reach_the_scan(tables):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)]" in plan and "text" not in plan.split("ReadSchema")[1]
     recent = R.recent(tables["events"], "ts", "2024-01-31", hours=24)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in recent
+
+
+def test_leaving_the_host_agrees_with_resolving(spark):
+    refs = ["a", "//h.org/x", "//H.org", "//z.org", "http://h.org/", "https://z.org", "/p", "?q", "#f", "mailto:a@b", ""]
+    direct = one(spark, refs, lambda v: U.leaves_host(F.lit("h.org"), v))
+    assert direct == one(spark, refs, lambda v: U.is_external(U.resolve(F.lit("http://h.org/d/"), v), F.lit("http://h.org/d/")))

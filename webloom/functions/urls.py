@@ -80,6 +80,13 @@ def is_external(url: Column | str, base: Column | str) -> Column:
     return host(url) != host(base)
 
 
+def leaves_host(base_host: Column, ref: Column) -> Column:
+    """Whether a reference leads to another host than the page's; only one that names a host can."""
+    ref = F.trim(ref)
+    named = F.lower(F.regexp_extract(ref, "^//([^/?#]*)", 1))
+    return F.when(ref.rlike(SCHEME), host(ref) != base_host).when(ref.startswith("//"), named != base_host).otherwise(F.lit(False))
+
+
 def has_web_prefix(url: Column | str) -> Column:
     url = col(url)
     return F.coalesce(url.startswith("http://") | url.startswith("https://"), F.lit(False))

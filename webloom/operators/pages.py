@@ -14,7 +14,7 @@ from webloom.functions.cleaning import content_hash, letters, strip
 from webloom.functions.common import all_of, any_of, let, total
 from webloom.functions.markup import PageReader, failed
 from webloom.functions.text import entities
-from webloom.functions.urls import host, is_external, is_page_link, resolve
+from webloom.functions.urls import host, is_external, is_page_link, leaves_host, resolve
 from webloom.session import spread
 
 # Page furniture that is never content, the wider list of the second strategy, and
@@ -311,7 +311,7 @@ def host_overview(extracts: DataFrame) -> DataFrame:
     quality = page_quality(
         best_title(), body_text(), F.size("headings"), F.size("anchors"), F.size("images"), F.lit(200), F.col("bytes"))
     page_links = F.filter("anchors", lambda a: is_page_link(a["href"]))
-    outbound = F.size(F.filter(page_links, lambda a: is_external(resolve(F.col("url"), a["href"]), F.col("url"))))
+    outbound = let(host("url"), lambda h: F.size(F.filter(page_links, lambda a: leaves_host(h, a["href"]))))
     per_page = extracts.select(
         "page_id", host("url").alias("host"), quality.alias("quality"), outbound.alias("outbound"),
         content_hash(title=F.col("title"), text=F.col("text")).alias("content"))
