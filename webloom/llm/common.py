@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -15,6 +16,8 @@ from webloom.session import written
 
 __all__ = ["WORD", "add_columns", "kept_by_worker", "mixed", "read_table", "words_of", "written"]
 
+#: Bytes of text that a Python worker takes on at once; a memory bound, it has no effect on results.
+TOGETHER = 3_000_000
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,23 +34,39 @@ def kept_by_worker(key: tuple, make: Callable[[], object]) -> object:
     return store[key]
 
 
+def portions(batches: Iterator[pa.RecordBatch], source: str) -> Iterator[pa.RecordBatch]:
+    """The rows in smaller batches, by the size of their texts or lists in ``source``."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        column = batch.column(source)
+        sizes = pc.fill_null(pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column), 0)
+        ends = np.cumsum(sizes.to_numpy().astype(np.int64))
+        at = 0
+        while at < len(batch):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + TOGETHER, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def add_columns(
     df: DataFrame, source: str, fields: list[T.StructField], work: Callable[[list], list[pa.Array]], keep: list[str] | None = None,
 ) -> DataFrame:
     """``df`` (or its columns ``keep``) with new columns made from the text column ``source``.
 
-    ``work`` gets the texts of one Arrow batch (null as empty text) and returns one array per field. A
-    column of the input that has the name of a new one is replaced.
+    ``work`` gets some texts of an Arrow batch (null as empty text; together up to ``TOGETHER`` bytes, or one
+    text) and returns one array per field. A column of the input that has the name of a new one is replaced.
     """
     names = [f.name for f in fields]
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     schema = T.StructType([df.schema[c] for c in keep] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(source).to_pylist()]
+        for part in portions(batches, source):
+            texts = ["" if t is None else t for t in part.column(source).to_pylist()]
             made = work(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, names=keep + names)
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=keep + names)
 
     return df.select(*dict.fromkeys([*keep, source])).mapInArrow(run, schema)
 

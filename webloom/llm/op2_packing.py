@@ -9,6 +9,7 @@ length in parallel and every piece finds its sequence by (length, rank).
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_right
@@ -29,7 +30,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Id after each document.
 END = 2
 #: Pre-tokens whose ids one Python worker keeps; a memory bound, it has no effect on results.
-CACHE = 400_000
+CACHE = 250_000
 #: Rows that are ranked together in one task.
 CHUNK = 100_000
 #: Nodes of the search; when they are used up the incumbent stands.
@@ -40,6 +41,7 @@ class Tokenizer:
     """Ids of whole texts by the tokenizers library, each pre-token encoded once."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)

@@ -29,7 +29,7 @@ from webloom.llm.common import add_columns, kept_by_worker, read_table
 from webloom.llm.merging import BORDER, Flat, Pairs, Pieces, laid_out, merge_all
 
 #: Pre-tokens whose ids one Python worker keeps; a memory bound, it has no effect on results.
-CACHE = 500_000
+CACHE = 250_000
 RANKS = "byte_bpe_50k.tiktoken"
 
 

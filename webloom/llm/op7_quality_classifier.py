@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import WORD, add_columns, kept_by_worker, read_table
+from webloom.llm.common import add_columns, kept_by_worker, read_table
 
 #: Labelled documents that become neighbours, the lowest by hash: a documented bound on what is broadcast.
 SAMPLE = 4_000
@@ -49,11 +49,11 @@ def shape(word: str) -> str:
 
 
 class Shapes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > CACHE:
             self.clear()
         # the lowest bit tells whether the word ends a clause
-        self[word] = place = zlib.crc32(shape(word).encode()) & ~1 | (word[-1] in ".,!?")
+        self[word] = place = zlib.crc32(shape(word.decode()).encode()) & ~1 | (word[-1] in b".,!?")
         return place
 
 
@@ -65,10 +65,10 @@ class Features:
     """Text -> sparse counts over ``DIMENSIONS`` hashed marks."""
 
     def __init__(self):
-        self.words, self.shapes = re.compile(WORD).findall, Shapes()
+        self.shapes = Shapes()
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = self.words(text)
+        words = text.encode().split()
         tops = Counter(words)
         shapes = np.fromiter(map(self.shapes.__getitem__, tops), np.uint32, len(tops))
         times = np.fromiter(tops.values(), np.int64, len(tops))

@@ -25,7 +25,7 @@ from webloom.llm.common import add_columns, kept_by_worker, read_table
 from webloom.llm.merging import BORDER, Pairs, Pieces, laid_out, merge_all
 
 #: Words whose counts one Python worker keeps; a memory bound, it has no effect on results.
-CACHE = 500_000
+CACHE = 250_000
 VOCABULARY = "word_bpe_49k.json"
 
 
