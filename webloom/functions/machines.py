@@ -19,6 +19,11 @@ class SlidingLimit:
     limit: int
     window: float
 
+    @property
+    def horizon(self) -> float:
+        """Seconds after which an event no longer matters."""
+        return self.window
+
     def start(self):
         return []
 

@@ -38,7 +38,7 @@ def protect(content: Column | str, key: Column) -> Column:
 def unprotect(content: Column | str, key: Column) -> Column:
     """Inverse of ``protect``; a value that this key does not open stays as it is."""
     return F.transform_values(col(content), lambda k, v: F.coalesce(F.when(
-        v.startswith(MARK), F.try_aes_decrypt(F.unbase64(F.substring(v, len(MARK) + 1, 2**30)), key).cast("string")), v))
+        v.startswith(MARK), F.try_aes_decrypt(F.unbase64(F.substr(v, F.lit(len(MARK) + 1))), key).cast("string")), v))
 
 
 def filter_headers(headers: Column | str) -> Column:

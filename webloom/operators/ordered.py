@@ -128,6 +128,16 @@ def failure_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], faile
     return out.select(*df.columns, length.cast("long").alias("run_length"))
 
 
+def _far_enough(keys: Sequence[str], span: float, count: int, include_edge: bool) -> Column:
+    """True where the row ``count`` places before lies in the ``span`` up to this row.
+
+    Time-mates share the answer of the last of them, which sees them all: take the maximum over them.
+    """
+    gap = F.col("__at") - F.lag("__at", count).over(Window.partitionBy(*keys, BUCKET).orderBy("__at"))
+    within = int(span * 1_000_000)
+    return F.coalesce(gap <= within if include_edge else gap < within, F.lit(False))
+
+
 def troubled_stretches(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], span: float, limit: int, include_edge: bool = True, seconds: int = DAY,
 ) -> tuple[DataFrame, DataFrame]:
@@ -140,14 +150,19 @@ def troubled_stretches(
     """
     ts, tie = order[0], order[1]
     src = with_context(df, ts, back=3 * span, ahead=span, seconds=seconds)
+    # running values only: each row costs the same however many lie in its span
     near = Window.partitionBy(*keys, BUCKET).orderBy("__at")
-    low = _range(span)
-    past, ahead = near.rangeBetween(low, 0), near.rangeBetween(0, -low)
-    crowded = F.count(F.lit(1)).over(near.rangeBetween(_range(span, not include_edge), 0)) > limit
-    marked = src.withColumn("__u", crowded.cast("int"))
-    marked = marked.withColumns({"hot": F.max("__u").over(past) == 1, "__next": F.max("__u").over(ahead) == 1})
+    back = Window.partitionBy(*keys, BUCKET).orderBy(F.desc("__at"))
+    low, first = _range(span), Window.unboundedPreceding
+    marked = src.withColumn("__full", _far_enough(keys, span, limit, include_edge))
+    marked = marked.withColumn("__u", F.max("__full").over(near.rangeBetween(0, 0)))
+    crowd = F.when(F.col("__u"), F.col("__at"))
+    marked = marked.withColumns({
+        "hot": F.coalesce(F.max(crowd).over(near.rangeBetween(first, 0)) >= F.col("__at") + low, F.lit(False)),
+        "__next": F.coalesce(F.min(crowd).over(back.rangeBetween(first, 0)) <= F.col("__at") - low, F.lit(False))})
     marked = marked.withColumn("__in", (F.col("hot") | F.col("__next")).cast("int"))
-    alone = F.coalesce(F.max("__in").over(near.rangeBetween(low, -1)), F.lit(0)) == 0
+    earlier = F.max(F.when(F.col("__in") == 1, F.col("__at"))).over(near.rangeBetween(first, -1))
+    alone = F.coalesce(earlier < F.col("__at") + low, F.lit(True))
     first_mate = F.min(tie).over(near.rangeBetween(0, 0)) == F.col(tie)
     marked = marked.withColumn("__start", F.when((F.col("__in") == 1) & alone & first_mate, F.col("__at"))).where(~F.col("__context"))
     settled = marked.where(~F.col("hot")).select(*df.columns)

@@ -113,7 +113,7 @@ def _prefixed(field: str, prefix: str, others: Sequence[str] = ()) -> Column:
                      & ~m["name"].isin("description", "keywords", "author", "language", *others))
     keys = F.array_distinct(F.transform(found, lambda m: m[field]))
     return F.map_from_entries(F.transform(keys, lambda k: F.struct(
-        F.substring(k, len(prefix) + 1, 2**20).alias("key"), _last(found, lambda m: m[field] == k)["content"].alias("value"))))
+        F.substr(k, F.lit(len(prefix) + 1)).alias("key"), _last(found, lambda m: m[field] == k)["content"].alias("value"))))
 
 
 def metadata(extracts: DataFrame, url: str = "url") -> DataFrame:
@@ -304,9 +304,9 @@ def fallback(pages: DataFrame, extracts: DataFrame, content: str = "raw_html") -
 def host_overview(extracts: DataFrame) -> DataFrame:
     """Per host: pages, mean quality, share of pages that repeat an earlier one, links to other hosts.
 
-    Pages are summed per (content, host) first. The first page of a content is then found among
-    these sums, so neither a content nor a host with very many pages meets in one task, and the
-    pages are read once.
+    Pages are summed per (content, host) first. The first page of a content is a minimum over these
+    sums, combined in each task before it moves, and joined back, so neither a content nor a host with
+    very many pages meets in one task.
     """
     quality = page_quality(
         best_title(), body_text(), F.size("headings"), F.size("anchors"), F.size("images"), F.lit(200), F.col("bytes"))
@@ -317,7 +317,9 @@ def host_overview(extracts: DataFrame) -> DataFrame:
         content_hash(title=F.col("title"), text=F.col("text")).alias("content"))
     sums = per_page.groupBy("content", "host").agg(
         F.count(F.lit(1)).alias("pages"), F.sum("quality").alias("quality"), F.sum("outbound").alias("outbound"), F.min("page_id").alias("first"))
-    original = F.col("first") == F.min("first").over(Window.partitionBy("content"))
-    return sums.withColumn("original", original.cast("int")).groupBy("host").agg(
+    originals = sums.groupBy("content").agg(F.min("first").alias("original"))
+    # a page has one content, so the originals match their own sums only
+    marked = sums.join(originals.select(F.col("original").alias("first"), F.lit(1).alias("original")), "first", "left")
+    return marked.withColumn("original", F.coalesce("original", F.lit(0))).groupBy("host").agg(
         F.sum("pages").alias("pages"), (F.sum("quality") / F.sum("pages")).alias("avg_quality"),
         ((F.sum("pages") - F.sum("original")) / F.sum("pages")).alias("duplicate_share"), F.sum("outbound").alias("outbound_links"))

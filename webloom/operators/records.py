@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,16 @@ FINISHED = ("completed", "failed", "cancelled")
 
 # --- filters -------------------------------------------------------------------------------
 
+def _instant(value: object) -> datetime:
+    """A date, time or ISO text as a moment; texts without leading zeros are read too."""
+    if isinstance(value, datetime):
+        return value.replace(tzinfo=None)
+    if isinstance(value, date):
+        return datetime(value.year, value.month, value.day)
+    text = re.sub(r"(?<!\d)(\d)(?!\d)", r"0\1", str(value).split(".")[0])
+    return datetime.fromisoformat(text).replace(tzinfo=None)
+
+
 def filter_records(
     df: DataFrame, *, job_ids: Sequence | None = None, urls: Sequence[str] | None = None,
     date_from: object = None, date_to: object = None, min_confidence: float = 0.0,
@@ -26,7 +38,7 @@ def filter_records(
     has_errors: bool | None = None,
 ) -> DataFrame:
     """AND of the given conditions; thresholds of 0 and missing values do not filter."""
-    if date_from is not None and date_to is not None and str(date_to) < str(date_from):
+    if date_from is not None and date_to is not None and _instant(date_to) < _instant(date_from):
         raise ValueError("date_to must not be before date_from")
     wanted: list[Column] = []
     if job_ids:

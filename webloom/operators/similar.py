@@ -59,10 +59,12 @@ def similar_pairs(records: DataFrame, fields: Sequence[str], threshold: float =
     and the pairs of its copies follow from a join with ``representatives``.
     """
     filled = spread(records).select(key, *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields])
-    first = representatives(filled, fields, key)
-    copies = first.where(F.col(key) != F.col("first")).select(F.col("first").alias("id1"), F.col(key).alias("id2"), F.lit(1.0).alias("score"))
-    distinct = filled.join(first.where(F.col(key) == F.col("first")).select(key), key, "left_semi")
-    # several passes follow, most over the word sets only: they are worked out once and stored
+    # the records are read and hashed once; several passes follow, most over hashes or word sets only
+    base = written(filled.select("*", content_hash(**{f: F.col(f) for f in fields}).alias("__h")))
+    leaders = base.groupBy("__h").agg(F.min(key).alias("first"))
+    copies = base.select(key, "__h").join(leaders, "__h").where(F.col(key) != F.col("first")).select(
+        F.col("first").alias("id1"), F.col(key).alias("id2"), F.lit(1.0).alias("score"))
+    distinct = base.drop("__h").join(leaders.select(F.col("first").alias(key)), key, "left_semi")
     stored = written(distinct.select("*", *[tokens(F.col(f)).alias(f"__w_{f}") for f in fields]))
     return copies.unionByName(_near_pairs(stored, list(fields), threshold, key))
 
@@ -91,15 +93,15 @@ def _candidates(df: DataFrame, fields: list[str], threshold: float, key: str) ->
     need = k * threshold - (k - 1)
     if need <= 0:
         raise ValueError("too many fields for this threshold: some field could differ in every word")
-    seen = df.agg(*[F.approx_count_distinct(f).alias(f) for f in fields]).first()
-    driver = max(fields, key=lambda f: seen[f] or 0)
+    counts = df.agg(F.count(F.lit(1)).alias("n"), F.struct(*[F.approx_count_distinct(f).alias(f) for f in fields]).alias("distinct")).first()
+    driver = max(fields, key=lambda f: counts["distinct"][f] or 0)
     w = f"__w_{driver}"
 
     exploded = df.select(key, F.size(w).alias("n"), F.explode(w).alias("word"))
     usage = exploded.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    # at most (mean words per record) / HOT_SHARE words can be in so many records: safe to broadcast
-    many = max(2, math.ceil(df.count() * HOT_SHARE))
-    hot = F.broadcast(usage.where(F.col("df") >= many))
+    # words in so many records go last; their table grows with the words per record, so the planner chooses the join
+    many = max(2, math.ceil(counts["n"] * HOT_SHARE))
+    hot = usage.where(F.col("df") >= many)
     order = Window.partitionBy(key).orderBy("df", "word")
     ranked = exploded.join(hot, "word", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("pos", F.row_number().over(order))
     prefix = ranked.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * need - 1e-9) + 1).select(key, "n", "word", "pos")

@@ -209,7 +209,7 @@ def a9(t):
 @query("a14_jobs_export", "SELECT CAST(job_id AS STRING) AS job_id, status, CAST(priority AS STRING) AS priority FROM v_jobs", ["v_jobs"])
 def a14(t):
     path = folder(t, "jobs")
-    W.export(t.jobs(), path, "csv", fields=["job_id", "status", "priority"], max_records=1000000)
+    W.export(t.jobs(), path, "csv", fields=["job_id", "status", "priority"])
     return t.spark.read.option("header", True).csv(path)
 
 

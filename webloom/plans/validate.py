@@ -94,9 +94,9 @@ def j21(t):
 
 
 @query("j22_checked_string", f"""
-SELECT doc_id AS data_id, length(text) <= 1000 AND {_danger_sql('substr(text, 1, 1000)')} IS NULL AS is_valid,
+SELECT doc_id AS data_id, length(text) <= 1000 AND {_danger_sql('text')} IS NULL AS is_valid,
  {strip_sql("regexp_replace(replace(replace(replace(replace(replace(substr(text, 1, 1000), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'), '[\\s\\x0b\\x{85}\\p{Z}]+', ' ', 'g')")} AS value,
- CAST((length(text) > 1000)::INT + ({_danger_sql('substr(text, 1, 1000)')} IS NOT NULL)::INT AS INT) AS errors FROM documents""")
+ CAST((length(text) > 1000)::INT + ({_danger_sql('text')} IS NOT NULL)::INT AS INT) AS errors FROM documents""")
 def j22(t):
     df = t.texts().select(F.col("doc_id").alias("data_id"), V.check_string("text").alias("r"))
     return df.select("data_id", "r.is_valid", "r.value", F.size("r.errors").alias("errors"))

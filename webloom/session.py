@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Partitions before costly per-row steps; set for local sessions only, whose files are small.
+SCAN_PARTITIONS = "webloom.scan.partitions"
+
+
 def build_session(master: str | None = None, cores: int = 8, **conf: str) -> SparkSession:
     """Session used by tests and the benchmark; on a cluster, spark-submit settings win."""
     builder = (
@@ -25,6 +29,7 @@ def build_session(master: str | None = None, cores: int = 8, **conf: str) -> Spa
         builder = (
             builder.master(master)
             .config("spark.sql.shuffle.partitions", str(cores))
+            .config(SCAN_PARTITIONS, str(cores))
             .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         )
     for key, value in conf.items():
@@ -38,10 +43,12 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and written intermediates.
 
     A cluster names it in ``spark.checkpoint.dir`` (storage every executor sees). Only where that
-    is unset, as in local tests, a scratch folder of this machine is taken.
+    is unset and all work is done by this machine, as in local tests, a scratch folder of it is taken.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="webloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -64,12 +71,10 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core before a costly per-row step.
+    """Rows dealt out evenly before a costly per-row step, where the session asks for it by ``webloom.scan.partitions``.
 
-    Files of few row groups give few tasks. An input that already has enough partitions, as any
-    large one does, stays where it is.
+    Files of few row groups give few tasks; whoever knows the files sets the number. It is unset by default:
+    large inputs have their splits, and nothing is executed to find out.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df if df.isStreaming or not parts else df.repartition(int(parts))

@@ -31,18 +31,19 @@ def shaped(df: DataFrame, fmt: str, fields: Sequence[str] | None = None, include
 
 def export(
     df: DataFrame, path: str, fmt: str, *, user_id: str = "", fields: Sequence[str] | None = None, include_raw_html: bool = False,
-    compress: bool = False, max_records: int = 1000, order_by: str | None = None, ledger: str | None = None, export_id: str | None = None,
+    compress: bool = False, max_records: int | None = None, order_by: str | None = None, ledger: str | None = None, export_id: str | None = None,
     **filters: object,
 ) -> DataFrame:
     """Writes an export and returns its one-row manifest, appended to ``ledger`` if a path is given.
 
     Executors write the part files; the row count is observed during the write, so the data is
-    read once. ``max_records`` bounds the rows per file. ``order_by`` range-partitions, so parts in
+    read once. ``max_records`` bounds the rows per file, for exports in chunks; by default a task
+    writes one file. ``order_by`` range-partitions, so parts in
     name order are in order without one task holding all rows.
     """
     if fmt not in FORMATS:
         raise ValueError(f"Unsupported export format: {fmt}")
-    if not 100 <= max_records <= 10_000_000:
+    if max_records is not None and not 100 <= max_records <= 10_000_000:
         raise ValueError("max_records out of range")
     spark = df.sparkSession
     export_id = export_id or str(uuid.uuid4())
@@ -54,7 +55,7 @@ def export(
         if order_by:
             rows = rows.repartitionByRange(order_by).sortWithinPartitions(order_by)
         rows = shaped(rows, fmt, fields, include_raw_html).observe(seen, F.count(F.lit(1)).alias("n"))
-        writer = rows.write.mode("overwrite").option("maxRecordsPerFile", max_records)
+        writer = rows.write.mode("overwrite").option("maxRecordsPerFile", max_records or 0)
         if compress and fmt != "parquet":
             writer = writer.option("compression", "gzip")
         if fmt == "csv":
@@ -62,7 +63,7 @@ def export(
         writer.format(fmt).save(path)
         count = seen.get["n"]
     except Exception as fault:  # the manifest records the failure; the caller decides
-        status, error = "failed", str(fault)[:500]
+        status, error = "failed", str(fault)
     ended = spark.sql("SELECT current_timestamp() AS t").first().t
     manifest = spark.createDataFrame(
         [(export_id, user_id, fmt, repr(dict(filters)), status, path if status == "completed" else None, count, started, ended, error)], MANIFEST)

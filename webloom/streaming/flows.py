@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from webloom.functions.cleaning import content_hash
 from webloom.functions.common import before, micros
-from webloom.operators.cleaning import DEFAULT_RULES, CleaningRule, clean
+from webloom.operators.cleaning import DEFAULT_RULES, CleaningRule, clean, keep_first
 from webloom.operators.pages import best_title, extract_pages
 from webloom.session import shared_folder
 from webloom.sources.sinks import LOG_TABLES, prepare_rows
@@ -56,12 +56,15 @@ def ingest(
 ) -> DataFrame:
     """Pages to clean records: extract, keep the first of each content, clean.
 
-    With an event time the memory for contents reaches back as far as the watermark, without one it
-    keeps a hash for every content.
+    A table keeps the first page of a content in order of time and page_id, a stream the first that arrives.
+    With an event time a stream's memory for contents reaches back as far as the watermark, without one
+    it keeps a hash for every content.
     """
     found = extract_pages(pages, **options).withColumn("title", best_title()).drop("metas")
     hashed = found.withColumn("content_hash", content_hash(title=F.col("title"), text=F.col("text")))
-    if ts is None or not pages.isStreaming:
+    if not pages.isStreaming:
+        once = keep_first(found, ["title", "text"], [c for c in (ts, "page_id") if c and c in found.columns])
+    elif ts is None:
         once = hashed.dropDuplicates(["content_hash"])
     else:
         once = event_time(hashed, ts, late).dropDuplicatesWithinWatermark(["content_hash"])
@@ -84,17 +87,21 @@ def rollup(perf: DataFrame, width: str = "1 hour", slide: str | None = None, lat
 
 def keyed(
     events: DataFrame, key: Sequence[str], ts: str, tie: str, machine, inputs: Sequence[str], outputs: Sequence[tuple[str, T.DataType]],
-    time_to_live: float = 86400.0, late: str = LATE,
+    time_to_live: float | None = None, late: str = LATE,
 ) -> DataFrame:
     """Runs a machine per key over a stream, its state kept between batches.
 
-    State of a key without events for ``time_to_live`` seconds of event time is dropped. Within a
+    State of a key without events for as long as the machine remembers anything (its ``horizon``) is dropped,
+    so the results are those of the batch form; a machine without a horizon keeps its state, unless
+    ``time_to_live`` seconds are given, after which a key starts anew. Within a
     batch the events of a key are taken in order of time; the rows per batch are bounded by the
     source (``maxFilesPerTrigger``).
     """
     timed = event_time(events, ts, late).withColumn(AT, micros(ts))
     schema = T.StructType([*timed.schema.fields, *[T.StructField(n, k) for n, k in outputs]])
-    names, wanted, live = [n for n, _ in outputs], list(inputs), int(time_to_live * 1000)
+    names, wanted = [n for n, _ in outputs], list(inputs)
+    span = getattr(machine, "horizon", None) if time_to_live is None else time_to_live
+    live = None if span is None else int(span * 1000) + 1
 
     def step(mark: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -107,11 +114,12 @@ def keyed(
             memory, result = machine.step(memory, *row)
             results.append(result)
         state.update((json.dumps(memory),))
-        state.setTimeoutTimestamp(max(int(batch[AT].iloc[-1]) // 1000 + live, state.getCurrentWatermarkMs() + 1))
+        if live is not None:
+            state.setTimeoutTimestamp(max(int(batch[AT].iloc[-1]) // 1000 + live, state.getCurrentWatermarkMs() + 1))
         yield pd.concat([batch, pd.DataFrame(results, columns=names)], axis=1)
 
     memory_schema = T.StructType([T.StructField("memory", T.StringType())])
-    out = timed.groupBy(*key).applyInPandasWithState(step, schema, memory_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    out = timed.groupBy(*key).applyInPandasWithState(step, schema, memory_schema, "append", GroupStateTimeout.NoTimeout if live is None else GroupStateTimeout.EventTimeTimeout)
     return out.drop(AT)
 
 
