@@ -24,6 +24,10 @@ def test_every_query_has_unique_purpose():
     assert len(QUERIES) > 200 and set(ORACLE) <= set(QUERIES)
 
 
+def test_only_known_queries_lack_sql():
+    assert set(QUERIES) - set(ORACLE) == {"x20_crawl_expansion", "j25_json_checks", "k6_single_limit"}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -178,10 +178,15 @@ def d11(t):
     return O.clean(t.contacts(), FIELDS).agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("rejected"))
 
 
-@query("j9_content_hash", "SELECT md5(concat(title, chr(10), text)) IS NOT NULL AS hashed, count(DISTINCT concat(title, chr(10), text)) AS contents FROM v_scraped_data GROUP BY 1", ["v_scraped_data"])
+@query("j9_content_hash", "SELECT data_id, md5(concat('text=', to_json([text]), chr(10), 'title=', to_json([title]))) AS h FROM v_scraped_data", ["v_scraped_data"])
 def j9(t):
-    h = t.records().select(C.content_hash(title=F.col("title"), text=F.col("text")).alias("h"))
-    return h.groupBy(F.col("h").isNotNull().alias("hashed")).agg(F.countDistinct("h").alias("contents"))
+    return t.records().select("data_id", C.content_hash(title=F.col("title"), text=F.col("text")).alias("h"))
+
+
+@query("j9_map_hash", """SELECT data_id, md5(concat('{"content_type":', to_json(content_type), ',"title":', to_json(title), '}')) AS h FROM v_scraped_data""", ["v_scraped_data"])
+def j9b(t):
+    nested = F.create_map(F.lit("title"), F.col("title"), F.lit("content_type"), F.col("content_type"))
+    return t.records().select("data_id", C.map_hash(nested).alias("h"))
 
 
 @query("g1_keep_first", """

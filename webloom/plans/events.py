@@ -18,6 +18,17 @@ def src(t, n):
         "event_type", "value", (F.col("event_type") != "error").alias("ok"))
 
 
+@query("k2_client_tiers", """
+SELECT event_id AS id, CASE WHEN event_id % 3 > 0 THEN concat('user:', CAST(user_id AS STRING)) WHEN event_id % 2 = 0 THEN concat('ip:10.0.0.', CAST(user_id AS STRING)) ELSE 'ip:127.0.0.1' END AS client,
+ CASE WHEN event_id % 3 = 0 THEN 20 WHEN event_type = 'view' THEN 100 WHEN event_type = 'error' THEN 200 ELSE 150 END AS allowed_per_minute FROM events""")
+def k2_tiers(t):
+    e, known = t["events"], F.col("event_id") % 3 > 0
+    forwarded = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" 10.0.0."), F.col("user_id").cast("string"), F.lit(", 172.16.0.1")))
+    path = F.when(F.col("event_type") == "view", "/api/v1/scraping/jobs/7").when(F.col("event_type") == "error", "/api/v1/data").otherwise("/api/v1/health")
+    return e.select(F.col("event_id").alias("id"), E.client_key(F.when(known, F.col("user_id")), forwarded, F.lit("127.0.0.1")).alias("client"),
+                    E.limit_for(known, path).alias("allowed_per_minute"))
+
+
 @query("k2_sliding_limit", f"""
 WITH RECURSIVE {SRC.format(n=30)},
 r AS (SELECT src, k, id, [epoch_us(ts)] AS h, true AS allowed, CAST(0 AS BIGINT) AS retry_after FROM e WHERE k = 1

@@ -158,6 +158,35 @@ def a6(t):
     return stored.select("log_id", "level", F.size("context").alias("context_size"), F.to_date("day").alias("day"))
 
 
+@query("a6_metric_rows", """SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'system_snapshot' END AS metric_name,
+ CASE WHEN event_id % 2 = 0 THEN value ELSE CAST(user_id AS DOUBLE) END AS metric_value, CAST(ts AS DATE) AS day FROM events""")
+def a6_metrics(t):
+    root, named = folder(t, "rows"), F.col("event_id") % 2 == 0
+    rows = t["events"].select(
+        F.col("event_id").alias("id"), F.when(named, F.col("event_type")).alias("metric_name"), F.when(named, F.col("value")).alias("metric_value"),
+        F.col("user_id").cast("double").alias("cpu_percent"), F.col("ts").alias("recorded_at"))
+    W.append_rows(rows, root, "system_metrics")
+    return t.spark.read.parquet(f"{root}/system_metrics").select("id", "metric_name", "metric_value", F.to_date("day").alias("day"))
+
+
+@query("a6_alert_rows", "SELECT event_id AS alert_id, 'active' AS status, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'error'")
+def a6_alerts(t):
+    root = folder(t, "rows")
+    W.append_rows(t.alerts().select("alert_id", "triggered_at"), root, "alerts")
+    return t.spark.read.parquet(f"{root}/alerts").select("alert_id", "status", F.to_date("day").alias("day"))
+
+
+@query("a6_other_rows", """SELECT 'application_metrics' AS kind, event_id AS id, CAST(ts AS DATE) AS day FROM events
+UNION ALL SELECT 'performance_metrics', event_id, CAST(ts AS DATE) FROM events UNION ALL SELECT 'health_checks', event_id, CAST(ts AS DATE) FROM events""")
+def a6_others(t):
+    root, out = folder(t, "rows"), None
+    for table in ("application_metrics", "performance_metrics", "health_checks"):
+        W.append_rows(t["events"].select(F.col("event_id").alias("id"), F.col("ts").alias(W.LOG_TABLES[table])), root, table)
+        stored = t.spark.read.parquet(f"{root}/{table}").select(F.lit(table).alias("kind"), "id", F.to_date("day").alias("day"))
+        out = stored if out is None else out.unionByName(stored)
+    return out
+
+
 @query("a7_csv_export", """
 SELECT CAST(data_id AS STRING) AS data_id, CASE WHEN ai_processed THEN 'True' ELSE 'False' END AS content_analysed, coalesce(title, 'None') AS content_title, concat_ws(', ', err_a, err_b) AS validation_errors FROM v_scraped_data WHERE confidence_score >= 0.5""", ["v_scraped_data"])
 def a7(t):

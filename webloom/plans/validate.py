@@ -146,7 +146,7 @@ def j26(t):
 
 @query("j27_coercion", """
 SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value ELSE 0.0 END AS as_float, coalesce(CASE WHEN event_id % 3 > 0 THEN event_type END, '') AS as_string,
- CASE WHEN event_id % 3 > 0 THEN 1 ELSE 0 END AS list_items, CASE WHEN event_id % 2 = 0 THEN date_trunc('second', ts) END AS as_time FROM events""")
+ CASE WHEN event_id % 3 > 0 THEN 1 ELSE 0 END AS list_items, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS map_items, CASE WHEN event_id % 2 = 0 THEN date_trunc('second', ts) END AS as_time FROM events""")
 def j27(t):
     e, even = t["events"], F.col("event_id") % 2 == 0
     raw = F.when(even, F.col("value").cast("string")).otherwise("n/a")
@@ -154,7 +154,8 @@ def j27(t):
     when = F.when(even, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).otherwise("soon")
     return e.select(
         "event_id", V.ensure_float(raw).alias("as_float"), V.ensure_string(word).alias("as_string"),
-        F.size(V.ensure_list(word, False)).alias("list_items"), V.ensure_timestamp(when).cast("timestamp_ntz").alias("as_time"))
+        F.size(V.ensure_list(word, False)).alias("list_items"),
+        F.size(V.ensure_map(F.when(even, F.create_map(F.lit("k"), F.col("event_type"))))).alias("map_items"), V.ensure_timestamp(when).cast("timestamp_ntz").alias("as_time"))
 
 
 @query("j31_strip_credentials", """
