@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from webloom.functions.common import any_of, micros
-from webloom.functions.markup import PageReader
 from webloom.functions.urls import host, path
 from webloom.operators.ordered import lagged, spaced
 from webloom.session import cut_lineage
@@ -72,28 +71,20 @@ class RobotsRules:
                 yield (agent, number, row["allow"], row["path"], row["delay"], row["requests"], row["seconds"])
 
 
-class PageLinks:
-    """(pos, href, text) of every link of a page, for use in SQL: ``page_links(html)``."""
-
-    def __init__(self):
-        self.reader = PageReader((), ("body",), {}, "priority")
-
-    def eval(self, html: str):
-        for pos, a in enumerate(self.reader(html or "")["anchors"]):
-            yield (pos, a["href"], a["text"])
+def page_links(extracts: DataFrame) -> DataFrame:
+    """(page_id, pos, href, text) of every link of extracted pages: the pages are read once, whatever is expanded."""
+    return extracts.select("page_id", F.posexplode("anchors").alias("pos", "a")).select("page_id", "pos", "a.href", "a.text")
 
 
 def register_functions(spark: SparkSession) -> None:
     """Table functions for SQL users."""
     spark.udtf.register("robots_rules", udtf(RobotsRules, returnType=RULE))
-    spark.udtf.register("page_links", udtf(PageLinks, returnType="pos int, href string, text string"))
 
 
 def robots_rules(spark: SparkSession, robots: DataFrame) -> DataFrame:
     """(host, rule columns) of a table (host, text)."""
     register_functions(spark)
-    robots.createOrReplaceTempView("__robots")
-    return spark.sql("SELECT r.host, x.* FROM __robots r, LATERAL robots_rules(r.text) x")
+    return spark.sql("SELECT r.host, x.* FROM {robots} r, LATERAL robots_rules(r.text) x", robots=robots)
 
 
 def robots_permission(urls: DataFrame, rules: DataFrame, user_agent: str = "*") -> DataFrame:

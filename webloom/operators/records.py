@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
@@ -176,26 +176,26 @@ def without_raw_html(df: DataFrame, include_raw_html: bool = False) -> DataFrame
     return df if include_raw_html else df.drop("raw_html")
 
 
-def map_keys_of(df: DataFrame, column: str) -> list[str]:
-    """Distinct keys of a map column: they become the columns of a flat file."""
-    keys = df.select(F.explode(F.map_keys(column)).alias("k")).distinct()
-    return sorted(row.k for row in keys.collect())
-
-
 def _texts(items: Column, kind: T.DataType) -> Column:
     return F.transform(items, lambda x: python_text(x, kind))
 
 
-def flatten(df: DataFrame) -> DataFrame:
-    """One level flat: nested fields become ``a_b`` text columns, lists become joined text."""
+def flatten(df: DataFrame, map_keys: Mapping[str, Sequence[str]] = {}) -> DataFrame:
+    """One level flat: nested fields become ``a_b`` text columns, lists become joined text.
+
+    ``map_keys`` names the keys of map columns that become columns; a map without named keys becomes one
+    JSON text, so that the columns never depend on the rows.
+    """
     out: list[Column] = []
     for field in df.schema.fields:
         kind, value = field.dataType, F.col(field.name)
         if isinstance(kind, T.StructType):
             for inner in kind.fields:
                 out.append(python_text(value[inner.name], inner.dataType).alias(f"{field.name}_{inner.name}"))
+        elif isinstance(kind, T.MapType) and field.name not in map_keys:
+            out.append(F.to_json(value).alias(field.name))
         elif isinstance(kind, T.MapType):
-            for key in map_keys_of(df, field.name):
+            for key in map_keys[field.name]:
                 shown = python_text(value[key], kind.valueType)
                 out.append(F.when(F.map_contains_key(value, key), shown).alias(f"{field.name}_{key}"))
         elif isinstance(kind, T.ArrayType):

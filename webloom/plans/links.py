@@ -117,7 +117,5 @@ def j29(t):
 
 @query("m5_table_function", f"WITH {PARTS} SELECT page_id, {un('href')} AS href FROM ln", ["v_pages"])
 def m5(t):
-    L.register_functions(t.spark)
-    t.pages().createOrReplaceTempView("__pages")
-    return t.spark.sql("SELECT p.page_id, l.href FROM __pages p, LATERAL page_links(p.raw_html) l")
+    return L.page_links(X.extract_pages(t.pages().select("page_id", "raw_html"))).select("page_id", "href")
 

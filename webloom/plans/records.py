@@ -82,7 +82,7 @@ def c3(t):
         "data_id",
         F.struct("title", F.col("content_length").alias("n_chars"), F.col("ai_processed").alias("analysed")).alias("content"),
         "validation_errors", meta.alias("meta"),
-    ))
+    ), {"meta": ["type", "note"]})
 
 
 LISTING_SQL = f"""
