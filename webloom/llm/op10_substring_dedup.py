@@ -54,12 +54,11 @@ class Paragraphs:
     """Borders and digests of a text's paragraphs; numpy arrays by paragraph."""
 
     def __init__(self, text: str):
-        lines = [word_hashes(line) for line in text.split("\n")]
-        self.hashes = h = np.concatenate(lines)
+        self.hashes = h = word_hashes(text)
         n = len(h)
         border = np.zeros(n, bool)
         if n:
-            starts = np.cumsum([0, *map(len, lines)])[:-1]
+            starts = np.cumsum([0, *(len(line.encode().split()) for line in text.split("\n"))])[:-1]
             border[starts[starts < n]] = True
             border[0] = True
             score = mixed(h ^ (np.roll(h, 1) << np.uint64(1)))
@@ -141,10 +140,11 @@ def first_links(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("key", "salt").orderBy("doc", "pack").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     one = paragraph("doc", "pack")
     placed = rows.withColumn("salt", salt).withColumns({"first": F.first(one).over(order), "last": F.lag("doc").over(Window.partitionBy("key", "salt").orderBy("doc", "pack"))})
-    links = placed.where("last IS NOT NULL").select("key", one.alias("member"), "first")
     if not hot:
-        return links.select("member", "first").where("member.doc != first.doc")
-    heads = placed.where(F.col("key").isin(hot) & F.col("last").isNull())
+        return placed.where("last IS NOT NULL").select(one.alias("member"), "first").where("member.doc != first.doc")
+    # links and the firsts of salted bands come out of one pass over the texts
+    both = written(placed.where(F.col("last").isNotNull() | F.col("key").isin(hot)).select("key", one.alias("member"), "first", "last"))
+    links, heads = both.where("last IS NOT NULL").drop("last"), both.where(F.col("key").isin(hot) & F.col("last").isNull())
     best = heads.groupBy("key").agg(F.min("first").alias("best"))
     lead = F.broadcast(best)  # at most HOT rows
     through = heads.join(lead, "key").select(F.col("first").alias("member"), F.col("best").alias("first"))
