@@ -17,17 +17,20 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     high, low = F.greatest(a, b), F.least(a, b)
     now = written(edges.where(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")).distinct())
-    mark = None
-    while True:
-        state = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum((F.xxhash64("v", "u") % 1_000_003))).head())
-        if state == mark or not state[0]:
-            break
-        mark = state
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _stars(now: DataFrame) -> bool:
+    """Every node points at one other, which points nowhere: nothing is left to do."""
+    sides = now.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        now.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    nodes = sides.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return not nodes.agg(F.max((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0)))).head()[0]

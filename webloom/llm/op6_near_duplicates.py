@@ -7,9 +7,9 @@ left out, and every pair within the distance meets under some key. At a similari
 31 of 64 has a probability of about 1e-5, and less above. Links are confirmed on the full sets.
 
 Equal sets are one class. Inside a key, classes are first compared with one centre; what that joins needs no
-further comparison, since only reachability is asked for. Then all pairs of a key that lie in different
-components are compared; keys that many components share are first split by a second chunk, again
-without loss. So a large group of near copies costs rows in proportion to its size.
+further comparison, since only reachability is asked for. Then all members of a key that lie in different
+components are compared by their signatures, key by key in sorted order, and only pairs within the
+distance become rows; keys with very many members are first split by a second chunk, again without loss.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ CHUNKS = SYMBOLS // CHUNK
 #: Differing symbols up to which a pair is found for certain: one error per chunk, and one short of two in each.
 DISTANCE = 2 * CHUNKS - 1
 #: Members of a key above which pairs are sought under a second chunk as well.
-SPLIT = 256
-ROUNDS = 3
+SPLIT = 16384
+ROUNDS = 2
+#: Rows that are compared together; a memory bound.
+TOGETHER = 20_000
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +128,58 @@ def split_keys(rows: DataFrame) -> DataFrame:
     return rows.select("key", "class", "root", "signature").mapInArrow(run, "key long, class long, root long")
 
 
+def met(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, distance) of members of a key in different components, within the distance and of sizes that can be similar.
+
+    Rows come sorted by key; row i is compared with row i + 1, then i + 2 and so on, for all keys of a portion at
+    once, as long as both have the same key. Keys have at most SPLIT members. A pair whose first key is a larger
+    one comes from there.
+    """
+
+    def pairs_of(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, ids, roots, sizes = (part.column(c).to_numpy() for c in ("key", "class", "root", "n_shingles"))
+        signatures = symbols(part.column("signature"))
+        at, step = np.arange(len(keys)), 1
+        while True:
+            at = at[at + step < len(keys)]
+            at = at[keys[at] == keys[at + step]]
+            if not len(at):
+                return
+            apart = at[roots[at] != roots[at + step]]
+            small, large = np.minimum(sizes[apart], sizes[apart + step]), np.maximum(sizes[apart], sizes[apart + step])
+            apart = apart[100 * small >= percent * large]
+            differ = (signatures[apart] != signatures[apart + step]).reshape(-1, CHUNKS, CHUNK)
+            wrong = differ.sum(2)
+            distance = wrong.sum(1).astype(np.int32)
+            # a pair meets under several keys and is told under the first of them
+            chunk = (wrong <= 1).argmax(1)
+            left_out = differ[np.arange(len(chunk)), chunk].argmax(1)
+            hit = (distance <= DISTANCE) & (keys[apart] >> 48 == chunk * CHUNK + left_out)
+            if hit.any():
+                a, b = ids[apart[hit]], ids[apart[hit] + step]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(distance[hit])], names=["a", "b", "distance"])
+            step += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            if sum(map(len, held)) < TOGETHER:
+                continue
+            table = pa.Table.from_batches(held)
+            keys = table.column("key").to_numpy()
+            whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+            yield from pairs_of(table.slice(0, whole))
+            held = table.slice(whole).to_batches()
+        if held:
+            yield from pairs_of(pa.Table.from_batches(held))
+
+    dealt = rows.select("key", "class", "root", "n_shingles", "signature").repartition("key").sortWithinPartitions("key", "class")
+    return dealt.mapInArrow(run, "a long, b long, distance int")
+
+
 def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b, distance) of the pairs (a, b) whose signatures are within the distance."""
 
@@ -171,7 +225,7 @@ def with_roots(rows: DataFrame, roots: DataFrame | None, name: str = "class", ou
 def link_classes(docs: DataFrame, table: DataFrame, percent: int) -> DataFrame | None:
     """(node, root) of all classes that are linked to another; None where no two share a key."""
     classes = written(table.where("class IS NOT NULL").groupBy("class").agg(
-        F.min(F.col("doc_id")).alias("doc_id"), F.first("signature").alias("signature")))
+        F.min(F.col("doc_id")).alias("doc_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")))
     keys = keyed(classes)
     often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared_keys = written(keys.join(often, "key"))
@@ -195,15 +249,15 @@ def link_classes(docs: DataFrame, table: DataFrame, percent: int) -> DataFrame |
         edges = new if edges is None else edges.unionByName(new)
         roots = components(edges, "a", "b")
     rows = with_roots(shared_keys, roots)
-    mixed_keys = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 < r1")
-    rows = written(rows.drop("n").join(mixed_keys.select("key", "size"), "key"))
-    small = rows.where(F.col("size") <= SPLIT).select("key", "class", "root")
-    large = split_keys(rows.where(F.col("size") > SPLIT).join(classes.select("class", "signature"), "class"))
-    left = small.unionByName(large)
+    open_keys = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 < r1")
+    rows = rows.drop("n").join(open_keys.select("key", "size"), "key").join(classes.select("class", "signature", "n_shingles"), "class")
+    rows = written(rows)
+    found = met(rows.where(F.col("size") <= SPLIT), percent)
+    left = split_keys(rows.where(F.col("size") > SPLIT))
     right = left.select("key", F.col("class").alias("other"), F.col("root").alias("other_root"))
     pairs = left.join(right, "key").where("root < other_root").select(
         F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-    close = written(near(pairs, classes))
+    close = written(found.unionByName(near(pairs, classes)).distinct())
     # first the nearest pair between any two components, then what is still apart
     for last in (False, True):
         open_ = with_roots(with_roots(close, roots, "a", "ra"), roots, "b", "rb").where("ra != rb")
