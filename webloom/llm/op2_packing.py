@@ -30,7 +30,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Id after each document.
 END = 2
 #: Pre-tokens whose ids one Python worker keeps; a memory bound, it has no effect on results.
-CACHE = 250_000
+CACHE = 400_000
 #: Rows that are ranked together in one task.
 CHUNK = 100_000
 #: Nodes of the search; when they are used up the incumbent stands.
