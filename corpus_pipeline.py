@@ -23,7 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more. The model learns from labelled documents that reach this stage, held-out ones excepted."""
+    """Documents scored 0.5 or more.
+
+    The model learns from labelled documents of the whole corpus, held-out ones excepted: those that the rules
+    reject are its best examples of label 0.
+    """
     labels = read_table(spark, sf_dir, "labels").where(~op7_quality_classifier.held_out(F.col("doc_id")))
     model = op7_quality_classifier.fit(read_table(spark, sf_dir, "documents"), labels)
     scored = op7_quality_classifier.classify(docs.select(F.struct(*docs.columns).alias("__row"), "text"), model, keep=["__row"])
