@@ -136,6 +136,22 @@ def test_bin_completion_against_all_packings(items):
     assert sum(t for _, t in runs) == fewest(sorted(items, reverse=True), 20)
 
 
+@pytest.mark.parametrize("counts", [{1: 1000}, {1: 5000}, {2: 5000}, {1: 5000, 2: 5000}, {1: 5000, 2: 700, 3: 1, 700: 20, 1000: 3, 1024: 2}])
+def test_thousands_of_empty_and_one_token_texts_fill_bins(counts):
+    runs = op2.pack_counts(counts)
+    packed = Counter()
+    for filling, times in runs:
+        assert sum(filling) <= 1024 and times > 0
+        for n in filling:
+            packed[n] += times
+    assert packed == counts
+    assert sum(t for _, t in runs) == -(-sum(n * c for n, c in counts.items()) // 1024)
+
+
+def test_a_search_without_steps_still_gives_a_filling():
+    assert op2.fillings(op2.Open({1: 5000, 3: 2}), 20, tries=0) == [(3, 3) + (1,) * 14]
+
+
 def test_digest_of_ids_is_the_contract_form(spark):
     from pyspark.sql import functions as F
 

@@ -135,39 +135,48 @@ class Open:
 def fillings(open_: Open, capacity: int, width: int = 3, tries: int = 400) -> list[tuple[int, ...]]:
     """Up to ``width`` undominated fillings of a bin around the largest open length, least waste first.
 
-    At each place the largest length that fits comes first; a filling that leaves room for a further open
-    length, or for a larger one in an item's place, is dominated and not looked at.
+    At each place the largest length that fits comes first, as often as count and room allow; a filling that
+    leaves room for a further open length, or for a larger one in an item's place, is dominated and not looked
+    at. A step adds all copies of a length, so a way down has no more steps than a bin has different lengths.
+    When ``tries`` steps are used up before any filling is known, the one begun is completed greedily.
     """
     largest = open_.order[-1]
     best: list[tuple[int, tuple[int, ...]]] = []
     budget = [tries]
 
-    def extend(chosen: list[int], room: int, most: int) -> bool:
+    def record(chosen: list[int], room: int) -> bool:
         """True when enough perfect fillings are known."""
+        entry = (room, tuple(chosen))
+        if entry not in best:
+            best.append(entry)
+            best.sort(key=lambda e: (e[0], tuple(-x for x in e[1])))
+            del best[width:]
+        return len(best) == width and best[-1][0] == 0
+
+    def greedy(chosen: list[int], room: int, n: int) -> bool:
+        while n:
+            times = min(open_.left[n], room // n)
+            chosen, room = chosen + [n] * times, room - n * times
+            n = open_.below(min(room, n - 1))
+        return record(chosen, room)
+
+    def extend(chosen: list[int], room: int, most: int) -> bool:
         n = open_.below(min(room, most))
-        while n and chosen.count(n) >= open_.left[n]:
-            n = open_.below(n - 1)
         if not n:
-            entry = (room, tuple(chosen))
-            if entry not in best:
-                best.append(entry)
-                best.sort(key=lambda e: (e[0], tuple(-x for x in e[1])))
-                del best[width:]
-            return len(best) == width and best[-1][0] == 0
+            return record(chosen, room)
         while n:
-            budget[0] -= 1
-            if budget[0] < 0 or (len(best) == width and best[-1][0] == 0):
-                return True
-            if chosen.count(n) < open_.left[n]:
-                chosen.append(n)
-                stop = extend(chosen, room - n, n)
-                chosen.pop()
-                if stop:
+            for times in range(min(open_.left[n], room // n), 0, -1):
+                budget[0] -= 1
+                if budget[0] < 0 and not best:
+                    greedy(chosen, room, n)
+                if budget[0] < 0 or extend(chosen + [n] * times, room - n * times, n - 1):
                     return True
+            if n == largest:  # every filling is around the largest
+                return False
             n = open_.below(n - 1)
         return False
 
-    extend([largest], capacity - largest, largest)
+    extend([], capacity, largest)
     return [f for _, f in best]
 
 
