@@ -168,6 +168,50 @@ def test_a_frequent_passage_goes_through_salts(spark, monkeypatch):
     assert all(0 in r["copies_in"] for i, r in got.items() if i)
 
 
+def test_a_paragraph_that_captures_the_bands_hides_no_copies(spark):
+    """The first of every band is unlike the others, which are copies and near copies of each other."""
+    r = random.Random(21)
+    n = 0
+    while n < 3:
+        hidden = sentence(r, 24)
+        found = op10.Paragraphs(hidden)
+        if len(found.starts) != 1:
+            continue
+        # a paragraph of the shingles that are least in each band, and many other words
+        least = [int(np.argmin(op10.mixed(op10.rolled(found.hashes, 5) ^ np.uint64(1 + b)))) for b in range(op10.BANDS)]
+        words = hidden.split()
+        captor = " ".join(w for at in least for w in words[at : at + 5]) + " extra"
+        near = " ".join([*words[:-1], "changed"])
+        keys = [op10.Paragraphs(t).keys()[: op10.BANDS, 0] for t in (captor, hidden, near)]
+        if len(op10.Paragraphs(captor).starts) != 1 or len(op10.Paragraphs(near).starts) != 1 or any((k != keys[0]).any() for k in keys):
+            continue
+        n += 1
+        rows = [(1, captor), (2, hidden), (3, hidden), (4, near)]
+        got = {x["doc_id"]: x for x in rows_of(op10.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")))}
+        assert [got[i]["text"] for i in (1, 2, 3, 4)] == [captor, hidden, "", ""]
+        assert got[3]["copies_in"] == [2] and got[4]["copies_in"] == [2]
+
+
+def test_all_members_of_a_band_in_different_components_are_compared():
+    r = random.Random(22)
+    sets = []
+    for _ in range(40):
+        base = r.sample(range(10**6), 20)
+        sets += [np.array(sorted([*base[k:], *r.sample(range(10**6), k)]), np.int64) for k in (0, 0, 1, 2)]
+    r.shuffle(sets)
+    roots, parent = list(range(len(sets))), {i: i for i in range(len(sets))}
+    for i, j in combinations(range(len(sets)), 2):
+        joint = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+        if 100 * joint >= 75 * (len(sets[i]) + len(sets[j]) - joint):
+            parent[find(parent, j)] = find(parent, i)
+    got = {i: i for i in range(len(sets))}
+    for later, earlier in op10.alike(list(range(len(sets))), roots, sets):
+        assert later > earlier
+        got[find(got, later)] = find(got, earlier)
+    both = {(find(parent, i), find(got, i)) for i in range(len(sets))}
+    assert len(both) == len({a for a, _ in both}) == len({b for _, b in both})
+
+
 def test_substring_dedup_table(spark):
     docs = documents(spark).withColumnRenamed("rank", "__at")
     got = rows_of(op10.cut_repeats(docs))

@@ -2,9 +2,10 @@
 
 Texts are cut into paragraphs: at line ends, and inside a line before words whose hash is the smallest among
 their neighbours, so that a passage is cut alike wherever it stands. Paragraphs meet when a band of
-min-hashes of their five-word shingles agrees; each is compared with the first of its band, equal digests
-settle copies, exact Jaccard similarity of the shingle sets settles the rest. Firsts that share a member form
-components, of which the first paragraph of all stays. Runs of repeated paragraphs are cut out of the text.
+min-hashes of their five-word shingles agrees. Equal paragraphs meet under a key of their own, the digest;
+each is compared with the first of its band by exact Jaccard similarity of the shingle sets, then all members
+of a band that still lie in different components are compared with each other. Of each component the first
+paragraph of all stays. Runs of repeated paragraphs are cut out of the text.
 """
 
 from __future__ import annotations
@@ -72,16 +73,18 @@ class Paragraphs:
         self.starts = np.flatnonzero(border)
         self.sizes = np.diff(np.append(self.starts, n))
 
-    def packs(self) -> np.ndarray:
-        """Number << 40 | digest of each paragraph."""
+    def digests(self) -> np.ndarray:
         if not len(self.starts):
-            return np.empty(0, np.int64)
+            return np.empty(0, np.uint64)
         place = np.arange(len(self.hashes)) - np.repeat(self.starts, self.sizes)
-        sums = np.add.reduceat(mixed(self.hashes ^ mixed(place.astype(np.uint64) + np.uint64(1))), self.starts)
-        return (np.arange(len(self.starts), dtype=np.int64) << DIGEST_BITS) | (mixed(sums) >> np.uint64(64 - DIGEST_BITS)).astype(np.int64)
+        return mixed(np.add.reduceat(mixed(self.hashes ^ mixed(place.astype(np.uint64) + np.uint64(1))), self.starts))
+
+    def packs(self) -> np.ndarray:
+        """Number << 40 | digest of each paragraph."""
+        return (np.arange(len(self.starts), dtype=np.int64) << DIGEST_BITS) | (self.digests() >> np.uint64(64 - DIGEST_BITS)).astype(np.int64)
 
     def keys(self) -> np.ndarray:
-        """(bands x paragraphs) keys; only for paragraphs of a shingle or more."""
+        """(bands + 1 x paragraphs) keys, the last one the whole digest; only for paragraphs of a shingle or more."""
         n = len(self.hashes)
         shingles = np.full(n, np.uint64(2**64 - 1))
         whole = rolled(self.hashes, SHINGLE)
@@ -94,7 +97,7 @@ class Paragraphs:
                 shingles[: len(whole)] = np.where(inside, mixed(whole ^ np.uint64(1 + band * ROWS + row)), np.uint64(2**64 - 1))
                 key = mixed(key * np.uint64(31) + np.minimum.reduceat(shingles, self.starts)) if n else key
             out.append(key ^ np.uint64(band))
-        return np.stack(out)
+        return np.stack([*out, self.digests()])
 
     def shingles(self, number: int) -> np.ndarray:
         at = self.starts[number]
@@ -102,37 +105,38 @@ class Paragraphs:
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """(key, doc, pack) for each band of each paragraph of at least five words."""
+    """(key, doc, pack, exact) for each band and the digest (exact) of each paragraph of at least five words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches, "text"):
-            keys, ids, packs = [], [], []
+            keys, ids, packs, exact = [], [], [], []
             for doc, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist(), strict=True):
                 found = Paragraphs(text)
                 long = found.sizes >= SHINGLE
                 if long.any():
                     own = found.keys()[:, long]
                     keys.append(own.reshape(-1))
-                    packs.append(np.tile(found.packs()[long], BANDS))
+                    packs.append(np.tile(found.packs()[long], BANDS + 1))
+                    exact.append(np.arange(own.size) >= BANDS * own.shape[1])
                     ids.append(np.full(own.size, doc, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(packs))], names=["key", "doc", "pack"])
+                    [pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(packs)), pa.array(np.concatenate(exact))],
+                    names=["key", "doc", "pack", "exact"])
 
-    return docs.mapInArrow(run, "key long, doc long, pack long")
+    return docs.mapInArrow(run, "key long, doc long, pack long, exact boolean")
 
 
 def paragraph(doc: str, pack: str) -> Column:
     return F.struct(F.col(doc).alias("doc"), F.col(pack).alias("pack"))
 
 
-def first_links(docs: DataFrame) -> DataFrame:
-    """(member, first) paragraphs of a band, members in later documents than the first.
+def first_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(member, first) paragraphs of a key of ``rows``, members in later documents than the first.
 
     Rows stream through one sorted pass per band. A band that the sample shows to be frequent is first grouped
     by salts, then the firsts of its salts are linked to the first of all.
     """
-    rows = banded(docs)
     sample = banded(docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0))
     hot = sample.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 20").orderBy(F.desc("n"), "key").limit(HOT)
     hot = [r["key"] for r in hot.collect()]
@@ -152,9 +156,9 @@ def first_links(docs: DataFrame) -> DataFrame:
     return direct.unionByName(through).where("member.doc != first.doc")
 
 
-def similar(links: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of links between different paragraphs those whose shingle sets are similar enough."""
-    ends = links.select(F.explode(F.array("member", "first")).alias("p")).select("p.doc", "p.pack").groupBy("doc").agg(F.collect_set("pack").alias("packs"))
+def shingle_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(p, set: sorted shingles) of the paragraphs ``wanted.p``."""
+    ends = wanted.select("p.doc", "p.pack").groupBy("doc").agg(F.collect_set("pack").alias("packs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches, "text"):
@@ -171,22 +175,101 @@ def similar(links: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "pack", "set"])
 
     sets = docs.join(ends, "doc").select("doc", "text", "packs").mapInArrow(run, "doc long, pack long, set array<long>")
-    sets = written(sets.dropDuplicates(["doc", "pack"]).select(paragraph("doc", "pack").alias("p"), "set"))
+    return written(sets.dropDuplicates(["doc", "pack"]).select(paragraph("doc", "pack").alias("p"), "set"))
+
+
+def similar(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of links between different paragraphs those whose shingle sets are similar enough."""
+    sets = shingle_sets(links.select(F.explode(F.array("member", "first")).alias("p")), docs)
     both = links.join(sets.select(F.col("p").alias("member"), F.col("set").alias("a")), "member").join(
         sets.select(F.col("p").alias("first"), F.col("set").alias("b")), "first")
     joint = F.size(F.array_intersect("a", "b"))
     return both.where(100 * joint >= PERCENT * (F.size("a") + F.size("b") - joint)).select("member", "first")
 
 
+def alike(docs: list, roots: list, sets: list) -> Iterator[tuple[int, int]]:
+    """(later, earlier) places of similar paragraphs of different documents, one for any two components that meet.
+
+    Paragraphs come sorted; all that lie in different components are compared exactly.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts, ids = ends - sizes, np.array(docs)
+    of = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+    component = np.array([of[r] for r in roots])
+    mark = np.zeros(int(flat.max()) + 1, np.int32)
+    for at in range(len(sets) - 1):
+        rest = slice(at + 1, None)
+        if not (component[rest] != component[at]).any():
+            continue
+        own = flat[starts[at] : ends[at]]
+        mark[own] = 1
+        joint = np.add.reduceat(mark[flat[ends[at] :]], starts[rest] - ends[at])
+        mark[own] = 0
+        hit = (100 * joint >= PERCENT * (sizes[rest] + sizes[at] - joint)) & (ids[rest] != ids[at])
+        for other in (np.flatnonzero(hit) + at + 1).tolist():
+            if component[other] != component[at]:
+                component[component == component[other]] = component[at]
+                yield other, at
+
+
+def clusters(good: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(member, lead: its first of all) and (node, root) of the firsts that links make one cluster."""
+    lead = written(good.groupBy("member").agg(F.min("first").alias("lead"), F.max("first").alias("b")))
+    firsts = good.select(F.col("first").alias("member")).distinct()
+    joined = lead.where("lead != b").select("lead", "b").unionByName(
+        lead.join(firsts, "member", "left_semi").select("lead", F.col("member").alias("b")))
+    return lead.select("member", "lead"), components(joined, "lead", "b")
+
+
+def further_links(rows: DataFrame, good: DataFrame, docs: DataFrame) -> DataFrame:
+    """(member, first) of all similar members of a band that ``good`` leaves in different components."""
+    lead, roots = clusters(good)
+    placed = rows.where("NOT exact").select("key", paragraph("doc", "pack").alias("p")).join(
+        lead.withColumnRenamed("member", "p"), "p", "left").withColumn("lead", F.coalesce("lead", "p"))
+    placed = placed.join(roots.select(F.col("node").alias("lead"), "root"), "lead", "left").select("key", "p", F.coalesce("root", "lead").alias("root"))
+    # equal paragraphs of a component are one member
+    digest = F.col("p.pack").bitwiseAND(F.lit((1 << DIGEST_BITS) - 1))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    members = written(placed.join(open_, "key").groupBy("key", "root", digest.alias("digest")).agg(F.min("p").alias("p")).drop("digest"))
+    dealt = members.join(shingle_sets(members.select("p").distinct(), docs), "p").select("key", "p.doc", "p.pack", "root", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            docs_, packs, roots_, sets = zip(*held, strict=True)
+            found = list(alike(docs_, roots_, sets)) if len(held) > 1 else []
+            if found:
+                ends = [[c[i] for i in side] for side in zip(*found, strict=True) for c in (docs_, packs)]
+                yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], names=["doc", "pack", "first_doc", "first_pack"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "doc", "pack", "root")]
+            sets, ends = batch.column("set").flatten().to_numpy(), np.cumsum(batch.column("set").value_lengths().to_numpy())
+            for (key, doc, pack, root), own in zip(zip(*columns, strict=True), np.split(sets, ends[:-1]), strict=True):
+                if key != last and held:
+                    yield from links()
+                    held = []
+                last = key
+                held.append((doc, pack, (root["doc"], root["pack"]), own))
+        if held:
+            yield from links()
+
+    found = dealt.repartition("key").sortWithinPartitions("key", "doc", "pack").mapInArrow(run, "doc long, pack long, first_doc long, first_pack long")
+    return found.select(paragraph("doc", "pack").alias("member"), F.struct(F.col("first_doc").alias("doc"), F.col("first_pack").alias("pack")).alias("first"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc, packs: paragraphs to cut with the document that keeps a copy) of (doc, text)."""
     digest = F.lit((1 << DIGEST_BITS) - 1)
-    links = written(first_links(docs).distinct())
+    rows = written(banded(docs))
+    links = written(first_links(docs, rows.drop("exact")).distinct())
     equal = F.col("member.pack").bitwiseAND(digest) == F.col("first.pack").bitwiseAND(digest)
     good = written(links.where(equal).unionByName(similar(links.where(~equal), docs)))
-    # a paragraph that belongs to two firsts makes them one cluster
-    joined = good.groupBy("member").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a != b")
-    merged = components(joined, "a", "b").where("node.doc != root.doc").select(F.col("node").alias("member"), F.col("root").alias("first"))
+    good = written(good.unionByName(further_links(rows, good, docs)).distinct())
+    merged = clusters(good)[1].where("node.doc != root.doc").select(F.col("node").alias("member"), F.col("root").alias("first"))
     cuts = good.unionByName(merged).groupBy("member").agg(F.min("first.doc").alias("kept_in"))
     return cuts.groupBy("member.doc").agg(F.collect_list(F.struct("member.pack", "kept_in")).alias("packs"))
 
