@@ -212,6 +212,34 @@ def test_all_members_of_a_band_in_different_components_are_compared():
     assert len(both) == len({a for a, _ in both}) == len({b for _, b in both})
 
 
+def lines_of(text, n):
+    words = text.split()
+    return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+
+def test_paragraphs_too_short_for_a_shingle_are_short_lines_between_long_ones():
+    r = random.Random(31)
+    for _ in range(200):
+        lines = [sentence(r, r.choice([0, 1, 2, 3, 4, 5, 9, 40])) for _ in range(r.randrange(1, 30))]
+        found = op10.Paragraphs("\n".join(lines))
+        lines = [x for x in lines if x]
+        alone, at = set(), 0
+        for i, line in enumerate(lines):
+            if len(line.split()) < 5 and (i == 0 or len(lines[i - 1].split()) >= 5):
+                alone.add(at)  # a stretch of short lines begins
+            at += len(line.split())
+        assert {int(a) for a, size in zip(found.starts, found.sizes, strict=True) if size < 5} <= alone and found.sizes.sum() == at
+
+
+def test_a_passage_of_short_lines_is_cut(spark):
+    r = random.Random(32)
+    verse, prose = lines_of(sentence(r, 60), 3), [sentence(r, 30) for _ in range(2)]
+    mixed = "\n".join([prose[0], lines_of(sentence(r, 12), 3), prose[1]])
+    rows = [(i, "\n".join([sentence(r, 20), (verse, mixed)[i % 2], sentence(r, 20)])) for i in range(6)]
+    got = {x["doc_id"]: x for x in rows_of(op10.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert [got[i]["removed_words"] for i in range(6)] == [0, 0, 60, 72, 60, 72]
+
+
 def test_substring_dedup_table(spark):
     docs = documents(spark).withColumnRenamed("rank", "__at")
     got = rows_of(op10.cut_repeats(docs))

@@ -1,7 +1,8 @@
 """Substring deduplication by paragraph MinHash banding.
 
-Texts are cut into paragraphs: at line ends, and inside a line before words whose hash is the smallest among
-their neighbours, so that a passage is cut alike wherever it stands. Paragraphs meet when a band of
+Texts are cut into paragraphs: at both ends of lines of five words or more (shorter lines run on into each
+other), and before words whose hash is the smallest among their neighbours, so that a passage is cut alike
+wherever it stands. Paragraphs meet when a band of
 min-hashes of their five-word shingles agrees. Equal paragraphs meet under a key of their own, the digest;
 each is compared with the first of its band by exact Jaccard similarity of the shingle sets, then all members
 of a band that still lie in different components are compared with each other. Of each component the first
@@ -59,9 +60,10 @@ class Paragraphs:
         n = len(h)
         border = np.zeros(n, bool)
         if n:
-            starts = np.cumsum([0, *(len(line.encode().split()) for line in text.split("\n"))])[:-1]
-            border[starts[starts < n]] = True
-            border[0] = True
+            counts = np.array([k for line in text.split("\n") if (k := len(line.encode().split()))])
+            long = counts >= SHINGLE
+            starts = np.cumsum(counts) - counts
+            border[starts[long | np.append(True, long[:-1])]] = True
             score = mixed(h ^ (np.roll(h, 1) << np.uint64(1)))
             low = np.ones(n, bool)
             for k in range(1, REACH + 1):
@@ -69,7 +71,11 @@ class Paragraphs:
                 low[:-k] &= score[:-k] < score[k:]
             low[:REACH] = False
             low[n - REACH :] = False
-            border |= low
+            # no border so close to a line's end that a paragraph would be too short for a shingle
+            ends = np.append(np.flatnonzero(border), n)
+            at = np.flatnonzero(low)
+            after = np.searchsorted(ends, at, side="right")
+            border[at[(at - ends[after - 1] >= SHINGLE) & (ends[after] - at >= SHINGLE)]] = True
         self.starts = np.flatnonzero(border)
         self.sizes = np.diff(np.append(self.starts, n))
 
