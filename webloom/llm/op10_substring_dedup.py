@@ -111,11 +111,11 @@ class Paragraphs:
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """(key, doc, pack, exact) for each band and the digest (exact) of each paragraph of at least five words."""
+    """(key, doc, pack) for each band and the digest of each paragraph of at least five words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches, "text"):
-            keys, ids, packs, exact = [], [], [], []
+            keys, ids, packs = [], [], []
             for doc, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist(), strict=True):
                 found = Paragraphs(text)
                 long = found.sizes >= SHINGLE
@@ -123,26 +123,25 @@ def banded(docs: DataFrame) -> DataFrame:
                     own = found.keys()[:, long]
                     keys.append(own.reshape(-1))
                     packs.append(np.tile(found.packs()[long], BANDS + 1))
-                    exact.append(np.arange(own.size) >= BANDS * own.shape[1])
                     ids.append(np.full(own.size, doc, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(packs)), pa.array(np.concatenate(exact))],
-                    names=["key", "doc", "pack", "exact"])
+                    [pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(packs))], names=["key", "doc", "pack"])
 
-    return docs.mapInArrow(run, "key long, doc long, pack long, exact boolean")
+    return docs.mapInArrow(run, "key long, doc long, pack long")
 
 
 def paragraph(doc: str, pack: str) -> Column:
     return F.struct(F.col(doc).alias("doc"), F.col(pack).alias("pack"))
 
 
-def first_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(member, first) paragraphs of a key of ``rows``, members in later documents than the first.
+def first_links(docs: DataFrame) -> DataFrame:
+    """(key, member, first) for each paragraph of a key but the first.
 
     Rows stream through one sorted pass per band. A band that the sample shows to be frequent is first grouped
     by salts, then the firsts of its salts are linked to the first of all.
     """
+    rows = banded(docs)
     sample = banded(docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0))
     hot = sample.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 20").orderBy(F.desc("n"), "key").limit(HOT)
     hot = [r["key"] for r in hot.collect()]
@@ -151,15 +150,15 @@ def first_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     one = paragraph("doc", "pack")
     placed = rows.withColumn("salt", salt).withColumns({"first": F.first(one).over(order), "last": F.lag("doc").over(Window.partitionBy("key", "salt").orderBy("doc", "pack"))})
     if not hot:
-        return placed.where("last IS NOT NULL").select(one.alias("member"), "first").where("member.doc != first.doc")
+        return placed.where("last IS NOT NULL").select("key", one.alias("member"), "first").where("member != first")
     # links and the firsts of salted bands come out of one pass over the texts
     both = written(placed.where(F.col("last").isNotNull() | F.col("key").isin(hot)).select("key", one.alias("member"), "first", "last"))
     links, heads = both.where("last IS NOT NULL").drop("last"), both.where(F.col("key").isin(hot) & F.col("last").isNull())
     best = heads.groupBy("key").agg(F.min("first").alias("best"))
     lead = F.broadcast(best)  # at most HOT rows
-    through = heads.join(lead, "key").select(F.col("first").alias("member"), F.col("best").alias("first"))
-    direct = links.join(lead, "key", "left").select("member", F.coalesce("best", "first").alias("first"))
-    return direct.unionByName(through).where("member.doc != first.doc")
+    through = heads.join(lead, "key").select("key", F.col("first").alias("member"), F.col("best").alias("first"))
+    direct = links.join(lead, "key", "left").select("key", "member", F.coalesce("best", "first").alias("first"))
+    return direct.unionByName(through).where("member != first")
 
 
 def shingle_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -229,16 +228,22 @@ def clusters(good: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lead.select("member", "lead"), components(joined, "lead", "b")
 
 
-def further_links(rows: DataFrame, good: DataFrame, docs: DataFrame) -> DataFrame:
+def digest(p: str) -> Column:
+    return F.col(f"{p}.pack").bitwiseAND(F.lit((1 << DIGEST_BITS) - 1))
+
+
+def further_links(links: DataFrame, good: DataFrame, docs: DataFrame) -> DataFrame:
     """(member, first) of all similar members of a band that ``good`` leaves in different components."""
     lead, roots = clusters(good)
-    placed = rows.where("NOT exact").select("key", paragraph("doc", "pack").alias("p")).join(
-        lead.withColumnRenamed("member", "p"), "p", "left").withColumn("lead", F.coalesce("lead", "p"))
+    # only bands of different paragraphs can be open
+    links = links.join(links.where(digest("member") != digest("first")).select("key").distinct(), "key", "left_semi")
+    rows = links.select("key", F.col("member").alias("p")).unionByName(links.select("key", F.col("first").alias("p")).distinct())
+    placed = rows.join(lead.withColumnRenamed("member", "p"), "p", "left").withColumn("lead", F.coalesce("lead", "p"))
     placed = placed.join(roots.select(F.col("node").alias("lead"), "root"), "lead", "left").select("key", "p", F.coalesce("root", "lead").alias("root"))
-    # equal paragraphs of a component are one member
-    digest = F.col("p.pack").bitwiseAND(F.lit((1 << DIGEST_BITS) - 1))
+    placed = written(placed)
     open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    members = written(placed.join(open_, "key").groupBy("key", "root", digest.alias("digest")).agg(F.min("p").alias("p")).drop("digest"))
+    # equal paragraphs of a component are one member
+    members = written(placed.join(open_, "key").groupBy("key", "root", digest("p").alias("digest")).agg(F.min("p").alias("p")).drop("digest"))
     dealt = members.join(shingle_sets(members.select("p").distinct(), docs), "p").select("key", "p.doc", "p.pack", "root", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,12 +274,11 @@ def further_links(rows: DataFrame, good: DataFrame, docs: DataFrame) -> DataFram
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc, packs: paragraphs to cut with the document that keeps a copy) of (doc, text)."""
-    digest = F.lit((1 << DIGEST_BITS) - 1)
-    rows = written(banded(docs))
-    links = written(first_links(docs, rows.drop("exact")).distinct())
-    equal = F.col("member.pack").bitwiseAND(digest) == F.col("first.pack").bitwiseAND(digest)
+    keyed = written(first_links(docs))
+    links = written(keyed.where("member.doc != first.doc").select("member", "first").distinct())
+    equal = digest("member") == digest("first")
     good = written(links.where(equal).unionByName(similar(links.where(~equal), docs)))
-    good = written(good.unionByName(further_links(rows, good, docs)).distinct())
+    good = written(good.unionByName(further_links(keyed, good, docs)).distinct())
     merged = clusters(good)[1].where("node.doc != root.doc").select(F.col("node").alias("member"), F.col("root").alias("first"))
     cuts = good.unionByName(merged).groupBy("member").agg(F.min("first.doc").alias("kept_in"))
     return cuts.groupBy("member.doc").agg(F.collect_list(F.struct("member.pack", "kept_in")).alias("packs"))
