@@ -149,6 +149,46 @@ def test_crawl_is_first_in_first_out(spark):
         assert got[crawl] == read
 
 
+def test_crawl_takes_seeds_as_given(spark):
+    seeds = spark.createDataFrame([(1, "p9", 1), (1, "p2", 2), (1, "p5", 3)], "crawl_id int, url string, rank int")
+    links = spark.createDataFrame([("p2", "p1", 1), ("p9", "p2", 1), ("p9", "p0", 2)], "page_url string, url string, rank int")
+    pages = spark.createDataFrame([(f"p{i}",) for i in range(10)], "url string")
+    got = [r.url for r in L.crawl_rounds(seeds, links, pages).orderBy("position").collect()]
+    assert got == ["p9", "p2", "p5", "p0", "p1"]
+
+
+def test_seen_table_appends_and_joins_in_place(spark):
+    seen = L.SeenTable(spark, ["url"], buckets=4)
+    urls = spark.range(100).select(F.concat(F.lit("u"), "id").alias("url"), "id")
+    seen.add(urls.where("id < 40"))
+    files = set(seen.rows().inputFiles())
+    seen.add(seen.unseen(urls.where("id < 70")))
+    assert files < set(seen.rows().inputFiles())
+    left = seen.unseen(urls)
+    assert sorted(r.id for r in left.collect()) == list(range(70, 100)) and seen.rows().count() == 70
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    # the stored side is read bucket by bucket: no exchange stands between it and the join
+    stored = final[final.index("FileScan parquet spark_catalog.default.seen_"):] if "spark_catalog" in final else final
+    assert "Bucketed: true" in final and final.count("Exchange hashpartitioning") <= 1 and "SelectedBucketsCount: 4 out of 4" in stored
+    seen.drop()
+
+
+def test_json_nodes_have_paths_and_sizes(spark):
+    df = spark.createDataFrame([(1, '{"b":[1,{"c":"x"}],"a":null}'), (2, "3"), (3, "{"), (4, None)], "i int, j string")
+    got = sorted((r.i, tuple(r.path), r.depth, r.name, r.kind, r.size, r.value) for r in V.json_nodes(df, "i", "j").collect())
+    assert got == [
+        (1, (), 0, None, "object", 2, None), (1, (0,), 1, "a", "null", None, None), (1, (1,), 1, "b", "array", 2, None), (1, (1, 0), 2, None, "number", None, "1"),
+        (1, (1, 1), 2, None, "object", 1, None), (1, (1, 1, 0), 3, "c", "string", None, "x"), (2, (), 0, None, "number", None, "3")]
+    assert V.json_nodes(df, "i", "j", deepest=1).count() == 4
+    odd = spark.createDataFrame([(i, v) for i, v in enumerate([
+        "[" * 2000 + "]" * 2000, "[" * 2000, '["' + "[" * 50 + '"]', '{"a":1,"a":2}', '{"x":{"drop table":[[[[[[[[[[[[1]]]]]]]]]]]]}}', '"a\\\\u0000b\\u0000c"', ""])], "i int, j string")
+    out = [r for r in V.check_json(odd, "j").orderBy("i").collect()]
+    assert ["depth" in (r.error or "") for r in out[:3]] == [True, False, False]
+    assert "dangerous" in out[2].error and "valid JSON" in out[1].error and "valid JSON" in out[3].error and "dangerous" in out[4].error and "valid JSON" in out[6].error
+    assert V.check_json(odd.limit(0), "j").count() == 0
+
+
 def test_json_checks(spark):
     deep = "[" * 12 + "]" * 12
     wide = "{" + ",".join(f'"k{i}":1' for i in range(101)) + "}"

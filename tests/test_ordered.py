@@ -136,8 +136,15 @@ def test_adaptive_limit_bounds():
 def test_escalation_needs_five_in_the_window(data):
     rows, df = data
     errors = df.withColumnRenamed("kind", "error_type").withColumnRenamed("k", "component")
-    got = {r.id: r.error_count for r in E.escalate(errors, "ts", F.col("v") > 0.5, 5, 120, 600).collect()}
     urgent = [r for r in rows if r[5] > 0.5]
+    for panes in (1, 4, 7):  # 7 does not divide the span
+        out = {r.id: r for r in E.escalate(errors, "ts", F.col("v") > 0.5, 5, 120, panes).collect()}
+        for i, at, *_ in urgent:
+            near = [r for r in urgent if at - 120 * SEC < r[1] <= at]
+            assert (i in out) == (len(near) >= 5)
+            if i in out:
+                assert set(out[i].error_types) == {r[4] for r in near} and set(out[i].components) == {r[2] for r in near}
+    got = {r.id: r.error_count for r in E.escalate(errors, "ts", F.col("v") > 0.5, 5, 120).collect()}
     for i, at, *_ in urgent:
         n = sum(1 for r in urgent if at - 120 * SEC < r[1] <= at)
         assert got.get(i) == (n if n >= 5 else None)

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import html
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from webloom.functions.cleaning import EMAIL, squeeze, strip
 from webloom.functions.common import any_of, col
@@ -212,69 +207,126 @@ def check_uuid(text: Column | str, required: bool = False, name: str = "uuid") -
     return F.when(raw.isNull(), _blank(raw, required, name, "")).otherwise(full)
 
 
-def sanitize(text: Column | str, max_length: int = 1000) -> Column:
-    """Clipped, without control characters except line breaks and tabs, trimmed."""
-    return strip(F.regexp_replace(F.substring(col(text), 1, max_length), r"[\x00-\x08\x0b-\x1f]", ""))
+# --- open JSON -----------------------------------------------------------------------------
+
+NODE = "array<struct<path:array<int>,key:string,value:variant>>"
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
 
-# --- open JSON -----------------------------------------------------------------------------
+def _members(value: Column) -> Column:
+    """(key, value) of an object's members, by name; null for anything else."""
+    return F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+
+
+def _items(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _children(node: Column) -> Column:
+    """The nodes below a node, with their paths; none below a scalar."""
+    def place(i: Column) -> Column:
+        return F.concat(node["path"], F.array(i))
+
+    def named(e: Column, i: Column) -> Column:
+        return F.struct(place(i).alias("path"), e["key"].alias("key"), e["value"].alias("value"))
+
+    def numbered(v: Column, i: Column) -> Column:
+        return F.struct(place(i).alias("path"), F.lit(None).cast("string").alias("key"), v.alias("value"))
+
+    return F.coalesce(F.transform(_members(node["value"]), named), F.transform(_items(node["value"]), numbered), F.array().cast(NODE))
+
+
+def json_levels(df: DataFrame, text: str, deepest: int, name: str = "__level") -> DataFrame:
+    """Adds ``name``_0 ... ``name``_deepest: the nodes of each depth of a JSON text, in order of their paths.
+
+    One bounded round per depth inside the row: no shuffle, and each depth is built once. Members of an object are
+    numbered by name. Null and what is no JSON give null, at all depths.
+    """
+    doc = F.try_parse_json(text)
+    root = F.array(F.struct(F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("key"), doc.alias("value"))).cast(NODE)
+    out = df.withColumn(f"{name}_0", F.when(doc.isNotNull(), root))
+    for depth in range(1, deepest + 1):
+        out = out.withColumn(f"{name}_{depth}", F.flatten(F.transform(f"{name}_{depth - 1}", _children)))
+    return out
+
+
+def json_nodes(df: DataFrame, key: str, text: str, deepest: int = 10) -> DataFrame:
+    """(key, path, depth, name, kind, size, value): one row per node of a JSON text, down to depth ``deepest``.
+
+    ``path`` has the member or item numbers from the root, ``size`` the members of an object or items of an array,
+    ``value`` the text of a scalar.
+    """
+    levels = json_levels(df.select(key, text), text, deepest)
+    nodes = levels.select(key, F.explode(F.concat(*[F.col(f"__level_{d}") for d in range(deepest + 1)])).alias("n"))
+    members, items = _members(F.col("n.value")), _items(F.col("n.value"))
+    found = nodes.select(key, "n.path", "n.key", F.size(members).alias("members"), F.size(items).alias("items"), F.col("n.value").alias("v"))
+    kind = F.when(F.col("members").isNotNull() & (F.col("members") >= 0), "object").when(F.col("items").isNotNull() & (F.col("items") >= 0), "array")
+    scalar = F.schema_of_variant("v")
+    simple = F.when(scalar == "STRING", "string").when(scalar == "BOOLEAN", "boolean").when(scalar == "VOID", "null").otherwise("number")
+    return found.withColumn("kind", F.coalesce(kind, simple)).select(
+        key, "path", F.size("path").alias("depth"), F.col("key").alias("name"), "kind",
+        F.when(F.col("kind") == "object", F.col("members")).when(F.col("kind") == "array", F.col("items")).alias("size"),
+        F.when(~F.col("kind").isin("object", "array"), F.try_variant_get("v", "$", "string")).alias("value"))
+
+
+def _too_deep(text: Column, max_depth: int) -> Column:
+    """For a text that did not parse: its brackets match in number and nest deeper than allowed."""
+    brackets = F.split(F.regexp_replace(F.regexp_replace(text, STRING, ""), r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state: Column, c: Column) -> Column:
+        now = state["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    return F.aggregate(brackets, start, step, lambda state: (state["now"] == 0) & (state["most"] > max_depth + 1))
+
+
+def _json_fault(node: Column, depth: int, max_depth: int, max_keys: int, max_items: int) -> Column:
+    """struct<path, rank, error> of the first fault of a node; null error where it has none."""
+    value = node["value"]
+    text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    deep = F.lit(depth > max_depth)
+    # a key is looked at before its value
+    faults = [(node["key"].rlike(ALL_DANGEROUS), "contains a dangerous pattern"), (deep, f"exceeds maximum depth of {max_depth}")]
+    if depth <= max_depth:
+        faults += [(F.size(_members(value)) > max_keys, f"object has too many keys (max: {max_keys})"),
+                   (F.size(_items(value)) > max_items, "array is too large"), (text.rlike(ALL_DANGEROUS), "contains a dangerous pattern")]
+    error = F.coalesce(*[F.when(F.coalesce(test, F.lit(False)), F.lit(message)) for test, message in faults])
+    return F.struct(node["path"].alias("path"), error.alias("error"))
+
+
+def _escaped_json(text: Column) -> Column:
+    """A JSON text, as Spark writes it, with the string values (not the keys) escaped for HTML and blanks after , and :"""
+    def token(t: Column) -> Column:
+        plain = F.regexp_replace(t, r"(?<!\\)((?:\\\\)*+)\\u0000", "$1")
+        inner = F.substring(plain, F.lit(2), F.length(plain) - 2)
+        for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('\\"', "&quot;"), ("'", "&#x27;")):
+            inner = F.replace(inner, F.lit(raw), F.lit(safe))
+        return F.when(~t.startswith('"'), F.replace(t, F.lit(","), F.lit(", "))).when(t.endswith(":"), F.concat(t, F.lit(" "))).otherwise(
+            F.concat(F.lit('"'), inner, F.lit('"')))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f'({STRING}:?|[^"]++)'), F.lit(1)), token), "")
+
+
+def check_json(df: DataFrame, text: str, max_depth: int = 10, max_keys: int = 100, max_items: int = 1000) -> DataFrame:
+    """Adds is_valid, error and value, the copy with escaped strings.
 
-def _walk(doc: object, depth: int, max_depth: int, max_keys: int) -> str | None:
-    """First structural fault of a parsed document, in document order."""
-    todo = [(doc, 0)]
-    while todo:
-        node, level = todo.pop()
-        if level > max_depth:
-            return f"exceeds maximum depth of {max_depth}"
-        if isinstance(node, dict):
-            if len(node) > max_keys:
-                return f"object has too many keys (max: {max_keys})"
-            todo.extend((v, level + 1) for v in reversed(node.values()))
-        elif isinstance(node, list):
-            if len(node) > 1000:
-                return "array is too large"
-            todo.extend((v, level + 1) for v in reversed(node))
-    return None
-
-
-def _escaped(node: object) -> object:
-    if isinstance(node, dict):
-        return {k: _escaped(v) for k, v in node.items()}
-    if isinstance(node, list):
-        return [_escaped(v) for v in node]
-    return html.escape(node).replace("\x00", "") if isinstance(node, str) else node
-
-
-def json_checker(max_depth: int = 10, max_keys: int = 100):
-    """Arrow function over JSON texts -> struct<error, value>. Recursion over open JSON has no built-in."""
-
-    @F.pandas_udf(T.StructType().add("error", T.StringType()).add("value", T.StringType()))
-    def check(texts: pd.Series) -> pd.DataFrame:
-        errors, values = [], []
-        for text in texts:
-            error = value = None
-            if text is not None:
-                try:
-                    doc = json.loads(text)
-                    error = _walk(doc, 0, max_depth, max_keys)
-                    value = None if error else json.dumps(_escaped(doc), ensure_ascii=False)
-                except (ValueError, RecursionError):
-                    error = "is not valid JSON"
-            errors.append(error)
-            values.append(value)
-        return pd.DataFrame({"error": errors, "value": values})
-
-    return check
-
-
-def check_json(df: DataFrame, text: str, max_depth: int = 10, max_keys: int = 100) -> DataFrame:
-    """Adds is_valid, error and the escaped copy. Dangerous strings are looked for by Spark."""
-    out = df.withColumn("__j", json_checker(max_depth, max_keys)(F.col(text)))
-    # keys and strings of the document: its text without the structural characters
-    danger = any_of(F.col("__j.value").isNotNull() & s for s in [F.exists(
-        F.regexp_extract_all(F.col(text), F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda s: s.rlike(ALL_DANGEROUS))])
-    error = F.coalesce(F.col("__j.error"), F.when(danger, F.lit("contains a dangerous pattern")))
-    return out.withColumns({"error": error, "is_valid": error.isNull(), "value": F.when(error.isNull(), F.col("__j.value"))}).drop("__j")
+    ``error`` is the first fault in order of paths, members of an object by name: too deep, an object with too many
+    keys, an array with too many items, a key or string that looks dangerous. A text nested deeper than the parser goes
+    is too deep as well. An object that names a member twice is no valid JSON here. Null is valid and has no copy.
+    """
+    levels = json_levels(df, text, max_depth + 1)
+    doc = F.col("__level_0")[0]["value"]
+
+    def faults(depth: int) -> Column:
+        return F.filter(F.transform(f"__level_{depth}", lambda n: _json_fault(n, depth, max_depth, max_keys, max_items)), lambda f: f["error"].isNotNull())
+
+    found = F.concat(*map(faults, range(max_depth + 2)))
+    unread = F.when(_too_deep(F.col(text), max_depth), f"exceeds maximum depth of {max_depth}").otherwise("is not valid JSON")
+    error = F.when(F.col(text).isNotNull(), F.when(F.col("__level_0").isNull(), unread).otherwise(F.array_min(found)["error"]))
+    out = levels.withColumn("error", error).withColumn("is_valid", F.col("error").isNull())
+    value = F.when(F.col("is_valid"), _escaped_json(F.to_json(doc)))
+    return out.withColumn("value", value).select(*[c for c in df.columns if c not in ("is_valid", "error", "value")], "is_valid", "error", "value")
 
 
 def json_profile(df: DataFrame, key: str, text: str) -> DataFrame:

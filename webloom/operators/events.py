@@ -156,15 +156,45 @@ def suppress(errors: DataFrame, kind: Sequence[str], ts: str, tie: str, span: fl
     return out.withColumn("suppressed", F.coalesce(F.col("since_before") < int(span * 1e6), F.lit(False))).drop("since_before")
 
 
-def escalate(errors: DataFrame, ts: str, urgent: Column, threshold: int = 5, span: float = 600, seconds: int = DAY) -> DataFrame:
+def escalate(errors: DataFrame, ts: str, urgent: Column, threshold: int = 5, span: float = 600, panes: int = 4, keys: Sequence[str] = ()) -> DataFrame:
     """Urgent errors at which at least ``threshold`` urgent ones lie in the trailing ``span`` seconds,
-    with their number, types and components."""
-    hot = errors.where(urgent)
-    out = trailing(hot, [], ts, span, {
-        "error_count": F.count(F.lit(1)), "error_types": F.collect_set("error_type"), "components": F.collect_set("component"),
-    }, include_edge=False, seconds=seconds)
-    return out.where(F.col("error_count") >= threshold).withColumns({
-        "error_types": F.array_sort("error_types"), "components": F.array_sort("components")})
+    with their number, types and components; per ``keys``, else over all errors.
+
+    Time is cut into ``panes`` per span. A pane's rows meet in one task with those that leave the span during it, as
+    running differences; what lies between comes as one row per pane. Types and components are looked up only for
+    errors that escalate, from the first and last time of each in a pane. So no task holds more than two panes, and an
+    error costs the same however many lie in its span.
+    """
+    whole, keys = int(span * 1_000_000), list(keys)
+    panes = panes if whole % panes == 0 else 1
+    width = whole // panes
+    hot = errors.where(urgent).withColumn("__at", micros(ts)).withColumn("__pane", F.floor(F.col("__at") / width))
+    row = F.struct(*errors.columns)
+    enters = hot.select(*keys, "__pane", "__at", F.lit(1).alias("__step"), row.alias("__row"))
+    leaves = hot.select(*keys, (F.col("__pane") + panes).alias("__pane"), (F.col("__at") + whole).alias("__at"), F.lit(-1).alias("__step"), F.lit(None).cast(enters.schema["__row"].dataType).alias("__row"))
+    running = F.sum("__step").over(Window.partitionBy(*keys, "__pane").orderBy("__at").rangeBetween(Window.unboundedPreceding, 0))
+    inside = enters.unionByName(leaves).withColumn("__n", running).where("__step = 1").select("__pane", "__at", "__n", "__row")
+
+    def first_and_last(name: str) -> DataFrame:
+        each = hot.groupBy(*keys, "__pane", F.col(name).alias("v")).agg(F.min("__at").alias("first"), F.max("__at").alias("last"))
+        return each.groupBy(*keys, "__pane").agg(F.collect_list(F.struct("v", "first", "last")).alias(f"__{name}"))
+
+    # each pane tells the next ones what it holds: its errors to all of a span, its names to itself as well
+    counts = hot.groupBy(*keys, "__pane").agg(F.count(F.lit(1)).alias("__own"))
+    before = counts.withColumn("__pane", F.explode(F.sequence(F.col("__pane") + 1, F.col("__pane") + panes))).groupBy(*keys, "__pane").agg(F.sum("__own").alias("__base"))
+    names = first_and_last("error_type").join(first_and_last("component"), [*keys, "__pane"])
+    told = names.withColumn("__pane", F.explode(F.sequence(F.col("__pane"), F.col("__pane") + panes)))
+    known = told.groupBy(*keys, "__pane").agg(*[F.flatten(F.collect_list(f"__{name}")).alias(f"__{name}") for name in ("error_type", "component")])
+    placed = inside.select(*[F.col("__row")[k].alias(k) for k in keys], "__pane", "__at", "__n", "__row").join(before, [*keys, "__pane"], "left")
+    counted = placed.withColumn("error_count", F.col("__n") + F.coalesce("__base", F.lit(0))).where(F.col("error_count") >= threshold)
+
+    def present(name: str) -> Column:
+        # seen by now, and last seen after the span began; a pane gone by has no other times than these two in question
+        held = F.filter(f"__{name}", lambda x: (x["first"] <= F.col("__at")) & (F.least(x["last"], F.col("__at")) > F.col("__at") - whole))
+        return F.array_sort(F.array_distinct(F.transform(held, lambda x: x["v"])))
+
+    out = counted.join(known, [*keys, "__pane"])
+    return out.select("__row.*", "error_count", present("error_type").alias("error_types"), present("component").alias("components"))
 
 
 def notify(errors: DataFrame, ts: str, tie: str, kind: str, config: Notifier = Notifier(), scope: Sequence[str] = (), seconds: int = DAY) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.functions import udtf
 from webloom.functions.common import any_of, micros
 from webloom.functions.urls import host, path
 from webloom.operators.ordered import lagged, spaced
-from webloom.session import cut_lineage
+from webloom.session import shared_folder, written
 
 # What marks the links of further pages and of articles.
 PAGING = ("page", "p=", "offset")
@@ -37,6 +38,39 @@ def unseen(candidates: DataFrame, seen: DataFrame, url: str = "url") -> DataFram
     return candidates.join(seen.select(F.col(url)).distinct(), url, "left_anti")
 
 
+class SeenTable:
+    """Rows that were read or queued, stored by the hash of their keys.
+
+    The table is bucketed by ``keys``: looking candidates up sends only the candidates through a shuffle, the stored
+    side is read bucket by bucket. ``add`` appends the new rows and touches no old file. The table lies in the shared
+    folder; ``drop`` takes it out of the catalogue.
+    """
+
+    def __init__(self, spark: SparkSession, keys: Sequence[str] = ("url",), buckets: int | None = None, name: str | None = None):
+        self.spark, self.keys = spark, list(keys)
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = name or f"seen_{uuid.uuid4().hex}"
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Appends ``rows``, which hold the keys and any other columns, the same each time."""
+        writer = rows.repartition(self.buckets, *self.keys).write.bucketBy(self.buckets, *self.keys).mode("append").format("parquet")
+        if not self.spark.catalog.tableExists(self.name):
+            writer = writer.option("path", f"{shared_folder(self.spark)}/{self.name}")
+        writer.saveAsTable(self.name)
+        return self.rows()
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def unseen(self, candidates: DataFrame) -> DataFrame:
+        """Candidates whose keys are not stored."""
+        # a hint, no order to collect: a broadcast of the stored side would grow with it
+        return candidates.join(self.rows().select(*self.keys).hint("shuffle_hash"), self.keys, "left_anti")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def pagination_union(first: Column, second: Column) -> Column:
     return F.array_union(first, second)
 
@@ -139,32 +173,35 @@ def schedule(requests: DataFrame, ts: str, tie: str, delay: str, seconds: int =
 def crawl_rounds(seeds: DataFrame, links: DataFrame, pages: DataFrame, max_pages: int = 10, per_page: int = PER_PAGE) -> DataFrame:
     """Breadth-first expansion of each crawl (crawl_id, url) over stored pages.
 
-    Pages are taken first in, first out; a page passes on its links (page_url, url, rank) while
-    fewer than ``max_pages`` pages of its crawl were read. Result: (crawl_id, url, position). Each
-    round joins the new pages of all crawls with the link table and is checkpointed; at most
-    ``max_pages`` rounds can find anything.
+    Pages are taken first in, first out; a page passes on its first ``per_page`` links (page_url, url, rank) while
+    fewer than ``max_pages`` pages of its crawl were read. Seeds stand in the order of their column ``rank``, where
+    they have one, else of url. Result: (crawl_id, url, position). Each round joins the new pages of all crawls with
+    the link table, looks up what it finds in the stored set of pages read, and appends what is new to it: a round
+    writes its new rows only. At most ``max_pages`` rounds can find anything; a crawl has at most its seeds and
+    ``max_pages * per_page`` pages.
     """
     known = pages.select(F.col("url").alias("known_url")).distinct()
     outgoing = links.where(F.col("rank") <= per_page).select(F.col("page_url").alias("from_url"), F.col("url").alias("to_url"), "rank")
-    start = seeds.select("crawl_id", "url").distinct().join(known, F.col("url") == F.col("known_url"), "left_semi")
-    place = Window.partitionBy("crawl_id").orderBy("url")
-    fresh = cut_lineage(start.withColumn("position", F.row_number().over(place).cast("long")))
-    read = fresh
+    given = F.min("rank") if "rank" in seeds.columns else F.lit(0)
+    start = seeds.groupBy("crawl_id", "url").agg(given.alias("rank")).join(known, F.col("url") == F.col("known_url"), "left_semi")
+    place = Window.partitionBy("crawl_id").orderBy(F.asc_nulls_last("rank"), "url")
+    fresh = written(start.select("crawl_id", "url", F.row_number().over(place).cast("long").alias("position")))
+    seen = SeenTable(seeds.sparkSession, ["crawl_id", "url"])
+    read = seen.add(fresh)
     for _ in range(max_pages):
-        ends = read.groupBy("crawl_id").agg(F.max("position").alias("so_far"))
         found = (
             fresh.where(F.col("position") < max_pages).join(outgoing, F.col("url") == F.col("from_url"))
-            .groupBy("crawl_id", "to_url").agg(F.min(F.struct("position", "rank")).alias("place"))
-            .join(known, F.col("to_url") == F.col("known_url"), "left_semi")
-            .join(read.select("crawl_id", F.col("url").alias("to_url")), ["crawl_id", "to_url"], "left_anti")
-        )
+            .groupBy("crawl_id", F.col("to_url").alias("url")).agg(F.min(F.struct("position", "rank")).alias("place"))
+            .join(known, F.col("url") == F.col("known_url"), "left_semi"))
+        # a crawl that found nothing in the last round has no new pages now
+        ends = fresh.groupBy("crawl_id").agg(F.max("position").alias("so_far"))
         order = Window.partitionBy("crawl_id").orderBy("place")
-        fresh = cut_lineage(
-            found.withColumn("n", F.row_number().over(order)).join(ends, "crawl_id")
-            .select("crawl_id", F.col("to_url").alias("url"), (F.col("so_far") + F.col("n")).alias("position")))
+        fresh = written(
+            seen.unseen(found).withColumn("n", F.row_number().over(order)).join(ends, "crawl_id")
+            .select("crawl_id", "url", (F.col("so_far") + F.col("n")).alias("position")))
         if fresh.isEmpty():
             break
-        read = cut_lineage(read.unionByName(fresh))
+        read = seen.add(fresh)
     return read
 
 

@@ -13,6 +13,8 @@ from webloom.functions.common import let, total
 from webloom.session import spread, written
 
 HOT_SHARE = 0.0005
+#: Hashes of a word: 28 bits of its md5, multiplied and shifted modulo a prime; other engines give the same ones.
+HASH_PRIME = 2_147_483_647
 
 
 def tokens(text: Column) -> Column:
@@ -119,3 +121,83 @@ def _candidates(df: DataFrame, fields: list[str], threshold: float, key: str) ->
         return pairs
     blank = df.where(F.size(w) == 0)
     return pairs if blank.isEmpty() else pairs.unionByName(_candidates(blank, rest, lower, key))
+
+
+# --- approximate mode ----------------------------------------------------------------------
+
+def tune_bands(similarity: float, recall: float, rows: Sequence[int] = (2, 3, 4), most: int = 40) -> tuple[int, int]:
+    """(bands, rows per band): the most rows for which at most ``most`` bands find a pair of this similarity with this
+    probability, and as few bands as do."""
+    for r in sorted(rows, reverse=True):
+        for bands in range(1, most + 1):
+            if 1 - (1 - similarity**r) ** bands >= recall:
+                return bands, r
+    raise ValueError("no such bands: allow more of them or fewer rows")
+
+
+def hash_factors(n: int) -> list[tuple[int, int]]:
+    """Multipliers and shifts of ``n`` hash functions."""
+    return [(48_271 * (i + 1) ** 3 % HASH_PRIME, 69_621 * (i + 1) ** 5 % HASH_PRIME) for i in range(n)]
+
+
+def band_keys(words: Column, bands: int, rows: int) -> Column:
+    """One key per band: its number and the smallest hashes of the words. Null without words."""
+    bases = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long"))
+
+    def keys(own: Column) -> Column:
+        least = [F.array_min(F.transform(own, lambda h: (h * a + b) % HASH_PRIME)) for a, b in hash_factors(bands * rows)]
+        return F.array(*[F.concat_ws("|", F.lit(str(b)), *least[b * rows : (b + 1) * rows]) for b in range(bands)])
+
+    return F.when(F.size(words) > 0, let(bases, keys))
+
+
+def similar_links(
+    records: DataFrame, fields: Sequence[str], threshold: float = 0.85, key: str = "data_id", recall: float = 0.95, rounds: int = 2,
+) -> DataFrame:
+    """(id1, id2, score): the approximate mode of ``similar_pairs``, a part of its pairs that links what is similar.
+
+    Records of equal content are linked to the first of them. The others get MinHash signatures of their words,
+    each marked with its field; a mean similarity of t over k fields leaves at least k*t - (k-1) for all words
+    together, and the bands are tuned to find that with probability ``recall``. In each bucket the first record is
+    the centre and all others are compared with it exactly; those that fail do the same among themselves, ``rounds``
+    times. So a record has at most bands * rounds candidates, however many resemble it, and a template with m
+    variants gives m links.
+    """
+    need = len(fields) * threshold - (len(fields) - 1)
+    if need <= 0:
+        raise ValueError("too many fields for this threshold: some field could differ in every word")
+    bands, rows = tune_bands(need, recall)
+    filled = spread(records).select(key, *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields])
+    base = written(filled.select("*", content_hash(**{f: F.col(f) for f in fields}).alias("__h")))
+    leaders = base.groupBy("__h").agg(F.min(key).alias("first"))
+    copies = base.select(key, "__h").join(leaders, "__h").where(F.col(key) != F.col("first")).select(
+        F.col("first").alias("id1"), F.col(key).alias("id2"), F.lit(1.0).alias("score"))
+    distinct = base.drop("__h").join(leaders.select(F.col("first").alias(key)), key, "left_semi")
+    sets = [tokens(F.col(f)).alias(f"__w_{f}") for f in fields]
+    stored = written(distinct.select("*", *sets))
+    words = F.flatten(F.array(*[F.transform(f"__w_{f}", _marked(n)) for n, f in enumerate(fields)]))
+    body = stored.select(key, F.struct(*[F.struct(F.col(f).alias("v"), F.col(f"__w_{f}").alias("t")).alias(f) for f in fields]).alias("c"))
+    open_ = written(stored.select(F.col(key).alias("id2"), F.explode(band_keys(words, bands, rows)).alias("band")))
+    links = []
+    for _ in range(rounds):
+        centre = open_.groupBy("band").agg(F.min("id2").alias("id1"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = open_.join(centre.drop("n"), "band").where("id1 < id2")
+        judged = written(_scored(met.select("id1", "id2").distinct(), body, fields, key))
+        links.append(judged.where(F.col("score") >= threshold))
+        open_ = written(met.join(judged.where(F.col("score") < threshold), ["id1", "id2"]).select("id2", "band"))
+    near = links[0]
+    for more in links[1:]:
+        near = near.unionByName(more)
+    return copies.unionByName(near.distinct())
+
+
+def _marked(field: int):
+    return lambda w: F.concat(F.lit(f"{field}:"), w)
+
+
+def _scored(pairs: DataFrame, body: DataFrame, fields: Sequence[str], key: str) -> DataFrame:
+    """(id1, id2, score) with the exact similarity of the records of each pair."""
+    both = pairs.join(body.select(F.col(key).alias("id1"), F.col("c").alias("a")), "id1").join(body.select(F.col(key).alias("id2"), F.col("c").alias("b")), "id2")
+    score = total([
+        field_similarity(F.col(f"a.{f}.v"), F.col(f"b.{f}.v"), F.col(f"a.{f}.t"), F.col(f"b.{f}.t")) for f in fields]) / F.lit(float(len(fields)))
+    return both.select("id1", "id2", score.alias("score"))

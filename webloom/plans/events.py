@@ -147,7 +147,15 @@ def k6(t):
     return E.notify(errs(t), "ts", "id", "error_type", Notifier(4, 28800.0, 3600.0), ["component"]).select("id", "component", "outcome")
 
 
-@query("k6_single_limit")
+@query("k6_single_limit", f"""
+WITH RECURSIVE {ERR}, y AS (SELECT ts, error_type AS kind, row_number() OVER (ORDER BY ts, id) AS k FROM x),
+r AS (SELECT k, [epoch_us(ts)] AS sent, [{{'kind': kind, 'tt': epoch_us(ts)}}] AS seen, 'sent' AS outcome FROM y WHERE k = 1
+ UNION ALL SELECT k, CASE WHEN lim OR rep THEN s ELSE list_append(s, tt) END,
+  CASE WHEN lim THEN m ELSE list_append(m, {{'kind': kind, 'tt': tt}}) END, CASE WHEN lim THEN 'rate_limited' WHEN rep THEN 'aggregated' ELSE 'sent' END
+ FROM (SELECT *, len(s) >= 10 AS lim, len(list_filter(m, lambda q: q.kind = kind)) > 0 AS rep FROM (
+  SELECT y.k, y.kind, epoch_us(y.ts) AS tt, list_filter(r.sent, lambda q: q > epoch_us(y.ts) - 14400000000) AS s, list_filter(r.seen, lambda q: q.tt > epoch_us(y.ts) - 3600000000) AS m
+  FROM r JOIN y ON y.k = r.k + 1)))
+SELECT outcome, count(*) AS events FROM r GROUP BY outcome""")
 def k6b(t):
     """One limit for all components."""
     judged = E.notify(errs(t), "ts", "id", "error_type", Notifier(10, 14400.0, 3600.0))

@@ -23,6 +23,18 @@ def e6(t):
     return L.unseen(found, seen)
 
 
+@query("e6_stored_seen", f"""
+WITH {PARTS}, {LINKS}
+SELECT DISTINCT url FROM lk WHERE url NOT IN (SELECT url FROM lk WHERE page_id % 3 = 0) AND url NOT IN (SELECT url FROM lk WHERE page_id % 3 = 1)""", ["v_pages"])
+def e6b(t):
+    """Links of a third round of pages that two earlier rounds, stored one after the other, did not have."""
+    found = X.links(parts(t)).select("page_id", "url")
+    seen = L.SeenTable(t.spark)
+    seen.add(found.where("page_id % 3 = 0").select("url").distinct())
+    seen.add(seen.unseen(found.where("page_id % 3 = 1").select("url").distinct()))
+    return seen.unseen(found.select("url").distinct())
+
+
 @query("x19_link_frontier", """
 SELECT o_orderkey AS page_id, concat('https://site.example.com/list?page=', CAST(o_custkey AS STRING)) AS url, 1 AS rank FROM orders
 UNION ALL SELECT o_orderkey, concat('https://site.example.com/next/', CAST(o_orderkey AS STRING)), 2 FROM orders
@@ -88,14 +100,21 @@ def g8(t):
     return L.schedule(r, "ts", "event_id", "delay").select("event_id", "planned_at")
 
 
-@query("x20_crawl_expansion")
+@query("x20_crawl_expansion", """
+WITH RECURSIVE l AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY first, dst) AS rank FROM (
+  SELECT l_partkey AS src, l_suppkey * 3 AS dst, min(l_orderkey) AS first FROM lineitem GROUP BY l_partkey, l_suppkey * 3)),
+o AS (SELECT src, list(dst ORDER BY rank) AS dsts FROM l WHERE rank <= 20 AND dst IN (SELECT p_partkey FROM part) GROUP BY src),
+w AS (SELECT s_suppkey AS crawl_id, 1 AS k, [s_suppkey] AS queue FROM supplier WHERE s_suppkey IN (SELECT p_partkey FROM part)
+ UNION ALL SELECT crawl_id, k + 1, list_concat(queue, coalesce(list_filter(dsts, lambda d: NOT list_contains(queue, d)), [])) FROM w LEFT JOIN o ON o.src = queue[k] WHERE k < 10 AND k <= len(queue)),
+q AS (SELECT crawl_id, arg_max(queue, k) AS queue FROM w GROUP BY crawl_id)
+SELECT crawl_id, concat('https://parts.example.com/', CAST(part AS STRING)) AS url, position FROM (SELECT crawl_id, unnest(queue) AS part, CAST(unnest(range(1, len(queue) + 1)) AS BIGINT) AS position FROM q)""")
 def x20(t):
     """Parts as pages that link to other parts; one crawl per supplier."""
     name = lambda c: F.concat(F.lit("https://parts.example.com/"), c.cast("string"))
     pages = t["part"].select(name(F.col("p_partkey")).alias("url"))
     pairs = t["lineitem"].groupBy(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 3).alias("dst")).agg(F.min("l_orderkey").alias("first"))
     rank = F.row_number().over(Window.partitionBy("src").orderBy("first", "dst"))
-    table = pairs.withColumn("rank", rank).where(F.col("rank") <= L.PER_PAGE).select(name(F.col("src")).alias("page_url"), name(F.col("dst")).alias("url"), "rank")
+    table = pairs.withColumn("rank", rank).select(name(F.col("src")).alias("page_url"), name(F.col("dst")).alias("url"), "rank")
     seeds = t["supplier"].select(F.col("s_suppkey").alias("crawl_id"), name(F.col("s_suppkey")).alias("url"))
     return L.crawl_rounds(seeds, table, pages, max_pages=10)
 

@@ -33,6 +33,31 @@ def e5(t):
     return M.similar_pairs(t.records(), ["title", "text"], 0.85).withColumn("score", F.round("score", 6))
 
 
+BANDS, ROWS = M.tune_bands(2 * 0.85 - 1, 0.95)
+
+
+def _bands_sql():
+    least = [f"list_min(list_transform(w, lambda h: (h * {a} + {b}) % {M.HASH_PRIME}))" for a, b in M.hash_factors(BANDS * ROWS)]
+    return "[" + ", ".join(f"concat_ws('|', '{b}', {', '.join(least[b * ROWS:(b + 1) * ROWS])})" for b in range(BANDS)) + "]"
+
+
+@query("e5_similar_links", f"""
+WITH c AS (SELECT title, text, min(data_id) AS id FROM v_scraped_data GROUP BY title, text),
+k AS MATERIALIZED (SELECT id, title, text, {toks('title')} AS tt, {toks('text')} AS tx FROM c),
+h AS MATERIALIZED (SELECT id, list_transform(list_concat(list_transform(tt, lambda x: concat('0:', x)), list_transform(tx, lambda x: concat('1:', x))), lambda x: CAST(concat('0x', substr(md5(x), 1, 7)) AS BIGINT)) AS w FROM k),
+o1 AS MATERIALIZED (SELECT id AS id2, unnest({_bands_sql()}) AS band FROM h WHERE len(w) > 0),
+m1 AS MATERIALIZED (SELECT o.band, o.id2, f.id1 FROM o1 o JOIN (SELECT band, min(id2) AS id1 FROM o1 GROUP BY band) f ON f.band = o.band WHERE f.id1 < o.id2),
+s1 AS MATERIALIZED (SELECT id1, id2, ({sim('a.title', 'b.title', 'a.tt', 'b.tt')} + {sim('a.text', 'b.text', 'a.tx', 'b.tx')}) / 2 AS score FROM (SELECT DISTINCT id1, id2 FROM m1) p JOIN k a ON a.id = id1 JOIN k b ON b.id = id2),
+o2 AS MATERIALIZED (SELECT m1.band, m1.id2 FROM m1 JOIN s1 ON m1.id1 = s1.id1 AND m1.id2 = s1.id2 WHERE s1.score < 0.85),
+m2 AS MATERIALIZED (SELECT o.band, o.id2, f.id1 FROM o2 o JOIN (SELECT band, min(id2) AS id1 FROM o2 GROUP BY band) f ON f.band = o.band WHERE f.id1 < o.id2),
+s2 AS MATERIALIZED (SELECT id1, id2, ({sim('a.title', 'b.title', 'a.tt', 'b.tt')} + {sim('a.text', 'b.text', 'a.tx', 'b.tx')}) / 2 AS score FROM (SELECT DISTINCT id1, id2 FROM m2) p JOIN k a ON a.id = id1 JOIN k b ON b.id = id2)
+SELECT id1, id2, round(score, 6) AS score FROM (SELECT * FROM s1 UNION SELECT * FROM s2) WHERE score >= 0.85
+UNION ALL SELECT c.id, r.data_id, 1.0 FROM v_scraped_data r JOIN c ON c.title = r.title AND c.text = r.text WHERE r.data_id <> c.id""", ["v_scraped_data"])
+def e5b(t):
+    """Approximate mode: one link per similar record and band instead of all pairs."""
+    return M.similar_links(t.records(), ["title", "text"], 0.85).withColumn("score", F.round("score", 6))
+
+
 NEXT = f"""WITH d AS (SELECT doc_id, text, source, {toks('text')} AS tk, {toks('source')} AS ts FROM documents)"""
 
 

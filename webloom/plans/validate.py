@@ -129,9 +129,65 @@ def j22d(t):
     return t["customer"].select(F.col("c_custkey").alias("id"), V.check_uuid(raw).alias("r")).select("id", "r.is_valid", "r.value")
 
 
-@query("j25_json_checks")
+def _open_json(t):
+    """Documents of all kinds: plain, deep, with many keys, with many items, broken, deeper than the parser goes, with markup, dangerous."""
+    n, k = F.col("event_id"), F.col("event_id").cast("string")
+    nested = F.concat(F.repeat(F.lit('{"a":['), (n % 7).cast("int")), k, F.repeat(F.lit("]}"), (n % 7).cast("int")))
+    keys = F.concat(F.lit('{"o":{'), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(99) + (n % 4).cast("int")), lambda i: F.concat(F.lit('"k'), i, F.lit('":1'))), ","), F.lit("}}"))
+    items = F.concat(F.lit("[["), F.array_join(F.array_repeat(F.lit("0"), F.lit(999) + (n % 3).cast("int")), ","), F.lit("],2]"))
+    huge = F.concat(F.repeat(F.lit("["), 1500), F.repeat(F.lit("]"), 1500))
+    marked = F.concat(F.lit('{"t":"a < b > '), k, F.lit(' \\"q\\"","u":["it\'s",null,true,2.5],"e":{},"l":[]}'))
+    doc = (
+        F.when(n % 8 == 0, nested).when(n % 8 == 1, keys).when((n % 8 == 2) & (n % 5 == 0), items).when(n % 8 == 3, F.concat(F.lit('{"a":'), k))
+        .when((n % 8 == 4) & (n % 25 == 4), huge).when(n % 8 == 5, marked).when(n % 8 == 6, F.concat(F.lit('{"x":["drop '), k, F.lit('"]}'))).otherwise(F.col("props")))
+    return t["events"].select("event_id", doc.alias("doc"))
+
+
+JSON_DOCS = r"""
+docs AS (SELECT event_id, CASE WHEN event_id % 8 = 0 THEN concat(repeat('{"a":[', CAST(event_id % 7 AS INT)), CAST(event_id AS STRING), repeat(']}', CAST(event_id % 7 AS INT)))
+  WHEN event_id % 8 = 1 THEN concat('{"o":{', array_to_string(list_transform(range(1, 100 + event_id % 4), lambda i: concat('"k', CAST(i AS STRING), '":1')), ','), '}}')
+  WHEN event_id % 8 = 2 AND event_id % 5 = 0 THEN concat('[[', array_to_string(list_transform(range(0, 999 + event_id % 3), lambda i: '0'), ','), '],2]')
+  WHEN event_id % 8 = 3 THEN concat('{"a":', CAST(event_id AS STRING)) WHEN event_id % 8 = 4 AND event_id % 25 = 4 THEN concat(repeat('[', 1500), repeat(']', 1500))
+  WHEN event_id % 8 = 5 THEN concat('{"t":"a < b > ', CAST(event_id AS STRING), ' \"q\"","u":["it''s",null,true,2.5],"e":{},"l":[]}')
+  WHEN event_id % 8 = 6 THEN concat('{"x":["drop ', CAST(event_id AS STRING), '"]}') ELSE props END AS doc FROM events),
+huge AS (SELECT event_id FROM docs WHERE starts_with(doc, '[[[[[[[[[[[[')),
+read AS (SELECT event_id, doc FROM docs WHERE json_valid(doc) AND event_id NOT IN (SELECT event_id FROM huge)),
+nodes AS (SELECT d.event_id, j.key, j.type, j.id, j.parent, j.fullkey, j.json, length(regexp_replace(j.fullkey, '[^.\[]', '', 'g')) AS depth, j.atom
+  FROM read d, LATERAL (SELECT key, value AS json, type, atom, id, parent, fullkey FROM json_tree(d.doc)) j)"""
+
+
+@query("j25_json_checks", f"""
+WITH {JSON_DOCS},
+faults AS (SELECT event_id, bool_or(depth > 10) AS deep, bool_or(type = 'OBJECT' AND len(json_keys(json)) > 100) AS wide, bool_or(type = 'ARRAY' AND json_array_length(json) > 1000) AS long,
+  bool_or(type = 'VARCHAR' AND starts_with(atom, '"drop ')) AS danger FROM nodes WHERE depth <= 11 GROUP BY event_id)
+SELECT event_id, error IS NULL AS is_valid, error FROM (
+  SELECT d.event_id, CASE WHEN h.event_id IS NOT NULL THEN 'exceeds maximum depth of 10' WHEN NOT json_valid(d.doc) THEN 'is not valid JSON' WHEN deep THEN 'exceeds maximum depth of 10'
+    WHEN wide THEN 'object has too many keys (max: 100)' WHEN long THEN 'array is too large' WHEN danger THEN 'contains a dangerous pattern' END AS error
+  FROM docs d LEFT JOIN huge h USING (event_id) LEFT JOIN faults USING (event_id))""")
 def j25(t):
-    return V.check_json(t["events"].select("event_id", "props"), "props").select("event_id", "is_valid", "error", "value")
+    return V.check_json(_open_json(t), "doc").select("event_id", "is_valid", "error")
+
+
+@query("j25_json_nodes", f"""
+WITH {JSON_DOCS}
+SELECT event_id, CAST(depth AS INT) AS depth, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+  count(*) AS nodes, CAST(max(CASE type WHEN 'OBJECT' THEN len(json_keys(json)) WHEN 'ARRAY' THEN json_array_length(json) END) AS INT) AS largest
+FROM nodes WHERE depth <= 10 GROUP BY ALL""")
+def j25b(t):
+    """Nodes per document, depth and kind, with the size of the largest."""
+    nodes = V.json_nodes(_open_json(t), "event_id", "doc")
+    return nodes.groupBy("event_id", "depth", "kind").agg(F.count(F.lit(1)).alias("nodes"), F.max("size").alias("largest"))
+
+
+@query("j25_safe_copies", r"""
+WITH s AS (SELECT event_id, concat('a < b > ', CAST(event_id AS STRING), ' "q"') AS x FROM events WHERE event_id % 8 = 5),
+e AS (SELECT event_id, replace(replace(replace(x, '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS x FROM s)
+SELECT event_id, concat('{"e": {}, "l": [], "t": "', x, '", "u": ["it&#x27;s", null, true, 2.5]}') AS value FROM e
+UNION ALL SELECT event_id, replace(props, ':', ': ') FROM (SELECT event_id, replace(props, ' ', '') AS props FROM events WHERE event_id % 8 = 7)""")
+def j25c(t):
+    """Escaped copies of the documents with markup and of plain ones."""
+    checked = V.check_json(_open_json(t), "doc").where(F.col("event_id") % 8 >= 5)
+    return checked.where("value IS NOT NULL").select("event_id", "value")
 
 
 @query("j26_json_profile", """
