@@ -10,11 +10,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.session import written
 
-__all__ = ["WORD", "add_columns", "kept_by_worker", "mixed", "read_table", "words_of", "written"]
+__all__ = ["WORD", "add_columns", "in_cells", "kept_by_worker", "mixed", "read_table", "words_of", "written"]
 
 #: Bytes of text that a Python worker takes on at once; a memory bound, it has no effect on results.
 TOGETHER = 3_000_000
@@ -75,6 +76,14 @@ def words_of(text: str, pattern) -> list[str]:
     return pattern.findall(text)
 
 
+def in_cells(rows: DataFrame, *identity: str) -> DataFrame:
+    """Rows of groups cut into ``blocks`` (a column): each row with its ``block`` and the cells (i, j) of two blocks in which
+    it meets all others of its group."""
+    own = F.pmod(F.xxhash64(*identity), F.col("blocks")).cast("int")
+    placed = rows.withColumn("block", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumns({"i": F.least("block", "__other"), "j": F.greatest("block", "__other")}).drop("__other", "blocks")
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

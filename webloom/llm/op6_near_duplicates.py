@@ -6,15 +6,16 @@ at most one symbol of some chunk of four; so each chunk is indexed four times, e
 left out, and every pair within the distance meets under some key. At a similarity of 0.75 a distance above
 31 of 64 has a probability of about 1e-5, and less above. Links are confirmed on the full sets.
 
-Equal sets are one class. Inside a key, classes are first compared with one centre; what that joins needs no
-further comparison, since only reachability is asked for. Then all members of a key that lie in different
-components are compared by their signatures, key by key in sorted order, and only pairs within the
-distance become rows; keys with very many members are first split by a second chunk, again without loss.
+Equal sets are one class. First every class is compared with one centre, the member that most of its keys name:
+what that joins needs no further comparison, since only reachability is asked for. Then the members of a key that lie
+in different components meet in a task: those in a pair within the distance meet again with their sets and are compared
+exactly, and one link for any two components that meet is told. A key with very many members is cut into blocks, and each two blocks are a
+task of their own, so no pair is lost and no task holds more than two blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import add_columns, mixed, read_table, written
+from webloom.llm.common import add_columns, in_cells, mixed, read_table, written
 from webloom.llm.components import components
 from webloom.llm.shingles import shared, shingle_set
 
@@ -31,11 +32,12 @@ SYMBOLS, BITS, CHUNK = 64, 16, 4
 CHUNKS = SYMBOLS // CHUNK
 #: Differing symbols up to which a pair is found for certain: one error per chunk, and one short of two in each.
 DISTANCE = 2 * CHUNKS - 1
-#: Members of a key above which pairs are sought under a second chunk as well.
-SPLIT = 16384
+#: Members of a block, and bytes of their sets, as expected (blocks are drawn by hash): the members of a key that meet in
+#: a task. A memory bound, it has no effect on results.
+BLOCK, BLOCK_BYTES = 2048, 16_000_000
 ROUNDS = 2
-#: Rows that are compared together; a memory bound.
-TOGETHER = 20_000
+#: Rows that are compared together, unless one block has more; a memory bound.
+TOGETHER = 8192
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -84,22 +86,6 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     return np.concatenate(out, 1)
 
 
-def second_keys(signatures: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(rows x 90) keys for rows that share the key ``first``: the 15 other chunks, any two symbols left out.
-
-    31 differences over 15 chunks leave at most two in one of them, so no pair is lost.
-    """
-    chunks = signatures.reshape(-1, CHUNKS, CHUNK).astype(np.uint64)
-    own = (first >> 50).astype(np.int64)
-    others = (own[:, None] + np.arange(1, CHUNKS)) % CHUNKS
-    picked = np.take_along_axis(chunks, others[:, :, None], 1)
-    base = mixed(first.astype(np.uint64))[:, None] ^ others.astype(np.uint64)
-    with np.errstate(over="ignore"):
-        out = [mixed(base * np.uint64(31) + np.uint64(4 * i + j) + (picked[:, :, i] << np.uint64(40)) + (picked[:, :, j] << np.uint64(16)))
-               for i in range(CHUNK) for j in range(i + 1, CHUNK)]
-    return np.concatenate(out, 1).astype(np.int64)
-
-
 def keyed(classes: DataFrame) -> DataFrame:
     """(key, class) rows of (class, signature)."""
 
@@ -114,51 +100,61 @@ def keyed(classes: DataFrame) -> DataFrame:
     return classes.select("class", "signature").mapInArrow(run, "key long, class long")
 
 
-def split_keys(rows: DataFrame) -> DataFrame:
-    """(key, class, root) rows with a signature -> the same under keys of two chunks."""
+class Found:
+    """Components of the members of some cells, joined as links are found."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                keys = second_keys(symbols(part.column("signature")), part.column("key").to_numpy())
-                ids, roots = (np.repeat(part.column(c).to_numpy(), keys.shape[1]) for c in ("class", "root"))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(ids), pa.array(roots)], names=["key", "class", "root"])
+    def __init__(self, cell: np.ndarray, roots: np.ndarray):
+        _, self.at = np.unique(np.stack([cell, roots], 1), axis=0, return_inverse=True)
+        self.at = self.at.reshape(-1)
+        self.up = list(range(int(self.at.max()) + 1))
 
-    return rows.select("key", "class", "root", "signature").mapInArrow(run, "key long, class long, root long")
+    def of(self, row: int) -> int:
+        x = int(self.at[row])
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
 
+    def join(self, a: int, b: int) -> None:
+        self.up[max(a, b)] = min(a, b)
 
-def met(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, distance) of members of a key in different components, within the distance and of sizes that can be similar.
 
-    Rows come sorted by key; row i is compared with row i + 1, then i + 2 and so on, for all keys of a portion at
-    once, as long as both have the same key. Keys have at most SPLIT members. A pair whose first key is a larger
-    one comes from there.
-    """
+def pairs_within(part: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, int]]:
+    """(rows r, step): pairs (r, r + step) of a cell in different components, within the distance and of sizes that can be
+    similar.
 
-    def pairs_of(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys, ids, roots, sizes = (part.column(c).to_numpy() for c in ("key", "class", "root", "n_shingles"))
-        signatures = symbols(part.column("signature"))
-        at, step = np.arange(len(keys)), 1
-        while True:
-            at = at[at + step < len(keys)]
-            at = at[keys[at] == keys[at + step]]
-            if not len(at):
-                return
-            apart = at[roots[at] != roots[at + step]]
-            small, large = np.minimum(sizes[apart], sizes[apart + step]), np.maximum(sizes[apart], sizes[apart + step])
-            apart = apart[100 * small >= percent * large]
-            differ = (signatures[apart] != signatures[apart + step]).reshape(-1, CHUNKS, CHUNK)
+    Rows come sorted by cell and size; row r is compared with row r + 1, then r + 2 and so on, for all cells at once.
+    A pair whose first common key is another one is left to that.
+    """
+    keys, i, j, blocks, roots, sizes = (part.column(c).to_numpy() for c in ("key", "i", "j", "block", "root", "n_shingles"))
+    cell, signatures = cells_of(part), symbols(part.column("signature"))
+    across = i != j  # here only pairs of the two blocks count, the others meet in cells of their own
+    at, step = np.arange(len(keys)), 1
+    while True:
+        at = at[at + step < len(keys)]
+        at = at[(cell[at] == cell[at + step]) & (100 * sizes[at] >= percent * sizes[at + step])]
+        if not len(at):
+            return
+        apart = at[(roots[at] != roots[at + step]) & ~(across[at] & (blocks[at] == blocks[at + step]))]
+        for some in np.array_split(apart, len(apart) // 4096 + 1):
+            differ = (signatures[some] != signatures[some + step]).reshape(-1, CHUNKS, CHUNK)
             wrong = differ.sum(2)
-            distance = wrong.sum(1).astype(np.int32)
-            # a pair meets under several keys and is told under the first of them
+            # a pair meets under several keys and is compared under the first of them
             chunk = (wrong <= 1).argmax(1)
             left_out = differ[np.arange(len(chunk)), chunk].argmax(1)
-            hit = (distance <= DISTANCE) & (keys[apart] >> 48 == chunk * CHUNK + left_out)
-            if hit.any():
-                a, b = ids[apart[hit]], ids[apart[hit] + step]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(distance[hit])], names=["a", "b", "distance"])
-            step += 1
+            hit = some[(wrong.sum(1) <= DISTANCE) & (keys[some] >> 48 == chunk * CHUNK + left_out)]
+            if len(hit):
+                yield hit, step
+        step += 1
+
+
+def cells_of(part: pa.Table) -> np.ndarray:
+    """The number of each row's cell; rows come sorted by cell."""
+    key, i, j = (part.column(c).to_numpy() for c in ("key", "i", "j"))
+    return np.cumsum(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+
+
+def by_cells(rows: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work`` on whole cells, sorted by size, some thousand rows at a time or one cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -169,29 +165,66 @@ def met(rows: DataFrame, percent: int) -> DataFrame:
             if sum(map(len, held)) < TOGETHER:
                 continue
             table = pa.Table.from_batches(held)
-            keys = table.column("key").to_numpy()
-            whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
-            yield from pairs_of(table.slice(0, whole))
+            number = cells_of(table)
+            whole = int(np.searchsorted(number, number[-1]))  # the last cell may go on
+            if whole:
+                yield from work(table.slice(0, whole))
             held = table.slice(whole).to_batches()
         if held:
-            yield from pairs_of(pa.Table.from_batches(held))
+            yield from work(pa.Table.from_batches(held))
 
-    dealt = rows.select("key", "class", "root", "n_shingles", "signature").repartition("key").sortWithinPartitions("key", "class")
-    return dealt.mapInArrow(run, "a long, b long, distance int")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n_shingles", "class").mapInArrow(run, schema)
 
 
-def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, distance) of the pairs (a, b) whose signatures are within the distance."""
+MEMBER = "key long, i int, j int, block int, class long, root long, n_shingles long, signature binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            apart = (symbols(batch.column("s")) != symbols(batch.column("t"))).sum(1).astype(np.int32)
-            close = pa.array(apart <= DISTANCE)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart)], names=["a", "b", "distance"]).filter(close)
 
-    left = classes.select(F.col("class").alias("a"), F.col("signature").alias("s"))
-    right = classes.select(F.col("class").alias("b"), F.col("signature").alias("t"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long, distance int")
+def paired(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows that are in a pair of their cell, by their signatures; the others need no set."""
+
+    def work(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        taken = np.zeros(len(part), bool)
+        for at, step in pairs_within(part, percent):
+            taken[at] = taken[at + step] = True
+        yield from part.filter(pa.array(taken)).to_batches()
+
+    return by_cells(rows.select(*(c.split()[0] for c in MEMBER.split(", "))), work, MEMBER)
+
+
+def linked(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members of a cell in different components whose sets share ``percent`` of their union, one for any two
+    components that meet."""
+
+    def work(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, sizes, packed = part.column("class").to_numpy(), part.column("n_shingles").to_numpy(), part.column("shingles")
+        found, links = Found(cells_of(part), part.column("root").to_numpy()), []
+
+        def set_of(row: int) -> np.ndarray:
+            return np.frombuffer(packed[row].as_buffer(), np.uint64)
+
+        for at, step in pairs_within(part, percent):
+            for row in at.tolist():
+                x, y = found.of(row), found.of(row + step)
+                if x == y:
+                    continue
+                both = shared(set_of(row), set_of(row + step))
+                if 100 * both >= percent * (sizes[row] + sizes[row + step] - both):
+                    found.join(x, y)
+                    links.append((ids[row], ids[row + step]))
+        if links:
+            a, b = np.array(links, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return by_cells(rows, work, "a long, b long")
+
+
+def packed_sets(texts: DataFrame) -> DataFrame:
+    """(class, shingles: the sorted set as bytes) of (class, text)."""
+
+    def work(found: list[str]) -> list[pa.Array]:
+        return [pa.array([shingle_set(t).tobytes() for t in found], pa.binary())]
+
+    return add_columns(texts, "text", [T.StructField("shingles", T.BinaryType())], work, ["class"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -236,36 +269,26 @@ def link_classes(docs: DataFrame, table: DataFrame, percent: int) -> DataFrame |
         "class = wanted").select("class", "text").dropDuplicates(["class"]))
     edges, roots = None, None
     for round_ in range(ROUNDS):
-        order = (F.col("class"), -F.col("class"), F.xxhash64("class"))[round_ % 3]
+        order = (F.col("class"), F.xxhash64("class"), -F.col("class"))[round_ % 3]
         rows = with_roots(shared_keys, roots)
         spread = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("class", "root"), order).alias("centre"))
-        pairs = rows.join(spread.where("r0 < r1"), "key").where("root != centre.root").select(
-            F.least("class", "centre.class").alias("a"), F.greatest("class", "centre.class").alias("b"), F.col("class").alias("own")).distinct()
-        best = near(pairs.select("a", "b").distinct(), classes)
-        # one pair for each class, its nearest centre: enough to join whatever is joined easily
-        one = best.select(F.explode(F.array("a", "b")).alias("own"), "a", "b", "distance").groupBy("own").agg(
-            F.min(F.struct("distance", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        named = rows.join(spread.where("r0 < r1"), "key").where("root != centre.root").groupBy("class", F.col("centre.class").alias("centre")).agg(F.count(F.lit(1)).alias("keys"))
+        # one centre for each class: the one that most of its keys name
+        one = named.groupBy("class").agg(F.min(F.struct((-F.col("keys")).alias("k"), "centre")).alias("c")).select(
+            F.least("class", "c.centre").alias("a"), F.greatest("class", "c.centre").alias("b")).distinct()
         new = written(confirmed(one, texts, percent))
         edges = new if edges is None else edges.unionByName(new)
         roots = components(edges, "a", "b")
     rows = with_roots(shared_keys, roots)
-    open_keys = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 < r1")
-    rows = rows.drop("n").join(open_keys.select("key", "size"), "key").join(classes.select("class", "signature", "n_shingles"), "class")
-    rows = written(rows)
-    found = met(rows.where(F.col("size") <= SPLIT), percent)
-    left = split_keys(rows.where(F.col("size") > SPLIT))
-    right = left.select("key", F.col("class").alias("other"), F.col("root").alias("other_root"))
-    pairs = left.join(right, "key").where("root < other_root").select(
-        F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-    close = written(found.unionByName(near(pairs, classes)).distinct())
-    # first the nearest pair between any two components, then what is still apart
-    for last in (False, True):
-        open_ = with_roots(with_roots(close, roots, "a", "ra"), roots, "b", "rb").where("ra != rb")
-        if not last:
-            open_ = open_.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.min(F.struct("distance", "a", "b")).alias("p")).select("p.a", "p.b")
-        edges = edges.unionByName(written(confirmed(open_, texts, percent)))
-        roots = components(edges, "a", "b")
-    return roots
+    sizes = classes.select("class", "signature", "n_shingles")
+    open_keys = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    rows = written(rows.drop("n").join(open_keys, "key").join(sizes, "class"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, 8 * F.sum("n_shingles") / BLOCK_BYTES)).cast("int")
+    cut = rows.groupBy("key").agg(blocks.alias("blocks"))
+    # signatures tell which rows can be in a link at all; only these get their sets
+    open_ = written(paired(in_cells(rows.join(cut, "key"), "class"), percent))
+    sets = packed_sets(texts.join(open_.select("class").distinct(), "class", "left_semi"))
+    return components(edges.unionByName(written(linked(open_.join(sets, "class"), percent))), "a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> DataFrame:
@@ -287,6 +310,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> D
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def kept_rows(docs: DataFrame, percent: int = 75, text: str = "text") -> DataFrame:
+    """One row of each component of ``docs``, all its columns: the one with the smallest doc_id, a null one last.
+
+    Rows are told apart by doc_id and text: rows that share a doc_id stay if their texts are in different components,
+    and of rows with one doc_id and one set of shingles one stays. Documents without words are linked with nothing, so
+    all their rows stay. No rows give no rows.
+    """
+    narrow = docs.select("doc_id", F.col(text).alias("text"))
+    table = written(signed(narrow, keep=["doc_id"]))
+    placed = with_roots(table.select("doc_id", "class"), link_classes(narrow, table, percent))
+    best = placed.where("class IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "class")).alias("b"))
+    chosen = written(best.select("b.doc_id", "b.class").unionByName(placed.where("class IS NULL").select("doc_id", "class")))
+    ids = table.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id")
+    rows = docs.select(F.struct("*").alias("own"), "doc_id", F.col(text).alias("text"))
+    alone = rows.join(ids, "doc_id", "left_anti").join(chosen.select("doc_id"), "doc_id", "left_semi")
+    # of doc_ids that repeat, and of rows without one, the class decides
+    shared_ids = rows.join(ids.withColumnRenamed("doc_id", "often"), F.col("doc_id").eqNullSafe(F.col("often")), "left_semi")
+    classed = signed(shared_ids, keep=["own", "doc_id"]).select("own", "doc_id", "class")
+    wanted = chosen.select(F.col("doc_id").alias("d"), F.col("class").alias("c"))
+    odd = classed.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("class").eqNullSafe(F.col("c")), "left_semi")
+    once = odd.where("class IS NOT NULL").dropDuplicates(["doc_id", "class"]).unionByName(odd.where("class IS NULL"))
+    return alone.where("doc_id IS NOT NULL").select("own.*").unionByName(once.select("own.*"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
