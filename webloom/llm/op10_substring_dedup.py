@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import WORD, mixed, portions, read_table, written
+from webloom.llm.common import WORD, in_cells, mixed, portions, read_table, written
 from webloom.llm.components import components
 from webloom.llm.shingles import rolled, word_hashes
 
@@ -35,6 +35,9 @@ DIGEST_BITS = 40
 NO_ID = -(2**63)
 #: Bands that a sample shows to be frequent are grouped by salt first: one in SAMPLE documents, at most HOT bands.
 SAMPLE, HOT, SALTS = 64, 1000, 64
+#: Members of a block, as expected: a band with more is cut into blocks, and each two of them are compared in a task of
+#: their own. A memory bound, it has no effect on results.
+BLOCK = 1024
 
 
 def tune_bands(similarity: float, recall: float, rows: tuple[int, ...] = (1, 2, 3), most: int = 64) -> tuple[int, int]:
@@ -192,11 +195,12 @@ def similar(links: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where(100 * joint >= PERCENT * (F.size("a") + F.size("b") - joint)).select("member", "first")
 
 
-def alike(docs: list, roots: list, sets: list) -> Iterator[tuple[int, int]]:
+def alike(docs: list, roots: list, sets: list, blocks: list | None = None) -> Iterator[tuple[int, int]]:
     """(later, earlier) places of similar paragraphs of different documents, one for any two components that meet.
 
-    Paragraphs come sorted; all that lie in different components are compared exactly.
+    Paragraphs come sorted; all that lie in different components (and blocks, where given) are compared exactly.
     """
+    block = np.array(blocks) if blocks is not None else np.arange(len(docs))
     sizes = np.array([len(s) for s in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
@@ -212,7 +216,7 @@ def alike(docs: list, roots: list, sets: list) -> Iterator[tuple[int, int]]:
         mark[own] = 1
         joint = np.add.reduceat(mark[flat[ends[at] :]], starts[rest] - ends[at])
         mark[own] = 0
-        hit = (100 * joint >= PERCENT * (sizes[rest] + sizes[at] - joint)) & (ids[rest] != ids[at])
+        hit = (100 * joint >= PERCENT * (sizes[rest] + sizes[at] - joint)) & (ids[rest] != ids[at]) & (block[rest] != block[at])
         for other in (np.flatnonzero(hit) + at + 1).tolist():
             if component[other] != component[at]:
                 component[component == component[other]] = component[at]
@@ -244,31 +248,35 @@ def further_links(links: DataFrame, good: DataFrame, docs: DataFrame) -> DataFra
     open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     # equal paragraphs of a component are one member
     members = written(placed.join(open_, "key").groupBy("key", "root", digest("p").alias("digest")).agg(F.min("p").alias("p")).drop("digest"))
-    dealt = members.join(shingle_sets(members.select("p").distinct(), docs), "p").select("key", "p.doc", "p.pack", "root", "set")
+    cut = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = in_cells(members.join(cut, "key"), "p").join(shingle_sets(members.select("p").distinct(), docs), "p").select(
+        "key", "i", "j", "block", "p.doc", "p.pack", "root", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
 
         def links() -> Iterator[pa.RecordBatch]:
-            docs_, packs, roots_, sets = zip(*held, strict=True)
-            found = list(alike(docs_, roots_, sets)) if len(held) > 1 else []
+            docs_, packs, roots_, sets, blocks = zip(*held, strict=True)
+            across = last[1] != last[2]  # in a cell of two blocks only pairs of both count
+            found = list(alike(docs_, roots_, sets, blocks if across else None)) if len(held) > 1 else []
             if found:
                 ends = [[c[i] for i in side] for side in zip(*found, strict=True) for c in (docs_, packs)]
                 yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], names=["doc", "pack", "first_doc", "first_pack"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "doc", "pack", "root")]
+            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "block", "doc", "pack", "root")]
             sets, ends = batch.column("set").flatten().to_numpy(), np.cumsum(batch.column("set").value_lengths().to_numpy())
-            for (key, doc, pack, root), own in zip(zip(*columns, strict=True), np.split(sets, ends[:-1]), strict=True):
-                if key != last and held:
-                    yield from links()
-                    held = []
-                last = key
-                held.append((doc, pack, (root["doc"], root["pack"]), own))
+            for (key, i, j, block, doc, pack, root), own in zip(zip(*columns, strict=True), np.split(sets, ends[:-1]), strict=True):
+                if (key, i, j) != last:
+                    if held:
+                        yield from links()
+                    last, held = (key, i, j), []
+                held.append((doc, pack, (root["doc"], root["pack"]), own, block))
         if held:
             yield from links()
 
-    found = dealt.repartition("key").sortWithinPartitions("key", "doc", "pack").mapInArrow(run, "doc long, pack long, first_doc long, first_pack long")
+    met = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc", "pack")
+    found = met.mapInArrow(run, "doc long, pack long, first_doc long, first_pack long")
     return found.select(paragraph("doc", "pack").alias("member"), F.struct(F.col("first_doc").alias("doc"), F.col("first_pack").alias("pack")).alias("first"))
 
 
@@ -321,19 +329,20 @@ def cut_repeats(df: DataFrame, text: str = "text", keep: list[str] | None = None
     null doc_id, count as one document, so they cut nothing from each other. Null text stays null; empty and
     short texts have nothing to cut. Columns with the names of new ones are replaced; no rows give no rows.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c not in (text, "removed_words", "removed_paragraphs", "copies_in")]
-    docs = df.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
-    found = repeats(docs).select(F.col("doc").alias("__doc"), F.col("packs").alias("__packs"))
-    rows = df.select(*keep, text, F.coalesce("doc_id", F.lit(NO_ID)).alias("__at") if "doc_id" in df.columns else F.lit(NO_ID).alias("__at"))
-    rows = rows.join(found, F.col("__at") == F.col("__doc"), "left").drop("__at", "__doc")
     made = [T.StructField("removed_words", T.LongType()), T.StructField("removed_paragraphs", T.LongType()), T.StructField("copies_in", T.ArrayType(T.LongType()))]
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(text, T.StringType()), *made])
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (text, *(f.name for f in made))]
+    doc = F.coalesce("doc_id", F.lit(NO_ID)) if "doc_id" in df.columns else F.lit(NO_ID)
+    found = repeats(df.select(doc.alias("doc"), F.coalesce(text, F.lit("")).alias("text")))
+    # the caller's columns travel as one, so that no name of theirs meets one of these
+    own = F.struct(*keep) if keep else F.struct(F.lit(None).cast("int").alias("none"))
+    rows = df.select(own.alias("own"), F.col(text).alias("text"), doc.alias("doc")).join(found, "doc", "left").select("own", "text", "packs")
+    schema = T.StructType([rows.schema["own"], T.StructField("text", T.StringType()), *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in portions(batches, text):
+        for part in portions(batches, "text"):
             texts, words, paragraphs, copies = [], [], [], []
-            for value, packs in zip(part.column(text).to_pylist(), part.column("__packs").to_pylist(), strict=True):
-                spans, n, k, own = cut_runs(value, {p["pack"]: p["kept_in"] for p in packs}) if packs and value else ([], 0, 0, [])
+            for value, packs in zip(part.column("text").to_pylist(), part.column("packs").to_pylist(), strict=True):
+                spans, n, k, kept = cut_runs(value, {p["pack"]: p["kept_in"] for p in packs}) if packs and value else ([], 0, 0, [])
                 at, left = 0, []
                 for start, end in spans:
                     left.append(value[at:start])
@@ -341,12 +350,13 @@ def cut_repeats(df: DataFrame, text: str = "text", keep: list[str] | None = None
                 texts.append("".join([*left, value[at:]]) if spans else value)
                 words.append(n)
                 paragraphs.append(k)
-                copies.append([c for c in own if c != NO_ID])
+                copies.append([c for c in kept if c != NO_ID])
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(words, pa.int64()), pa.array(paragraphs, pa.int64()), pa.array(copies, pa.list_(pa.int64()))],
-                names=[*keep, text, *(f.name for f in made)])
+                [part.column("own"), pa.array(texts, pa.string()), pa.array(words, pa.int64()), pa.array(paragraphs, pa.int64()), pa.array(copies, pa.list_(pa.int64()))],
+                names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    cut = rows.mapInArrow(run, schema)
+    return cut.select(*[F.col("own")[c].alias(c) for c in keep], F.col("text").alias(text), *(f.name for f in made))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
