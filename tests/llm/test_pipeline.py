@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.helpers import documents, rows_of
 from tools import check_results as C
-from webloom.llm import op4_quality_rules, registry
+from webloom.llm import op2_packing, op4_quality_rules, registry
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -24,8 +24,8 @@ def test_same_rows_as_sql(spark, duck, name):
     assert ok, note
 
 
-def test_eleven_queries():
-    assert sorted(k.split("_")[0] for k in registry.QUERIES) == sorted([*(f"op{n}" for n in range(1, 11)), "pipeline"])
+def test_one_query_per_operator():
+    assert sorted(k.split("_")[0] for k in registry.QUERIES) == sorted([*(f"op{n}" for n in range(1, 14)), "pipeline"])
 
 
 def test_stages_keep_columns_and_apply_their_decisions(spark, tmp_path):
@@ -50,6 +50,23 @@ def test_stages_keep_columns_and_apply_their_decisions(spark, tmp_path):
     assert kept == {r["doc_id"] for r in rows_of(after)}
 
 
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven", "red green blue cyan pink grey black")
+    rows = [(0, a), (1, a), (1, b), (1, b), (None, a), (None, c), (None, c), (7, c), (8, None), (8, " "), (None, "")]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, class int").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in rows_of(corpus_pipeline.near_duplicates(spark, docs, FOLDER))), key=str)
+    assert got == sorted([(0, a), (1, b), (7, c), (8, None), (8, " "), (None, "")], key=str)
+
+
+def test_stages_take_columns_of_any_name(spark):
+    names = ("own", "class", "root", "rank", "chunk", "pieces", "packs", "doc", "kept", "score", "__at", "__row", "__id", "__doc", "__packs", "__chunk", "__local", "__before", "__pieces", "__other")
+    docs = documents(spark).select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"), *[F.lit(f"my {n}").alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, FOLDER)
+        assert after.columns == docs.columns and all(r[n] == f"my {n}" for r in rows_of(after) for n in names)
+    assert op2_packing.pack(op2_packing.pieces_of(docs), ["doc_id", "piece"]).where("__chunk = 'my __chunk' AND __pieces = 'my __pieces'").count() > 0
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:

@@ -103,10 +103,12 @@ def pieces_of(
         struct = pa.StructArray.from_arrays(arrays, names=[f.split()[0] for f in fields])
         return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)]
 
-    keep = df.columns if keep is None else keep
     made = [f.split()[0] for f in fields]
-    found = add_columns(df, text, [T.StructField("__pieces", kind)], work, keep)
-    return found.select(*[c for c in keep if c not in made], F.inline("__pieces"))
+    keep = [c for c in (df.columns if keep is None else keep) if c not in made]
+    # the caller's columns travel as one, so that no name of theirs meets one of these
+    own = F.struct(*keep) if keep else F.struct(F.lit(None).cast("int").alias("none"))
+    found = add_columns(df.select(own.alias("own"), F.col(text).alias("text")), "text", [T.StructField("pieces", kind)], work, ["own"])
+    return found.select("own", F.inline("pieces")).select(*[F.col("own")[c].alias(c) for c in keep], *made)
 
 
 class Open:
@@ -246,13 +248,13 @@ def placements(runs: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]
 def ranked(pieces: DataFrame, order: list[str], rows: int) -> DataFrame:
     """Adds ``rank``: the place of a piece among those of its length, counted without one task per length."""
     chunks = max(1, -(-rows // CHUNK))
-    cut_ = pieces.withColumn("__chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
-    sizes = cut_.groupBy("length", "__chunk").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("length").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    local = F.row_number().over(Window.partitionBy("length", "__chunk").orderBy(*order)) - 1
-    return cut_.withColumn("__local", local).join(sizes, ["length", "__chunk"]).withColumn(
-        "rank", F.col("__local") + F.col("__before")).drop("__chunk", "__local", "__before")
+    chunk = F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int")
+    cut_ = pieces.select(F.struct("*").alias("own"), "length", chunk.alias("chunk"))
+    sizes = cut_.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("length", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    local = F.row_number().over(Window.partitionBy("length", "chunk").orderBy(*[F.col("own")[c] for c in order])) - 1
+    return cut_.withColumn("local", local).join(sizes, ["length", "chunk"]).select("own.*", (F.col("local") + F.col("before")).alias("rank"))
 
 
 def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
