@@ -28,10 +28,15 @@ def read_table(spark, folder: str, name: str) -> DataFrame:
 
 
 def kept_by_worker(key: tuple, make: Callable[[], object]) -> object:
-    """A value made once in a Python worker process and kept for its later tasks (tables, caches)."""
+    """A value made once in a Python worker process and kept for its later tasks (tables, caches).
+
+    A worker serves one operator after the other and keeps the last value only: memory does not grow with a pipeline.
+    """
     store = sys.modules.setdefault("_webloom_worker", types.ModuleType("_webloom_worker")).__dict__.setdefault("kept", {})
     if key not in store:
-        store[key] = make()
+        made = make()
+        store.clear()
+        store[key] = made
     return store[key]
 
 

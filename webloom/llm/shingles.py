@@ -8,7 +8,7 @@ import xxhash
 from webloom.llm.common import kept_by_worker
 
 #: Words whose hashes one Python worker keeps; a memory bound, it has no effect on results.
-CACHE = 400_000
+CACHE = 200_000
 
 
 class Hashes(dict):
