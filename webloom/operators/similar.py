@@ -167,22 +167,20 @@ def similar_links(
     if need <= 0:
         raise ValueError("too many fields for this threshold: some field could differ in every word")
     bands, rows = tune_bands(need, recall)
-    filled = spread(records).select(key, *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields])
-    base = written(filled.select("*", content_hash(**{f: F.col(f) for f in fields}).alias("__h")))
-    leaders = base.groupBy("__h").agg(F.min(key).alias("first"))
-    copies = base.select(key, "__h").join(leaders, "__h").where(F.col(key) != F.col("first")).select(
+    filled = records.select(key, *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields])
+    words = F.flatten(F.array(*[F.transform(tokens(F.col(f)), _marked(n)) for n, f in enumerate(fields)]))
+    # one pass over the texts gives what is moved: hashes and keys
+    marked = written(spread(filled).select(key, content_hash(**{f: F.col(f) for f in fields}).alias("__h"), let(words, lambda w: band_keys(w, bands, rows)).alias("bands")))
+    leaders = marked.groupBy("__h").agg(F.min(key).alias("first"))
+    copies = marked.select(key, "__h").join(leaders, "__h").where(F.col(key) != F.col("first")).select(
         F.col("first").alias("id1"), F.col(key).alias("id2"), F.lit(1.0).alias("score"))
-    distinct = base.drop("__h").join(leaders.select(F.col("first").alias(key)), key, "left_semi")
-    sets = [tokens(F.col(f)).alias(f"__w_{f}") for f in fields]
-    stored = written(distinct.select("*", *sets))
-    words = F.flatten(F.array(*[F.transform(f"__w_{f}", _marked(n)) for n, f in enumerate(fields)]))
-    body = stored.select(key, F.struct(*[F.struct(F.col(f).alias("v"), F.col(f"__w_{f}").alias("t")).alias(f) for f in fields]).alias("c"))
-    open_ = written(stored.select(F.col(key).alias("id2"), F.explode(band_keys(words, bands, rows)).alias("band")))
+    distinct = marked.join(leaders.select(F.col("first").alias(key)), key, "left_semi")
+    open_ = written(distinct.select(F.col(key).alias("id2"), F.explode("bands").alias("band")))
     links = []
     for _ in range(rounds):
         centre = open_.groupBy("band").agg(F.min("id2").alias("id1"), F.count(F.lit(1)).alias("n")).where("n > 1")
         met = open_.join(centre.drop("n"), "band").where("id1 < id2")
-        judged = written(_scored(met.select("id1", "id2").distinct(), body, fields, key))
+        judged = written(_scored(met.select("id1", "id2").distinct(), filled, fields, key))
         links.append(judged.where(F.col("score") >= threshold))
         open_ = written(met.join(judged.where(F.col("score") < threshold), ["id1", "id2"]).select("id2", "band"))
     near = links[0]
@@ -195,9 +193,9 @@ def _marked(field: int):
     return lambda w: F.concat(F.lit(f"{field}:"), w)
 
 
-def _scored(pairs: DataFrame, body: DataFrame, fields: Sequence[str], key: str) -> DataFrame:
-    """(id1, id2, score) with the exact similarity of the records of each pair."""
+def _scored(pairs: DataFrame, records: DataFrame, fields: Sequence[str], key: str) -> DataFrame:
+    """(id1, id2, score) with the exact similarity of the records of each pair; only their texts are moved."""
+    asked = pairs.select(F.explode(F.array("id1", "id2")).alias(key)).distinct()
+    body = written(records.join(asked, key, "left_semi").select(key, F.struct(*fields).alias("c")))
     both = pairs.join(body.select(F.col(key).alias("id1"), F.col("c").alias("a")), "id1").join(body.select(F.col(key).alias("id2"), F.col("c").alias("b")), "id2")
-    score = total([
-        field_similarity(F.col(f"a.{f}.v"), F.col(f"b.{f}.v"), F.col(f"a.{f}.t"), F.col(f"b.{f}.t")) for f in fields]) / F.lit(float(len(fields)))
-    return both.select("id1", "id2", score.alias("score"))
+    return both.select("id1", "id2", content_similarity(fields).alias("score"))
