@@ -1,5 +1,6 @@
 """Chat windows, quality rules, fingerprints, classifier and URL filters."""
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -96,6 +97,9 @@ def brute_rules(text, limits):
     failed = len(words) < 10 or 100 * repeat > 20 * len(words)
     bad = failed or symbols > limits.symbols * len(words) or len(dups) > limits.lines * len(lines) or dup_chars > limits.line_chars * chars
     bad = bad or any(sum(len(words[i]) for i in inside(n)) / chars > most for n, most in limits.ngrams)
+    for n, most in limits.tops:
+        grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+        bad = bad or any(grams.count(g) > 1 and grams.count(g) * sum(map(len, g)) / chars > most for g in set(grams))
     return len(words), chars, symbols, len(dups), repeat, failed, not bad
 
 
@@ -108,6 +112,23 @@ def test_quality_rules_against_counting(text):
     assert op4.Meter(op4.Limits()).measure(text)[:7] == brute_rules(text, op4.Limits())
 
 
+def only(text, rule):
+    """What the base rules and all rules but ``rule`` let through, and ``rule`` rejects."""
+    limits = op4.Limits()
+    free = dataclasses.replace(limits, **{rule: 9.0 if rule in ("lines", "line_chars", "symbols") else ()})
+    with_rule, without = op4.Meter(limits).measure(text), op4.Meter(free).measure(text)
+    return not with_rule[5] and not with_rule[6] and without[6]
+
+
+def test_each_rule_rejects_what_the_base_rules_keep():
+    own = [f"word{i}" for i in range(100)]
+    phrase = ["anniversary", "celebration"]
+    assert only(" ".join(own[:10] + phrase + own[10:20] + phrase + own[20:30] + phrase + own[30:40] + phrase), "tops")
+    assert only(" ".join(own[:90] + own[:9]), "ngrams")
+    assert only("\n".join(x for i in range(20) for x in ("x", " ".join(own[3 * i : 3 * i + 3]))), "lines")
+    assert only(" ".join(own) + " " + "#" * 12, "symbols")
+
+
 def test_hash_collisions_are_settled_by_the_words():
     codes = np.zeros(30, np.uint64)
     codes[:] = np.arange(30)
