@@ -6,12 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from webloom.functions import cleaning as C
-from webloom.functions import markup, text as X, urls as U, validate as V
+from webloom.functions import markup, protect, text as X, urls as U, validate as V
+from webloom.operators import analytics as A
 from webloom.operators import cleaning as O
 from webloom.operators import links as L
 from webloom.operators import pages as P
 from webloom.operators import records as R
 from webloom.operators import similar as M
+from webloom.sources import sinks as W
 
 
 def one(spark, values, build):
@@ -226,3 +228,59 @@ def test_leaving_the_host_agrees_with_resolving(spark):
     refs = ["a", "//h.org/x", "//H.org", "//z.org", "http://h.org/", "https://z.org", "/p", "?q", "#f", "mailto:a@b", ""]
     direct = one(spark, refs, lambda v: U.leaves_host(F.lit("h.org"), v))
     assert direct == one(spark, refs, lambda v: U.is_external(U.resolve(F.lit("http://h.org/d/"), v), F.lit("http://h.org/d/")))
+
+
+def test_query_params(spark):
+    urls = ["https://x.org/a?q=1&q=2&e=", "/a?x=%zz&y=a%3Db+c#z=1", "https://x.org", "?&=1&n", "https://x.org/?k=a=b", None]
+    assert one(spark, urls, protect.query_params) == [{"q": "2", "e": ""}, {"x": "%zz", "y": "a=b c"}, None, None, {"k": "a=b"}, None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert [r.path for r in protect.request_target(df).collect()] == ["/a", "/a", "/", "/", "/", None]
+
+
+def test_response_log(spark):
+    rows = [({"Content-Length": "5", "content-length": "7", "COOKIE": "c"}, 5.0), ({"content-length": "much"}, 5.00049), (None, None)]
+    got = protect.response_log(spark.createDataFrame(rows, "headers map<string,string>, seconds double")).collect()
+    assert [(r.body_size_bytes, r.processing_time_seconds, r.is_slow) for r in got] == [(7, 5.0, False), (0, 5.0, True), (0, None, False)]
+    assert got[0].headers["COOKIE"] == "[REDACTED]"
+
+
+def test_schema_gaps(spark):
+    df = spark.createDataFrame([(1, "7", [1]), (2, "x", None), (None, None, [2])], "a int, b string, c array<int>")
+    assert V.schema_gaps(df, {"a": "int", "b": "string"}).collect() == []
+    got = V.schema_gaps(df, {"a": "string", "b": "int", "c": "string", "d": "int"})
+    assert [tuple(r) for r in got.collect()] == [
+        ("a", "is int, expected string", 0), ("b", "is string, expected int", 1), ("c", "is array<int>, expected string", 2), ("d", "missing", 3)]
+    assert [r.rows for r in V.schema_gaps(df.limit(0), {"b": "int", "d": "int"}).collect()] == [0, 0]
+
+
+def test_export_states(spark, tmp_path):
+    ledger, df = str(tmp_path / "ledger"), spark.range(10)
+    done = W.export(df, str(tmp_path / "a"), "parquet", user_id="u", ledger=ledger, export_id="a").first()
+    failing = df.select(F.raise_error(F.lit("broken row")).alias("x"))
+    assert W.export(failing, str(tmp_path / "b"), "json", user_id="u", ledger=ledger, export_id="b").first().status == "failed"
+    assert done.status == "completed" and done.records == 10
+    assert done.file_size == sum(p.stat().st_size for p in (tmp_path / "a").glob("part-*"))
+    table = spark.read.parquet(ledger)
+    assert sorted(r.status for r in table.where("export_id = 'b'").collect()) == ["failed", "pending", "processing"]
+    assert [r.status for r in W.export_status(table, "u", "a").collect()] == ["completed"]
+    assert [r.export_id for r in W.export_status(table, "u", status="failed").collect()] == ["b"]
+    assert W.export_status(table, "u", status="pending").isEmpty() and W.export_status(table, "other", "a").isEmpty()
+    left = W.latest_states(table.where("status = 'pending'"))
+    assert left.count() == 2 and left.where("file_path IS NULL AND file_size IS NULL").count() == 2
+
+
+def test_merged_sketches(spark):
+    rows = spark.range(60000).select(F.expr("timestamp'2024-01-01' + make_dt_interval(CAST(id % 7 AS INT))").alias("ts"), (F.col("id") % 20000).alias("v"))
+    days = A.source_sketches(rows.unionByName(rows.limit(5).withColumn("v", F.lit(None).cast("long"))), "ts", F.col("v"))
+    assert days.count() == 7
+    got = A.merged_distinct(days).first()
+    assert got["rows"] == 60005 and abs(got.distinct_values - 20000) <= 20000 * 3 * A.SKETCH_ERROR
+    assert A.merged_distinct(A.source_sketches(rows.limit(0), "ts", F.col("v")), "day").count() == 0
+
+
+def test_summary_of_content_types(spark):
+    rows = [(1, "html"), (1, None), (2, "html"), (2, "json"), (3, "a")]
+    records = spark.createDataFrame(rows, "job_id int, content_type string").selectExpr(
+        "*", "0.5D AS confidence_score", "current_timestamp() AS extracted_at", "true AS ai_processed", "array() AS validation_errors")
+    assert [tuple(x) for x in A.data_summary(records).first().content_types] == [("html", 2), ("a", 1), ("json", 1), ("unknown", 1)]
+    assert A.data_summary(records.limit(0)).first().content_types == []

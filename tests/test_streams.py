@@ -65,3 +65,32 @@ def test_state_is_dropped_after_its_time(spark, parts):
     """With a time to live of zero only the events of one batch share a state; nothing breaks."""
     got = run(spark, parts, ["k"], SlidingLimit(1, 10**7), [S.AT], [("allowed", B), ("retry_after", L)], time_to_live=0.0)
     assert got.count() == parts[1].count()
+
+
+def test_stored_rollup_counts_a_repeated_batch_once(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "recorded_at timestamp, success boolean, duration_ms double"
+
+    def arrive(*minutes):
+        rows = [(m, m % 2 == 0, None if m == 61 else float(m)) for m in minutes]
+        df = spark.createDataFrame(rows, "m int, success boolean, duration_ms double")
+        df = df.select(F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, m)").alias("recorded_at"), "success", "duration_ms")
+        df.coalesce(1).write.mode("append").parquet(source)
+        S.stored_rollup(S.file_stream(spark, source, "*.parquet", df.schema), root)
+
+    def windows():
+        rows = S.rollup_windows(spark, root).orderBy("window_start").collect()
+        return [(r.window_start.hour, r.jobs_processed, r.jobs_failed, r.average_processing_time, r.is_closed) for r in rows]
+
+    arrive(2, 4, 61)
+    assert windows() == [(0, 2, 0, 3.0, False), (1, 1, 1, None, False)]
+    arrive(50, 51, 130)  # 50 is eleven minutes behind 61, 51 just in time
+    expected = [(0, 3, 1, 19.0, True), (1, 1, 1, None, True), (2, 1, 0, 130.0, False)]
+    assert windows() == expected
+    for name in ("1", ".1.crc"):
+        (tmp_path / "out" / "checkpoint" / "commits" / name).unlink()
+    arrive(131)
+    expected[2] = (2, 2, 1, 130.5, False)
+    assert windows() == expected
+    late = S.late_rows(spark, root, spark.read.parquet(source).schema).collect()
+    assert [(r.duration_ms, r.batch, r.late_before.minute) for r in late] == [(50.0, 1, 51)]

@@ -54,7 +54,22 @@ def client_ip(headers: Column | str, peer: Column | str) -> Column:
     return F.coalesce(*named, col(peer), F.lit("unknown"))
 
 
+def query_params(url: Column | str) -> Column:
+    """Map of the decoded query parameters of a URL, the last value of a name; null without any. A part without ``=``
+    or a name is left out; text that is no valid escape stays as it is."""
+
+    def plain(x: Column) -> Column:
+        return F.coalesce(F.try_url_decode(x), x)
+
+    text = F.regexp_extract(col(url), r"^[^?#]*\?([^#]*)", 1)
+    parts = F.filter(F.split(text, "&"), lambda p: p.rlike("^[^=]+="))
+    named = F.transform(parts, lambda p: F.struct(plain(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), plain(F.regexp_extract(p, "(?s)^[^=]+=(.*)", 1)).alias("v")))
+    last = F.transform(F.array_distinct(named["k"]), lambda k: F.struct(k, F.element_at(F.filter(named, lambda x: x["k"] == k), -1)["v"]))
+    return F.when(F.size(parts) > 0, F.map_from_entries(last))
+
+
 def request_log(df: DataFrame, headers: str = "headers", peer: str = "peer") -> DataFrame:
+    """Requests as they are logged: client, size, type and agent from the headers, secrets hidden."""
     h = F.col(headers)
     return df.withColumns({
         "client_ip": client_ip(headers, peer),
@@ -64,6 +79,24 @@ def request_log(df: DataFrame, headers: str = "headers", peer: str = "peer") ->
     }).withColumn(headers, filter_headers(headers))
 
 
+def request_target(df: DataFrame, url: str = "url") -> DataFrame:
+    """Adds ``path`` (``/`` if empty) and ``query_params`` of the requested URL."""
+    path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    return df.withColumns({"path": F.when(path == "", "/").otherwise(path), "query_params": query_params(url)})
+
+
+def response_log(df: DataFrame, seconds: str = "seconds", headers: str = "headers", slow: float = 5.0) -> DataFrame:
+    """Responses as they are logged: size, type, time to the millisecond, whether it took longer than ``slow`` seconds;
+    an unknown time is not slow. Secrets are hidden."""
+    h = F.col(headers)
+    return df.withColumns({
+        "body_size_bytes": F.coalesce(h["content-length"].try_cast("long"), F.lit(0)),
+        "content_type": h["content-type"],
+        "processing_time_seconds": F.round(seconds, 3),
+        "is_slow": F.coalesce(F.col(seconds) > slow, F.lit(False)),
+    }).withColumn(headers, filter_headers(headers))
+
+
 def audit_rows(events: DataFrame, retention_days: int = 2555) -> DataFrame:
     """Audit row per event (kind: auth, data_access or security_alert) with severity, text, status, expiry."""
     c = F.col

@@ -364,11 +364,24 @@ def ensure_timestamp(value: Column | str) -> Column:
     return F.try_to_timestamp(F.replace(col(value), F.lit("Z"), F.lit("+00:00")))
 
 
-def schema_gaps(df: DataFrame, expected: dict[str, str]) -> list[tuple[str, str]]:
-    """Expected columns that are missing or of another type."""
+def schema_gaps(df: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """Expected columns that are missing or of another type: (column, problem, rows), from one scan.
+
+    ``rows`` counts what the gap spoils: all rows for a missing column, else those whose value is lost by a cast (every
+    value, where one of the types is nested). No gaps give no rows.
+    """
+    def spoils(name: str, kind: str) -> Column:
+        if name not in have:
+            return F.count(F.lit(1))
+        if any(t.startswith(("array", "map", "struct", "variant", "binary")) for t in (kind, have[name])):
+            return F.count(F.col(name))
+        return F.count_if(F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull())
+
     have = dict(df.dtypes)
-    return [(name, "missing" if name not in have else f"is {have[name]}, expected {kind}")
-            for name, kind in expected.items() if have.get(name) != kind]
+    gaps = {name: "missing" if name not in have else f"is {have[name]}, expected {kind}" for name, kind in expected.items() if have.get(name) != kind}
+    told = [F.struct(F.lit(n).alias("column"), F.lit(problem).alias("problem"), spoils(n, expected[n]).alias("rows")) for n, problem in gaps.items()]
+    found = F.array(*told).cast("array<struct<column:string,problem:string,rows:bigint>>")
+    return df.agg(found.alias("gaps")).select(F.inline("gaps"))
 
 
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

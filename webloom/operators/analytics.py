@@ -15,6 +15,9 @@ from webloom.functions.common import before, micros, moment, ratio, seconds_betw
 from webloom.functions.urls import host
 from webloom.operators.records import ACTIVE, recent
 
+#: Size of a distinct-count sketch as a power of two, and its relative standard error.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
 STATUSES = ("pending", "running", "completed", "failed", "cancelled")
 N = F.lit
 
@@ -48,8 +51,9 @@ def job_performance(jobs: DataFrame) -> DataFrame:
     )
 
 
-def job_stats(jobs: DataFrame) -> DataFrame:
-    """Totals by status, mean time to finish, success rate and pages per minute of completed jobs."""
+def job_stats(jobs: DataFrame, records: DataFrame) -> DataFrame:
+    """Totals by status, mean time to finish, success rate and pages per minute of completed jobs, mean quality of
+    the records (null without any)."""
     done = F.col("status") == "completed"
     seconds = seconds_between("started_at", "completed_at")
     by_status = [F.count_if(F.col("status") == s).alias(f"{s}_jobs") for s in STATUSES]
@@ -61,7 +65,7 @@ def job_stats(jobs: DataFrame) -> DataFrame:
         F.coalesce(
             F.try_divide(F.sum(F.when(done & seconds.isNotNull(), F.col("pages_completed"))).cast("double"),
                          F.sum(F.when(done, seconds)) / 60), F.lit(0.0)).alias("pages_per_minute"),
-    )
+    ).select("*", records.agg(F.avg("data_quality_score")).scalar().alias("avg_quality"))
 
 
 def common_errors(jobs: DataFrame, k: int) -> DataFrame:
@@ -106,8 +110,10 @@ def run_result(results: DataFrame, pages_failed: DataFrame | None = None) -> Dat
     )
 
 
-def job_detail(jobs: DataFrame, logs: DataFrame, records: DataFrame) -> DataFrame:
-    """Job header with the number and latest of its logs and the figures of its records.
+def job_detail(jobs: DataFrame, logs: DataFrame, records: DataFrame, loads: DataFrame) -> DataFrame:
+    """Job header with the number and latest of its logs, the figures of its records and the mean of its page loads.
+
+    ``loads``: (job_id, load_seconds), one row per page load; a job without any has a null mean.
 
     The log lines themselves stay a table (``job_log_lines``): a job may have any number of them.
     """
@@ -116,10 +122,13 @@ def job_detail(jobs: DataFrame, logs: DataFrame, records: DataFrame) -> DataFram
         _rows().alias("records"), F.avg("data_quality_score").alias("quality"),
         F.avg((F.size("validation_errors") == 0).cast("double")).alias("success_rate"),
     )
-    return jobs.select("job_id", "status").join(per_log, "job_id", "left").join(per_record, "job_id", "left").select(
+    per_load = loads.groupBy("job_id").agg(F.avg("load_seconds").alias("average_load_seconds"))
+    header = jobs.select("job_id", "status")
+    return header.join(per_log, "job_id", "left").join(per_record, "job_id", "left").join(per_load, "job_id", "left").select(
         "job_id", "status", F.coalesce("log_lines", F.lit(0)).alias("log_lines"), "latest_log",
         F.coalesce("records", F.lit(0)).alias("records"),
         F.coalesce("quality", F.lit(0.0)).alias("quality"), F.coalesce("success_rate", F.lit(0.0)).alias("success_rate"),
+        "average_load_seconds",
     )
 
 
@@ -141,6 +150,12 @@ def quality_metrics(records: DataFrame) -> DataFrame:
 
 
 def data_summary(records: DataFrame, high: float = 0.8) -> DataFrame:
+    """Totals, mean confidence, time range, counts of confident, analysed and faulty records, and ``content_types``, an
+    array of (content_type, records), largest first, ties by name. A null type is counted as "unknown"."""
+    kind = F.coalesce("content_type", F.lit("unknown")).alias("content_type")
+    kinds = records.groupBy(kind).agg(_rows().alias("records")).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.col("records")).alias("o"), "content_type", "records"))),
+        lambda x: F.struct(x["content_type"].alias("content_type"), x["records"].alias("records"))))
     # The exact count of jobs is the one figure that needs the rows regrouped by job.
     return records.agg(
         _rows().alias("total_records"), F.countDistinct("job_id").alias("total_jobs"),
@@ -149,7 +164,7 @@ def data_summary(records: DataFrame, high: float = 0.8) -> DataFrame:
         F.count_if(F.col("confidence_score") >= high).alias("high_confidence"),
         F.count_if("ai_processed").alias("ai_processed"),
         F.count_if(F.size("validation_errors") > 0).alias("with_errors"),
-    )
+    ).select("*", kinds.scalar().alias("content_types"))
 
 
 def by_content_type(records: DataFrame) -> DataFrame:
@@ -221,6 +236,21 @@ def sources(records: DataFrame) -> DataFrame:
         _mean("data_quality_score").alias("avg_quality"), _mean("confidence_score").alias("avg_confidence"))
 
 
+def source_sketches(df: DataFrame, ts: str, value: Column, groups: Sequence[str] = ()) -> DataFrame:
+    """Per day (and group): rows and a sketch of the distinct values, to be stored. A day is sketched once; any span
+    of days is answered by ``merged_distinct`` without the rows. Null values are not counted."""
+    return df.groupBy(F.to_date(ts).alias("day"), *groups).agg(_rows().alias("rows"), F.hll_sketch_agg(value, F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, *groups: Column | str) -> DataFrame:
+    """Rows and estimated distinct values of stored day sketches, merged by ``groups`` (none: over all).
+
+    Relative error 1.04 / 2 ** (SKETCH_BITS / 2), that is 1.6 %, one standard deviation; small counts are exact.
+    """
+    merged = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return sketches.groupBy(*groups).agg(F.sum("rows").alias("rows"), merged.alias("distinct_values"))
+
+
 def facets(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """Distinct values of each filter field: (facet, value)."""
     pairs = F.array(*[F.struct(F.lit(n).alias("facet"), c.cast("string").alias("value")) for n, c in columns.items()])

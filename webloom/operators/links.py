@@ -12,6 +12,7 @@ from pyspark.sql.functions import udtf
 from webloom.functions.common import any_of, micros
 from webloom.functions.urls import host, path
 from webloom.operators.ordered import lagged, spaced
+from webloom.operators.pages import EXTRACT
 from webloom.session import shared_folder, written
 
 # What marks the links of further pages and of articles.
@@ -111,8 +112,17 @@ def page_links(extracts: DataFrame) -> DataFrame:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Table functions for SQL users."""
+    """Table functions for SQL users: robots_rules(text), page_links(anchors), table_cells(tables).
+
+    The last two expand columns of extracted pages. They are SQL functions, which Catalyst puts in place: no Python runs.
+    """
     spark.udtf.register("robots_rules", udtf(RobotsRules, returnType=RULE))
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION page_links(anchors {EXTRACT["anchors"].dataType.simpleString()})
+        RETURNS TABLE (pos INT, href STRING, text STRING) RETURN SELECT pos, a.href, a.text FROM posexplode(anchors) AS x(pos, a)""")
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION table_cells(tables {EXTRACT["tables"].dataType.simpleString()})
+        RETURNS TABLE (`table` INT, caption STRING, `row` INT, col INT, header STRING, value STRING)
+        RETURN SELECT n, t.caption, r, c, get(t.headers, c), value
+        FROM posexplode(tables) AS x(n, t), LATERAL posexplode(t.rows) AS y(r, cells), LATERAL posexplode(cells) AS z(c, value)""")
 
 
 def robots_rules(spark: SparkSession, robots: DataFrame) -> DataFrame:

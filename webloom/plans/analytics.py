@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from webloom.functions.urls import host
 from webloom.operators import analytics as A
 from webloom.operators import records as R
+from webloom.plans.maintain import folder
 from webloom.plans.records import JOBS_NOW, NOW
 from webloom.plans.registry import query
 
@@ -25,9 +26,9 @@ def f1(t):
 
 @query("e8_status_zero_fill", """
 SELECT s.status, count(j.job_id) AS jobs FROM (VALUES ('pending'), ('running'), ('completed'), ('failed'), ('cancelled')) s(status)
-LEFT JOIN (SELECT * FROM v_jobs WHERE priority = 1 AND total_pages > 6) j ON j.status = s.status GROUP BY s.status""", ["v_jobs"])
+LEFT JOIN v_jobs j ON j.status = s.status GROUP BY s.status""", ["v_jobs"])
 def e8(t):
-    return A.status_counts_filled(t.jobs().where("priority = 1 AND total_pages > 6"))
+    return A.status_counts_filled(t.jobs())
 
 
 @query("f2_job_performance", f"""
@@ -123,9 +124,11 @@ def f13(t):
 @query("f14_data_summary", """
 SELECT count(*) AS total_records, count(DISTINCT job_id) AS total_jobs, round(avg(confidence_score), 6) AS avg_confidence,
  min(extracted_at) AS first_extracted, max(extracted_at) AS last_extracted, count(*) FILTER (WHERE confidence_score >= 0.8) AS high_confidence,
- count(*) FILTER (WHERE ai_processed) AS ai_processed, count(*) FILTER (WHERE coalesce(err_a, err_b) IS NOT NULL) AS with_errors FROM v_scraped_data""", ["v_scraped_data"])
+ count(*) FILTER (WHERE ai_processed) AS ai_processed, count(*) FILTER (WHERE coalesce(err_a, err_b) IS NOT NULL) AS with_errors,
+ (SELECT string_agg(concat(content_type, ':', CAST(n AS STRING)), ',' ORDER BY n DESC, content_type) FROM (SELECT content_type, count(*) AS n FROM v_scraped_data GROUP BY 1)) AS content_types FROM v_scraped_data""", ["v_scraped_data"])
 def f14(t):
-    return rounded(A.data_summary(t.records_with_errors()), "avg_confidence")
+    kinds = F.transform("content_types", lambda x: F.concat(x["content_type"], F.lit(":"), x["records"].cast("string")))
+    return rounded(A.data_summary(t.records_with_errors()), "avg_confidence").withColumn("content_types", F.array_join(kinds, ","))
 
 
 @query("f15_job_stats", f"""
@@ -133,10 +136,11 @@ SELECT count(*) AS total_jobs, count(*) FILTER (WHERE status='pending') AS pendi
  count(*) FILTER (WHERE status='completed') AS completed_jobs, count(*) FILTER (WHERE status='failed') AS failed_jobs, count(*) FILTER (WHERE status='cancelled') AS cancelled_jobs,
  round(avg({DUR}) FILTER (WHERE status='completed'), 6) AS avg_completion_seconds,
  round(count(*) FILTER (WHERE status='completed')::DOUBLE / count(*) FILTER (WHERE status IN ('completed','failed')) * 100, 6) AS success_rate,
- round(sum(pages_completed) FILTER (WHERE status='completed' AND started_at IS NOT NULL)::DOUBLE / (sum({DUR}) FILTER (WHERE status='completed') / 60), 9) AS pages_per_minute
-FROM v_jobs""", ["v_jobs"])
+ round(sum(pages_completed) FILTER (WHERE status='completed' AND started_at IS NOT NULL)::DOUBLE / (sum({DUR}) FILTER (WHERE status='completed') / 60), 9) AS pages_per_minute,
+ (SELECT round(avg(data_quality_score), 6) FROM v_scraped_data) AS avg_quality
+FROM v_jobs""", ["v_jobs", "v_scraped_data"])
 def f15(t):
-    return rounded(rounded(A.job_stats(t.jobs()), "avg_completion_seconds", "success_rate"), "pages_per_minute", digits=9)
+    return rounded(rounded(A.job_stats(t.jobs(), t.records()), "avg_completion_seconds", "success_rate", "avg_quality"), "pages_per_minute", digits=9)
 
 
 @query("f15_common_errors", "SELECT error_message, count(*) AS rows FROM v_jobs WHERE error_message IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3", ["v_jobs"])
@@ -257,6 +261,28 @@ def f29(t):
     return rounded(A.sources(t.records()), "avg_quality", "avg_confidence")
 
 
+@query("f29_merged_users", """
+SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS rows, count(DISTINCT user_id) AS users, true AS estimate_holds FROM events GROUP BY 1""")
+def f29b(t):
+    """Distinct users per week from stored sketches of days, held against the exact count (three standard deviations)."""
+    events, week = t["events"], F.date_trunc("week", "day").cast("date").alias("week")
+    path = folder(t, "sketches")
+    A.source_sketches(events, "ts", F.col("user_id")).write.parquet(path)
+    merged = A.merged_distinct(t.spark.read.parquet(path), week)
+    exact = events.groupBy(F.date_trunc("week", "ts").cast("date").alias("week")).agg(F.countDistinct("user_id").alias("users"))
+    holds = F.abs(F.col("distinct_values") - F.col("users")) <= F.greatest(F.lit(0.5), F.col("users") * 3 * A.SKETCH_ERROR)
+    return merged.join(exact, "week").select("week", "rows", "users", holds.alias("estimate_holds"))
+
+
+@query("f29_merged_sources", """
+SELECT count(*) AS rows, count(DISTINCT regexp_extract(url, '^https?://([^/]+)', 1)) AS sources FROM v_scraped_data""", ["v_scraped_data"])
+def f29c(t):
+    """All sources from the stored sketches of days; so few are counted exactly."""
+    path = folder(t, "sketches")
+    A.source_sketches(t.records(), "extracted_at", A.host("url")).write.parquet(path)
+    return A.merged_distinct(t.spark.read.parquet(path)).select("rows", F.col("distinct_values").alias("sources"))
+
+
 @query("f31_slow_operations", """
 SELECT operation_name, count(*) AS calls, round(sum(duration_ms), 4) AS total_ms, round(avg(duration_ms), 6) AS mean_ms, max(duration_ms) AS max_ms FROM v_perf GROUP BY 1 ORDER BY avg(duration_ms) DESC LIMIT 3""", ["v_perf"])
 def f31(t):
@@ -290,11 +316,13 @@ def f33b(t):
 
 @query("e11_job_detail", """
 WITH l AS (SELECT job_id, count(*) AS n, max(log_id) AS m FROM v_job_logs GROUP BY 1),
-r AS (SELECT job_id, count(*) AS n, avg(data_quality_score) AS q, avg(CASE WHEN coalesce(err_a, err_b) IS NULL THEN 1.0::DOUBLE ELSE 0 END) AS s FROM v_scraped_data GROUP BY 1)
-SELECT j.job_id, j.status, coalesce(l.n, 0) AS log_lines, l.m AS latest_log, coalesce(r.n, 0) AS records, round(coalesce(q, 0.0), 6) AS quality, round(coalesce(s, 0.0), 6) AS success_rate
-FROM v_jobs j LEFT JOIN l ON l.job_id = j.job_id LEFT JOIN r ON r.job_id = j.job_id""", ["v_jobs", "v_job_logs", "v_scraped_data"])
+r AS (SELECT job_id, count(*) AS n, avg(data_quality_score) AS q, avg(CASE WHEN coalesce(err_a, err_b) IS NULL THEN 1.0::DOUBLE ELSE 0 END) AS s FROM v_scraped_data GROUP BY 1),
+p AS (SELECT client_id * 4 AS job_id, avg(duration_ms / 1000) AS load FROM v_perf GROUP BY 1)
+SELECT j.job_id, j.status, coalesce(l.n, 0) AS log_lines, l.m AS latest_log, coalesce(r.n, 0) AS records, round(coalesce(q, 0.0), 6) AS quality, round(coalesce(s, 0.0), 6) AS success_rate, round(p.load, 6) AS average_load_seconds
+FROM v_jobs j LEFT JOIN l ON l.job_id = j.job_id LEFT JOIN r ON r.job_id = j.job_id LEFT JOIN p ON p.job_id = j.job_id""", ["v_jobs", "v_job_logs", "v_scraped_data", "v_perf"])
 def e11(t):
-    return rounded(A.job_detail(t.jobs(), t.job_logs(), t.records_with_errors()), "quality", "success_rate")
+    loads = t.perf().select((F.col("client_id") * 4).alias("job_id"), (F.col("duration_ms") / 1000).alias("load_seconds"))
+    return rounded(A.job_detail(t.jobs(), t.job_logs(), t.records_with_errors(), loads), "quality", "success_rate", "average_load_seconds")
 
 
 @query("e11_job_log_lines", "SELECT log_id, level, message FROM v_job_logs WHERE job_id = 12", ["v_job_logs"])

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from webloom.operators import links as L
 from webloom.operators import pages as X
-from webloom.plans.pages import PARTS, _page, parts, un
-from webloom.plans.registry import query
+from webloom.plans.pages import PARTS, _page, cell_pages, parts, un
+from webloom.plans.registry import ORACLE, query
 
 LINKS = f"lk AS (SELECT page_id, page_url, concat(regexp_extract(page_url, '^(https?://[^/]+)', 1), {un('href')}) AS url FROM ln)"
 
@@ -138,3 +138,19 @@ def j29(t):
 def m5(t):
     return L.page_links(X.extract_pages(t.pages().select("page_id", "raw_html"))).select("page_id", "href")
 
+
+
+@query("m5_sql_links", f"WITH {PARTS} SELECT page_id, {un('href')} AS href FROM ln", ["v_pages"])
+def m5b(t):
+    """Links of extracted pages by SQL alone."""
+    L.register_functions(t.spark)
+    found = X.extract_pages(t.pages().select("page_id", "raw_html")).select("page_id", "anchors")
+    return t.spark.sql("SELECT p.page_id, l.href FROM {found} p, LATERAL page_links(p.anchors) l", found=found)
+
+
+@query("m5_sql_cells", ORACLE["x11_table_cells"])
+def m5c(t):
+    """Table cells of extracted pages by SQL alone."""
+    L.register_functions(t.spark)
+    found = X.extract_pages(cell_pages(t)).select("page_id", "tables")
+    return t.spark.sql("SELECT p.page_id, c.caption, c.row, c.header, c.value FROM {found} p, LATERAL table_cells(p.tables) c", found=found)

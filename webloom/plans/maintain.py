@@ -225,7 +225,20 @@ def a12(t):
     ledger, out = folder(t, "ledger"), folder(t, "out")
     W.export(t.records(), out, "csv", fields=["data_id", "url"], user_id="u1", ledger=ledger, min_confidence=0.25)
     W.export(t.records(), out, "json", user_id="u1", ledger=ledger, date_from="2024-02-01", date_to="2024-01-01")
-    return t.spark.read.parquet(ledger).where("user_id = 'u1'").select("status", "format", "records")
+    return W.export_status(t.spark.read.parquet(ledger), "u1").select("status", "format", "records")
+
+
+@query("a12_export_states", """
+SELECT status, exports, records, has_size FROM (VALUES ('pending', 3, NULL, false), ('processing', 3, NULL, false), ('failed', 1, NULL, false)) x(status, exports, records, has_size)
+UNION ALL SELECT 'completed', 2, (SELECT count(*) FROM v_scraped_data) + (SELECT count(*) FROM v_jobs), true""", ["v_scraped_data", "v_jobs"])
+def a12b(t):
+    """All states that three exports went through, with rows and sizes of those that ended well."""
+    ledger = folder(t, "ledger")
+    W.export(t.records(), folder(t, "out"), "parquet", user_id="u1", ledger=ledger)
+    W.export(t.jobs(), folder(t, "out"), "json", user_id="u2", ledger=ledger)
+    W.export(t.jobs(), folder(t, "out"), "json", user_id="u2", ledger=ledger, date_from="2024-02-01", date_to="2024-01-01")
+    states = t.spark.read.parquet(ledger).groupBy("status")
+    return states.agg(F.count(F.lit(1)).cast("int").alias("exports"), F.sum("records").alias("records"), F.coalesce(F.min(F.col("file_size") > 0), F.lit(False)).alias("has_size"))
 
 
 @query("a9_report", "SELECT CAST(count(*) AS STRING) AS total FROM v_jobs", ["v_jobs"])

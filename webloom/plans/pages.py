@@ -149,15 +149,20 @@ def _page(df, body, head=None, url="https://site.example.com/dir/page.html"):
     return df.select("page_id", F.lit(url).alias("url"), html.alias("raw_html"))
 
 
-@query("x11_table_cells", """
-SELECT p_partkey AS page_id, p_brand AS caption, CAST(x.i AS INT) AS row, CASE x.j WHEN 0 THEN 'field' ELSE 'value' END AS header,
- CASE WHEN x.j = 0 THEN CASE x.i WHEN 0 THEN 'name' ELSE 'type' END WHEN x.i = 0 THEN p_name ELSE p_type END AS value FROM part, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) x(i, j)""")
-def x11(t):
+def cell_pages(t):
+    """A page per part with a table of its name and type."""
     p = t["part"].withColumnRenamed("p_partkey", "page_id")
     html = F.concat(
         F.lit("<table><caption> "), "p_brand", F.lit("</caption><tr><th>field<th>value</tr><tr><td>name<td> "), "p_name",
         F.lit(" </td><tr><td><b>type</b></td><td>"), "p_type", F.lit("</table><table><tr><td>no rows</table>"))
-    return X.table_cells(X.extract_pages(_page(p, html))).select("page_id", "caption", "row", "header", "value")
+    return _page(p, html)
+
+
+@query("x11_table_cells", """
+SELECT p_partkey AS page_id, p_brand AS caption, CAST(x.i AS INT) AS row, CASE x.j WHEN 0 THEN 'field' ELSE 'value' END AS header,
+ CASE WHEN x.j = 0 THEN CASE x.i WHEN 0 THEN 'name' ELSE 'type' END WHEN x.i = 0 THEN p_name ELSE p_type END AS value FROM part, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) x(i, j)""")
+def x11(t):
+    return X.table_cells(X.extract_pages(cell_pages(t))).select("page_id", "caption", "row", "header", "value")
 
 
 @query("x10_list_items", "SELECT p_partkey AS page_id, 'ol' AS type, CAST(x.i AS INT) AS item, CASE x.i WHEN 0 THEN p_name WHEN 1 THEN p_brand ELSE p_type END AS text FROM part, (VALUES (0), (1), (2)) x(i)")
@@ -204,6 +209,15 @@ def x13b(t):
     return X.links(X.extract_pages(_page(o, html)), "main").select("page_id", "url", "text", "is_external")
 
 
+@query("x16_media", """
+SELECT p_partkey AS page_id, CAST(0 AS INT) AS pos, 'image' AS type, concat('/img/', CAST(p_partkey AS STRING), '.png') AS src, p_name AS alt FROM part
+UNION ALL SELECT p_partkey, 1, 'image', '', p_brand FROM part""")
+def x16b(t):
+    p = t["part"].withColumnRenamed("p_partkey", "page_id")
+    html = F.concat(F.lit("<img src='/img/"), F.col("page_id").cast("string"), F.lit(".png' alt='"), "p_name", F.lit("'><p>text<img alt='"), "p_brand", F.lit("'></p>"))
+    return X.media(X.extract_pages(_page(p, html)))
+
+
 @query("x14_images", """
 SELECT p_partkey AS page_id, concat('https://site.example.com/img/', CAST(p_partkey AS STRING), '.png') AS url, p_name AS alt, CAST(p_size AS STRING) AS width FROM part
 UNION ALL SELECT p_partkey, concat('https://site.example.com/dir/lazy-', CAST(p_partkey AS STRING), '.png'), '', NULL FROM part""")

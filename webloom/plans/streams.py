@@ -59,6 +59,39 @@ def k7(t):
                       F.round("success_rate", 6).alias("success_rate"), F.round("average_processing_time", 6).alias("average_processing_time"))
 
 
+#: A first delivery, and stragglers that come after it: whatever lies ten minutes behind the newest is late.
+DELIVERED = """
+s AS (SELECT *, metric_id % 10 >= 8 AND recorded_at < (SELECT max(recorded_at) FROM v_perf WHERE metric_id % 10 < 8) - INTERVAL 10 MINUTE AS is_late FROM v_perf)"""
+
+
+def _deliveries(t):
+    """Root of a roll-up that has read the events in two deliveries."""
+    root, source = folder(t, "rollup"), folder(t, "arrivals")
+    straggler = F.col("metric_id") % 10 >= 8
+    perf = t.perf()
+    for part in (perf.where(~straggler), perf.where(straggler)):
+        part.write.mode("append").parquet(source)
+        S.stored_rollup(S.file_stream(t.spark, source, "*.parquet", perf.schema), root)
+    return root, perf.schema
+
+
+@query("k7_stored_windows", f"""
+WITH {DELIVERED}
+SELECT date_trunc('hour', recorded_at) AS window_start, count(*) AS jobs_processed, count(*) FILTER (WHERE NOT success) AS jobs_failed, round(count(*) FILTER (WHERE success)::DOUBLE / count(*) * 100, 6) AS success_rate,
+ round(avg(duration_ms), 6) AS average_processing_time, date_trunc('hour', min(recorded_at)) + INTERVAL 1 HOUR <= (SELECT max(recorded_at) - INTERVAL 10 MINUTE FROM v_perf) AS is_closed FROM s WHERE NOT is_late GROUP BY 1""", ["v_perf"])
+def k7b(t):
+    """All windows, open ones included, after two deliveries."""
+    out = S.rollup_windows(t.spark, _deliveries(t)[0])
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "jobs_processed", "jobs_failed", F.round("success_rate", 6).alias("success_rate"),
+                      F.round("average_processing_time", 6).alias("average_processing_time"), "is_closed")
+
+
+@query("k7_late_rows", f"WITH {DELIVERED} SELECT metric_id, operation_name, recorded_at, CAST(1 AS BIGINT) AS batch FROM s WHERE is_late", ["v_perf"])
+def k7c(t):
+    late = S.late_rows(t.spark, *_deliveries(t))
+    return late.select("metric_id", "operation_name", F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at"), "batch")
+
+
 EVENTS = {"view": "task-started", "click": "task-succeeded", "error": "task-failed", "purchase": "task-retried", "signup": "task-revoked"}
 
 

@@ -231,6 +231,15 @@ def i4(t):
         "started_before_created": F.col("started_at") >= F.col("created_at"), "priority_range": F.col("priority").between(1, 9)})
 
 
+@query("i4_schema_gaps", """
+SELECT 'tags' AS "column", 'missing' AS problem, count(*) AS rows FROM v_jobs
+UNION ALL SELECT 'error_message', 'is string, expected int', count(error_message) FROM v_jobs
+UNION ALL SELECT 'job_id', 'is bigint, expected string', count(*) FILTER (WHERE false) FROM v_jobs""", ["v_jobs"])
+def i4b(t):
+    """Expected columns that the job table does not have as expected, with the rows that this spoils."""
+    return V.schema_gaps(t.jobs(), {"job_id": "string", "status": "string", "tags": "array<string>", "error_message": "int", "priority": "int"})
+
+
 # --- protection ----------------------------------------------------------------------------
 
 @query("j10_salted_hash", "SELECT c_custkey AS id, concat(sha256(concat(c_name, 'pepper')), ':pepper') AS hashed, true AS matches, c_name = c_mktsegment AS other FROM customer")
@@ -266,6 +275,30 @@ def c9(t):
     return df.select("event_id", "client_ip", h["authorization"].alias("auth_header"), h["user-agent"].alias("agent"), "body_size_bytes")
 
 
+@query("c9_request_target", """
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '/' ELSE concat('/api/v1/', event_type) END AS path,
+ CASE WHEN event_id % 4 = 1 THEN event_type || ' & more' WHEN event_id % 4 = 2 THEN CAST(user_id AS STRING) END AS q, CASE WHEN event_id % 4 IN (1, 2) THEN '' END AS empty,
+ CASE event_id % 4 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN NULL END AS params FROM events""")
+def c9b(t):
+    """Paths and query parameters: escapes, repeated names, empty values, none at all."""
+    kind, base = F.col("event_id") % 4, F.concat(F.lit("https://api.example.com/api/v1/"), "event_type")
+    url = F.when(kind == 0, "https://api.example.com").when(kind == 1, F.concat(base, F.lit("?q=first&empty=&q="), "event_type", F.lit("+%26%20more#q=no"))) \
+        .when(kind == 2, F.concat(base, F.lit("?empty=&noise&=x&q="), F.col("user_id").cast("string"))).otherwise(base)
+    out = P.request_target(t["events"].select("event_id", url.alias("url")))
+    q = F.col("query_params")
+    return out.select("event_id", "path", q["q"].alias("q"), q["empty"].alias("empty"), F.when(q.isNotNull(), F.size(q)).alias("params"))
+
+
+@query("c9_response_log", """
+SELECT event_id, CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS status_code, round(value / 100 + 0.00005, 3) AS processing_time_seconds, value / 100 > 5 AS is_slow,
+ user_id * 10 AS body_size_bytes, '[REDACTED]' AS cookie FROM events""")
+def c9c(t):
+    headers = F.create_map(F.lit("content-length"), (F.col("user_id") * 10).cast("string"), F.lit("Cookie"), F.md5("props"))
+    status = F.when(F.col("event_type") == "error", 500).otherwise(200)
+    df = P.response_log(t["events"].select("event_id", status.alias("status_code"), (F.col("value") / 100 + 0.00005).alias("seconds"), headers.alias("headers")))
+    return df.select("event_id", "status_code", "processing_time_seconds", "is_slow", "body_size_bytes", F.col("headers")["Cookie"].alias("cookie"))
+
+
 AUDIT = """
 WITH a AS (SELECT event_id, user_id, ts, event_type, value, CASE WHEN event_type IN ('error', 'signup') THEN 'auth' WHEN event_type = 'view' THEN 'data_access' ELSE 'security_alert' END AS kind, event_type <> 'error' AS success FROM events)
 """

@@ -15,8 +15,10 @@ FORMATS = ("csv", "json", "parquet")
 EMPTY_HEADER = ("id", "job_id", "url", "extracted_at")
 MANIFEST = (
     "export_id string, user_id string, format string, filters string, status string, file_path string, records bigint, "
-    "requested_at timestamp, completed_at timestamp, error_message string"
+    "requested_at timestamp, completed_at timestamp, error_message string, file_size bigint"
 )
+#: States of an export in order; the last two are final.
+STATES = ("pending", "processing", "completed", "failed")
 
 
 def shaped(df: DataFrame, fmt: str, fields: Sequence[str] | None = None, include_raw_html: bool = False) -> DataFrame:
@@ -34,7 +36,10 @@ def export(
     compress: bool = False, max_records: int | None = None, order_by: str | None = None, ledger: str | None = None, export_id: str | None = None,
     **filters: object,
 ) -> DataFrame:
-    """Writes an export and returns its one-row manifest, appended to ``ledger`` if a path is given.
+    """Writes an export and returns its one-row manifest.
+
+    With a ``ledger`` each state (``STATES``) is appended to it as it is reached, so an export that a lost driver left
+    behind stays visible as pending or processing; ``export_status`` reads the latest.
 
     Executors write the part files; the row count is observed during the write, so the data is
     read once. ``max_records`` bounds the rows per file, for exports in chunks; by default a task
@@ -48,8 +53,19 @@ def export(
     spark = df.sparkSession
     export_id = export_id or str(uuid.uuid4())
     seen = Observation(f"export-{export_id}")
-    status, error, count = "completed", None, None
+    status, error, count, size, ended = "pending", None, None, None, None
     started = spark.sql("SELECT current_timestamp() AS t").first().t
+
+    def reached() -> DataFrame:
+        file_path = path if status == "completed" else None
+        row = spark.createDataFrame([(export_id, user_id, fmt, repr(dict(filters)), status, file_path, count, started, ended, error, size)], MANIFEST)
+        if ledger:
+            row.write.mode("append").parquet(ledger)
+        return row
+
+    reached()
+    status = "processing"
+    reached()
     try:
         rows = filter_records(df, **filters) if filters else df
         if order_by:
@@ -62,14 +78,13 @@ def export(
             writer = writer.option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "")
         writer.format(fmt).save(path)
         count = seen.get["n"]
+        # lengths only: the content column is pruned, no file is read
+        size = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        status = "completed"
     except Exception as fault:  # the manifest records the failure; the caller decides
         status, error = "failed", str(fault)
     ended = spark.sql("SELECT current_timestamp() AS t").first().t
-    manifest = spark.createDataFrame(
-        [(export_id, user_id, fmt, repr(dict(filters)), status, path if status == "completed" else None, count, started, ended, error)], MANIFEST)
-    if ledger:
-        manifest.write.mode("append").parquet(ledger)
-    return manifest
+    return reached()
 
 
 def report(df: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
@@ -82,8 +97,17 @@ def report(df: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
     return manifest
 
 
-def export_status(ledger: DataFrame, export_id: str, user_id: str, status: str | None = None) -> DataFrame:
-    found = ledger.where((F.col("export_id") == export_id) & (F.col("user_id") == user_id))
+def latest_states(ledger: DataFrame) -> DataFrame:
+    """One row per export of a ledger: the furthest state it has reached."""
+    place = F.array_position(F.array(*map(F.lit, STATES)), F.col("status"))
+    rows = ledger.groupBy("export_id").agg(F.max_by(F.struct(*ledger.columns), place).alias("r"))
+    return rows.select("r.*")
+
+
+def export_status(ledger: DataFrame, user_id: str, export_id: str | None = None, status: str | None = None) -> DataFrame:
+    """Latest state of a user's exports, or of one of them; with ``status`` only those that are in it now."""
+    own = ledger.where(F.col("user_id") == user_id)
+    found = latest_states(own if export_id is None else own.where(F.col("export_id") == export_id))
     return found if status is None else found.where(F.col("status") == status)
 
 

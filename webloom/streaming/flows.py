@@ -83,6 +83,57 @@ def rollup(perf: DataFrame, width: str = "1 hour", slide: str | None = None, lat
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "jobs_processed", "jobs_failed", "success_rate", "average_processing_time")
 
 
+#: Columns that a batch of a stored roll-up writes per window and that later batches add to.
+PARTIAL = "window_start timestamp, calls bigint, failures bigint, total_ms double, timed bigint"
+
+
+def stored_rollup(perf: DataFrame, root: str, width: str = "1 hour", late_seconds: int = 600) -> None:
+    """Runs the roll-up over what is there, into tables under ``root`` that ``rollup_windows`` and ``late_rows`` read.
+
+    Each batch adds one row per window to ``partials`` and its late rows to ``late``; a batch that is run again
+    replaces its own folders, so nothing counts twice. A row is late if it lies more than ``late_seconds`` behind the
+    newest row of the batches before; it is stored with that limit and counts in no window. Rows without a time are left out.
+    """
+    spark = perf.sparkSession
+    marks = f"{root}/marks"
+    schema = "batch bigint, newest timestamp"
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{marks}/batch=-1")
+
+    def add(rows: DataFrame, batch: int) -> None:
+        # one value per batch before this one; later folders are left from a run that is repeated
+        before_this = spark.read.schema(schema).parquet(marks).where(F.col("batch") < batch)
+        newest = before_this.agg(F.unix_micros(F.max("newest"))).first()[0]
+        limit = F.timestamp_micros(F.lit(newest).cast("long")) - F.make_dt_interval(secs=F.lit(late_seconds))
+        timed = rows.withColumn("recorded_at", F.col("recorded_at").cast("timestamp")).where("recorded_at IS NOT NULL").withColumn("late_before", limit)
+        is_late = F.coalesce(F.col("recorded_at") < F.col("late_before"), F.lit(False))
+        timed.where(is_late).write.mode("overwrite").parquet(f"{root}/late/batch={batch}")
+        timed.where(~is_late).groupBy(F.window("recorded_at", width)["start"].alias("window_start")).agg(
+            F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("success")).alias("failures"),
+            F.sum("duration_ms").alias("total_ms"), F.count("duration_ms").alias("timed"),
+        ).write.mode("overwrite").parquet(f"{root}/partials/batch={batch}")
+        timed.agg(F.max("recorded_at").alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch={batch}")
+
+    perf.writeStream.foreachBatch(add).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def rollup_windows(spark: SparkSession, root: str, width: str = "1 hour", late_seconds: int = 600) -> DataFrame:
+    """All windows of a stored roll-up, ``is_closed`` where no row that counts can come any more; open ones are given too."""
+    newest = spark.read.schema("batch bigint, newest timestamp").parquet(f"{root}/marks").agg(F.max("newest"))
+    n = F.sum("calls")
+    ends = F.col("window_start") + F.expr(f"INTERVAL {width}")
+    closed = ends <= newest.scalar() - F.make_dt_interval(secs=F.lit(late_seconds))
+    return spark.read.schema(PARTIAL).parquet(f"{root}/partials").groupBy("window_start").agg(
+        n.alias("jobs_processed"), F.sum("failures").alias("jobs_failed"), ((n - F.sum("failures")) / n * 100).alias("success_rate"),
+        F.try_divide(F.sum("total_ms"), F.sum("timed")).alias("average_processing_time"),
+    ).withColumn("is_closed", closed)
+
+
+def late_rows(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """Rows that came too late, with the limit they missed and their batch."""
+    fields = [f if f.name != "recorded_at" else T.StructField("recorded_at", T.TimestampType()) for f in schema.fields]
+    return spark.read.schema(T.StructType([*fields, T.StructField("late_before", T.TimestampType()), T.StructField("batch", T.LongType())])).parquet(f"{root}/late")
+
+
 # --- keyed machines ------------------------------------------------------------------------
 
 def keyed(
