@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from webloom.functions.machines import AdaptiveLimit, Breaker, Notifier, SlidingLimit, TokenBucket
 from webloom.operators import events as E
+from webloom.sources.days import DayTable
 from webloom.streaming import flows as S
 
 B, D, L, STR = T.BooleanType(), T.DoubleType(), T.LongType(), T.StringType()
@@ -94,3 +95,49 @@ def test_stored_rollup_counts_a_repeated_batch_once(spark, tmp_path):
     assert windows() == expected
     late = S.late_rows(spark, root, spark.read.parquet(source).schema).collect()
     assert [(r.duration_ms, r.batch, r.late_before.minute) for r in late] == [(50.0, 1, 51)]
+
+
+def test_checked_append_run_again_changes_nothing(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    jobs = spark.createDataFrame([(1,)], "job_id int")
+
+    def arrive(*rows, name="a"):
+        df = spark.createDataFrame(rows, "data_id int, job_id int, extracted_at string, url string")
+        df.coalesce(1).write.mode("append").parquet(source)
+        S.append_checked(S.file_stream(spark, source, "*.parquet", df.schema), root, name, jobs)
+        return df.schema
+
+    def state(schema):
+        kept = sorted((r.data_id, r.url, r.batch) for r in S.stored_records(spark, root, schema).collect())
+        lost = sorted((r.data_id, r.url, r.reason) for r in S.stored_rejects(spark, root, schema).collect())
+        return kept, lost
+
+    arrive((1, 1, "t1", "x"), (1, 1, "t1", "x"), (1, 1, "t2", "y"), (2, 9, "t1", "x"))
+    schema = arrive((1, 1, "t0", "z"), (2, 1, "t1", "z"), (3, 1, "t1", "z"))
+    expected = ([(1, "x", 0), (2, "z", 1), (3, "z", 1)], [(1, "y", "duplicate_id"), (1, "z", "duplicate_id"), (2, "x", "unknown_job")])
+    assert state(schema) == expected
+    for name in ("1", ".1.crc"):
+        (tmp_path / "out" / "checkpoint-a" / "commits" / name).unlink()
+    S.append_checked(S.file_stream(spark, source, "*.parquet", schema), root, "a", jobs)
+    assert state(schema) == expected
+
+
+def test_retention_rewrites_one_day_only(spark):
+    table = DayTable(spark, "at")
+    rows = [(d, h) for d in range(1, 6) for h in (1, 13)]
+    df = spark.createDataFrame(rows, "d int, h int").select("d", "h", F.make_timestamp_ntz(F.lit(2024), F.lit(1), "d", "h", F.lit(0), F.lit(0)).alias("at"))
+    table.append(df.unionByName(df.limit(1).withColumn("at", F.lit(None).cast("timestamp_ntz"))))
+    files = {(r.d, r.f) for r in spark.table(table.name).select("d", F.col("_metadata.file_path").alias("f")).collect()}
+    cut = F.expr("TIMESTAMP_NTZ '2024-01-03 12:00:00'")
+    assert sorted((r.day.day, r["rows"], r.expired) for r in table.expiring(cut).collect()) == [(1, 2, 2), (2, 2, 2), (3, 2, 1)]
+    for _ in range(2):  # the second run finds nothing to do
+        table.retain(cut)
+        left = spark.table(table.name).select("d", "h", "at", F.col("_metadata.file_path").alias("f")).collect()
+        assert sorted((r.d, r.h) for r in left if r.at) == [(3, 13), (4, 1), (4, 13), (5, 1), (5, 13)]
+        assert sum(r.at is None for r in left) == 1 and [d.day for d in table.days()] == [3, 4, 5]
+        assert all((r.d, r.f) in files for r in left if r.d > 3) and not any((r.d, r.f) in files for r in left if r.d == 3)
+    table.retain(F.expr("TIMESTAMP_NTZ '2024-01-04 13:30:00'"))  # nothing of its day is left
+    assert [d.day for d in table.days()] == [5] and table.rows().count() == 3
+    with pytest.raises(ValueError):
+        table.append(df.withColumn("day", F.lit(1)))
+    table.drop()

@@ -11,8 +11,9 @@ from webloom.operators import cleaning as O
 from webloom.operators import maintain as M
 from webloom.plans.records import JOBS_NOW, NOW
 from webloom.plans.registry import query
-from webloom.session import shared_folder
+from webloom.session import shared_folder, written
 from webloom.sources import sinks as W
+from webloom.sources.days import DayTable
 
 CHANGES = """
 c AS (SELECT l_orderkey AS job_id, l_shipdate AS changed_at, l_linenumber * 1000000 + l_partkey AS seq, CASE WHEN l_returnflag = 'A' THEN 'running' WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linestatus = 'O' THEN 'retry' ELSE 'completed' END AS status,
@@ -83,6 +84,35 @@ def n5(t):
     return M.retain(t.perf(), "recorded_at", "performance_metrics", NOW, POLICY).select("metric_id", "recorded_at")
 
 
+CUT = "TIMESTAMP_NTZ '2024-01-17 06:00:00'"
+
+
+@query("n5_rewritten_days", """
+SELECT day, count(*) AS rows, CASE WHEN day = DATE '2024-01-17' THEN 'rewritten' ELSE 'same files' END AS state
+FROM (SELECT CAST(recorded_at AS DATE) AS day FROM v_perf WHERE recorded_at >= TIMESTAMP '2024-01-17 06:00:00') GROUP BY day""", ["v_perf"])
+def n5c(t):
+    """Days of a stored table after its clean-up, and whether their files are those of before."""
+    table = DayTable(t.spark, "recorded_at")
+    table.append(t.perf())
+    day, path = F.to_date("recorded_at").alias("day"), F.col("_metadata.file_path").alias("file")
+    earlier = written(t.spark.table(table.name).select(day, path).distinct())
+    table.retain(F.expr(CUT))
+    now = t.spark.table(table.name).select(day, path)
+    known = earlier.select("file", F.lit(True).alias("known"))
+    state = F.when(F.bool_and(F.coalesce("known", F.lit(False))), "same files").otherwise("rewritten")
+    return now.groupBy("day", "file").agg(F.count(F.lit(1)).alias("rows")).join(known, "file", "left") \
+        .groupBy("day").agg(F.sum("rows").alias("rows"), state.alias("state"))
+
+
+@query("n5_expiring_days", """
+SELECT CAST(recorded_at AS DATE) AS day, count(*) AS rows, count(*) FILTER (WHERE recorded_at < TIMESTAMP '2024-01-17 06:00:00') AS expired
+FROM v_perf GROUP BY 1 HAVING count(*) FILTER (WHERE recorded_at < TIMESTAMP '2024-01-17 06:00:00') > 0""", ["v_perf"])
+def n5d(t):
+    table = DayTable(t.spark, "recorded_at")
+    table.append(t.perf())
+    return table.expiring(F.expr(CUT))
+
+
 @query("n5_retention_dry_run", f"""
 SELECT 'performance_metrics' AS data_type, count(*) FILTER (WHERE recorded_at < TIMESTAMP '{NOW}' - INTERVAL 14 DAY) AS expired FROM v_perf
 UNION ALL SELECT 'alerts', count(*) FILTER (WHERE triggered_at < TIMESTAMP '{NOW}' - INTERVAL 10 DAY) FROM v_alerts""", ["v_perf", "v_alerts"])

@@ -148,6 +148,45 @@ def a15(t):
     return t.spark.read.parquet(f"{root}/performance_metrics").select("metric_id", "operation_name", F.to_date("day").alias("day"))
 
 
+ARRIVING = """
+n AS (SELECT conv_id * 20 + turn AS data_id, conv_id * 97 AS job_id, role AS url, CAST(conv_id % 2 AS INT) AS part FROM conversations
+  UNION ALL SELECT conv_id * 20 + turn, conv_id * 97 + 1, 'again', 1 FROM conversations WHERE conv_id % 4 = 0),
+x AS (SELECT *, EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = n.job_id) AS has_job,
+  min(part) OVER (PARTITION BY data_id) AS first_part FROM n),
+judged AS (SELECT data_id, job_id, url, part, CASE WHEN url = 'again' AND EXISTS (SELECT 1 FROM x y WHERE y.data_id = x.data_id AND y.part = 0 AND y.has_job) THEN 'duplicate_id'
+  WHEN NOT has_job THEN 'unknown_job' END AS reason FROM x)"""
+
+
+def _arrivals(t):
+    """Root and schema of records that came in two deliveries, the second with keys of the first and run twice."""
+    root, source = folder(t, "checked"), folder(t, "arrivals")
+    c = t["conversations"]
+    rows = c.select((F.col("conv_id") * 20 + F.col("turn")).alias("data_id"), (F.col("conv_id") * 97).alias("job_id"),
+                    F.lit(NOW).alias("extracted_at"), F.col("role").alias("url"), (F.col("conv_id") % 2).alias("part"))
+    again = c.where("conv_id % 4 = 0").select((F.col("conv_id") * 20 + F.col("turn")).alias("data_id"), (F.col("conv_id") * 97 + 1).alias("job_id"),
+                                              F.lit(NOW).alias("extracted_at"), F.lit("again").alias("url"), F.lit(1).alias("part"))
+    jobs = t["orders"].select(F.col("o_orderkey").alias("job_id"))
+    schema = rows.drop("part").schema
+    for part in (0, 1):
+        rows.unionByName(again).where(F.col("part") == part).drop("part").write.mode("append").parquet(source)
+        S.append_checked(S.file_stream(t.spark, source, "*.parquet", schema), root, "crawl", jobs)
+    # another stream that brings the same files again
+    S.append_checked(S.file_stream(t.spark, source, "*.parquet", schema), root, "replay", jobs)
+    return root, schema
+
+
+@query("a15_checked_append", f"WITH {ARRIVING} SELECT DISTINCT data_id, job_id, url FROM judged WHERE reason IS NULL")
+def a15c(t):
+    """Records stored once each, whatever comes again."""
+    return S.stored_records(t.spark, *_arrivals(t)).select("data_id", "job_id", "url")
+
+
+@query("a15_rejected_rows", f"WITH {ARRIVING} SELECT DISTINCT data_id, job_id, url, reason FROM judged WHERE reason IS NOT NULL")
+def a15d(t):
+    rejected = S.stored_rejects(t.spark, *_arrivals(t)).where("stream = 'crawl'")
+    return rejected.select("data_id", "job_id", "url", "reason")
+
+
 @query("a15_stream_export", "SELECT doc_id, lang, CAST(length(text) AS INT) AS chars FROM documents")
 def a15b(t):
     root = folder(t, "chunks")

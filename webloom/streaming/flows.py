@@ -20,6 +20,7 @@ from webloom.functions.cleaning import content_hash
 from webloom.functions.common import before, micros
 from webloom.operators.cleaning import DEFAULT_RULES, CleaningRule, clean, keep_first
 from webloom.operators.pages import best_title, extract_pages
+from webloom.operators.records import accept_new
 from webloom.session import shared_folder
 from webloom.sources.sinks import LOG_TABLES, prepare_rows
 
@@ -222,6 +223,40 @@ def append_stream(df: DataFrame, root: str, table: str, checkpoint: str, transfo
     )
 
 
+def append_checked(rows: DataFrame, root: str, name: str, jobs: DataFrame, key: str = "data_id") -> None:
+    """Appends what a stream has to the records under ``root``, each key once and only with a known job.
+
+    Every batch writes its accepted and its rejected rows (with a reason) to folders of its own, ``stream=name/batch=n``:
+    they are the ledger, a batch that is run again replaces them and is judged against the same earlier rows, so it
+    changes nothing. Streams that share ``root`` see each other's rows; they must not run at the same time.
+    ``stored_records`` and ``stored_rejects`` read the tables.
+    """
+    spark, stored = rows.sparkSession, T.StructType([rows.schema[key], *STORED_IN])
+    # an empty batch, so that there is a table to read
+    rows.sparkSession.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{root}/records/stream={name}/batch=-1")
+
+    def add(new: DataFrame, batch: int) -> None:
+        earlier = spark.read.schema(stored).parquet(f"{root}/records").where((F.col("stream") != name) | (F.col("batch") < batch))
+        good, bad = accept_new(new.distinct(), earlier.select(key), jobs, key)
+        good.write.mode("overwrite").parquet(f"{root}/records/stream={name}/batch={batch}")
+        bad.write.mode("overwrite").parquet(f"{root}/rejects/stream={name}/batch={batch}")
+
+    rows.writeStream.foreachBatch(add).option("checkpointLocation", f"{root}/checkpoint-{name}").trigger(availableNow=True).start().awaitTermination()
+
+
+#: Where a stored row came from.
+STORED_IN = (T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType()))
+
+
+def stored_records(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema, *STORED_IN])).parquet(f"{root}/records")
+
+
+def stored_rejects(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """Rejected rows with their reason (``duplicate_id``, ``unknown_job``)."""
+    return spark.read.schema(T.StructType([*schema, T.StructField("reason", T.StringType()), *STORED_IN])).parquet(f"{root}/rejects")
+
+
 def export_chunks(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
     """Hands every micro-batch to ``write(rows, batch id)``; a repeated batch comes with the same id."""
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
