@@ -171,7 +171,7 @@ def test_a_paragraph_that_captures_the_bands_hides_no_copies(spark):
     n = 0
     while n < 3:
         hidden = sentence(r, 24)
-        found = op10.Paragraphs(hidden)
+        found = op10.Paragraphs([hidden])
         if len(found.starts) != 1:
             continue
         # a paragraph of the shingles that are least in each band, and many other words
@@ -179,8 +179,9 @@ def test_a_paragraph_that_captures_the_bands_hides_no_copies(spark):
         words = hidden.split()
         captor = " ".join(w for at in least for w in words[at : at + 5]) + " extra"
         near = " ".join([*words[:-1], "changed"])
-        keys = [op10.Paragraphs(t).keys()[: op10.BANDS, 0] for t in (captor, hidden, near)]
-        if len(op10.Paragraphs(captor).starts) != 1 or len(op10.Paragraphs(near).starts) != 1 or any((k != keys[0]).any() for k in keys):
+        each = op10.Paragraphs([captor, hidden, near])
+        keys = each.keys(each.digests())[: op10.BANDS]
+        if len(each.starts) != 3 or (keys != keys[:, :1]).any():
             continue
         n += 1
         rows = [(1, captor), (2, hidden), (3, hidden), (4, near)]
@@ -218,7 +219,7 @@ def test_paragraphs_too_short_for_a_shingle_are_short_lines_between_long_ones():
     r = random.Random(31)
     for _ in range(200):
         lines = [sentence(r, r.choice([0, 1, 2, 3, 4, 5, 9, 40])) for _ in range(r.randrange(1, 30))]
-        found = op10.Paragraphs("\n".join(lines))
+        found = op10.Paragraphs(["\n".join(lines)])
         lines = [x for x in lines if x]
         alone, at = set(), 0
         for i, line in enumerate(lines):
@@ -237,6 +238,40 @@ def test_a_passage_of_short_lines_is_cut(spark):
     assert [got[i]["removed_words"] for i in range(6)] == [0, 0, 60, 72, 60, 72]
 
 
+def test_paragraphs_of_a_text_do_not_depend_on_the_texts_beside_it():
+    r = random.Random(41)
+    texts = ["", *("\n".join(sentence(r, r.choice([0, 1, 3, 5, 12, 60])) for _ in range(r.randrange(6))) for _ in range(80)), "\u00a0 one\u2028two\t\x0bthree ", "", "x"]
+    all_ = op10.Paragraphs(texts)
+    packs, digests = all_.packs(), all_.digests()
+    for i, text in enumerate(texts):
+        one = op10.Paragraphs([text])
+        own = slice(all_.firsts[i], all_.firsts[i + 1])
+        assert (all_.of[own] == i).all() and one.packs().tolist() == packs[own].tolist() and one.sizes.tolist() == all_.sizes[own].tolist()
+        assert len(one.hashes) == len(re.findall(r"[^\x20\x09-\x0D]+", text)) == one.sizes.sum()
+        if (one.sizes >= 5).any():
+            long = one.sizes >= 5
+            assert (one.keys(one.digests())[:, long] == all_.keys(digests)[:, own][:, long]).all()
+
+
+@pytest.mark.parametrize("further", [2, 24])
+def test_passages_of_51_words_go_whole(spark, monkeypatch, further):
+    """Nothing but the words that the documents share is cut, to both ends, also where lines are broken otherwise."""
+    monkeypatch.setattr(op10, "FURTHER", further)
+    r = random.Random(42)
+    rows, want = [], {}
+    for k in range(150):
+        passage = sentence(r, 51)
+        for i in (2 * k, 2 * k + 1):
+            before, after = (" ".join(f"{c}{i}w{j}" for j in range(r.randrange(6, 40))) for c in "ab")
+            broken = lines_of(passage, 33) if k % 3 == 0 and i % 2 else passage
+            rows.append((i, f"{before} {broken} {after}"))
+            want[i] = f"{before} {after}" if i % 2 else rows[-1][1]
+    got = {x["doc_id"]: x for x in rows_of(op10.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))}
+    whole = [i for i in want if got[i]["text"] == want[i]]
+    assert all(got[i]["text"] == rows[i][1] for i in want if i not in whole)  # cut whole or not found
+    assert all(i in whole for i in range(0, 300, 2)) and len(whole) >= 299
+
+
 def test_substring_dedup_table(spark):
     docs = documents(spark).withColumnRenamed("rank", "__at")
     got = rows_of(op10.cut_repeats(docs))

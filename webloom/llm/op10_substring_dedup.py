@@ -6,13 +6,15 @@ wherever it stands. Paragraphs meet when a band of
 min-hashes of their five-word shingles agrees. Equal paragraphs meet under a key of their own, the digest;
 each is compared with the first of its band by exact Jaccard similarity of the shingle sets, then all members
 of a band that still lie in different components are compared with each other. Of each component the first
-paragraph of all stays. Runs of repeated paragraphs are cut out of the text.
+paragraph of all stays. Runs of repeated paragraphs are extended word by word
+on both sides and cut out of the text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Fewest words of a run of repeated paragraphs that is cut out: more than a licence line or a slogan has.
 RUN_WORDS = 15
+#: Words seen on each side of a run in the first round; where all are the same, later rounds look further.
+FURTHER = 24
 #: A paragraph is its number in the document and 40 bits of its digest.
 DIGEST_BITS = 40
 NO_ID = -(2**63)
@@ -56,24 +60,39 @@ BANDS, ROWS = tune_bands(PERCENT / 100, 0.93)
 
 
 class Paragraphs:
-    """Borders and digests of a text's paragraphs; numpy arrays by paragraph."""
+    """Borders and digests of the paragraphs of some texts, cut in one pass; numpy arrays by paragraph.
 
-    def __init__(self, text: str):
-        self.hashes = h = word_hashes(text)
+    ``of`` is the text of a paragraph, ``numbers`` its number there, ``firsts`` and ``offsets`` the first paragraph and word of a text.
+    """
+
+    def __init__(self, texts: list[str]):
+        parts = [t.encode() for t in texts]
+        blob = b"\n".join(parts)
+        self.hashes = h = word_hashes(blob)
         n = len(h)
-        border = np.zeros(n, bool)
+        letters = np.frombuffer(blob, np.uint8)
+        inside = (letters != 32) & ((letters < 9) | (letters > 13))
+        at = np.flatnonzero(inside & ~np.append(False, inside[:-1])) if n else np.empty(0, np.int64)
+        begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        self.offsets = np.searchsorted(at, begins)  # and the end of the last text
+        opens = np.zeros(n, bool)
+        opens[self.offsets[:-1][np.diff(self.offsets) > 0]] = True
+        border = opens.copy()
         if n:
-            counts = np.array([k for line in text.split("\n") if (k := len(line.encode().split()))])
-            long = counts >= SHINGLE
-            starts = np.cumsum(counts) - counts
+            line = np.searchsorted(np.flatnonzero(letters == 10), at)
+            starts = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+            long = np.diff(np.append(starts, n)) >= SHINGLE
             border[starts[long | np.append(True, long[:-1])]] = True
-            score = mixed(h ^ (np.roll(h, 1) << np.uint64(1)))
+            before = np.roll(h, 1)
+            before[opens] = 0
+            score = mixed(h ^ (before << np.uint64(1)))
             low = np.ones(n, bool)
             for k in range(1, REACH + 1):
                 low[k:] &= score[k:] < score[:-k]
                 low[:-k] &= score[:-k] < score[k:]
-            low[:REACH] = False
-            low[n - REACH :] = False
+            counts = np.diff(self.offsets)
+            place = np.arange(n) - np.repeat(self.offsets[:-1], counts)
+            low &= (place >= REACH) & (np.repeat(counts, counts) - place > REACH)
             # no border so close to a line's end that a paragraph would be too short for a shingle
             ends = np.append(np.flatnonzero(border), n)
             at = np.flatnonzero(low)
@@ -81,18 +100,23 @@ class Paragraphs:
             border[at[(at - ends[after - 1] >= SHINGLE) & (ends[after] - at >= SHINGLE)]] = True
         self.starts = np.flatnonzero(border)
         self.sizes = np.diff(np.append(self.starts, n))
+        self.firsts = np.searchsorted(self.starts, self.offsets)
+        self.of = np.repeat(np.arange(len(texts)), np.diff(self.firsts))
+        self.numbers = np.arange(len(self.starts)) - self.firsts[self.of]
 
     def digests(self) -> np.ndarray:
         if not len(self.starts):
             return np.empty(0, np.uint64)
+        places = mixed(np.arange(1, int(self.sizes.max()) + 1).astype(np.uint64))
         place = np.arange(len(self.hashes)) - np.repeat(self.starts, self.sizes)
-        return mixed(np.add.reduceat(mixed(self.hashes ^ mixed(place.astype(np.uint64) + np.uint64(1))), self.starts))
+        return mixed(np.add.reduceat(mixed(self.hashes ^ places[place]), self.starts))
 
-    def packs(self) -> np.ndarray:
+    def packs(self, digests: np.ndarray | None = None) -> np.ndarray:
         """Number << 40 | digest of each paragraph."""
-        return (np.arange(len(self.starts), dtype=np.int64) << DIGEST_BITS) | (self.digests() >> np.uint64(64 - DIGEST_BITS)).astype(np.int64)
+        digests = self.digests() if digests is None else digests
+        return (self.numbers.astype(np.int64) << DIGEST_BITS) | (digests >> np.uint64(64 - DIGEST_BITS)).astype(np.int64)
 
-    def keys(self) -> np.ndarray:
+    def keys(self, digests: np.ndarray) -> np.ndarray:
         """(bands + 1 x paragraphs) keys, the last one the whole digest; only for paragraphs of a shingle or more."""
         n = len(self.hashes)
         shingles = np.full(n, np.uint64(2**64 - 1))
@@ -104,13 +128,19 @@ class Paragraphs:
             key = np.zeros(len(self.starts), np.uint64)
             for row in range(ROWS):
                 shingles[: len(whole)] = np.where(inside, mixed(whole ^ np.uint64(1 + band * ROWS + row)), np.uint64(2**64 - 1))
-                key = mixed(key * np.uint64(31) + np.minimum.reduceat(shingles, self.starts)) if n else key
+                key = mixed(key * np.uint64(31) + np.minimum.reduceat(shingles, self.starts))
             out.append(key ^ np.uint64(band))
-        return np.stack([*out, self.digests()])
+        return np.stack([*out, digests])
 
-    def shingles(self, number: int) -> np.ndarray:
-        at = self.starts[number]
-        return np.unique(rolled(self.hashes[at : at + self.sizes[number]], SHINGLE))
+    def shingles(self, place: int) -> np.ndarray:
+        at = self.starts[place]
+        return np.unique(rolled(self.hashes[at : at + self.sizes[place]], SHINGLE))
+
+    def places(self, packs: np.ndarray, text: int, wanted: list[int]) -> list[int]:
+        """Places of the ``wanted`` paragraphs that text number ``text`` has."""
+        first, end = int(self.firsts[text]), int(self.firsts[text + 1])
+        at = [first + (pack >> DIGEST_BITS) for pack in wanted]
+        return [i for i, pack in zip(at, wanted, strict=True) if i < end and packs[i] == pack]
 
 
 def banded(docs: DataFrame) -> DataFrame:
@@ -118,18 +148,13 @@ def banded(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches, "text"):
-            keys, ids, packs = [], [], []
-            for doc, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist(), strict=True):
-                found = Paragraphs(text)
-                long = found.sizes >= SHINGLE
-                if long.any():
-                    own = found.keys()[:, long]
-                    keys.append(own.reshape(-1))
-                    packs.append(np.tile(found.packs()[long], BANDS + 1))
-                    ids.append(np.full(own.size, doc, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(packs))], names=["key", "doc", "pack"])
+            found = Paragraphs(part.column("text").to_pylist())
+            long = found.sizes >= SHINGLE
+            if long.any():
+                digests = found.digests()
+                ids = part.column("doc").to_numpy(zero_copy_only=False)[found.of[long]]
+                columns = [found.keys(digests)[:, long].reshape(-1).astype(np.int64), np.tile(ids, BANDS + 1), np.tile(found.packs(digests)[long], BANDS + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "doc", "pack"])
 
     return docs.mapInArrow(run, "key long, doc long, pack long")
 
@@ -170,16 +195,12 @@ def shingle_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches, "text"):
-            ids, packs, sets = [], [], []
-            for doc, text, wanted in zip(*(part.column(c).to_pylist() for c in ("doc", "text", "packs")), strict=True):
-                found = Paragraphs(text)
-                own = found.packs()
-                for pack in wanted:
-                    number = pack >> DIGEST_BITS
-                    if number < len(own) and own[number] == pack:
-                        ids.append(doc)
-                        packs.append(pack)
-                        sets.append(found.shingles(number).astype(np.int64))
+            found = Paragraphs(part.column("text").to_pylist())
+            own = found.packs()
+            at = [found.places(own, i, wanted) for i, wanted in enumerate(part.column("packs").to_pylist())]
+            ids = np.repeat(part.column("doc").to_numpy(zero_copy_only=False), [len(x) for x in at])
+            at = [i for x in at for i in x]
+            packs, sets = own[at], [found.shingles(i).astype(np.int64) for i in at]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "pack", "set"])
 
     sets = docs.join(ends, "doc").select("doc", "text", "packs").mapInArrow(run, "doc long, pack long, set array<long>")
@@ -281,52 +302,105 @@ def further_links(links: DataFrame, good: DataFrame, docs: DataFrame) -> DataFra
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc, packs: paragraphs to cut with the document that keeps a copy) of (doc, text)."""
+    """(doc, packs: paragraphs to cut with the document that keeps a copy and the words to cut beside them) of (doc, text)."""
     keyed = written(first_links(docs))
     links = written(keyed.where("member.doc != first.doc").select("member", "first").distinct())
     equal = digest("member") == digest("first")
     good = written(links.where(equal).unionByName(similar(links.where(~equal), docs)))
     good = written(good.unionByName(further_links(keyed, good, docs)).distinct())
     merged = clusters(good)[1].where("node.doc != root.doc").select(F.col("node").alias("member"), F.col("root").alias("first"))
-    cuts = good.unionByName(merged).groupBy("member").agg(F.min("first.doc").alias("kept_in"))
-    return cuts.groupBy("member.doc").agg(F.collect_list(F.struct("member.pack", "kept_in")).alias("packs"))
+    cuts = written(good.unionByName(merged).groupBy("member").agg(F.min("first").alias("first")))
+    ends = further_words(cuts, docs).groupBy("member").agg(F.max(F.when(~F.col("after"), F.col("same"))).alias("left"), F.max(F.when(F.col("after"), F.col("same"))).alias("right"))
+    cuts = cuts.join(ends, "member", "left").select("member.doc", F.struct("member.pack", F.col("first.doc").alias("kept_in"), "left", "right").alias("pack"))
+    return cuts.groupBy("doc").agg(F.collect_list("pack").alias("packs"))
+
+
+def neighbours(ends: DataFrame, docs: DataFrame, reach: int) -> DataFrame:
+    """(p, after, words) with the hashes of up to ``reach`` words before or after each paragraph of (p, after), the nearest first."""
+    wanted = ends.select("p.doc", F.struct("p.pack", "after").alias("end")).groupBy("doc").agg(F.collect_set("end").alias("ends"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in portions(batches, "text"):
+            found = Paragraphs(part.column("text").to_pylist())
+            own, h = found.packs(), found.hashes.astype(np.int64)
+            ids, packs, sides, words = [], [], [], []
+            for i, (doc, ends) in enumerate(zip(part.column("doc").to_pylist(), part.column("ends").to_pylist(), strict=True)):
+                for end in ends:
+                    for place in found.places(own, i, [end["pack"]]):
+                        at = int(found.starts[place])
+                        to = at + int(found.sizes[place])
+                        ids.append(doc)
+                        packs.append(end["pack"])
+                        sides.append(end["after"])
+                        words.append(h[to : min(to + reach, found.offsets[i + 1])] if end["after"] else h[max(at - reach, found.offsets[i]) : at][::-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(packs, pa.int64()), pa.array(sides, pa.bool_()), pa.array(words, pa.list_(pa.int64()))], names=["doc", "pack", "after", "words"])
 
+    found = docs.join(wanted, "doc").select("doc", "text", "ends").mapInArrow(run, "doc long, pack long, after boolean, words array<long>")
+    return found.dropDuplicates(["doc", "pack", "after"]).select(paragraph("doc", "pack").alias("p"), "after", "words")
 
-def cut_runs(text: str, packs: dict[int, int], run_words: int = RUN_WORDS) -> tuple[list[tuple[int, int]], int, int, list[int]]:
-    """Spans of ``text`` to cut (code points), words in them, paragraphs in them, documents that keep copies."""
-    found = Paragraphs(text)
-    own = found.packs().tolist()
+
+def further_words(cuts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(member, after, same: words beyond it that its copy has as well) for the ends of runs of paragraphs in (member, first).
+
+    Rounds look further and further: where all words seen are the same, the next round sees eight times as many.
+    """
+    number = F.shiftright("member.pack", DIGEST_BITS)
+    order = Window.partitionBy("member.doc").orderBy("member.pack")
+    sides = F.array(F.when(F.lag(number, 1, -2).over(order) != number - 1, F.lit(False)), F.when(F.lead(number, 1, -2).over(order) != number + 1, F.lit(True)))
+    left = written(cuts.withColumn("sides", F.array_compact(sides)).withColumn("after", F.explode("sides")).drop("sides"))
+    done, reach = [], FURTHER
+    while not left.isEmpty():
+        words = written(neighbours(left.select(F.col("member").alias("p"), "after").unionByName(left.select(F.col("first").alias("p"), "after")).distinct(), docs, reach))
+        both = left.join(words.withColumnsRenamed({"p": "member", "words": "a"}), ["member", "after"]).join(
+            words.withColumnsRenamed({"p": "first", "words": "b"}), ["first", "after"])
+        differs = F.array_position(F.zip_with("a", "b", lambda x, y: ~x.eqNullSafe(y)), F.lit(True))
+        same = F.when(differs > 0, differs - 1).otherwise(F.size("a")).cast("int")
+        seen = written(both.select("member", "first", "after", same.alias("same")))
+        done.append(seen.where(F.col("same") < reach).select("member", "after", "same"))
+        left, reach = seen.where(F.col("same") >= reach).drop("same"), 8 * reach
+    return reduce(DataFrame.unionByName, done) if done else left.select("member", "after", F.lit(0).alias("same"))
+
+
+def cut_runs(found: Paragraphs, own: np.ndarray, number: int, text: str, packs: dict[int, dict], run_words: int = RUN_WORDS) -> tuple[list[tuple[int, int]], int, int, list[int]]:
+    """Spans of ``text``, text ``number`` of ``found``, to cut (code points), words in them, repeated paragraphs, documents that keep copies."""
+    first, end = int(found.firsts[number]), int(found.firsts[number + 1])
+    begin = int(found.offsets[number])
+    own, sizes, starts = own[first:end].tolist(), found.sizes[first:end].tolist(), (found.starts[first:end] - begin).tolist()
     hit = [p in packs for p in own]
     # a paragraph too short for a shingle goes with its neighbours
     for i in range(1, len(hit) - 1):
-        if found.sizes[i] < SHINGLE and hit[i - 1] and (hit[i + 1] or (i + 2 < len(hit) and found.sizes[i + 1] < SHINGLE and hit[i + 2])):
+        if sizes[i] < SHINGLE and hit[i - 1] and (hit[i + 1] or (i + 2 < len(hit) and sizes[i + 1] < SHINGLE and hit[i + 2])):
             hit[i] = True
-    words = None
-    spans, cut_words, cut_paragraphs, keepers = [], 0, 0, set()
+    runs: list[list] = []  # first word, end, paragraphs, documents
     i = 0
     while i < len(hit):
         j = i
         while j < len(hit) and hit[j]:
             j += 1
-        size = int(found.sizes[i:j].sum())
-        if j > i and size >= run_words:
-            words = words or [m.span() for m in re.finditer(WORD, text)]
-            at = int(found.starts[i])
-            end = words[at + size][0] if at + size < len(words) else len(text)
-            spans.append((words[at][0], end))
-            cut_words += size
-            cut_paragraphs += j - i
-            keepers.update(packs[p] for p in own[i:j] if p in packs)
+        if j > i:
+            at = starts[i] - (packs[own[i]]["left"] or 0)
+            to = starts[j - 1] + sizes[j - 1] + (packs[own[j - 1]]["right"] or 0)
+            run = [at, to, j - i, {packs[p]["kept_in"] for p in own[i:j] if p in packs}]
+            if runs and at <= runs[-1][1]:
+                last = runs.pop()
+                run = [min(last[0], at), max(last[1], to), last[2] + run[2], last[3] | run[3]]
+            runs.append(run)
         i = max(j, i + 1)
-    return spans, cut_words, cut_paragraphs, sorted(keepers)
+    runs = [run for run in runs if run[1] - run[0] >= run_words]
+    if not runs:
+        return [], 0, 0, []
+    words = [m.start() for m in re.finditer(WORD, text)] + [len(text)]
+    return [(words[at], words[to]) for at, to, _, _ in runs], sum(r[1] - r[0] for r in runs), sum(r[2] for r in runs), sorted(set().union(*(r[3] for r in runs)))
 
 
 def cut_repeats(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with repeated passages cut out of ``text``, and removed_words, removed_paragraphs, copies_in.
 
-    A run of repeated paragraphs of 15 words or more is cut from all documents but the one with the smallest
-    doc_id, named in ``copies_in``. Repeats inside one document stay. Rows with equal doc_id, and all rows with
-    null doc_id, count as one document, so they cut nothing from each other. Null text stays null; empty and
+    A run of repeated paragraphs, with the words on both sides that its copy has as well, is cut from all documents
+    but the one with the smallest doc_id, named in ``copies_in``, if it has 15 words or more. Repeats inside one
+    document stay. Rows with equal doc_id, and all rows with null doc_id, count as one document, so they cut nothing
+    from each other; words beside a run of theirs may stay. Null text stays null; empty and
     short texts have nothing to cut. Columns with the names of new ones are replaced; no rows give no rows.
     """
     made = [T.StructField("removed_words", T.LongType()), T.StructField("removed_paragraphs", T.LongType()), T.StructField("copies_in", T.ArrayType(T.LongType()))]
@@ -341,8 +415,11 @@ def cut_repeats(df: DataFrame, text: str = "text", keep: list[str] | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches, "text"):
             texts, words, paragraphs, copies = [], [], [], []
-            for value, packs in zip(part.column("text").to_pylist(), part.column("packs").to_pylist(), strict=True):
-                spans, n, k, kept = cut_runs(value, {p["pack"]: p["kept_in"] for p in packs}) if packs and value else ([], 0, 0, [])
+            values, cuts = part.column("text").to_pylist(), part.column("packs").to_pylist()
+            found = Paragraphs([value if packs and value else "" for value, packs in zip(values, cuts, strict=True)])
+            own = found.packs()
+            for i, (value, packs) in enumerate(zip(values, cuts, strict=True)):
+                spans, n, k, kept = cut_runs(found, own, i, value, {p["pack"]: p for p in packs}) if packs and value else ([], 0, 0, [])
                 at, left = 0, []
                 for start, end in spans:
                     left.append(value[at:start])

@@ -19,10 +19,10 @@ class Hashes(dict):
         return value
 
 
-def word_hashes(text: str) -> np.ndarray:
+def word_hashes(text: str | bytes) -> np.ndarray:
     """64-bit hashes of the words, A-Z lower-cased; bytes split at ASCII white space only."""
     known = kept_by_worker(("word hashes",), Hashes)
-    words = text.encode().lower().split()
+    words = (text if isinstance(text, bytes) else text.encode()).lower().split()
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
