@@ -13,7 +13,7 @@ on both sides and cut out of the text.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -341,14 +341,20 @@ def neighbours(ends: DataFrame, docs: DataFrame, reach: int) -> DataFrame:
 
 
 def further_words(cuts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(member, after, same: words beyond it that its copy has as well) for the ends of runs of paragraphs in (member, first).
+    """(member, after, same: words beyond it that its copy has as well) for the ends of runs of paragraphs, and of equal ones, in (member, first).
 
     Rounds look further and further: where all words seen are the same, the next round sees eight times as many.
     """
     number = F.shiftright("member.pack", DIGEST_BITS)
     order = Window.partitionBy("member.doc").orderBy("member.pack")
-    sides = F.array(F.when(F.lag(number, 1, -2).over(order) != number - 1, F.lit(False)), F.when(F.lead(number, 1, -2).over(order) != number + 1, F.lit(True)))
-    left = written(cuts.withColumn("sides", F.array_compact(sides)).withColumn("after", F.explode("sides")).drop("sides"))
+    rows = cuts.withColumns({"number": number, "equal": digest("member") == digest("first")})
+
+    def end(beside: Callable, step: int) -> Column:
+        """Whether no cut paragraph is beside this one or, of equal paragraphs, none that is equal to its copy too."""
+        return (beside("number", 1, -2).over(order) != F.col("number") + step) | (F.col("equal") & ~beside("equal", 1, False).over(order))
+
+    sides = F.array(F.when(end(F.lag, -1), F.lit(False)), F.when(end(F.lead, 1), F.lit(True)))
+    left = written(rows.withColumn("sides", F.array_compact(sides)).select("member", "first", F.explode("sides").alias("after")))
     done, reach = [], FURTHER
     while not left.isEmpty():
         words = written(neighbours(left.select(F.col("member").alias("p"), "after").unionByName(left.select(F.col("first").alias("p"), "after")).distinct(), docs, reach))
@@ -379,8 +385,8 @@ def cut_runs(found: Paragraphs, own: np.ndarray, number: int, text: str, packs:
         while j < len(hit) and hit[j]:
             j += 1
         if j > i:
-            at = starts[i] - (packs[own[i]]["left"] or 0)
-            to = starts[j - 1] + sizes[j - 1] + (packs[own[j - 1]]["right"] or 0)
+            at = min(starts[k] - (packs[own[k]]["left"] or 0) for k in range(i, j) if own[k] in packs)
+            to = max(starts[k] + sizes[k] + (packs[own[k]]["right"] or 0) for k in range(i, j) if own[k] in packs)
             run = [at, to, j - i, {packs[p]["kept_in"] for p in own[i:j] if p in packs}]
             if runs and at <= runs[-1][1]:
                 last = runs.pop()
