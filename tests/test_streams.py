@@ -1,5 +1,7 @@
 """Streams fed in several batches give what the batch form gives."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +70,22 @@ def test_state_is_dropped_after_its_time(spark, parts):
     assert got.count() == parts[1].count()
 
 
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_table_of_one_or_many_files_is_streamed_whole(spark, tmp_path, files):
+    """A table may be a file (0: as such, else a folder of so many)."""
+    from webloom.plans.registry import QUERIES
+    from webloom.plans import load
+
+    load()
+    df = spark.createDataFrame([(i, "en", "x" * i) for i in range(7)], "doc_id long, lang string, text string")
+    df.repartition(max(files, 1)).write.parquet(str(tmp_path / ("documents.parquet" if files else "made")))
+    if not files:
+        shutil.copy(next((tmp_path / "made").glob("*.parquet")), tmp_path / "documents.parquet")
+    got = QUERIES["a15_stream_export"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(i, "en", i) for i in range(7)]
+    assert sorted(r.doc_id for r in S.drain(S.table_stream(spark, str(tmp_path), "documents", df.schema)).collect()) == list(range(7))
+
+
 def test_stored_rollup_counts_a_repeated_batch_once(spark, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "recorded_at timestamp, success boolean, duration_ms double"

@@ -18,7 +18,7 @@ from webloom.streaming import flows as S
 
 
 def stream(t, name):
-    return S.file_stream(t.spark, t.folder, f"{name}.parquet", t[name].schema)
+    return S.table_stream(t.spark, t.folder, name, t[name].schema)
 
 
 class Streamed:

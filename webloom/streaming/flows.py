@@ -35,6 +35,12 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructTyp
     )
 
 
+def table_stream(spark: SparkSession, folder: str, table: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
+    """A stored table as a stream, whether it is one Parquet file or a folder of them."""
+    # as a pattern the path may also be that of one file
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{{{table}.parquet}}")
+
+
 def event_time(df: DataFrame, ts: str, late: str = LATE) -> DataFrame:
     """Watermarks need an instant; stored times without a zone are UTC."""
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
