@@ -148,3 +148,25 @@ def test_escalation_needs_five_in_the_window(data):
     for i, at, *_ in urgent:
         n = sum(1 for r in urgent if at - 120 * SEC < r[1] <= at)
         assert got.get(i) == (n if n >= 5 else None)
+
+
+def test_breaker_costs_the_same_however_dense_the_events(spark):
+    """Failures are looked up by running values, no frame of the longest pause is summed anew for each row."""
+    import random
+
+    from webloom.functions.machines import Breaker
+    from webloom.operators import events as E
+
+    random.seed(5)
+    config = Breaker(3, 2, 60.0, 600.0)
+    events = sorted((random.choice([random.randrange(4000), random.randrange(300000)]), i, random.random() < 0.6) for i in range(1500))
+    df = spark.createDataFrame([(i, "s", at, ok) for at, i, ok in events], "id int, src string, at int, ok boolean") \
+        .withColumn("ts", F.timestamp_seconds("at"))
+    judged = E.breaker(df, "src", "ts", "id", "ok", config, 3600)
+    state, want = config.start(), {}
+    for at, i, ok in events:
+        state, result = config.step(state, at * 1_000_000, ok)
+        want[i] = result
+    assert {r.id: (r.state_before, r.state, r.blocked) for r in judged.collect()} == want
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RangeFrame, unboundedpreceding$(), currentrow$())" in plan and "RangeFrame, -" not in plan

@@ -106,7 +106,12 @@ def breaker(events: DataFrame, service: str, ts: str, tie: str, success: str, co
     src = with_context(events, ts, back=config.max_delay, seconds=seconds).withColumn("__bad", (~F.col(success)).cast("int"))
     local = Window.partitionBy(service, BUCKET).orderBy("__at")
     in_order = Window.partitionBy(service, BUCKET).orderBy("__at", tie)
-    no_failure = F.max("__bad").over(local.rangeBetween(-int(config.max_delay * 1e6), 0)) == 0
+    # running values only: each row costs the same however many lie in the longest pause before it
+    so_far, edge = local.rangeBetween(Window.unboundedPreceding, 0), F.col("__at") - int(config.max_delay * 1e6)
+    src = src.withColumns({
+        "__failed": F.max(F.when(F.col("__bad") == 1, F.col("__at"))).over(so_far),
+        "__known": F.max(F.when(F.col("__bad").isNotNull(), F.col("__at"))).over(so_far), "__any": F.max("__bad").over(so_far)})
+    no_failure = F.when(F.col("__at").isNull(), F.col("__any") == 0).when(F.col("__failed") >= edge, False).when(F.col("__known") >= edge, True)
     src = src.withColumn("__calm", (no_failure & ~F.col("__context")).cast("int"))
     last_rows = in_order.rowsBetween(-(config.success_threshold - 1), 0)
     quiet = (F.min("__calm").over(last_rows) == 1) & (F.count(F.lit(1)).over(last_rows) == config.success_threshold)
