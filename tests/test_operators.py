@@ -284,3 +284,28 @@ def test_summary_of_content_types(spark):
         "*", "0.5D AS confidence_score", "current_timestamp() AS extracted_at", "true AS ai_processed", "array() AS validation_errors")
     assert [tuple(x) for x in A.data_summary(records).first().content_types] == [("html", 2), ("a", 1), ("json", 1), ("unknown", 1)]
     assert A.data_summary(records.limit(0)).first().content_types == []
+
+
+def test_pages_are_read_in_portions():
+    """Parts of few pages are held at once, however many rows a batch has and however large a page is."""
+    import pyarrow as pa
+
+    from webloom.operators import pages as P
+
+    cut = list(P.portions(pa.array(["x"] * 450 + ["y" * 700_000] * 2 + [None] + ["z" * 3_000_000, "a"])))
+    assert cut == [(0, 200), (200, 200), (400, 51), (451, 2), (453, 1), (454, 1)] and not list(P.portions(pa.array([], pa.string())))
+
+
+def test_selectors_are_tested_once_for_elements_alike(monkeypatch):
+    tests = []
+    fits = markup.fits
+    monkeypatch.setattr(markup, "fits", lambda *a: tests.append(1) or fits(*a))
+    wanted = {"deep": "main div.x a", "kind": "#more span[data-kind*=price]", "all": "*"}
+    reader = markup.PageReader([".ad", "nav ul"], ["main"], wanted, "priority")
+    page = ("<nav><ul><li>no</ul></nav><main><div class='x y'><p><a href='/{0}'>deep</a></div><a href='/{0}b'>flat</a><div class=ad>no</div>"
+            "<b id=more><span data-kind='old price'>{0}</span></b><span data-kind='price'>out</span></main>")
+    found, first = dict(reader(page.format(0))["custom"]), len(tests)
+    assert found["deep"] == ["deep"] and found["kind"] == ["0"] and "no" not in "".join(found["all"])
+    for i in range(1, 20):
+        assert dict(reader(page.format(i))["custom"])["kind"] == [str(i)]
+    assert len(tests) == first

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +62,23 @@ EXTRACT = _struct(
 )
 
 
+#: A worker holds the parts of so many pages, and of so many bytes of HTML, at once.
+PORTION_ROWS, PORTION_BYTES = 200, 1_000_000
+
+
+def portions(html: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of rows that are read together; a page larger than a portion is one by itself."""
+    sizes = pc.fill_null(pc.binary_length(html), 0).to_pylist()
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and (i - first >= PORTION_ROWS or held + size > PORTION_BYTES):
+            yield first, i - first
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes) - first
+
+
 def extract_pages(
     pages: DataFrame, *, exclude: Sequence[str] = (), custom: Mapping[str, str] | None = None, main: str = "priority",
     html: str = "raw_html",
@@ -69,7 +88,8 @@ def extract_pages(
     ``main`` is "priority" (first known container) or "largest" (first container with more than
     100 characters, else the largest div), which also drops navigation, header and footer. All
     other columns are handed through. Pages of a file with few splits are spread over the cluster
-    first, since reading a page costs far more than moving it.
+    first, since reading a page costs far more than moving it. The parts of pages weigh many times
+    their HTML in Python, so they are given back by ``portions``, however many rows a batch has.
     """
     keep = [c for c in pages.columns if c != html]
     wide = main == "largest"
@@ -82,17 +102,26 @@ def extract_pages(
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = PageReader(drop, containers, selectors, main)
-        for batch in batches:
-            found = []
-            for text in batch.column(html).to_pylist():
+
+        def parts(text: str | None) -> dict:
+            try:
+                return failed("no content") if text is None else reader(text)
+            except Exception as fault:  # a page must never stop the job
+                return failed(f"{type(fault).__name__}: {fault}")
+
+        for whole in batches:
+            for first, number in portions(whole.column(html)):
+                batch = whole.slice(first, number)
+                gc.disable()  # a page leaves no cycles behind, and looking for them costs a third of the time
                 try:
-                    found.append(failed("no content") if text is None else reader(text))
-                except Exception as fault:  # a page must never stop the job
-                    found.append(failed(f"{type(fault).__name__}: {fault}"))
-            columns = [batch.column(c) for c in keep]
-            for name in names:
-                columns.append(pa.array([f[name] for f in found], type=arrow.field(name).type))
-            yield pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) for i, c in enumerate(columns)], schema=arrow)
+                    found = list(map(parts, batch.column(html).to_pylist()))
+                    columns = [batch.column(c) for c in keep]
+                    for name in names:
+                        columns.append(pa.array([f[name] for f in found], type=arrow.field(name).type))
+                    del found
+                finally:
+                    gc.enable()
+                yield pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) for i, c in enumerate(columns)], schema=arrow)
 
     return spread(pages.select(*keep, html)).mapInArrow(read, schema)
 
