@@ -59,3 +59,44 @@ def test_bands_find_what_they_promise():
         bands, rows = M.tune_bands(similarity, recall)
         assert 1 - (1 - similarity**rows) ** bands >= recall
     assert len(set(M.hash_factors(100))) == 100
+
+
+def test_marks_rule_out_no_similar_pair_and_most_others(spark):
+    """The words of a pair are moved only where marks leave it possible; equal, empty and large sets included."""
+    import random
+
+    random.seed(11)
+    pool = [f"w{i}" for i in range(9000)]
+    sets = [random.sample(pool, n) for n in (0, 0, 1, 1, 5, 40, 300, 300, 2500, 6000)]
+    sets += [s[: len(s) * 9 // 10] + random.sample(pool, len(s) // 20) for s in sets] + [sets[5]]
+    df = spark.createDataFrame([(i, sorted(set(s))) for i, s in enumerate(sets)], "id int, words array<string>")
+    marks = M.word_marks(F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(M.MARKS)).cast("int")))
+    each = df.select("id", F.struct(F.size("words").alias("n"), marks.alias("marks")).alias("c"))
+    both = each.select(F.col("id").alias("i"), F.col("c").alias("a")).crossJoin(each.select(F.col("id").alias("j"), F.col("c").alias("b")))
+    ruled_out = 0
+    for r in both.select("i", "j", M.most_similar(F.col("a"), F.col("b")).alias("most")).collect():
+        x, y = set(sets[r.i]), set(sets[r.j])
+        true = len(x & y) / len(x | y) if x | y else 1.0
+        assert r.most >= true - 1e-12
+        ruled_out += true < 0.3 and r.most < 0.7
+    assert ruled_out > 300
+
+
+def test_pairs_that_cannot_be_similar_carry_no_words(spark):
+    """Records that share a rare word and little else meet, but their words stay where they are."""
+    rows = [(i, "same title", " ".join([f"a{i % 20}", *(f"x{i}y{k}" for k in range(30))])) for i in range(200)]
+    rows += [(1000 + i, "same title", " ".join([*(f"x{i}y{k}" for k in range(30)), "more"])) for i in range(10)]
+    df = spark.createDataFrame(rows, "data_id int, title string, text string")
+    pairs = M.similar_pairs(df, ["title", "text"], 0.85)
+    assert {(r.id1, r.id2) for r in pairs.collect()} == {(i, 1000 + i) for i in range(10)}
+    # the join that the marks decide lies below those with digests and words
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    marks = next(line for line in plan if "bit_count" in line)
+    words = next(line for line in plan if "array_intersect" in line)
+    assert plan.index(words) < plan.index(marks) and len(marks.split("+-")[0]) > len(words.split("+-")[0])
+
+
+def test_pairs_of_keys_that_repeat_come_as_often_as_their_rows(spark):
+    text = " ".join(f"x{k}" for k in range(30))
+    df = spark.createDataFrame([(1, "t", text), (1, "t", text), (2, "t", text + " more"), (2, "t", text + " more")], "data_id int, title string, text string")
+    assert [(r.id1, r.id2) for r in M.similar_pairs(df, ["title", "text"], 0.85).collect()] == [(1, 2)] * 4
