@@ -309,3 +309,16 @@ def test_selectors_are_tested_once_for_elements_alike(monkeypatch):
     for i in range(1, 20):
         assert dict(reader(page.format(i))["custom"])["kind"] == [str(i)]
     assert len(tests) == first
+
+
+def test_one_scan_for_dangerous_input(spark):
+    words = ["select", "Drop", "ſelect", "selected", "or 1=1", "and  2 = 3", "or x", "onload =", "one", "javascript:", "VBSCRIPT:", "javascript", "<script a>b</script>",
+             "<script>", "<iframe>\n</iframe>", "<embed></embed>", "--", "-", "#", "/*", "*/", "*a*", "*", "*\n*", "../", "..\\", "/../", "..", "../a..", "&", "!", "<!doctype", "$ne",
+             "<![CDATA[", "k57", "12", "é", "K", "cat", "cats", "a\\b", "(", "su", "sun", "<object>x</object>"]
+    texts = words + [a + b for a in words for b in words] + [f"{a} {b}" for a in words for b in words]
+    each = "(?imU)" + "|".join(f"(?:{p})" for p in V.DANGEROUS)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select("t", V.is_dangerous("t").alias("now"), F.col("t").rlike(each).alias("each")).collect()
+    assert [r.t for r in found if r.now != r.each] == [] and len({r.now for r in found}) == 2
+    # what is implied by another pattern is not tried at each place again
+    assert len(V.ALL_DANGEROUS) < len(each)
