@@ -185,13 +185,16 @@ def crawl_rounds(seeds: DataFrame, links: DataFrame, pages: DataFrame, max_pages
 
     Pages are taken first in, first out; a page passes on its first ``per_page`` links (page_url, url, rank) while
     fewer than ``max_pages`` pages of its crawl were read. Seeds stand in the order of their column ``rank``, where
-    they have one, else of url. Result: (crawl_id, url, position). Each round joins the new pages of all crawls with
-    the link table, looks up what it finds in the stored set of pages read, and appends what is new to it: a round
+    they have one, else of url. Result: (crawl_id, url, position). The links between stored pages are found and stored
+    once, by the page they are on. Each round joins the new pages of all crawls with
+    them, looks up what it finds in the stored set of pages read, and appends what is new to it: a round
     writes its new rows only. At most ``max_pages`` rounds can find anything; a crawl has at most its seeds and
     ``max_pages * per_page`` pages.
     """
     known = pages.select(F.col("url").alias("known_url")).distinct()
     outgoing = links.where(F.col("rank") <= per_page).select(F.col("page_url").alias("from_url"), F.col("url").alias("to_url"), "rank")
+    stored = SeenTable(seeds.sparkSession, ["from_url"])
+    outgoing = stored.add(outgoing.join(known, F.col("to_url") == F.col("known_url"), "left_semi"))
     given = F.min("rank") if "rank" in seeds.columns else F.lit(0)
     start = seeds.groupBy("crawl_id", "url").agg(given.alias("rank")).join(known, F.col("url") == F.col("known_url"), "left_semi")
     place = Window.partitionBy("crawl_id").orderBy(F.asc_nulls_last("rank"), "url")
@@ -199,10 +202,12 @@ def crawl_rounds(seeds: DataFrame, links: DataFrame, pages: DataFrame, max_pages
     seen = SeenTable(seeds.sparkSession, ["crawl_id", "url"])
     read = seen.add(fresh)
     for _ in range(max_pages):
+        open_ = fresh.where(F.col("position") < max_pages)
+        if open_.isEmpty():
+            break
         found = (
-            fresh.where(F.col("position") < max_pages).join(outgoing, F.col("url") == F.col("from_url"))
-            .groupBy("crawl_id", F.col("to_url").alias("url")).agg(F.min(F.struct("position", "rank")).alias("place"))
-            .join(known, F.col("url") == F.col("known_url"), "left_semi"))
+            open_.join(outgoing, F.col("url") == F.col("from_url"))
+            .groupBy("crawl_id", F.col("to_url").alias("url")).agg(F.min(F.struct("position", "rank")).alias("place")))
         # a crawl that found nothing in the last round has no new pages now
         ends = fresh.groupBy("crawl_id").agg(F.max("position").alias("so_far"))
         order = Window.partitionBy("crawl_id").orderBy("place")
@@ -212,6 +217,7 @@ def crawl_rounds(seeds: DataFrame, links: DataFrame, pages: DataFrame, max_pages
         if fresh.isEmpty():
             break
         read = seen.add(fresh)
+    stored.drop()
     return read
 
 
