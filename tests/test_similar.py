@@ -100,3 +100,28 @@ def test_pairs_of_keys_that_repeat_come_as_often_as_their_rows(spark):
     text = " ".join(f"x{k}" for k in range(30))
     df = spark.createDataFrame([(1, "t", text), (1, "t", text), (2, "t", text + " more"), (2, "t", text + " more")], "data_id int, title string, text string")
     assert [(r.id1, r.id2) for r in M.similar_pairs(df, ["title", "text"], 0.85).collect()] == [(1, 2)] * 4
+
+
+def test_links_move_words_only_where_marks_allow_it(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "t", "a b c d e f g h"), (2, "t", "a b c d e f g h i"), (3, "t", "x y z w v u q r"), (3, "t", "a b c d e f g h"), (4, "", ""), (5, "t", None)]
+    records = spark.createDataFrame(rows, "data_id long, title string, text string").fillna("")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 5)], "id1 long, id2 long")
+    moved, both = [], M._of_both
+    monkeypatch.setattr(M, "_of_both", lambda p, each, key, what: (moved.append((what, p.count())) or both(p, each, key, what)))
+    got = sorted((r.id1, r.id2, round(r.score, 6)) for r in M._scored(pairs, records, ["title", "text"], 0.85, "data_id").collect())
+    assert got == [(1, 2, round((1 + 8 / 9) / 2, 6)), (1, 3, 0.0), (1, 3, 0.5), (1, 3, 1.0), (4, 5, 0.0)]
+    assert moved == [("marks", 3), ("body", 2)]
+
+
+def test_band_keys_are_least_hashes(spark):
+    from hashlib import md5
+
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (0, 1, 7, 9000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.k for r in df.orderBy("i").select(M.band_keys(M.tokens(F.col("t")), 2, 3).alias("k")).collect()]
+    for text, keys in zip(texts, got):
+        bases = [int(md5(w.encode()).hexdigest()[:7], 16) for w in text.split()]
+        least = [min(((h * a + b) % M.HASH_PRIME for h in bases), default=None) for a, b in M.hash_factors(6)]
+        assert keys == ([f"{b}|" + "|".join(map(str, least[3 * b:3 * b + 3])) for b in range(2)] if bases else None)
