@@ -322,3 +322,32 @@ def test_one_scan_for_dangerous_input(spark):
     assert [r.t for r in found if r.now != r.each] == [] and len({r.now for r in found}) == 2
     # what is implied by another pattern is not tried at each place again
     assert len(V.ALL_DANGEROUS) < len(each)
+
+
+def test_crawl_stores_its_links_once_and_ends_with_its_last_page(spark, monkeypatch):
+    added, asked = [], []
+    add, unseen = L.SeenTable.add, L.SeenTable.unseen
+    monkeypatch.setattr(L.SeenTable, "add", lambda self, rows: added.append(self.keys) or add(self, rows))
+    monkeypatch.setattr(L.SeenTable, "unseen", lambda self, rows: asked.append(1) or unseen(self, rows))
+    seeds = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "a")], "crawl_id int, url string")
+    links = spark.createDataFrame([("a", "b", 1), ("a", "gone", 2), ("b", "c", 1), ("c", "a", 1), ("c", None, 2)], "page_url string, url string, rank int")
+    pages = spark.createDataFrame([(u,) for u in "abc"] + [(None,)], "url string")
+    found = L.crawl_rounds(seeds, links, pages, max_pages=1)
+    assert sorted((r.crawl_id, r.url, r.position) for r in found.where("crawl_id > 0").collect()) == [(1, "a", 1), (2, "b", 1)]
+    assert added == [["from_url"], ["crawl_id", "url"]] and not asked
+    found = L.crawl_rounds(seeds, links, pages, max_pages=2)
+    assert sorted((r.crawl_id, r.url, r.position) for r in found.where("crawl_id > 0").collect()) == [(1, "a", 1), (1, "b", 2), (2, "b", 1), (2, "c", 2)]
+    assert len(asked) == 1
+
+
+def test_selectors_that_a_page_cannot_meet_are_not_tried(monkeypatch):
+    tried = []
+    reader = markup.PageReader([".ad"], ["main"], {}, "priority")
+    call = markup.Matcher.__call__
+    monkeypatch.setattr(markup.Matcher, "__call__", lambda self, e: tried.append(self) or call(self, e))
+    page = "<script>if (a < b) '<p>no</p>'</SCRIPT ><title>1 &lt; 2</title><p>a < b<a href=/x>x</a><a href=/y>y</a><textarea><b>t</textarea> end"
+    found = reader(page)
+    assert [a["text"] for a in found["anchors"]] == ["x", "y"] and not any(a["pager"] or a["article"] for a in found["anchors"]) and not tried
+    assert found["title"] == "1 < 2" and found["text"] == "1 < 2 a < b x y <b>t end" and found["paragraphs"] == ["a < bxy<b>t end"]
+    found = reader("<div class=pager><a href=/2>2</a></div><div class=ad>no<a href=/n>n</a></div><a rel='next x' href=/3>3</a>")
+    assert [(a["href"], a["pager"]) for a in found["anchors"]] == [("/2", True), ("/3", True)] and tried
