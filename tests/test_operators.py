@@ -351,3 +351,16 @@ def test_selectors_that_a_page_cannot_meet_are_not_tried(monkeypatch):
     assert found["title"] == "1 < 2" and found["text"] == "1 < 2 a < b x y <b>t end" and found["paragraphs"] == ["a < bxy<b>t end"]
     found = reader("<div class=pager><a href=/2>2</a></div><div class=ad>no<a href=/n>n</a></div><a rel='next x' href=/3>3</a>")
     assert [(a["href"], a["pager"]) for a in found["anchors"]] == [("/2", True), ("/3", True)] and tried
+
+
+def test_table_cells_in_sql_expand_in_place(spark):
+    L.register_functions(spark)
+    kind = P.EXTRACT["tables"].dataType.simpleString()
+    one = {"caption": "c", "headers": ["h"], "rows": [["1", "2"], [], None, ["3", None]]}
+    rows = [(1, [one, {"caption": None, "headers": None, "rows": None}, None, {"caption": None, "headers": None, "rows": [["x"]]}]), (2, []), (3, None), (1, [one])]
+    pages = spark.createDataFrame(rows, f"page_id long, tables {kind}")
+    found = spark.sql("SELECT p.page_id, c.* FROM {p} p, LATERAL table_cells(p.tables) c", p=pages)
+    cells = [(1, 0, "c", 0, 0, "h", "1"), (1, 0, "c", 0, 1, None, "2"), (1, 0, "c", 3, 0, "h", "3"), (1, 0, "c", 3, 1, None, None)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(cells * 2 + [(1, 3, None, 0, 0, None, "x")], key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Generate") == 1

@@ -115,14 +115,16 @@ def register_functions(spark: SparkSession) -> None:
     """Table functions for SQL users: robots_rules(text), page_links(anchors), table_cells(tables).
 
     The last two expand columns of extracted pages. They are SQL functions, which Catalyst puts in place: no Python runs.
+    Each has one generator only; with lateral ones inside, pages would be read a second time and joined by their tables.
     """
     spark.udtf.register("robots_rules", udtf(RobotsRules, returnType=RULE))
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION page_links(anchors {EXTRACT["anchors"].dataType.simpleString()})
         RETURNS TABLE (pos INT, href STRING, text STRING) RETURN SELECT pos, a.href, a.text FROM posexplode(anchors) AS x(pos, a)""")
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION table_cells(tables {EXTRACT["tables"].dataType.simpleString()})
         RETURNS TABLE (`table` INT, caption STRING, `row` INT, col INT, header STRING, value STRING)
-        RETURN SELECT n, t.caption, r, c, get(t.headers, c), value
-        FROM posexplode(tables) AS x(n, t), LATERAL posexplode(t.rows) AS y(r, cells), LATERAL posexplode(cells) AS z(c, value)""")
+        RETURN SELECT n, caption, r, c, header, value
+        FROM inline(flatten(transform(tables, (t, n) -> flatten(transform(coalesce(t.rows, array()), (cells, r) -> transform(coalesce(cells, array()), (value, c) ->
+            named_struct('n', n, 'caption', t.caption, 'r', r, 'c', c, 'header', get(t.headers, c), 'value', value))))))) AS x(n, caption, r, c, header, value)""")
 
 
 def robots_rules(spark: SparkSession, robots: DataFrame) -> DataFrame:
