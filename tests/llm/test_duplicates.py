@@ -7,13 +7,16 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.helpers import documents, empty, rows_of, sentence
 from webloom.llm import op6_near_duplicates as op6
 from webloom.llm import op10_substring_dedup as op10
+from webloom.llm.common import WORD
 from webloom.llm.components import components
+from webloom.llm.shingles import rolled, word_hashes, words_at
 
 
 def find(parent, x):
@@ -285,3 +288,40 @@ def test_substring_dedup_table(spark):
     assert all((r["doc_id"], r["text"]) in want for r in got if not r["removed_words"])
     assert {r["doc_id"] for r in got if 300 <= (r["doc_id"] or 0) < 310 and r["removed_words"]} == {301, 302, 303, 304, 305}
     assert op10.cut_repeats(empty(spark)).count() == 0
+
+
+def test_words_are_hashed_together():
+    random = np.random.default_rng(3)
+    words = [bytes(random.choice(np.setdiff1d(np.arange(256), [32, *range(9, 14)]), size).astype(np.uint8)) for size in [*range(1, 60)] * 3]
+    for text in (b"", b" \n", b"A", b"\x0b".join(words), b"  " + b" \t".join(words * 9) + b"\n"):
+        starts, hashes = words_at(text)
+        assert hashes.tolist() == word_hashes(text).tolist() == [xxhash.xxh3_64_intdigest(w) for w in text.lower().split()]
+        assert [text[i:].split(None, 1)[0] for i in starts.tolist()] == text.split()
+
+
+def test_op10_places_of_words_in_code_points():
+    texts = ["", "über  \U0001f600 a b\n日本 x", "\x0b"]
+    found = op10.Paragraphs(texts)
+    for i, text in enumerate(texts):
+        assert found.points(i).tolist() == [m.start() for m in re.finditer(WORD, text)] + [len(text)]
+
+
+def test_op10_shingles_of_several_paragraphs():
+    found = op10.Paragraphs(["a b c d e f a b c d e f\nx y\n1 2 3 4 5", "", "n o p q r s t"])
+    for place, own in enumerate(found.shingles(np.arange(len(found.starts))).to_pylist()):
+        words = found.hashes[found.starts[place] :][: found.sizes[place]]
+        assert own == np.unique(rolled(words, op10.SHINGLE)).astype(np.int64).tolist()
+
+
+def test_op10_first_of_a_key_over_many_batches(spark):
+    same = "one two three four five six seven"
+    docs = spark.createDataFrame([(i, same if i % 3 else f"{same} {i} {i + 1} {i + 2}") for i in range(60)], "doc long, text string").repartition(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = op10.first_links(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    groups = {}
+    for r in op10.banded(docs).collect():
+        groups.setdefault(r["key"], set()).add((r["doc"], r["pack"]))
+    assert {(r["key"], tuple(r["member"]), tuple(r["first"])) for r in rows} == {(k, m, min(g)) for k, g in groups.items() for m in g if m != min(g)}

@@ -12,7 +12,6 @@ on both sides and cut out of the text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -22,9 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import WORD, in_cells, mixed, portions, read_table, written
+from webloom.llm.common import in_cells, mixed, portions, read_table, written
 from webloom.llm.components import components
-from webloom.llm.shingles import rolled, word_hashes
+from webloom.llm.shingles import rolled, words_at
 
 #: A border is a word whose hash is below those of this many words on both sides; paragraphs have 11 words on average.
 REACH = 5
@@ -68,18 +67,16 @@ class Paragraphs:
     def __init__(self, texts: list[str]):
         parts = [t.encode() for t in texts]
         blob = b"\n".join(parts)
-        self.hashes = h = word_hashes(blob)
-        n = len(h)
-        letters = np.frombuffer(blob, np.uint8)
-        inside = (letters != 32) & ((letters < 9) | (letters > 13))
-        at = np.flatnonzero(inside & ~np.append(False, inside[:-1])) if n else np.empty(0, np.int64)
-        begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
-        self.offsets = np.searchsorted(at, begins)  # and the end of the last text
+        self.words, self.hashes = words_at(blob)
+        at, h, n = self.words, self.hashes, len(self.words)
+        self.letters = np.frombuffer(blob, np.uint8)
+        self.begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        self.offsets = np.searchsorted(at, self.begins)  # and the end of the last text
         opens = np.zeros(n, bool)
         opens[self.offsets[:-1][np.diff(self.offsets) > 0]] = True
         border = opens.copy()
         if n:
-            line = np.searchsorted(np.flatnonzero(letters == 10), at)
+            line = np.searchsorted(np.flatnonzero(self.letters == 10), at)
             starts = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
             long = np.diff(np.append(starts, n)) >= SHINGLE
             border[starts[long | np.append(True, long[:-1])]] = True
@@ -132,15 +129,41 @@ class Paragraphs:
             out.append(key ^ np.uint64(band))
         return np.stack([*out, digests])
 
-    def shingles(self, place: int) -> np.ndarray:
-        at = self.starts[place]
-        return np.unique(rolled(self.hashes[at : at + self.sizes[place]], SHINGLE))
+    def shingles(self, places: np.ndarray) -> pa.ListArray:
+        """Distinct shingles of each of these paragraphs, sorted."""
+        whole = rolled(self.hashes, SHINGLE)
+        sizes = np.maximum(self.sizes[places] - SHINGLE + 1, 0)
+        of = np.repeat(np.arange(len(places)), sizes)
+        values = whole[spans(self.starts[places], sizes)]
+        order = np.lexsort((values, of))
+        values, first = values[order], np.ones(len(order), bool)
+        first[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
+        ends = np.cumsum([0, *np.bincount(of[first], minlength=len(places))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[first].astype(np.int64)))
+
+    def points(self, text: int) -> np.ndarray:
+        """Code points of a text before each of its words, and all of them."""
+        first, end = self.begins[text], self.begins[text + 1] - 1
+        before = np.cumsum(np.append(0, self.letters[first:end] & 0xC0 != 0x80))
+        return before[np.append(self.words[self.offsets[text] : self.offsets[text + 1]], end) - first]
+
+    def places(self, packs: np.ndarray, texts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which, places) of those ``wanted`` paragraphs that the text of that number has."""
+        at = self.firsts[texts] + (wanted >> DIGEST_BITS)
+        which = np.flatnonzero(at < self.firsts[texts + 1])
+        which = which[packs[at[which]] == wanted[which]]
+        return which, at[which]
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of spans, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
 
-    def places(self, packs: np.ndarray, text: int, wanted: list[int]) -> list[int]:
-        """Places of the ``wanted`` paragraphs that text number ``text`` has."""
-        first, end = int(self.firsts[text]), int(self.firsts[text + 1])
-        at = [first + (pack >> DIGEST_BITS) for pack in wanted]
-        return [i for i, pack in zip(at, wanted, strict=True) if i < end and packs[i] == pack]
+def listed(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """(row, value) of all values in the lists of a column."""
+    return np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False)), column.flatten()
 
 
 def banded(docs: DataFrame) -> DataFrame:
@@ -164,26 +187,56 @@ def paragraph(doc: str, pack: str) -> Column:
 
 
 def first_links(docs: DataFrame) -> DataFrame:
-    """(key, member, first) for each paragraph of a key but the first.
+    """(key, member, first) for each paragraph of a key but the first, from a written table.
 
-    Rows stream through one sorted pass per band. A band that the sample shows to be frequent is first grouped
-    by salts, then the firsts of its salts are linked to the first of all.
+    Rows stream through one pass sorted by band; a task holds the ids of one band at a time. A band that the sample
+    shows to be frequent is first grouped by salts, then the firsts of its salts are linked to the first of all.
     """
     rows = banded(docs)
     sample = banded(docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0))
     hot = sample.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 20").orderBy(F.desc("n"), "key").limit(HOT)
     hot = [r["key"] for r in hot.collect()]
-    salt = F.when(F.col("key").isin(hot), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0).cast("long")
-    order = Window.partitionBy("key", "salt").orderBy("doc", "pack").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    one = paragraph("doc", "pack")
-    placed = rows.withColumn("salt", salt).withColumns({"first": F.first(one).over(order), "last": F.lag("doc").over(Window.partitionBy("key", "salt").orderBy("doc", "pack"))})
+    salt = F.when(F.col("key").isin(hot), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(-1) if hot else F.lit(-1).cast("long")
+    names = ["key", "doc", "pack", "first_doc", "first_pack", "head"]
+
+    def told(key: np.ndarray, salt: np.ndarray, doc: np.ndarray, pack: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole keys the rows behind the first of a key and salt, and the firsts of salts."""
+        same = key[1:] == key[:-1]
+        some = np.flatnonzero(np.append(same, False) | np.append(False, same) | (salt >= 0))
+        order = some[np.lexsort((pack[some], doc[some], salt[some], key[some]))]
+        if not len(order):
+            return
+        key, salt, doc, pack = key[order], salt[order], doc[order], pack[order]
+        head = np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))
+        first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+        kept = (doc != doc[first]) | (pack != pack[first]) | (head & (salt >= 0))
+        yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (key, doc, pack, doc[first], pack[first], head)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # rows of the last key, which may go on
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in ("key", "salt", "doc", "pack")]
+            if not len(batch):
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if held and (cut or held[0][0][0] != rows[0][0]):
+                held.append([c[:cut] for c in rows])
+                yield from told(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            elif cut:
+                yield from told(*(c[:cut] for c in rows))
+            held.append([c[cut:].copy() for c in rows])
+        if held:
+            yield from told(*map(np.concatenate, zip(*held, strict=True)))
+
+    # one sort column: its order needs no comparison of rows
+    met = rows.withColumn("salt", salt).repartition("key", "salt").sortWithinPartitions("key").select("key", "salt", "doc", "pack")
+    found = met.mapInArrow(run, "key long, doc long, pack long, first_doc long, first_pack long, head boolean")
+    found = written(found.select("key", paragraph("doc", "pack").alias("member"), F.struct(F.col("first_doc").alias("doc"), F.col("first_pack").alias("pack")).alias("first"), "head"))
+    links, heads = found.where("NOT head").drop("head"), found.where("head")
     if not hot:
-        return placed.where("last IS NOT NULL").select("key", one.alias("member"), "first").where("member != first")
-    # links and the firsts of salted bands come out of one pass over the texts
-    both = written(placed.where(F.col("last").isNotNull() | F.col("key").isin(hot)).select("key", one.alias("member"), "first", "last"))
-    links, heads = both.where("last IS NOT NULL").drop("last"), both.where(F.col("key").isin(hot) & F.col("last").isNull())
-    best = heads.groupBy("key").agg(F.min("first").alias("best"))
-    lead = F.broadcast(best)  # at most HOT rows
+        return links
+    lead = F.broadcast(written(heads.groupBy("key").agg(F.min("first").alias("best"))))  # at most HOT rows
     through = heads.join(lead, "key").select("key", F.col("first").alias("member"), F.col("best").alias("first"))
     direct = links.join(lead, "key", "left").select("key", "member", F.coalesce("best", "first").alias("first"))
     return direct.unionByName(through).where("member != first")
@@ -196,12 +249,11 @@ def shingle_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches, "text"):
             found = Paragraphs(part.column("text").to_pylist())
-            own = found.packs()
-            at = [found.places(own, i, wanted) for i, wanted in enumerate(part.column("packs").to_pylist())]
-            ids = np.repeat(part.column("doc").to_numpy(zero_copy_only=False), [len(x) for x in at])
-            at = [i for x in at for i in x]
-            packs, sets = own[at], [found.shingles(i).astype(np.int64) for i in at]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "pack", "set"])
+            of, wanted = listed(part.column("packs"))
+            wanted = wanted.to_numpy(zero_copy_only=False)
+            which, at = found.places(found.packs(), of, wanted)
+            ids = part.column("doc").to_numpy(zero_copy_only=False)[of[which]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(wanted[which]), found.shingles(at)], names=["doc", "pack", "set"])
 
     sets = docs.join(ends, "doc").select("doc", "text", "packs").mapInArrow(run, "doc long, pack long, set array<long>")
     return written(sets.dropDuplicates(["doc", "pack"]).select(paragraph("doc", "pack").alias("p"), "set"))
@@ -303,7 +355,7 @@ def further_links(links: DataFrame, good: DataFrame, docs: DataFrame) -> DataFra
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc, packs: paragraphs to cut with the document that keeps a copy and the words to cut beside them) of (doc, text)."""
-    keyed = written(first_links(docs))
+    keyed = first_links(docs)
     links = written(keyed.where("member.doc != first.doc").select("member", "first").distinct())
     equal = digest("member") == digest("first")
     good = written(links.where(equal).unionByName(similar(links.where(~equal), docs)))
@@ -322,19 +374,19 @@ def neighbours(ends: DataFrame, docs: DataFrame, reach: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches, "text"):
             found = Paragraphs(part.column("text").to_pylist())
-            own, h = found.packs(), found.hashes.astype(np.int64)
-            ids, packs, sides, words = [], [], [], []
-            for i, (doc, ends) in enumerate(zip(part.column("doc").to_pylist(), part.column("ends").to_pylist(), strict=True)):
-                for end in ends:
-                    for place in found.places(own, i, [end["pack"]]):
-                        at = int(found.starts[place])
-                        to = at + int(found.sizes[place])
-                        ids.append(doc)
-                        packs.append(end["pack"])
-                        sides.append(end["after"])
-                        words.append(h[to : min(to + reach, found.offsets[i + 1])] if end["after"] else h[max(at - reach, found.offsets[i]) : at][::-1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(packs, pa.int64()), pa.array(sides, pa.bool_()), pa.array(words, pa.list_(pa.int64()))], names=["doc", "pack", "after", "words"])
+            of, ends = listed(part.column("ends"))
+            packs, after = (ends.field(f).to_numpy(zero_copy_only=False) for f in ("pack", "after"))
+            which, at = found.places(found.packs(), of, packs)
+            of, packs, after = of[which], packs[which], after[which]
+            at = found.starts[at] + np.where(after, found.sizes[at], 0)
+            begins = np.where(after, at, at - 1)
+            sizes = np.minimum(np.where(after, found.offsets[of + 1] - at, at - found.offsets[of]), reach)
+            # words before a paragraph are read backwards
+            step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            words = found.hashes[np.repeat(begins, sizes) + np.where(np.repeat(after, sizes), step, -step)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(words.astype(np.int64)))
+            ids = part.column("doc").to_numpy(zero_copy_only=False)[of]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(packs), pa.array(after), lists], names=["doc", "pack", "after", "words"])
 
     found = docs.join(wanted, "doc").select("doc", "text", "ends").mapInArrow(run, "doc long, pack long, after boolean, words array<long>")
     return found.dropDuplicates(["doc", "pack", "after"]).select(paragraph("doc", "pack").alias("p"), "after", "words")
@@ -396,8 +448,8 @@ def cut_runs(found: Paragraphs, own: np.ndarray, number: int, text: str, packs:
     runs = [run for run in runs if run[1] - run[0] >= run_words]
     if not runs:
         return [], 0, 0, []
-    words = [m.start() for m in re.finditer(WORD, text)] + [len(text)]
-    return [(words[at], words[to]) for at, to, _, _ in runs], sum(r[1] - r[0] for r in runs), sum(r[2] for r in runs), sorted(set().union(*(r[3] for r in runs)))
+    words = found.points(number)
+    return [(int(words[at]), int(words[to])) for at, to, _, _ in runs], sum(r[1] - r[0] for r in runs), sum(r[2] for r in runs), sorted(set().union(*(r[3] for r in runs)))
 
 
 def cut_repeats(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
