@@ -187,7 +187,7 @@ def paragraph(doc: str, pack: str) -> Column:
 
 
 def first_links(docs: DataFrame) -> DataFrame:
-    """(key, member, first) for each paragraph of a key but the first, from a written table.
+    """(key, member, first, mixed: whether paragraphs of the key differ) for each paragraph of a key but the first, from a written table.
 
     Rows stream through one pass sorted by band; a task holds the ids of one band at a time. A band that the sample
     shows to be frequent is first grouped by salts, then the firsts of its salts are linked to the first of all.
@@ -197,7 +197,7 @@ def first_links(docs: DataFrame) -> DataFrame:
     hot = sample.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 20").orderBy(F.desc("n"), "key").limit(HOT)
     hot = [r["key"] for r in hot.collect()]
     salt = F.when(F.col("key").isin(hot), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(-1) if hot else F.lit(-1).cast("long")
-    names = ["key", "doc", "pack", "first_doc", "first_pack", "head"]
+    names = ["key", "doc", "pack", "first_doc", "first_pack", "head", "mixed"]
 
     def told(key: np.ndarray, salt: np.ndarray, doc: np.ndarray, pack: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Of whole keys the rows behind the first of a key and salt, and the firsts of salts."""
@@ -209,8 +209,10 @@ def first_links(docs: DataFrame) -> DataFrame:
         key, salt, doc, pack = key[order], salt[order], doc[order], pack[order]
         head = np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))
         first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+        differs = (pack ^ pack[first]) & ((1 << DIGEST_BITS) - 1) != 0
+        mixed = np.logical_or.reduceat(differs, np.flatnonzero(head))[np.cumsum(head) - 1]
         kept = (doc != doc[first]) | (pack != pack[first]) | (head & (salt >= 0))
-        yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (key, doc, pack, doc[first], pack[first], head)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (key, doc, pack, doc[first], pack[first], head, mixed)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []  # rows of the last key, which may go on
@@ -231,14 +233,15 @@ def first_links(docs: DataFrame) -> DataFrame:
 
     # one sort column: its order needs no comparison of rows
     met = rows.withColumn("salt", salt).repartition("key", "salt").sortWithinPartitions("key").select("key", "salt", "doc", "pack")
-    found = met.mapInArrow(run, "key long, doc long, pack long, first_doc long, first_pack long, head boolean")
-    found = written(found.select("key", paragraph("doc", "pack").alias("member"), F.struct(F.col("first_doc").alias("doc"), F.col("first_pack").alias("pack")).alias("first"), "head"))
+    found = met.mapInArrow(run, "key long, doc long, pack long, first_doc long, first_pack long, head boolean, mixed boolean")
+    found = written(found.select("key", paragraph("doc", "pack").alias("member"), F.struct(F.col("first_doc").alias("doc"), F.col("first_pack").alias("pack")).alias("first"), "head", "mixed"))
     links, heads = found.where("NOT head").drop("head"), found.where("head")
     if not hot:
         return links
-    lead = F.broadcast(written(heads.groupBy("key").agg(F.min("first").alias("best"))))  # at most HOT rows
-    through = heads.join(lead, "key").select("key", F.col("first").alias("member"), F.col("best").alias("first"))
-    direct = links.join(lead, "key", "left").select("key", "member", F.coalesce("best", "first").alias("first"))
+    both = F.max("mixed") | (F.min(digest("first")) != F.max(digest("first")))
+    lead = F.broadcast(written(heads.groupBy("key").agg(F.min("first").alias("best"), both.alias("both"))))  # at most HOT rows
+    through = heads.join(lead, "key").select("key", F.col("first").alias("member"), F.col("best").alias("first"), F.col("both").alias("mixed"))
+    direct = links.join(lead, "key", "left").select("key", "member", F.coalesce("best", "first").alias("first"), F.coalesce("both", "mixed").alias("mixed"))
     return direct.unionByName(through).where("member != first")
 
 
@@ -313,7 +316,7 @@ def further_links(links: DataFrame, good: DataFrame, docs: DataFrame) -> DataFra
     """(member, first) of all similar members of a band that ``good`` leaves in different components."""
     lead, roots = clusters(good)
     # only bands of different paragraphs can be open
-    links = links.join(links.where(digest("member") != digest("first")).select("key").distinct(), "key", "left_semi")
+    links = links.where("mixed")
     rows = links.select("key", F.col("member").alias("p")).unionByName(links.select("key", F.col("first").alias("p")).distinct())
     placed = rows.join(lead.withColumnRenamed("member", "p"), "p", "left").withColumn("lead", F.coalesce("lead", "p"))
     placed = placed.join(roots.select(F.col("node").alias("lead"), "root"), "lead", "left").select("key", "p", F.coalesce("root", "lead").alias("root"))
