@@ -7,10 +7,12 @@ import xxhash
 
 #: Words hashed in one step, so that they stay in the processor's cache, and bytes of text below which single words are faster.
 TOGETHER, FEW = 16_384, 2000
-#: Fixed values of XXH3: the begin of its secret and its multipliers.
+#: Fixed values of XXH3: the begin of its secret, then its multipliers.
 SECRET = np.frombuffer(bytes.fromhex(
     "b8fe6c3923a44bbe7c01812cf721ad1cded46de9839097db7240a4a4b7b3671f"
     "cb79e64eccc0e578825ad07dccff7221b8084674f743248ee03590e6813a264c"), "<u8")
+#: How words of each length are hashed, the last for all longer ones.
+KINDS = np.searchsorted([3, 8, 16, 32], np.arange(34)).astype(np.int8)
 PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x9FB21C651E98DF25, 0x165667919E3779F9)]
 
 
@@ -40,7 +42,7 @@ def hashed(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     """XXH3 of the words at ``starts`` (none empty), as the library gives them; words up to 32 bytes all at once."""
     four, eight = (np.ndarray(max(0, len(letters) - width + 1), f"<u{width}", letters, strides=(1,)) for width in (4, 8))
     out = np.empty(len(starts), np.uint64)
-    kinds = np.searchsorted([3, 8, 16, 32], sizes)
+    kinds = KINDS[np.minimum(sizes, len(KINDS) - 1)]
     with np.errstate(over="ignore"):
         for kind in range(5):
             own = np.flatnonzero(kinds == kind)
