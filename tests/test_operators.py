@@ -364,3 +364,28 @@ def test_table_cells_in_sql_expand_in_place(spark):
     assert sorted(map(tuple, found.collect()), key=str) == sorted(cells * 2 + [(1, 3, None, 0, 0, None, "x")], key=str)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan and plan.count("Generate") == 1
+
+
+def test_tags_alike_are_read_once(monkeypatch):
+    read = []
+    kind = markup.tag_kind
+    monkeypatch.setattr(markup, "tag_kind", lambda whole, mark: read.append(whole) or kind(whole, mark))
+    reader = markup.PageReader([".ad"], ["main"], {}, "priority")
+    page = "<main><p><a href='/{0}'>one</a><a href=/b>two</a><p class=ad>no<a href=/n>n</a></p><a\"b c\"d>odd<x'y z>end</main>"
+    for i in range(20):
+        found = reader(page.format(i % 2))
+        assert [a["href"] for a in found["anchors"]] == [f"/{i % 2}", "/b"] and found["paragraphs"][0] == "onetwo" and "no" not in found["text"]
+    # once for each tag as it is written, with or without elements taken out
+    assert sorted(read) == sorted({"main", "p", "a href='/0'", "a href='/1'", "/a", "a href=/b", "p class=ad", "a href=/n", "/p", 'a"b c"d', "x'y z", "/main"})
+
+
+def test_parts_are_laid_out_flat_for_arrow():
+    import pyarrow as pa
+
+    inner = pa.struct([pa.field("s", pa.string()), pa.field("l", pa.list_(pa.list_(pa.string()))), pa.field("b", pa.bool_())])
+    rows = [[{"s": "a", "l": [["x", None], []], "b": True}, {"s": None, "l": [], "b": False}], [], [{"s": "", "l": [["é"]], "b": None}]]
+    for values in (rows, rows[1:2], []):
+        found = P.column(values, pa.list_(inner))
+        found.validate(full=True)
+        assert found.equals(pa.array(values, pa.list_(inner))) and found.type == pa.list_(inner)
+    assert P.column([[("k", 1)], []], pa.map_(pa.string(), pa.int32())).to_pylist() == [[("k", 1)], []]

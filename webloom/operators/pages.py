@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import accumulate, chain
+from operator import itemgetter
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -79,6 +81,16 @@ def portions(html: pa.Array) -> Iterator[tuple[int, int]]:
         yield first, len(sizes) - first
 
 
+def column(values: list, kind: pa.DataType) -> pa.Array:
+    """Arrow array of Python values. Lists and structs are laid out flat first, so that Arrow is given plain values only."""
+    if pa.types.is_list(kind):
+        ends = pa.array(accumulate(map(len, values), initial=0), pa.int32())
+        return pa.ListArray.from_arrays(ends, column(list(chain.from_iterable(values)), kind.value_type), type=kind)
+    if pa.types.is_struct(kind) and values:
+        return pa.StructArray.from_arrays([column(list(map(itemgetter(f.name), values)), f.type) for f in kind], fields=list(kind))
+    return pa.array(values, type=kind)
+
+
 def extract_pages(
     pages: DataFrame, *, exclude: Sequence[str] = (), custom: Mapping[str, str] | None = None, main: str = "priority",
     html: str = "raw_html",
@@ -98,7 +110,6 @@ def extract_pages(
     selectors = dict(custom or {})
     schema = T.StructType([pages.schema[c] for c in keep] + EXTRACT.fields)
     arrow = to_arrow_schema(schema)
-    names = [f.name for f in EXTRACT.fields]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = PageReader(drop, containers, selectors, main)
@@ -116,8 +127,7 @@ def extract_pages(
                 try:
                     found = list(map(parts, batch.column(html).to_pylist()))
                     columns = [batch.column(c) for c in keep]
-                    for name in names:
-                        columns.append(pa.array([f[name] for f in found], type=arrow.field(name).type))
+                    columns.extend(column(list(map(itemgetter(f.name), found)), arrow.field(f.name).type) for f in EXTRACT)
                     del found
                 finally:
                     gc.enable()
