@@ -125,3 +125,81 @@ def test_band_keys_are_least_hashes(spark):
         bases = [int(md5(w.encode()).hexdigest()[:7], 16) for w in text.split()]
         least = [min(((h * a + b) % M.HASH_PRIME for h in bases), default=None) for a, b in M.hash_factors(6)]
         assert keys == ([f"{b}|" + "|".join(map(str, least[3 * b:3 * b + 3])) for b in range(2)] if bases else None)
+
+
+def brute_force(rows, fields, threshold):
+    """Of rows (key, texts): copies, and near pairs of the rows whose key stands for some content."""
+    from collections import Counter
+
+    rows = [(k, tuple(t or "" for t in texts)) for k, texts in rows]
+    first = {}
+    for k, texts in rows:
+        if k is not None:
+            first[texts] = min(first.get(texts, k), k)
+    got = Counter((first[x], k, 1.0) for k, x in rows if k is not None and k != first[x])
+    chosen = [(k, x, [set(t.lower().split()) for t in x]) for k, x in rows if k in first.values()]
+    for k, x, u in chosen:
+        for j, y, v in chosen:
+            if k < j and any(u):
+                score = sum(1.0 if a == b else len(p & q) / len(p | q) if p | q else 0.0 for a, b, p, q in zip(x, y, u, v)) / fields
+                if score >= threshold:
+                    got[(k, j, round(score, 6))] += 1
+    return got
+
+
+def test_pairs_by_every_field_equal_brute_force(spark, monkeypatch):
+    """Words of many records, blank fields, missing and repeated keys, hashes that clash and homes of several blocks."""
+    from collections import Counter
+
+    for n, (hot, usage, cell) in enumerate([(1, 64, 150), (3, 1 << 10, 1000), (10**6, 1 << 22, 10**6)]):
+        monkeypatch.setattr(M, "HOT_WORDS", hot)
+        monkeypatch.setattr(M, "USAGE", usage)
+        monkeypatch.setattr(M, "CELL_WORDS", cell)
+        r = random.Random(n)
+        names = ["title", "text", "note"][: 2 + n % 2]
+        bases = [[[f"{f}{r.randrange(60)}" for _ in range(r.randrange(1, size))] for f, size in zip("abc", (6, 40, 9))] for _ in range(12)]
+        rows = []
+        for i in range(220):
+            texts = [list(x) for x in r.choice(bases)[: len(names)]]
+            if r.random() < 0.8:
+                x = texts[1]
+                x[r.randrange(len(x))] = r.choice(["the", "The", f"x{r.randrange(99)}"])
+            texts = [" ".join(x) for x in texts]
+            if r.random() < 0.3:
+                texts[0] = r.choice(["of the", "", " ", "."])
+            if r.random() < 0.1:
+                texts[1] = r.choice(["", None])
+            rows.append((None if r.random() < 0.02 else r.randrange(200), texts))
+        df = spark.createDataFrame([(k, *x) for k, x in rows], "data_id long, " + ", ".join(f"{x} string" for x in names)).repartition(3)
+        threshold = 0.85 if len(names) == 2 else 0.9
+        got = Counter((p.id1, p.id2, round(p.score, 6)) for p in M.similar_pairs(df, names, threshold).collect())
+        assert len(got) > 300 and got == brute_force(rows, len(names), threshold)
+
+
+def test_pairs_need_little_disk(spark, monkeypatch):
+    """What is written is smaller than the texts, pairs meet a few times, not by each word they share, and words of lone records stay."""
+    import os
+
+    r = random.Random(3)
+    rows = []
+    for f in range(40):  # four families of 30 and many lone records, all of one common title
+        words = [f"w{f}v{r.randrange(10**6)}" for _ in range(200)]
+        for _ in range(30 if f < 4 else 6):
+            if f >= 4:
+                words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+            own = list(words)
+            own[r.randrange(200)] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), f"common title {f % 2}", " ".join(own)))
+    monkeypatch.setattr(M, "HOT_WORDS", 20)
+    tables, met, written, candidates = [], [], M.written, M._candidates
+    monkeypatch.setattr(M, "written", lambda df, **options: (tables.append(written(df, **options)), tables[-1])[1])
+    monkeypatch.setattr(M, "_candidates", lambda *a: (met.append(candidates(*a)), met[-1])[1])
+    df = spark.createDataFrame(rows, "data_id long, title string, text string").repartition(2)
+    pairs = M.similar_pairs(df, FIELDS, 0.85)
+    size = sum(os.path.getsize(path.removeprefix("file://")) for t in tables for path in t.inputFiles())
+    assert size < 0.8 * sum(len(t) + len(x) for _, t, x in rows)
+    number = pairs.count()
+    assert number == 4 * 30 * 29 // 2
+    assert met[0].count() <= 4 * number  # a pair shares some sixty of the words that records meet by
+    assert M._named(tables[0], tables[1]).count() == 4 * 30
+    assert sum(M._cells(tables[1]).select(F.size("mates").alias("n")).toPandas().n) == number
