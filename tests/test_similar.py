@@ -151,29 +151,29 @@ def test_pairs_by_every_field_equal_brute_force(spark, monkeypatch):
     """Words of many records, blank fields, missing and repeated keys, hashes that clash and homes of several blocks."""
     from collections import Counter
 
-    for n, (hot, usage, cell) in enumerate([(1, 64, 150), (3, 1 << 10, 1000), (10**6, 1 << 22, 10**6)]):
+    for n, (hot, usage, cell, k) in enumerate([(1, 64, 150, 2), (3, 1 << 10, 1000, 3), (10**6, 1 << 22, 10**6, 1)]):
         monkeypatch.setattr(M, "HOT_WORDS", hot)
         monkeypatch.setattr(M, "USAGE", usage)
         monkeypatch.setattr(M, "CELL_WORDS", cell)
         r = random.Random(n)
-        names = ["title", "text", "note"][: 2 + n % 2]
-        bases = [[[f"{f}{r.randrange(60)}" for _ in range(r.randrange(1, size))] for f, size in zip("abc", (6, 40, 9))] for _ in range(12)]
+        names = ["title", "rid", "key"][:k] if k > 1 else ["text"]
+        bases = [[[f"{f}{r.randrange(60)}" for _ in range(r.randrange(1, size))] for f, size in zip("abc", (6, 40, 9) if k > 1 else (40,))] for _ in range(12)]
         rows = []
         for i in range(220):
-            texts = [list(x) for x in r.choice(bases)[: len(names)]]
+            texts = [list(x) for x in r.choice(bases)[:k]]
             if r.random() < 0.8:
-                x = texts[1]
+                x = texts[k > 1]
                 x[r.randrange(len(x))] = r.choice(["the", "The", f"x{r.randrange(99)}"])
             texts = [" ".join(x) for x in texts]
             if r.random() < 0.3:
                 texts[0] = r.choice(["of the", "", " ", "."])
             if r.random() < 0.1:
-                texts[1] = r.choice(["", None])
+                texts[k > 1] = r.choice(["", None])
             rows.append((None if r.random() < 0.02 else r.randrange(200), texts))
         df = spark.createDataFrame([(k, *x) for k, x in rows], "data_id long, " + ", ".join(f"{x} string" for x in names)).repartition(3)
-        threshold = 0.85 if len(names) == 2 else 0.9
+        threshold = 0.9 if k == 3 else 0.85
         got = Counter((p.id1, p.id2, round(p.score, 6)) for p in M.similar_pairs(df, names, threshold).collect())
-        assert len(got) > 300 and got == brute_force(rows, len(names), threshold)
+        assert len(got) > 300 and got == brute_force(rows, k, threshold)
 
 
 def test_pairs_need_little_disk(spark, monkeypatch):
